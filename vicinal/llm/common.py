@@ -67,3 +67,21 @@ def bin_offsets(bins: DataFrame, parts: list[str], at: str, values: list[str], s
     return wide.join(tops, [*parts, "_span"]).select(
         *parts, at, *((F.col(f"_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(f"{v}_before") for v in values)
     )
+
+
+def remainder(doc_id: Column, parts: int) -> Column:
+    """crc32(doc_id as text) mod parts: the fold of a document. Null for a null doc_id."""
+    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % parts
+
+
+def text_bytes(column):
+    """The UTF-8 bytes of an Arrow string column and the offsets of its rows; a null is an empty text."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or at[-1] == at[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]

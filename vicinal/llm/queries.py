@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import langid, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_sharding": sharding.op3,
+    "op6_language_id": langid.op6,
 }
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE,
