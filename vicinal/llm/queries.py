@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, sharding, toxicity
+from . import bpe, html, langid, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
     "op2_toxicity": toxicity.op2,
     "op3_sharding": sharding.op3,
     "op6_language_id": langid.op6,
+    "op8_html_extraction": html.op8,
+    "op10_bpe": bpe.op10,
 }
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE,
