@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, mixing, sharding, toxicity
+from . import bpe, html, langid, mixing, neardup, search, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
     "op2_toxicity": toxicity.op2,
     "op3_sharding": sharding.op3,
+    "op4_topk_search": search.op4,
     "op6_language_id": langid.op6,
     "op8_html_extraction": html.op8,
+    "op9_embedding_neardup": neardup.op9,
     "op10_bpe": bpe.op10,
 }
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op4_topk_search": search.ORACLE,
 }
