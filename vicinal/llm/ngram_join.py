@@ -10,7 +10,9 @@ by powers of two; a set signs for every level that a partner may have.
 
 Equal sets are one class from the start. Signatures that occur once are dropped; every class is compared with
 the most typical class of each of its signatures (a star, never all pairs); classes that are joined by then
-need no further test, and only pairs of classes that share a signature and are still apart are tested after.
+need no further test. Two classes that are still apart were both compared with the centre of the signature that
+they share, so to link they must either both lie well inside the centre or share a token outside it: only such
+pairs are tested after.
 Every link is verified on the whole sets. Components come from graph.components.
 
 Token hashes have 64 bits; classes are named by 64-bit sums of mixed hashes, so two different sets in one
@@ -22,8 +24,6 @@ and text are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -218,8 +218,19 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return staged(with_block(docs).mapInArrow(run, "node long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Written (a, b): the pairs that link. a is the side that few share."""
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which tokens of x are in y; both sorted."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+    """Written (a, b, na, nb, c, extra): sizes, common tokens, and the first tokens of a outside b.
+
+    A partner of a that is not found through tokens of b shares at least percent * na - c of a's tokens outside b,
+    so one of the first na - c - (that number) + 1 of them by hash.
+    """
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -227,19 +238,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pandas as pd
 
         for p in batches:
-            keep = []
+            out = []
             for x, y in zip(p["ta"], p["tb"], strict=True):
-                nx, ny = len(x) // 8, len(y) // 8
-                if percent * max(nx, ny) > 100 * min(nx, ny):
-                    keep.append(False)
-                    continue
-                z = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                z.sort(kind="stable")
-                same = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * same >= percent * (nx + ny - same))
-            yield p.loc[keep, ["a", "b"]]
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                inside = _common(x, y)
+                c = int(inside.sum())
+                need = max(1, -(-percent * len(x) // 100) - c)
+                out.append((len(x), len(y), c, x[~inside][: max(0, len(x) - c - need + 1)].tobytes()))
+            yield p[["a", "b"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["na", "nb", "c", "extra"]))
+
+    return staged(both.mapInPandas(run, "a long, b long, na long, nb long, c long, extra binary"), tag)
+
 
-    return staged(both.mapInPandas(run, "a long, b long"), "join-links")
+def linked(d: DataFrame, percent: int) -> DataFrame:
+    return d.filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+
+def _exploded(batches):
+    import pandas as pd
+
+    for p in batches:
+        tokens = [np.frombuffer(x, np.int64) for x in p["extra"]]
+        yield p.drop(columns="extra").loc[p.index.repeat([len(t) for t in tokens])].assign(token=np.concatenate([*tokens, np.zeros(0, np.int64)]))
+
+
+def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link though their classes are not joined yet.
+
+    Two classes of a signature have both been compared with its star's centre z. If they link, then either the
+    tokens that each shares with z are as many as a link needs, or they share a token outside z.
+    """
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    d = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumn("r", F.coalesce("ra", "a")).withColumn("rz", F.coalesce("rb", "b"))
+    mixed = d.groupBy("b").agg(F.min(F.least("r", "rz")).alias("lo"), F.max(F.greatest("r", "rz")).alias("hi")).filter("lo < hi").select("b")
+    d = staged(d.join(mixed, "b", "left_semi").select("a", "b", F.col("na").alias("n"), "c", "r", "extra"), "join-mixed")
+    sides = lambda x, on: (x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r"))) for i in (1, 2))
+    n, low, union = F.col("n1") + F.col("n2"), F.least("c1", "c2"), 100 + percent
+    apart = (F.col("a1") < F.col("a2")) & (F.col("r1") != F.col("r2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    extra = d.mapInPandas(_exploded, "a long, b long, n long, c long, r long, token long")
+    x, y = sides(extra, ["b", "token"])
+    most = low + F.least(F.col("n1") - F.col("c1"), F.col("n2") - F.col("c2"))
+    outside = x.join(y, ["b", "token"]).filter(apart & (most * union >= n * percent))
+    inner = post.join(star, "sig").join(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r"), ["node", "b"])
+    x, y = sides(inner, ["sig"])
+    inside = x.join(y, "sig").filter(apart & (low * union >= n * percent))
+    pairs = [p.select(F.col("a1").alias("a"), F.col("a2").alias("b")) for p in (outside, inside)]
+    return staged(pairs[0].union(pairs[1]).distinct(), "join-rest")
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
@@ -247,32 +291,21 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     assert percent >= 80
     docs = docs.select("doc_id", "text")
     rows, blobs = classes(docs, k)
-    n = rows.count()
-    post = postings(docs, frequent_tokens(blobs), k, n)
+    post = postings(docs, frequent_tokens(blobs), k, rows.count())
     # The most typical class of a signature: the one with the most shared signatures.
     weight = post.groupBy("node").agg(F.count("*").alias("w"))
     heavy = post.join(weight, "node")
     star = heavy.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("top")).select("sig", F.col("top.node").alias("b"))
-    pairs = staged(post.join(star, "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "join-stars")
-    nodes = staged(post.select("node").distinct(), "join-nodes")
-    sets = sets_of(docs, nodes, k)
-    links = [verified(pairs, sets, percent)]
-    roots = components(links[0])
-    # Pairs that share a signature and are still apart; stars already tested drop out.
-    size = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    known = nodes.join(size, "node").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    d = staged(post.join(known, "node"), "join-known")
-    apart = d.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    d = d.join(apart, "sig", "left_semi")
-    x, y = (d.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root"))) for i in (1, 2))
-    close = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    rest = x.join(y, "sig").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & close)
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "join-rest")
+    star = staged(star, "join-centres")
+    pairs = post.join(star, "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sets = sets_of(docs, staged(post.select("node").distinct(), "join-nodes"), k)
+    stars = compared(pairs, sets, percent, "join-stars")
+    links = linked(stars, percent)
+    roots = components(links)
+    rest = still_apart(post, star, stars, roots, percent)
     if not rest.isEmpty():
-        links.append(verified(rest, sets, percent))
-        roots = components(reduce(DataFrame.union, links))
+        links = links.union(linked(compared(rest, sets, percent, "join-tested"), percent))
+        roots = components(links)
     d = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = d.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return d.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
