@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, mixing, neardup, search, sharding, toxicity
+from . import bpe, html, langid, mixing, neardup, ngram_join, search, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
     "op2_toxicity": toxicity.op2,
     "op3_sharding": sharding.op3,
     "op4_topk_search": search.op4,
+    "op5_ngram_join": ngram_join.op5,
     "op6_language_id": langid.op6,
     "op8_html_extraction": html.op8,
     "op9_embedding_neardup": neardup.op9,
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op4_topk_search": search.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
 }
