@@ -143,8 +143,8 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous."""
+def predict(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns to keep, then lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -163,12 +163,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             seen &= bool(m.langs)
             names = np.array([*m.langs, "und"], object)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(names[np.where(seen, best, -1)].tolist(), pa.string()), pa.array(np.where(seen, score, 0.0)), pa.array(seen & (score < AMBIGUOUS))],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
+                [*(b.column(f"_{c}") for c in keep), pa.array(names[np.where(seen, best, -1)].tolist(), pa.string()), pa.array(np.where(seen, score, 0.0)), pa.array(seen & (score < AMBIGUOUS))],
+                [*keep, "lang_pred", "score", "ambiguous"],
             )
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    return docs.select("text", lettered.alias("lettered"), *(F.col(c).alias(f"_{c}") for c in keep)).mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def op6(spark, sf_dir):

@@ -44,21 +44,35 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
     return d.select("skey", "n_rows", "source_size", F.when(F.col("i") < F.col("first.i"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs (whole passes over the source before the cut one)."""
+def _keyed(docs: DataFrame, keep: tuple, seed: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = staged(docs.select("doc_id", source_key(F.col("source")).alias("skey"), shuffle_key(seed, F.col("doc_id")).alias("key"), size.alias("size")), "mix-rows")
+    return docs.select(*keep, source_key(F.col("source")).alias("skey"), shuffle_key(seed, F.col("doc_id")).alias("_key"), size.alias("size"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns to keep, then size, source_size, target, taken, epochs (whole passes over the source before the cut one)."""
+    rows = staged(_keyed(docs, ("doc_id",), seed), "mix-rows")
     sums = rows.groupBy("skey").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
     targets = small_side(source_targets(sums, weights, most), "mix-sources")
-    d = rows.join(targets, "skey").withColumn("bin", key_bin(F.col("key"), F.ceil(F.col("n_rows") / BIN_ROWS)))
-    offsets = bin_offsets(d.groupBy("skey", "bin").agg(F.sum("size").alias("size")), ["skey"], "bin", ["size"])
-    run = W.partitionBy("skey", "bin").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    binned = lambda x: x.join(targets, "skey").withColumn("bin", key_bin(F.col("_key"), F.ceil(F.col("n_rows") / BIN_ROWS)))
+    offsets = bin_offsets(binned(rows).groupBy("skey", "bin").agg(F.sum("size").alias("size")), ["skey"], "bin", ["size"])
+    d = binned(rows if keep == ("doc_id",) else _keyed(docs, keep, seed))
+    run = W.partitionBy("skey", "bin").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.join(offsets, ["skey", "bin"]).withColumn("before", F.col("size_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     budget = F.floor(F.col("target") + 0.5)
     d = d.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     rest = budget - F.col("epochs") * F.col("source_size")
     cut = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), "epochs")
+    return d.select(*keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), "epochs")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of the mix, with the columns of docs: each as often as it is taken whole; the row that the cut goes through counts as taken if at least half of it is."""
+    renamed = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    at = {c: F.col(f"_{i}") for i, c in enumerate(docs.columns)}
+    d = mix(renamed.select(*renamed.columns, *(at[c].alias(c) for c in ("doc_id", "text", "source"))), keep=tuple(renamed.columns), **how)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return d.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1(spark, sf_dir):

@@ -254,20 +254,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score."""
+def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns to keep, then score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         m = shared.value
         for b in batches:
-            x = np.array([m.features(t) for t in b["text"]]).reshape(-1, 5) if m.terms else np.zeros((len(b), 5))
+            texts = b.column("_tox_text").to_pylist()
+            x = np.array([m.features(t) for t in texts]).reshape(-1, 5) if m.terms else np.zeros((len(texts), 5))
             z = x @ m.weights[:-1] + m.weights[-1]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -35, 35)))})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    return docs.select(*keep, F.col("text").alias("_tox_text")).mapInArrow(run, f"{schema}, score double")
 
 
 def op2(spark, sf_dir):
