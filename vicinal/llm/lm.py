@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import remainder, staged, text_bytes
-from .shingles import mix, pieces, words
+from .shingles import mix, pack, pieces, unpack, words
 
 BLOCK_BITS = 12
 SPARE = 12
@@ -36,20 +36,6 @@ BINS = 8
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers by byte planes, without the planes that are all zero above the highest used one."""
-    b = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)
-    used = max(1, 8 - int(np.argmax(b.any(0)[::-1]))) if b.any() else 1
-    return bytes([used]) + b[:, :used].T.tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel()
-
-
 class Block:
     """The tokens of some rows."""
 

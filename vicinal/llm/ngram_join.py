@@ -25,20 +25,25 @@ and text are read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .common import staged, text_bytes
 from .graph import components
-from .shingles import mix, pieces, shingle_sets
+from .shingles import mix, pack, pieces, shingle_sets, unpack
 
 WORDS = 5
 BLOCK_BITS = 13
-FREQUENT = 24
-#: Most tokens that the frequent class may have (it is broadcast); by the number of blocks that found them.
-MOST_FREQUENT = 1_000_000
+FREQUENT = 2
+#: Most tokens that the frequent class may have (it is broadcast): those that most blocks found.
+MOST_FREQUENT = 4_000_000
+#: Low bits of hashes that are not sent: signatures are only candidates, and two tokens of a pair of texts that
+#: agree in 48 bits and differ are not to be expected.
+DROP = np.uint64(16)
 #: Rows whose signatures one task gathers.
 ROWS_A_PART = 12_000
 BITMAP = 24
+#: Most doc_ids that are broadcast; more are joined by a shuffle.
+MOST_GONE = 1_000_000
 
 
 def with_block(docs: DataFrame) -> DataFrame:
@@ -91,16 +96,31 @@ def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def frequent_tokens(blobs: DataFrame) -> np.ndarray:
-    def run(batches):
-        import pandas as pd
+    """Sorted; MOST_FREQUENT at most."""
+
+    def apart(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column("tokens").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64))], ["token"])
+
+    def together(batches):
+        import pyarrow as pa
 
         for b in batches:
-            for t in b["tokens"]:
-                yield pd.DataFrame({"token": np.frombuffer(t, np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("token").to_numpy().tobytes()], pa.binary())], ["tokens"])
 
-    seen = blobs.mapInPandas(run, "token long").groupBy("token").count()
-    top = seen.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"]
-    return np.sort(top.to_numpy(np.int64).astype(np.uint64))
+    seen = staged(blobs.mapInArrow(apart, "token long").groupBy("token").count(), "join-frequent")
+    least, kept = None, 0
+    for count, n in sorted(seen.groupBy("count").agg(F.count("*")).collect(), reverse=True):  # a row for each number of blocks
+        if kept + n > MOST_FREQUENT:
+            break
+        least, kept = count, kept + n
+    if least is None:
+        return np.zeros(0, np.uint64)
+    got = seen.filter(F.col("count") >= least).select("token").mapInArrow(together, "tokens binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["tokens"] for r in got), np.uint64))
 
 
 def signatures(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -144,19 +164,19 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFram
     def send(sig, node):
         import pyarrow as pa
 
+        sig = sig >> DROP
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
-        run = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-        twice = ~(run & np.r_[run[1:], True])
-        part = (mix(sig) % np.uint64(parts)).astype(np.int64)
-        rows = [(-1, sig[twice], node[twice])]
-        one = np.flatnonzero(run)
-        one = one[np.argsort(part[one], kind="stable")]
-        cuts = np.searchsorted(part[one], np.arange(parts + 1))
-        rows += [(p, sig[one[a:b]], node[one[a:b]]) for p, a, b in zip(range(parts), cuts[:-1], cuts[1:], strict=True) if b > a]
-        rows = [r for r in rows if len(r[1])]
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        twice = ~(new & np.r_[new[1:], True])
+        cuts = [0, *np.searchsorted(sig, np.array([(i << 48) // parts for i in range(1, parts)], np.uint64)), len(sig)]
+        rows = []
+        for p, keep in [(-1, np.flatnonzero(twice)), *((p, lo + np.flatnonzero(new[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))]:
+            if len(keep):
+                names, at = np.unique(node[keep], return_inverse=True)
+                rows.append((p, pack(np.diff(sig[keep], prepend=np.uint64(0))), names.tobytes(), pack(at.astype(np.uint64))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["part", "sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "sig", "names", "at"])
 
     def run(batches):
         block, seen, sigs, nodes = None, set(), [], []
@@ -176,8 +196,8 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFram
     def gather(pdf):
         import pandas as pd
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.int64)
-        node = np.frombuffer(b"".join(pdf["node"]), np.int64)
+        sig = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in pdf["sig"]]).astype(np.int64)
+        node = np.concatenate([np.frombuffer(x, np.int64)[unpack(y)] for x, y in zip(pdf["names"], pdf["at"], strict=True)])
         if pdf["part"].iloc[0] >= 0:
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
@@ -188,15 +208,19 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFram
             sig, node = sig[keep], node[keep]
         return pd.DataFrame({"sig": sig, "node": node})
 
-    sent = with_block(docs).mapInArrow(run, "part long, sig binary, node binary")
+    sent = with_block(docs).mapInArrow(run, "part long, sig binary, names binary, at binary")
     passed = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("sig"), F.lit(1 << 40))).otherwise(F.col("part"))
     return staged(sent.withColumn("part", passed).groupBy("part").applyInPandas(gather, "sig long, node long"), "join-postings")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Written (node, tokens) for the classes among nodes; a bitmap of fixed size keeps most others from being sent."""
-    bit = F.col("node").bitwiseAND((1 << BITMAP) - 1)
-    words = nodes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63 AS int)))").alias("bits")).toPandas()  # 2**18 rows at most
+def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Written (node, tokens) for the classes among nodes, from the row of each with the least doc_id.
+
+    A bitmap of fixed size keeps other rows from being sent; a few may pass, which only repeats a class.
+    """
+    first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    bit = F.coalesce("doc_id", F.lit(0)).bitwiseAND((1 << BITMAP) - 1)
+    words = first.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toPandas()  # 2**18 rows at most
     bits = np.zeros(1 << (BITMAP - 6), np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -205,17 +229,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
-        for _, _, sets in _sets(batches, k):
-            found = {}
-            for s in sets:
-                node = _name(s)
-                x = node & ((1 << BITMAP) - 1)
-                if (int(m[x >> 6]) >> (x & 63)) & 1:
-                    found[node] = s
+        for _, ids, sets in _sets(batches, k):
+            at = np.array([(i or 0) & ((1 << BITMAP) - 1) for i in ids], np.int64)
+            found = {_name(sets[i]): sets[i] for i in np.flatnonzero((m[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack(np.diff(s >> DROP, prepend=np.uint64(0))) for s in found.values()], pa.binary())], ["node", "tokens"])
+
+    return staged(with_block(docs).mapInArrow(run, "node long, tokens binary"), "join-sets")
 
-    return staged(with_block(docs).mapInArrow(run, "node long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+
+def _tokens(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -240,7 +264,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataF
         for p in batches:
             out = []
             for x, y in zip(p["ta"], p["tb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _tokens(x), _tokens(y)
                 inside = _common(x, y)
                 c = int(inside.sum())
                 need = max(1, -(-percent * len(x) // 100) - c)
@@ -295,10 +319,15 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     # The most typical class of a signature: the one with the most shared signatures.
     weight = post.groupBy("node").agg(F.count("*").alias("w"))
     heavy = post.join(weight, "node")
-    star = heavy.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("top")).select("sig", F.col("top.node").alias("b"))
+    star = heavy.groupBy("sig").agg(F.max(F.struct("w", "node")).alias("top"), F.count("*").alias("held")).select("sig", F.col("top.node").alias("b"), "held")
     star = staged(star, "join-centres")
-    pairs = post.join(star, "sig").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    sets = sets_of(docs, staged(post.select("node").distinct(), "join-nodes"), k)
+    pairs = post.join(star, "sig").filter("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.max("held").alias("held"))
+    # A centre that shares only signatures of two classes with this one leads to no third: then sizes decide whether to compare.
+    size = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    close = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    pairs = staged(pairs.filter((F.col("held") > 2) | close).select("a", "b"), "join-pairs")
+    sets = sets_of(docs, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k)
     stars = compared(pairs, sets, percent, "join-stars")
     links = linked(stars, percent)
     roots = components(links)
@@ -311,6 +340,20 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     return d.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id. Rows without a doc_id stay unless they are in a component of others."""
+    found = staged(join(docs), "join-found")
+    gone = staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "join-gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "doc_id", "left_anti")
+    orphans = found.filter("doc_id IS NULL AND component_id IS NOT NULL")
+    twice = staged(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-twice")
+    if orphans.isEmpty() and twice.isEmpty():
+        return out
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    once = out.join(twice, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").drop("_row")
+    return out.join(twice, "doc_id", "left_anti").union(once.select(*out.columns)).select(*docs.columns)
+
+
 def op5(spark, sf_dir):
     from .common import table
 
