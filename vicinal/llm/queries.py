@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, mixing, neardup, ngram_join, search, sharding, toxicity
+from . import bpe, html, langid, lm, mixing, neardup, ngram_join, search, sharding, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_topk_search": search.op4,
     "op5_ngram_join": ngram_join.op5,
     "op6_language_id": langid.op6,
+    "op7_lm_scoring": lm.op7,
     "op8_html_extraction": html.op8,
     "op9_embedding_neardup": neardup.op9,
     "op10_bpe": bpe.op10,
