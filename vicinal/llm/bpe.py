@@ -25,16 +25,20 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-MOST_WORDS = 250_000
+MOST_WORDS = 500_000
 MOST_PAIRS = 4_000_000
 TEXTS_AT_ONCE = 256
+#: Words of more bytes are merged with a heap.
+SHORT = 48
+# White space beyond ASCII.
+SPACES = ((0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 
 
-def _ranges(keep) -> str:
-    """The characters for which keep(category) holds, as the inside of a character class."""
+def _ranges(keep, top: int) -> str:
+    """The characters up to top for which keep(category) holds, as the inside of a character class."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        on = c <= sys.maxunicode and keep(unicodedata.category(chr(c)))
+    for c in range(top + 2):
+        on = c <= top and keep(unicodedata.category(chr(c)))
         if on and start is None:
             start = c
         elif not on and start is not None:
@@ -44,13 +48,24 @@ def _ranges(keep) -> str:
 
 
 @cache
-def splitter() -> re.Pattern:
-    """Contractions, letters, numbers, other signs (each with a space before it), white space."""
-    letter, number = _ranges(lambda c: c[0] == "L"), _ranges(lambda c: c[0] == "N")
-    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+def splitter(top: int = sys.maxunicode) -> re.Pattern:
+    """Contractions, letters, numbers, other signs (each with a space before it), white space; for texts without characters above top."""
+    letter, number = _ranges(lambda c: c[0] == "L", top), _ranges(lambda c: c[0] == "N", top)
+    space = r"\t-\r " + "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in SPACES if hi <= top)
     return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def split(text: str) -> list[str]:
+    """By the splitter of the narrowest range that holds the text: narrow classes are faster."""
+    if text.isascii():
+        return splitter(0x7F).findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return splitter().findall(text)
+    return splitter(0xFF).findall(text)
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable bytes stand for themselves, the rest follow from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -71,47 +86,61 @@ class Tokenizer:
             self.ids.pop(t.encode(), None)
         self.bytes = {i: t for t, i in self.ids.items()}
         self.bytes.update({i: t.encode() for t, i in self.special.items()})
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank << 20 | new token
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.reach: dict[bytes, int] = {}  # the longest token by its first two bytes
-        for t in self.ids:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
+            self.merges[self.ids[a], self.ids[b]] = rank << 20 | self.ids[a + b]
+        self.prefixes = {t[:n]: self.ids.get(t[:n], -1) for t in self.ids for n in range(1, len(t) + 1)}  # its token, or -1
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, tuple[str, bytes]] = {}
         self.pairs = np.zeros(0, np.int64)  # keys of the tested pairs, sorted, and whether they hold
         self.holds = np.zeros(0, bool)
 
     def greedy(self, word: bytes) -> list[int]:
-        out, i, n = [], 0, len(word)
+        out, i, n, get = [], 0, len(word), self.prefixes.get
         while i < n:
-            for j in range(min(n, i + self.reach.get(word[i : i + 2], 1)), i, -1):
-                if (t := self.ids.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
+            j, token, end = i + 1, -1, i + 1
+            while j <= n and (t := get(word[i:j])) is not None:
+                if t >= 0:
+                    token, end = t, j
+                j += 1
+            out.append(token)
+            i = end
         return out
 
     def merged(self, word: bytes) -> list[int]:
         """The exact result: lowest rank first, leftmost among equals."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(len(ids) - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        ids, get, none = [self.ids[word[i : i + 1]] for i in range(len(word))], self.merges.get, 1 << 62
+        if len(ids) > SHORT:
+            return self._merged_long(ids)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i, new = ranks.index(least), least & 0xFFFFF
+            ids[i : i + 2] = [new]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        n, get = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
-        n = len(ids)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y < n and (m := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def _hold(self, keys: np.ndarray) -> np.ndarray:
@@ -146,15 +175,15 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids, joined by commas, and what they decode to."""
         parts = [[(p, p in self.special) for p in self.cut.split(t) if p] if self.cut and self.cut.search(t) else [(t, False)] for t in texts]
-        split = [[[p] if special else splitter().findall(p) for p, special in row] for row in parts]
-        new = {w for row, spec in zip(split, parts, strict=True) for ws, (_, s) in zip(row, spec, strict=True) if not s for w in ws} - self.words.keys()
+        runs = [[[p] if special else split(p) for p, special in row] for row in parts]
+        new = {w for row, spec in zip(runs, parts, strict=True) for ws, (_, s) in zip(row, spec, strict=True) if not s for w in ws} - self.words.keys()
         if len(self.words) + len(new) > MOST_WORDS:
             self.words.clear()
-            new = {w for row, spec in zip(split, parts, strict=True) for ws, (_, s) in zip(row, spec, strict=True) if not s for w in ws}
+            new = {w for row, spec in zip(runs, parts, strict=True) for ws, (_, s) in zip(row, spec, strict=True) if not s for w in ws}
         if new:
             self.learn(list(new))
         out = []
-        for row, spec in zip(split, parts, strict=True):
+        for row, spec in zip(runs, parts, strict=True):
             got = [(str(self.special[p]), p.encode()) if s else self.words[w] for ws, (p, s) in zip(row, spec, strict=True) for w in ws]
             out.append((",".join([g[0] for g in got]), b"".join([g[1] for g in got])))
         return out
