@@ -23,7 +23,7 @@ def axt(spark: SparkSession, path: str) -> DataFrame:
 
 def paired_fasta(spark: SparkSession, path: str, suffixes: list[str] = ()) -> DataFrame:
     """Records of four lines; the first header, less its suffix, must begin the second."""
-    d = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("n", "line"), F.input_file_name().alias("file"))
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("n", "line"), F.input_file_name().alias("file"))
     d = d.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"))
     d = d.select(*(F.get("l", F.lit(i))["line"].alias(c) for i, c in enumerate(("head1", "seq1", "head2", "seq2"))))
     base = reduce(lambda x, s: F.regexp_replace(x, f"\\Q{s}\\E$", ""), suffixes, F.col("head1"))
@@ -72,7 +72,7 @@ def multiple_alignment(spark: SparkSession, path: str, taxa: list[str] | None =
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
     """pos, symbol of a raw sequence file."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("pos", "symbol")).withColumn("pos", F.col("pos") + 1)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("pos", "symbol")).withColumn("pos", F.col("pos") + 1)
 
 
 def table(spark: SparkSession, path: str, columns: int = 3) -> DataFrame:
