@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op3_sharding": sharding.ORACLE,
     "op4_topk_search": search.ORACLE,
     "op5_ngram_join": ngram_join.ORACLE,
+    "op9_embedding_neardup": neardup.ORACLE,
 }
