@@ -1,12 +1,14 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-The shingles of a text are its tokens. Tokens found in at least FREQUENT of some BLOCK consecutive rows form the frequent class, all
-others the rare one; in the global order rare tokens come first, each class by hash. A set of n tokens can
+The shingles of a text are its tokens. Tokens of at least FREQUENT texts form the frequent class, all others the
+rare one (tokens beyond the counted part of the hash range are told by single blocks of rows: any fixed choice is
+right); in the global order rare tokens come first, each class by hash. A set of n tokens can
 miss d = n // 5 of them and still reach similarity 0.8, so its prefix must hold d + 1 units: a rare token is a
 unit by itself; frequent tokens are dealt into subclasses and m tokens of a subclass give m - 1 units, because
 signatures of that class are pairs of tokens. Prefixes are extended until they hold enough units. Two sets that
-link share a signature: one that misses a token loses one unit at most. Subclasses depend on the size of a set
-by powers of two; a set signs for every level that a partner may have.
+link share a signature: one that misses a token loses one unit at most. Signatures are made for size classes, each a
+factor of 1.25 wide: a set signs for its own and the next, so sets of a signature are of similar size, and the
+number of subclasses follows the class.
 
 Equal sets are one class from the start. Signatures that occur once are dropped; every class is compared with
 the most typical class of each of its signatures (a star, never all pairs); classes that are joined by then
@@ -33,8 +35,11 @@ from .shingles import mix, pack, pieces, shingle_sets, unpack
 
 WORDS = 5
 BLOCK_BITS = 13
-FREQUENT = 2
-#: Most tokens that the frequent class may have (it is broadcast): those that most blocks found.
+#: Texts with a token of the counted part of the hash range, or with another token in one block, that make it frequent.
+FREQUENT, FREQUENT_IN_BLOCK = 3, 2
+#: The part of the hash range whose tokens are counted over all blocks: prefixes are taken from the low end of it.
+COUNTED = 0.4
+#: Most tokens that the frequent class may have (it is broadcast): those of most texts.
 MOST_FREQUENT = 4_000_000
 #: Low bits of hashes that are not sent: signatures are only candidates, and two tokens of a pair of texts that
 #: agree in 48 bits and differ are not to be expected.
@@ -67,43 +72,59 @@ def _name(tokens: np.ndarray) -> int:
     return int(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Written: (doc_id, n, node) of every row, and the tokens (token, seen) frequent in some block."""
+def classes(docs: DataFrame, k: int) -> DataFrame:
+    """Written (doc_id, n, node) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n", "node", "tokens"]
+        for _, ids, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
+
+    return staged(with_block(docs).mapInArrow(run, "doc_id long, n long, node long"), "join-classes")
+
 
-        def frequent(held):
-            if held:
-                t, c = np.unique(np.concatenate(held), return_counts=True)
-                t = t[c >= FREQUENT]
-                if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([t.tobytes()], pa.binary())], names)
+def frequent_tokens(docs: DataFrame, k: int, rows: int) -> np.ndarray:
+    """The frequent class, sorted, without the low bits: MOST_FREQUENT at most.
+
+    A block sends each distinct token once, with its count, so a token that all texts hold costs a part one entry a block.
+    """
+    parts = max(1, -(-rows // ROWS_A_PART))
+    top = np.uint64(int(COUNTED * 2**48))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def send(held):
+            t, c = np.unique(np.concatenate(held) >> DROP, return_counts=True)
+            cut = int(np.searchsorted(t, top))
+            often = cut + np.flatnonzero(c[cut:] >= FREQUENT_IN_BLOCK)
+            edges = [0, *np.searchsorted(t[:cut], np.array([int(COUNTED * 2**48) * i // parts for i in range(1, parts)], np.uint64)), cut]
+            keep = [(p, np.arange(lo, hi)) for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            keep += [(p, often[(t[often] % np.uint64(parts)) == p]) for p in range(parts)] if len(often) else []
+            out = [(p, pack(np.diff(t[i], prepend=np.uint64(0))), pack(c[i].astype(np.uint64))) for p, i in keep if len(i)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "tokens", "n"])
 
         block, held = None, []
-        for at, ids, sets in _sets(batches, k):
+        for at, _, sets in _sets(batches, k):
             if at != block:
-                yield from frequent(held)
+                if held:
+                    yield from send(held)
                 block, held = at, []
             held += sets
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([None] * len(ids), pa.binary())], names)
-        yield from frequent(held)
-
-    out = staged(with_block(docs).mapInArrow(run, "doc_id long, n long, node long, tokens binary"), "join-classes")
-    return out.filter("n IS NOT NULL").drop("tokens"), out.filter("n IS NULL").select("tokens")
-
+        if held:
+            yield from send(held)
 
-def frequent_tokens(blobs: DataFrame) -> np.ndarray:
-    """Sorted; MOST_FREQUENT at most."""
-
-    def apart(batches):
-        import pyarrow as pa
+    def add(pdf):
+        import pandas as pd
 
-        for b in batches:
-            for t in b.column("tokens").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64))], ["token"])
+        t = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in pdf["tokens"]])
+        n = np.concatenate([unpack(x) for x in pdf["n"]])
+        t, inverse = np.unique(t, return_inverse=True)
+        n = np.bincount(inverse, n).astype(np.int64)
+        often = (n >= FREQUENT) | (t >= top)
+        return pd.DataFrame({"token": t[often].astype(np.int64), "n": np.minimum(n[often], 1000)})
 
     def together(batches):
         import pyarrow as pa
@@ -111,44 +132,57 @@ def frequent_tokens(blobs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.column("token").to_numpy().tobytes()], pa.binary())], ["tokens"])
 
-    seen = staged(blobs.mapInArrow(apart, "token long").groupBy("token").count(), "join-frequent")
+    sent = with_block(docs).mapInArrow(run, "part long, tokens binary, n binary")
+    seen = staged(sent.groupBy("part").applyInPandas(add, "token long, n long"), "join-frequent")
     least, kept = None, 0
-    for count, n in sorted(seen.groupBy("count").agg(F.count("*")).collect(), reverse=True):  # a row for each number of blocks
-        if kept + n > MOST_FREQUENT:
+    for n, rows in sorted(seen.groupBy("n").agg(F.count("*")).collect(), reverse=True):  # 1000 rows at most
+        if kept + rows > MOST_FREQUENT:
             break
-        least, kept = count, kept + n
+        least, kept = n, kept + rows
     if least is None:
         return np.zeros(0, np.uint64)
-    got = seen.filter(F.col("count") >= least).select("token").mapInArrow(together, "tokens binary").collect()
+    got = seen.filter(F.col("n") >= least).select("token").mapInArrow(together, "tokens binary").collect()
     return np.sort(np.frombuffer(b"".join(r["tokens"] for r in got), np.uint64))
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which tokens of x are in y; both sorted."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+#: The least size of each size class: a class spans a factor of 1.25, so partners are of one class or of two next to each other.
+CLASSES = np.array([-(-(5**k) // 4**k) for k in range(120)], float)
+
+
 def signatures(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Of a sorted set; none if only equal sets can reach 0.8."""
+    """Of a sorted set, for its own size class and the next; none if only equal sets can reach 0.8."""
     n = len(tokens)
     if n < 4:
         return tokens[:0]
     units = n // 5 + 1
-    at = np.searchsorted(common, tokens)
-    often = common[np.minimum(at, len(common) - 1)] == tokens if len(common) else np.zeros(n, bool)
+    often = _common(tokens >> DROP, common)
     rare = tokens[~often][:units]
-    if len(rare) == units:
-        return rare
     rest, need = tokens[often], units - len(rare)
-    out = [rare]
-    for level in range((-(-4 * n // 5)).bit_length() - 1, (5 * n // 4).bit_length()):
-        kinds = mix(rest) % np.uint64(max(1, (1 << level) >> 3))
-        order = np.argsort(kinds, kind="stable")
-        again = np.zeros(len(rest), bool)  # not the first of its subclass
-        again[order[1:]] = kinds[order[1:]] == kinds[order[:-1]]
-        stop = int(np.searchsorted(np.cumsum(again), need)) + 1
-        order = order[order < stop]
-        for step in range(1, len(order)):  # pairs of a subclass, by their distance in it
-            same = kinds[order[step:]] == kinds[order[:-step]]
-            if not same.any():
-                break
-            a, b = rest[order[:-step][same]], rest[order[step:][same]]
-            out.append(mix(mix(a) * np.uint64(3) + mix(b) * np.uint64(5) + np.uint64(level)))
+    kind = int(np.searchsorted(CLASSES, n, "right")) - 1
+    out = []
+    for level in (kind, kind + 1):
+        salt = mix(np.array([level], np.uint64))
+        out.append(mix(rare ^ salt))
+        if need:  # a set that signs for the level has at least CLASSES[level - 1] tokens
+            kinds = mix(rest) % np.uint64(max(1, int(CLASSES[max(0, level - 1)]) >> 3))
+            order = np.argsort(kinds, kind="stable")
+            again = np.zeros(len(rest), bool)  # not the first of its subclass
+            again[order[1:]] = kinds[order[1:]] == kinds[order[:-1]]
+            stop = int(np.searchsorted(np.cumsum(again), need)) + 1
+            order = order[order < stop]
+            for step in range(1, len(order)):  # pairs of a subclass, by their distance in it
+                same = kinds[order[step:]] == kinds[order[:-step]]
+                if not same.any():
+                    break
+                a, b = rest[order[:-step][same]], rest[order[step:][same]]
+                out.append(mix((mix(a) * np.uint64(3) + mix(b) * np.uint64(5)) ^ salt))
     return np.unique(np.concatenate(out))
 
 
@@ -242,13 +276,6 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which tokens of x are in y; both sorted."""
-    if not len(y):
-        return np.zeros(len(x), bool)
-    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-
-
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """Written (a, b, na, nb, c, extra): sizes, common tokens, and the first tokens of a outside b.
 
@@ -314,8 +341,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row. The prefixes are those of 80 percent, so percent may not be lower."""
     assert percent >= 80
     docs = docs.select("doc_id", "text")
-    rows, blobs = classes(docs, k)
-    post = postings(docs, frequent_tokens(blobs), k, rows.count())
+    rows = classes(docs, k)
+    n = rows.count()
+    post = postings(docs, frequent_tokens(docs, k, n), k, n)
     # The most typical class of a signature: the one with the most shared signatures.
     weight = post.groupBy("node").agg(F.count("*").alias("w"))
     heavy = post.join(weight, "node")
