@@ -225,7 +225,7 @@ def _(spark, d):
     return X.without_empty(table(spark, d, "events").select("event_id", "value", F.lit(None).cast("double").alias("empty")))
 
 
-@query("scaled_columns", "SELECT l_orderkey, l_linenumber, round((l_quantity - 25) / 14, 6) AS quantity, round((l_discount - 0.05) / 0.03, 6) AS discount FROM lineitem")
+@query("scaled_columns", "SELECT l_orderkey, l_linenumber, (round((l_quantity - 25) / 14, 6) + 0.0::double) AS quantity, (round((l_discount - 0.05) / 0.03, 6) + 0.0::double) AS discount FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round((F.col("l_quantity") - 25) / 14, 6).alias("quantity"), F.round((F.col("l_discount") - 0.05) / 0.03, 6).alias("discount"))
 
@@ -498,19 +498,19 @@ def _resids(spark, d):
     return R.residuals(*_independent(spark, d), 4)
 
 
-@query("residuals", f"WITH {EXPECTED} SELECT inpat, outpat, observed, round(expected, 4) AS expected, round(resid, 4) AS resid, round(z, 4) AS z FROM r")
+@query("residuals", f"WITH {EXPECTED} SELECT inpat, outpat, observed, round(expected, 4) AS expected, (round(resid, 4) + 0.0::double) AS resid, (round(z, 4) + 0.0::double) AS z FROM r")
 def _(spark, d):
     return rounded(_resids(spark, d), "expected", "resid", "z", digits=4)
 
 
-@query("pearson_residuals", f"WITH {EXPECTED} SELECT inpat, outpat, round(resid / sqrt(expected), 4) AS pearson FROM r")
+@query("pearson_residuals", f"WITH {EXPECTED} SELECT inpat, outpat, (round(resid / sqrt(expected), 4) + 0.0::double) AS pearson FROM r")
 def _(spark, d):
     return _resids(spark, d).select("inpat", "outpat", F.round(R.pearson(F.col("observed"), F.col("expected")), 4).alias("pearson"))
 
 
 MERGED = f"""{EXPECTED}, k AS (SELECT observed, expected, least((inpat, outpat), (reverse(translate(inpat, 'ACGT', 'TGCA')), reverse(translate(outpat, 'ACGT', 'TGCA')))) AS k FROM r),
 g AS (SELECT k, sum(observed) AS observed, sum(expected) AS expected FROM k GROUP BY 1)
-SELECT k[1] AS inpat, k[2] AS outpat, observed, round(expected, 4) AS expected, round(observed - expected, 4) AS resid, round((observed - expected) / sqrt(expected * 4), 4) AS z FROM g"""
+SELECT k[1] AS inpat, k[2] AS outpat, observed, round(expected, 4) AS expected, (round(observed - expected, 4) + 0.0::double) AS resid, (round((observed - expected) / sqrt(expected * 4), 4) + 0.0::double) AS z FROM g"""
 
 
 @query("merged_complement_residuals", f"WITH {MERGED}")
@@ -518,17 +518,17 @@ def _(spark, d):
     return rounded(R.merged_complements(_resids(spark, d), 4, 1, 2), "expected", "resid", "z", digits=4)
 
 
-@query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, round(z, 4) AS z FROM r WHERE abs(z) > 2")
+@query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r WHERE abs(z) > 2")
 def _(spark, d):
     return rounded(R.listed(_resids(spark, d), 1, 2, 2.0).select("inpat", "outpat", "z"), "z", digits=4)
 
 
-@query("extreme_residuals", f"""WITH {EXPECTED}, n AS (SELECT inpat, outpat, round(z, 4) AS z, row_number() OVER (ORDER BY round(z, 4) DESC, inpat, outpat) AS hi, row_number() OVER (ORDER BY round(z, 4), inpat, outpat) AS lo FROM r) SELECT inpat, outpat, z FROM n WHERE hi <= 20 OR lo <= 20""")
+@query("extreme_residuals", f"""WITH {EXPECTED}, n AS (SELECT inpat, outpat, (round(z, 4) + 0.0::double) AS z, row_number() OVER (ORDER BY round(z, 4) DESC, inpat, outpat) AS hi, row_number() OVER (ORDER BY round(z, 4), inpat, outpat) AS lo FROM r) SELECT inpat, outpat, z FROM n WHERE hi <= 20 OR lo <= 20""")
 def _(spark, d):
     return R.extremes(rounded(_resids(spark, d).select("inpat", "outpat", "z"), "z", digits=4), "z", 20, ["inpat", "outpat"])
 
 
-@query("residuals_above_quantile", f"WITH {EXPECTED}, q AS (SELECT quantile_cont(z, 0.95) AS q FROM r) SELECT inpat, outpat, round(z, 4) AS z FROM r, q WHERE z > q")
+@query("residuals_above_quantile", f"WITH {EXPECTED}, q AS (SELECT quantile_cont(z, 0.95) AS q FROM r) SELECT inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r, q WHERE z > q")
 def _(spark, d):
     return rounded(R.above_quantile(_resids(spark, d), "z", 0.95).select("inpat", "outpat", "z"), "z", digits=4)
 
