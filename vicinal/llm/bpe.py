@@ -25,8 +25,10 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-MOST_WORDS = 500_000
-MOST_PAIRS = 4_000_000
+from .common import give_back
+
+MOST_WORDS = 250_000
+MOST_PAIRS = 1_000_000
 TEXTS_AT_ONCE = 256
 #: Words of more bytes are merged with a heap.
 SHORT = 48
@@ -189,7 +191,7 @@ class Tokenizer:
         return out
 
 
-_LOADED: dict[str, Tokenizer] = {}  # one for each file in a worker process, so that words stay known from task to task
+_LOADED: dict[str, Tokenizer] = {}  # one for each file in a worker process; words are known for a task only
 
 
 def loaded(source: str) -> Tokenizer:
@@ -218,6 +220,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     [part.column("doc_id"), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in got], pa.int64()), pa.array([sha(ids.encode()) for ids, _ in got]), pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, raw in got])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        tok.words, tok.pairs, tok.holds = {}, tok.pairs[:0].copy(), tok.holds[:0].copy()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

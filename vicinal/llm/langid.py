@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remainder, staged, text_bytes
+from .common import give_back, remainder, staged, text_bytes
 
 TRAIN_ROWS_PER_LANG = 4000
 LOG_DIMS = 15
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFra
                 [*(b.column(f"_{c}") for c in keep), pa.array(names[np.where(seen, best, -1)].tolist(), pa.string()), pa.array(np.where(seen, score, 0.0)), pa.array(seen & (score < AMBIGUOUS))],
                 [*keep, "lang_pred", "score", "ambiguous"],
             )
+        give_back()
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)

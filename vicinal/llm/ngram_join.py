@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import staged, text_bytes
+from .common import give_back, staged, text_bytes
 from .graph import components
 from .shingles import mix, pack, pieces, shingle_sets, unpack
 
@@ -65,6 +65,7 @@ def _sets(batches, k: int):
             for block in np.unique(blocks[first:last]):
                 rows = np.flatnonzero(blocks[first:last] == block)
                 yield int(block), [ids[first + i] for i in rows], [sets[i] for i in rows]
+    give_back()
 
 
 def _name(tokens: np.ndarray) -> int:

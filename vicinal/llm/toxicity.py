@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remainder, staged
+from .common import give_back, remainder, staged
 
 TRAIN_ROWS = 20_000
 MOST_TERMS = 500
@@ -37,7 +37,8 @@ EDITED = 0.8
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
 WINDOW = 6
-MOST_CACHED = 300_000
+MOST_CACHED = 200_000
+MOST_STATES = 50_000
 # Words that report what others said, and quotation marks.
 REPORTING = frozenset("said says called calls wrote writes word words term quote quoted quotes insult slur dijo dice llamó palabra dit appelé mot sagte sagt nannte wort".split())
 MARKS = "\"“”«»„‘’"
@@ -101,7 +102,7 @@ class Automaton:
         state, best, n = self.start, None, len(word)
         for i, c in enumerate(word):
             if (s := self.moves[state].get(c)) is None:
-                if len(self.sets) > 200_000:  # bounded memory: begin anew
+                if len(self.sets) > MOST_STATES:  # bounded memory: begin anew
                     self.__dict__.update(states={}, sets=[], moves=[])
                     self.start = self._state({(0, 0)})
                     return self.match(word)
@@ -267,6 +268,8 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame
             x = np.array([m.features(t) for t in texts]).reshape(-1, 5) if m.terms else np.zeros((len(texts), 5))
             z = x @ m.weights[:-1] + m.weights[-1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
+        m.cache, m.automaton = {}, None
+        give_back()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     return docs.select(*keep, F.col("text").alias("_tox_text")).mapInArrow(run, f"{schema}, score double")
