@@ -68,6 +68,21 @@ def test_near_duplicates(spark, vectors):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rare_links_beside_a_large_group(spark):
+    """Nearly all links are copies: the pairs near the threshold are found all the same."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 64)))
+    a = x[:60]
+    y = rng.normal(size=a.shape)
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * unit(y - (y * a).sum(1, keepdims=True) * a)
+    rows = [(i, [float(v) for v in r], 0, "x") for i, r in enumerate([*x, *b, *[x[2999]] * 6000])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(60)] == [got[3000 + i] for i in range(60)] == [(1, i) for i in range(60)]
+    assert all(got[i] == (0, i) for i in range(60, 2999))
+    assert all(got[i] == (6000, 2999) for i in range(3060, 9060))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]

@@ -1,13 +1,14 @@
 """Embedding near-duplicates through an inverted multi-index.
 
-Two codebooks, one for each half of the unit vectors, span a grid of cells. A vector visits the cells nearest
-to it in the order of the multi-sequence algorithm, as many as bring TARGET of the true links of a probe set
-(measured by brute force over all rows); every row is indexed. In a visited cell cosines are computed in double precision and links are those at the threshold
-or above, so no false link is returned. A pair met from both sides is counted once: by the side of the smaller
-row, or by the other if only that one comes by.
+Two codebooks, one for each half of the unit vectors, span a grid of cells. Vectors at a cosine of t are at most
+sqrt(2 - 2t) apart, and a vector is at least as far from a cell as the half-spaces that bound it in both halves: a
+vector visits every cell that this bound leaves, so no link is missed, whatever the codebooks. Cosines
+are computed in double precision and links are those at the threshold or above, so no false link is returned.
 
-Cells and visitors are dealt out in blocks of bounded size, so a cell of any size (a group of copies) is
-spread over tasks. A block returns link counts and a spanning star for each of its groups, never its pairs.
+The rows of a label lie in blocks in the order of their cells; a large cell (a group of copies) takes several. A vector
+goes to each block with a cell that it visits, and two blocks meet in one task, where a pair is counted once. A task
+returns link counts and a spanning star for each of its groups, never its pairs. The bound cuts little where vectors
+are spread evenly in many dimensions; then nearly all pairs of a label are compared.
 
 Cases: null, zero and non-finite vectors and rows with null label or vec_id link with nothing (component_id =
 vec_id); vectors meet only vectors of their length and label; rows that repeat a vec_id are vectors of their
@@ -16,19 +17,16 @@ own, each with its row; an empty table gives an empty result. Only vec_id, embed
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .common import small_side, staged
 from .graph import components
 from .search import finite
 
 THRESHOLD = 0.93
-#: Bounded sample for the codebooks, bounded probe set for the number of visits, recall aimed at.
-TRAIN_ROWS, PROBES, TARGET = 20_000, 1024, 0.995
-BLOCK = 1024
+#: Bounded sample for the codebooks; rows of a block, and of the part of it that is multiplied at once.
+TRAIN_ROWS, BLOCK, SLICE = 20_000, 4096, 1024
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -47,28 +45,31 @@ class Index:
     def __init__(self, sample: dict[int, np.ndarray], k: int):
         self.books = {d: (codebook(x[:, : d // 2], k), codebook(x[:, d // 2 :], k)) for d, x in sample.items() if d > 1}
 
-    def visits(self, v: np.ndarray, most: int) -> list[list[int]]:
-        """For each row its cells, nearest first, by the multi-sequence algorithm: `most` at most."""
-        d = v.shape[1]
-        if d not in self.books:
-            return [[0]] * len(v)
-        (a, b), h = self.books[d], d // 2
-        da = (a**2).sum(1) - 2 * v[:, :h] @ a.T
-        db = (b**2).sum(1) - 2 * v[:, h:] @ b.T
-        oa, ob = da.argsort(1, kind="stable"), db.argsort(1, kind="stable")
-        sa, sb = np.take_along_axis(da, oa, 1).tolist(), np.take_along_axis(db, ob, 1).tolist()
-        oa, ob, out, width = oa.tolist(), ob.tolist(), [], len(b)
-        for ra, rb, ia, ib in zip(sa, sb, oa, ob, strict=True):
-            heap, seen, cells = [(ra[0] + rb[0], 0, 0)], {(0, 0)}, []
-            while heap and len(cells) < most:
-                _, i, j = heapq.heappop(heap)
-                cells.append(ia[i] * width + ib[j])
-                for x, y in ((i + 1, j), (i, j + 1)):
-                    if x < len(ra) and y < len(rb) and (x, y) not in seen:
-                        seen.add((x, y))
-                        heapq.heappush(heap, (ra[x] + rb[y], x, y))
-            out.append(cells)
-        return out
+    def halves(self, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each half its centres and the squared distances of the rows from them, less the rows' own squares."""
+        a, b = self.books[v.shape[1]]
+        h = v.shape[1] // 2
+        return [(c, (c**2).sum(1) - 2 * x @ c.T) for c, x in ((a, v[:, :h]), (b, v[:, h:]))]
+
+    def homes(self, v: np.ndarray) -> np.ndarray:
+        """The cell in which each row lies."""
+        if v.shape[1] not in self.books:
+            return np.zeros(len(v), int)
+        (_, da), (b, db) = self.halves(v)
+        return da.argmin(1) * len(b) + db.argmin(1)
+
+    def visits(self, v: np.ndarray, cells: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether a row can link with one that lies in the cell, for rows x cells."""
+        if v.shape[1] not in self.books:
+            return np.ones((len(v), len(cells)), bool)
+        far = []
+        for c, d in self.halves(v):
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+            apart = np.where(apart > 1e-3, 2 * apart, np.inf)  # centres that nearly coincide bound nothing
+            least = np.stack([((d[:, i, None] - d) / apart[i]).max(1) for i in range(len(c))], 1)
+            far.append(np.maximum(least - 1e-6, 0) ** 2)  # less what rounding may add
+        i, j = np.divmod(cells, far[1].shape[1])
+        return far[0][:, i] + far[1][:, j] <= 2 - 2 * threshold + 1e-9
 
 
 def _stars(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,93 +104,86 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(x) for x in column])
 
 
-def build(rows: DataFrame, n: int, threshold: float = THRESHOLD) -> tuple[Index, int]:
-    """The index and how many cells to visit."""
-    ordered = rows.orderBy(F.xxhash64("vec_id", "uid")).select("uid", "label", "dim", "v").limit(TRAIN_ROWS).toPandas()
+def build(rows: DataFrame, n: int) -> Index:
+    ordered = rows.orderBy(F.xxhash64("vec_id", "uid")).select("dim", "v").limit(TRAIN_ROWS).toPandas()
     k = int(np.clip(2 ** np.round(np.log2(np.sqrt(max(1, n) / 200))), 4, 64))
-    index = Index({d: _matrix(g["v"]) for d, g in ordered.groupby("dim")}, k)
-    probes = ordered.head(PROBES)
-    shared = rows.sparkSession.sparkContext.broadcast((index, probes))
+    return Index({d: _matrix(g["v"]) for d, g in ordered.groupby("dim")}, k)
 
-    def ranked(batches):
-        """Over all rows: at which visit of a probe its true links lie."""
-        import pandas as pd
 
-        index, probes = shared.value
-        groups = {key: (g["uid"].to_numpy(), x := _matrix(g["v"]), [{c: i for i, c in enumerate(cells)} for cells in index.visits(x, 1 << 30)]) for key, g in probes.groupby(["label", "dim"])}
-        for b in batches:
-            out = []
-            for key, g in b.groupby(["label", "dim"]):
-                if key in groups:
-                    uids, p, order = groups[key]
-                    x = _matrix(g["v"])
-                    i, j = np.nonzero((p @ x.T >= threshold) & (uids[:, None] != g["uid"].to_numpy()))
-                    home = index.visits(x, 1)
-                    out += [(int(uids[a]), order[a][home[c][0]]) for a, c in zip(i, j, strict=True)]
-            yield pd.DataFrame(out, columns=["probe", "visit"]).groupby(["probe", "visit"]).size().reset_index(name="n")
-
-    met = rows.select("uid", "label", "dim", "v").mapInPandas(ranked, "probe long, visit int, n long").groupBy("probe", "visit").agg(F.sum("n").alias("n")).toPandas()
-    if met.empty:
-        return index, 8
-    total = met.groupby("probe")["n"].transform("sum")
-    share = (met["n"] / total).groupby(met["visit"]).sum().sort_index().cumsum() / met["probe"].nunique()
-    every = met.groupby("visit")["n"].sum().sort_index().cumsum() / met["n"].sum()
-    return index, int(max(share.index[(share >= TARGET).argmax()], every.index[(every >= TARGET).argmax()])) + 2
-
-
-def links(rows: DataFrame, index: Index, most: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Written rows (uid, n, root): n links of uid found in a block, root a row that it is joined with there."""
+def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+    """Written rows (uid, n, root): n links of uid found between two blocks, root a row that it is joined with there."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
-    def visited(batches):
-        import pandas as pd
-
+    def housed(batches):
         for b in batches:
             for _, g in b.groupby("dim"):
-                cells = shared.value.visits(_matrix(g["v"]), most)
-                yield g.assign(visits=cells, home=[c[0] for c in cells])[["uid", "label", "dim", "v", "home", "visits"]]
-
-    d = staged(rows.select("uid", "label", "dim", "v").mapInPandas(visited, "uid long, label string, dim int, v binary, home int, visits array<int>"), "neardup-cells")
-    cell = ["label", "dim", "cell"]
-    guests = d.withColumn("cell", F.explode("visits")).drop("visits")
-    hosts = d.withColumn("cell", F.col("home"))
-    sizes = hosts.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("hb")).join(guests.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("gb")), cell)
-    sizes = small_side(sizes, "neardup-sizes", 100_000)
-    part = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    hosts = hosts.join(sizes, cell).withColumn("h", part("hb")).withColumn("g", spread("gb"))
-    guests = guests.join(sizes, cell).withColumn("g", part("gb")).withColumn("h", spread("hb"))
-
-    def block(hs, gs):
+                yield g.assign(cell=shared.value.homes(_matrix(g["v"])))[["uid", "label", "dim", "v", "cell"]]
+
+    d = staged(rows.select("uid", "label", "dim", "v").mapInPandas(housed, "uid long, label string, dim int, v binary, cell int"), "neardup-cells")
+    before = W.partitionBy("label", "dim").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # as many rows as cells
+    cells = d.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cells = small_side(cells, "neardup-sizes", 100_000)
+    block = lambda place: F.floor(place / BLOCK).cast("int")
+    d = d.join(cells, ["label", "dim", "cell"]).select("uid", "label", "dim", "v", block(F.col("start") + F.pmod(F.xxhash64("uid"), F.col("n"))).alias("block"))
+    spans = cells.select("label", "dim", "cell", block(F.col("start")).alias("first"), block(F.col("start") + F.col("n") - 1).alias("last"))
+    grid = spans.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("cell", "first", "last"))).alias("spans"))
+    grid = grid.select("label", "dim", F.explode(F.sequence(F.lit(0), F.array_max("spans.last"))).alias("block"), *(F.col(f"spans.{c}").alias(c) for c in ("cell", "first", "last")))
+
+    def routed(rows, grid):
         import pandas as pd
 
-        if not len(hs) or not len(gs):
-            return pd.DataFrame({"uid": [], "n": [], "root": []}, dtype="int64")
-        a, b = gs["uid"].to_numpy(), hs["uid"].to_numpy()
-        linked = (_matrix(gs["v"]) @ _matrix(hs["v"]).T >= threshold) & (a[:, None] != b)
-        ga, hb = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-        m = linked[np.ix_(ga, hb)]
-        if not m.size:
+        if not len(rows):
+            return pd.DataFrame({"uid": [], "label": [], "dim": [], "v": [], "block": [], "visits": []})
+        cell, first, last = (np.asarray(grid[c].iloc[0]) for c in ("cell", "first", "last"))
+        every = np.arange(last[-1] + 1)
+        at, to = np.searchsorted(last, every), np.searchsorted(first, every, "right")  # the cells of each block
+        visits = []
+        for k in range(0, len(rows), SLICE):
+            met = shared.value.visits(_matrix(rows["v"].iloc[k : k + SLICE]), cell, threshold).cumsum(1, dtype=np.int32)
+            met = np.pad(met, ((0, 0), (1, 0)))
+            visits += [np.flatnonzero(r) for r in met[:, to] > met[:, at]]
+        return rows[["uid", "label", "dim", "v", "block"]].assign(visits=visits)
+
+    keys = ["label", "dim", "block"]
+    sent = d.groupBy(*keys).cogroup(grid.groupBy(*keys)).applyInPandas(routed, "uid long, label string, dim int, v binary, block int, visits array<int>")
+    sent = sent.withColumn("to", F.explode("visits")).select("label", "dim", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "v")
+
+    def meet(rows):
+        import pandas as pd
+
+        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+        g, h = ((x["uid"].to_numpy(), _matrix(x["v"])) if len(x := rows[rows["block"] == k]) else (np.zeros(0, int), None) for k in (lo, hi))
+        uid, n, root = [], [], []
+        for i in range(0, len(g[0]), SLICE):
+            for j in range(i if lo == hi else 0, len(h[0]), SLICE):
+                a, b = g[0][i : i + SLICE], h[0][j : j + SLICE]
+                m = g[1][i : i + SLICE] @ h[1][j : j + SLICE].T >= threshold
+                same = lo == hi and i == j
+                if same:
+                    m = np.triu(m, 1)
+                    m |= m.T
+                ga, hb = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+                if not len(ga):
+                    continue
+                m, a, b = m[np.ix_(ga, hb)], a[ga], b[hb]
+                ra, rb = _stars(m)
+                uid += [a, b]
+                n += [m.sum(1), 0 * m.sum(0) if same else m.sum(0)]
+                root += [a[ra], a[rb]]
+        if not uid:
             return pd.DataFrame({"uid": [], "n": [], "root": []}, dtype="int64")
-        a, b = a[ga], b[hb]
-        homes, come = np.unique(gs["home"].to_numpy()[ga], return_inverse=True)
-        back = np.array([np.isin(homes, v) for v in hs["visits"].to_numpy()[hb]])  # whether a host visits a guest's home
-        once = m & ((a[:, None] < b) | ~back[:, come].T)
-        ra, rb = _stars(m)
-        out = pd.DataFrame({"uid": np.r_[a, b], "n": np.r_[once.sum(1), once.sum(0)], "root": np.r_[a[ra], a[rb]]})
+        out = pd.DataFrame({"uid": np.concatenate(uid), "n": np.concatenate(n), "root": np.concatenate(root)})
         return out.groupby(["uid", "root"], as_index=False)["n"].sum()[["uid", "n", "root"]]
 
-    keys = [*cell, "h", "g"]
-    hosts, guests = hosts.select(*keys, "uid", "v", "visits"), guests.select(*(F.col(c).alias(c) for c in [*keys, "uid", "v", "home"]))
-    return staged(hosts.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInPandas(block, "uid long, n long, root long"), "neardup-links")
+    return staged(sent.groupBy("label", "dim", "lo", "hi").applyInPandas(meet, "uid long, n long, root long"), "neardup-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of the input."""
     rows = unit_rows(vectors)
     n = rows.count()
-    index, most = build(rows, n, threshold) if n else (Index({}, 4), 1)
-    found = links(rows, index, most, threshold)
+    index = build(rows, n) if n else Index({}, 4)
+    found = links(rows, index, threshold)
     counts = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
     d = rows.select("uid", "vec_id").join(counts, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
