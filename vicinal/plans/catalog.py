@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..functions import fixation, patterns as P, sequences as S
 from ..operators import generator as G, intervals as I, model as M, residuals as R, results as X, simulate as Z, tmers as C
-from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, counts_sql, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spread, table, trio_docs, windows_sql
+from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spread, table, trio_docs, windows_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -82,7 +82,7 @@ def _(spark, d):
 c AS (SELECT pattern, count(*) AS n FROM w GROUP BY 1), l(c) AS (VALUES ('A'), ('C'), ('G'), ('T'))
 SELECT a.c || b.c || e.c AS pattern, coalesce(n, 0) AS count FROM l a, l b, l e LEFT JOIN c ON c.pattern = a.c || b.c || e.c""")
 def _(spark, d):
-    return C.with_zeros(C.kmers(seq_events(spark, d), "seq", 3), P.patterns(spark, 3, "ACGT"))
+    return C.with_zeros(event_kmers(spark, d, 3, cyclic=True), P.patterns(spark, 3, "ACGT"))
 
 
 @query("spin_kmers", f"""WITH {SPIN}, w AS (SELECT substr(seq, i, 2) AS pattern FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM spin_lines)) SELECT pattern, count(*) AS count FROM w GROUP BY 1""")
@@ -202,7 +202,7 @@ def _(spark, d):
 
 @query("keys_without_n", f"""WITH {EVENT_SEQ}, w AS (SELECT substr(seq, i, 2) AS pattern FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM seq_events)), c AS (SELECT pattern, count(*) AS count FROM w GROUP BY 1) SELECT * FROM c WHERE NOT contains(pattern, 'N')""")
 def _(spark, d):
-    return C.kmers(seq_events(spark, d), "seq", 2, cyclic=False, alphabet=None).filter(~F.contains("pattern", F.lit("N")))
+    return event_kmers(spark, d, 2).filter(~F.contains("pattern", F.lit("N")))
 
 
 @query("path_columns", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS base, contains(url, '/en/') AS english, url IS NULL AS missing FROM pages")
@@ -318,7 +318,7 @@ def _(spark, d):
 
 @query("unknown_patterns", f"""WITH {EVENT_SEQ}, w AS (SELECT substr(seq, i, 2) AS pattern FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM seq_events)) SELECT DISTINCT pattern FROM w WHERE regexp_matches(pattern, '[^ACGT]')""")
 def _(spark, d):
-    seen = C.kmers(seq_events(spark, d), "seq", 2, cyclic=False, alphabet=None).select("pattern")
+    seen = event_kmers(spark, d, 2).select("pattern")
     return seen.join(P.patterns(spark, 2, "ACGT"), "pattern", "left_anti").distinct()
 
 

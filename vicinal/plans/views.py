@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.tmers import Shape, tmer_counts
+from ..operators.tmers import Shape, kmers, tmer_counts
 
 ALPHA, SYMBOLS = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 EVENTS = {"signup": "A", "purchase": "C", "error": "G", "view": "T"}
 SHAPE = Shape(4, 2, 1)
+#: Letters of a piece of a long sequence of events, about; a mark that is no letter.
+PIECE, CUT = 4096, "-"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,11 +44,82 @@ def pair_counts(spark: SparkSession, d: str, shape: Shape = SHAPE) -> DataFrame:
     return tmer_counts(pair_docs(spark, d), shape, "s1", "s2", spread=spread(spark))
 
 
-def seq_events(spark: SparkSession, d: str) -> DataFrame:
+def event_runs(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """user_id, grp, part, no, text: the letters of each user in order of (ts, event_id), no user in one task.
+
+    Events are sorted by ranges of (user_id, ts, event_id), so a user's run may go over several parts. A run is cut into
+    pieces, grp a number of its own. With k, pieces overlap by k - 1 letters, and a row with grp -1 tells the run's
+    ends: the first and last k - 1 letters with CUT between, or a run of at most 2 (k - 1) letters whole, and then no piece.
+    """
     e = table(spark, d, "events")
     letter = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("event_type")], F.lit("N"))
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", letter.alias("c")))).alias("l"))
-    return g.select("user_id", F.concat_ws("", F.transform("l", lambda x: x["c"])).alias("seq"))
+    keys = ["user_id", "ts", "event_id", "c"]
+    e = e.select("user_id", "ts", "event_id", letter.alias("c")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("user_id", "c")
+    kind, over = e.schema["user_id"].dataType, (k or 1) - 1
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, no, user, n, text, head, rows = TaskContext.get().partitionId(), 0, None, 0, "", "", []
+
+        def piece(last):
+            """Puts out the letters at hand, but for the overlap; at the last of a run, its ends too."""
+            nonlocal no, text
+            if n > 2 * over and len(text) > over:
+                rows.append((user, part << 32 | no, part, no, text))
+                no += 1
+            if last and n and k:
+                rows.append((user, -1, part, 0, text if n <= 2 * over else head + CUT + text[len(text) - over :]))
+            text = text[len(text) - over :] if n > 2 * over and over else text if n <= 2 * over else ""
+
+        def out():
+            found = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(found, ["user_id", "grp", "part", "no", "text"])
+
+        types = None
+        for b in batches:
+            types = [b.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            users, letters, at = b.column(0).to_pylist(), "".join(b.column(1).to_pylist()), 0
+            for u, group in itertools.groupby(users):
+                m = sum(1 for _ in group)
+                if u != user:
+                    piece(True)
+                    user, n, text, head = u, 0, "", ""
+                text += letters[at : at + m]
+                n, at = n + m, at + m
+                head = head if len(head) == over else text[:over]
+                if len(text) >= PIECE:
+                    piece(False)
+            if rows:
+                yield out()
+        piece(True)
+        if rows:
+            yield out()
+
+    return e.mapInArrow(run, f"user_id {kind.simpleString()}, grp long, part int, no int, text string")
+
+
+def event_texts(spark: SparkSession, d: str, k: int, cyclic: bool = False) -> DataFrame:
+    """seq: bounded texts whose windows of k letters without CUT are those of all users' sequences."""
+    g = event_runs(spark, d, k).groupBy("user_id", "grp").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("l"))
+    seq = F.concat_ws("", F.transform("l", lambda x: x["text"]))
+    g = g.select("grp", seq.alias("seq"))
+    if cyclic:  # what is left after the end goes on at the beginning
+        g = g.withColumn("seq", F.when(F.col("grp") == -1, F.concat("seq", F.substring(F.repeat("seq", k), 1, k - 1))).otherwise(F.col("seq")))
+    return g.select("seq")
+
+
+def event_kmers(spark: SparkSession, d: str, k: int, cyclic: bool = False) -> DataFrame:
+    """pattern, count over the sequences of all users, unknown letters included."""
+    return kmers(event_texts(spark, d, k, cyclic), "seq", k, cyclic=False, alphabet=None).filter(~F.contains("pattern", F.lit(CUT)))
+
+
+def seq_events(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, seq: for what gives the whole string out; gathered from pieces, a byte an event."""
+    g = event_runs(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("part", "no", "text"))).alias("l"))
+    return g.select("user_id", F.concat_ws("", F.transform("l", lambda x: x["text"])).alias("seq"))
 
 
 def spin_lines(spark: SparkSession, d: str) -> DataFrame:
