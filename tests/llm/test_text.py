@@ -145,6 +145,15 @@ def test_ngram_join(spark, seed, frequent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for i, _, c in brute(rows) if i >= 0})
 
 
+def test_deduplicated_by_row(spark):
+    """Null and repeated doc_ids: one row of each component stays, and every row that has no copy."""
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(0)), (None, text(1)), (3, text(1)), (4, text(2)), (4, text(3)), (4, text(3)), (6, text(3)), (7, None), (7, None), (None, "")]
+    kept = ngram_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text(0)), (3, text(1)), (4, text(2)), (4, text(3)), (7, None), (7, None), (None, "")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -27,7 +27,7 @@ and text are read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from .common import give_back, staged, text_bytes
 from .graph import components
@@ -370,17 +370,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows without a doc_id stay unless they are in a component of others."""
-    found = staged(join(docs), "join-found")
-    gone = staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "join-gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "doc_id", "left_anti")
-    orphans = found.filter("doc_id IS NULL AND component_id IS NOT NULL")
-    twice = staged(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "join-twice")
-    if orphans.isEmpty() and twice.isEmpty():
-        return out
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    once = out.join(twice, "doc_id", "left_semi").withColumn("_row", first).filter("_row = 1").drop("_row")
-    return out.join(twice, "doc_id", "left_anti").union(once.select(*out.columns)).select(*docs.columns)
+    """docs with one row of each component: one of its smallest doc_id, or any if none has one. Rows count by themselves, whether or not they share a doc_id."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "join-rows")
+    found = join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    found = rows.select("_row", "doc_id").join(found, "_row")
+    found = staged(found, "join-found")
+    least = found.groupBy("_group").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept")).filter("_n > 1")
+    gone = staged(found.join(least, "_group").filter("_row <> _kept").select("_row"), "join-gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op5(spark, sf_dir):
