@@ -1,0 +1,18 @@
+"""The width of pair hashes follows the number of pairs, not of rows."""
+
+import pytest
+
+from vicinal.llm import lm
+
+
+def test_few_long_texts(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def counts(docs, parts, bits):
+        raise Seen(bits)
+
+    monkeypatch.setattr(lm, "counts", counts)
+    with pytest.raises(Seen) as seen:
+        lm.score(spark.createDataFrame([(1, "a " * 500_000), (2, "b " * 500_000), (3, None)], "doc_id long, text string"))
+    assert seen.value.args[0] >= (10**6).bit_length() + lm.SPARE

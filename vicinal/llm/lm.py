@@ -183,11 +183,17 @@ def weights(tokens: DataFrame, n: int, v: int, rounds: int = 200) -> np.ndarray:
     return out
 
 
+def pair_bits(pairs: int) -> int:
+    return min(64, max(1, pairs).bit_length() + SPARE)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
     rows = docs.count()
-    bits = min(64, max(1, rows).bit_length() + 10 + SPARE)
+    # A word takes a byte and a space at least, so this bounds the pairs.
+    most = docs.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 1
+    bits = pair_bits(most)
     sums = counts(docs, max(1, -(-rows // ROWS_A_PART)), bits)
 
     def of_part(batches):
