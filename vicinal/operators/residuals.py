@@ -70,12 +70,14 @@ def weighted_table(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 
 def clusters(top: DataFrame, k: int, most: int = 300) -> DataFrame:
-    """pattern, cluster: complete linkage of the Hamming distances of at most `most` top patterns."""
+    """pattern, cluster: complete linkage of the Hamming distances of the top patterns; more than `most` are an error."""
     import numpy as np
 
     from .linalg import complete_linkage
 
-    p = top.select("pattern").distinct().orderBy("pattern").limit(most)
+    p = top.select("pattern").distinct()
+    if p.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} patterns to cluster: take fewer by residual")
     rows = p.alias("a").crossJoin(F.broadcast(p).alias("b")).select(F.col("a.pattern").alias("a"), F.col("b.pattern").alias("b"), hamming("a.pattern", "b.pattern").alias("d")).collect()
     names = sorted({r["a"] for r in rows})
     at, d = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
