@@ -1,3 +1,9 @@
+import itertools
+import random
+import time
+
+import pytest
+
 from vicinal.llm import html
 
 PAGE = (
@@ -10,14 +16,68 @@ PAGE = (
 WANT = "Head & tail\nOne two three\nFour <five> six seven\nEight nine ten eleven."
 
 
+def learned(*pages):
+    return html.weights(html.learn(pages)[0])
+
+
 def test_page_with_and_without_learning():
-    w = html.weights(html.learn([PAGE] * 3))
+    w = learned(*[PAGE] * 3)
     assert html.extract(PAGE, w) == WANT
-    assert html.extract(PAGE.replace("article", "section"), w) == WANT
+    for name in ("section", "div"):
+        assert html.extract(PAGE.replace("article", name), w) == WANT
+    assert html.extract(PAGE, {}) == WANT
+
+
+def test_the_scan_decides():
+    """Without any name that helps, the run leaves out what lies before and after."""
+    w = learned(*[PAGE] * 3)
+    text = "<h1>A title</h1>" + "<p>some words that make a paragraph of the text</p>" * 3
+    page = f"<html><body><div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></div><div>{text}</div><div><ul><li><a href=z>Imprint</a></li></ul></div></body></html>"
+    want = "A title\n" + "\n".join(["some words that make a paragraph of the text"] * 3)
+    assert html.extract(page, w) == want
+    p = html.Page(page)
+    first, last = html.best_run(p.scores(w)[0])
+    inside = [t for t, *_ in p.items[first:last] if t]
+    assert len(inside) < len([t for t, *_ in p.items if t])
+
+
+def test_best_run_is_the_best():
+    r = random.Random(1)
+    for _ in range(500):
+        x = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(r.randint(0, 12))]
+        best = max([sum(x[i:j]) for i, j in itertools.combinations(range(len(x) + 1), 2)], default=0)
+        a, b = html.best_run(x)
+        assert sum(x[a:b]) == max(0, best)
+
+
+@pytest.mark.parametrize("attrs", ['class="layout no-sidebar"', 'class="content with-comments"', 'id="page" class="has-header"', 'class="social-science"'])
+def test_names_around_the_text(attrs):
+    w = learned(*[PAGE] * 3)
+    for inner in ("article", "section"):
+        page = f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div {attrs}><{inner}><h1>T a</h1><p>one two three four five six</p></{inner}></div><footer>imprint x</footer></body></html>"
+        assert html.extract(page, w) == "T a\none two three four five six"
+
+
+def test_known_names_around_a_main_part():
+    page = "<div class='sidebar'><article><p>one two three four five six</p></article></div><div class='comment-list'><p>First! great post</p></div>"
+    assert html.extract(page, learned(PAGE)) == "one two three four five six"
+
+
+def test_labels_outweigh_names():
+    page = "<main><div class='promo'><p>one two three four</p></div></main><div class='zone'>see our offers today</div>"
+    w = learned(*[page] * 20)
+    assert w["w.promo"] > 0 > w["w.zone"]
+    assert html.extract(page.replace("main", "div"), w) == "one two three four"
+
+
+def test_inside_a_line():
+    w = learned(*[PAGE] * 3)
+    page = '<article><p>Some text is here and <span class="advert">BUY NOW</span> more words <a class="share">share it</a> and a <a href=x>link stays</a> here at the end.</p></article>'
+    assert html.extract(page, w) == "Some text is here and more words and a link stays here at the end."
 
 
 def test_odd_pages():
-    w = html.weights(html.learn([PAGE]))
+    w = learned(PAGE)
     assert html.extract(None, w) == html.extract("", w) == html.extract("<div></div>", w) == ""
     assert html.extract("just a  text", w) == "just a text"
     assert html.extract("<p>a &amp;amp; b</p><script>never closed", w) == "a &amp; b"
@@ -26,11 +86,22 @@ def test_odd_pages():
     assert html.extract("a < b and <", w) == "a < b and <"
     assert html.extract("<p>x <a " + "'b' \"c\" " * 5000, w).startswith("x <a")  # many quotes, no end
     assert len(html.extract("<p>" + "word " * 100_000, w)) == 499_999
+    assert html.extract("<p>one two</p><svg>a<svg>b</svg>LEAK</svg><p>three</p>", w) == "one two\nthree"
+    assert html.extract("<p>a b</p><svg><path><text>x<p>next one</p><p>and two</p>", w) == "a b\nnext one\nand two"
+    assert html.extract("<p>x y</p><textarea>in</textarea><noscript>turn it on</noscript><p>z</p>", w) == "x y\nz"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", "<a \"'>", "<div>", "<b>", "<b><p>", "<title>", "<svg><p>", "</p>", "<p", "<!--x", "<![CDATA[", "x <y 'z> "])
+def test_time_grows_with_the_length(part):
+    w = learned(PAGE)
+    start = time.perf_counter()
+    html.extract(part * (10**6 // len(part)), w)
+    assert time.perf_counter() - start < 30  # a second or two; hours if each tag looked at the rest of the page
 
 
 def test_frame(spark):
-    rows = [(1, "u", PAGE, "x"), (2, None, None, "y"), (3, "u", "", "z"), (4, "u", PAGE, "x")]
+    rows = [(1, "u", PAGE, "x"), (2, None, None, "y"), (3, "u", "", "z"), (4, "u", PAGE, "x"), (None, None, PAGE, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extracted(df, html.train(df)).collect()}
-    assert got == {1: (WANT, len(WANT)), 2: ("", 0), 3: ("", 0), 4: (WANT, len(WANT))}
+    assert got == {1: (WANT, len(WANT)), 2: ("", 0), 3: ("", 0), 4: (WANT, len(WANT)), None: (WANT, len(WANT))}
     assert html.extracted(df.limit(0), html.train(df.limit(0))).count() == 0

@@ -1,155 +1,325 @@
 """Main-text extraction by a maximum-scoring run of words and tags.
 
-A page is a sequence of word pieces and tags. Pieces score their words, tags cost: both weights are log odds,
-by the kind of tag, learned from pages that mark their main part themselves (<article>, <main>, role=main).
-One linear scan finds the contiguous run with the highest sum; the text of the run, without the elements that
-are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments; by element, class, id or role), is the result.
-
-Learning reads at most TRAIN_PAGES pages (a documented bound; picked by hash) and falls back on fixed weights for
-kinds of tags never seen. Extraction reads whole pages. Cases: a null or empty html gives an empty text; text
-without tags is one block; unclosed and stray tags are tolerated: an end tag closes what was opened inside its
-element, and what is never closed ends with its parent; equal pages get equal texts; an empty table gives an
-empty result. Only page_id, url and html are read.
+A page is a sequence of words and tags. A word scores a constant and the weights of the features of all elements
+around it: their tags (but for containers that say nothing), the words of their class and id, their role, and whether
+they are hidden. Tags cost. Weights are log odds between the main part and the rest, learned from pages that mark
+their main part themselves (<article>, <main>, role=main). One linear scan finds the contiguous run with the highest
+sum; blocks of the run, and named elements inside a line, whose own words add up to less than zero are left out; what
+stays is the text. Nothing is decided by a name alone: a name known to stand for other than main text (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) only begins with counts against it, which labelled
+pages outweigh where it holds much of their main part, and says nothing where its element lies around the first marked
+main part, or around nearly all words of the page. Content of scripts, styles, titles, text areas and the like is no text at all.
+
+Learning reads at most TRAIN_PAGES pages (a documented bound; picked by hash); features and tags that fewer than two of
+them, or LEAST_SHARE of them, have are not learned. Extraction reads whole pages, in time proportional to their length. Cases: a
+null or empty html gives an empty text; text without tags is one block; unclosed and stray tags are tolerated: an end tag
+closes what was opened inside its element, a block closes an open paragraph and an open <svg>, and what is never closed
+ends with its parent; a tag that never ends is text; equal pages get equal texts; an empty table gives an empty result.
+Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from html import unescape
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import give_back, staged
 
 TRAIN_PAGES = 2000
-# Elements that end a block, that are never main text, whose content is no markup, that have no end tag.
+LEAST_SHARE = 0.005
+#: What a word scores without features, and the range of its score; most that the weights of a path may add up to above zero.
+WORD, WORD_RANGE, MOST_FOR = 0.5, (-3.0, 1.0), 2.0
+#: Ranges of weights: of names, roles and elements known for other than main text; of other tags. Costs of a tag: learned ones, others, and those inside a line.
+WEIGHT, TAG_WEIGHT, TAG_RANGE, TAG, INLINE = 3.0, 1.0, (-8.0, -0.05), -1.0, -0.25
+#: Share of the words outside of main parts that a name known for other than main text begins with.
+PRIOR = 0.02
+#: An element that holds this share of a page's words says nothing on which of them are main text.
+NEARLY_ALL = 0.95
+# Elements that end a block, that have no end tag, whose content is raw, whose content is never text, that say nothing.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("aside button dialog footer form head header iframe input menu nav noscript object script select style svg template textarea title".split())
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title xmp".split())
+MUTE = frozenset("head iframe noscript object select svg math template".split())
+PLAIN = frozenset("html body div span section table tbody thead tfoot tr td th center font b i em strong u small big br hr dl".split())
 MAIN = frozenset(["article", "main"])
-# Words of a class or id, and roles, of elements that are never main text.
+# Elements, words of a class or id, and roles that are known for other than main text.
+NOISE = frozenset("aside button dialog footer form header menu nav".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side "
     "comment comments reply replies discussion disqus menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended "
     "newsletter subscribe subscription signup login search toolbar widget pagination pager hidden".split()
 )
 ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split())
+# What a compound name may end with to be about its first word, and may not begin with to be about its last one.
+HOLDERS = frozenset("area bar block body box container content form inner item items left link links list panel right section slot text top unit wrap wrapper".split())
+SWITCHES = frozenset("has hide is no non not with without".split())
 
-ITEM = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?:{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</(?:{RAW})\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-RAW_PARTS = re.compile(rf"<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+ATTRS = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
-LETTERS = re.compile(r"[a-z]+")
-
-
-def _items(html: str):
-    """(text, None) or (None, (end, name, attrs)) in page order."""
-    at, n = 0, len(html)
-    while at < n:
-        m = ITEM.search(html, at)
-        if m is None:
-            yield html[at:], None
-            return
-        if m.start() > at:
-            yield html[at : m.start()], None
-        at = m.end()
-        if m["cdata"] is not None:
-            yield m["cdata"], None
-        elif name := m["name"] or m["name2"]:
-            yield None, (bool(m["end"] or m["end2"]), name.lower(), m["attrs"] or m["attrs2"] or "")
-        elif raw := RAW_PARTS.match(m[0]):  # its content is skipped up to its own end tag
-            close = re.compile(rf"</{raw[1]}\s*>", re.I).search(html, m.start() + raw.end())
-            at = close.end() if close else n
-
-
-def _kind(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """The tag's kind, whether it is never main text, whether it marks the main part."""
+PARTS = re.compile(r"[a-z]+")
+
+
+def items(html: str):
+    """(text, None) or (None, (end, name, attrs)) in page order. Every part of the page is looked at a few times at most."""
+    at, n, start, unpaired, unended = 0, len(html), 0, 0, set()
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt):
+            stop, found = html.find("-->", lt + 4), None
+            stop = n if stop < 0 else stop + 3
+        elif html.startswith("<![CDATA[", lt):
+            stop = html.find("]]>", lt)
+            if stop < 0:
+                break
+            found, stop = (html[lt + 9 : stop], None), stop + 3
+        elif m := NAME.match(html, lt + 1):
+            stop = ATTRS.match(html, m.end()).end() if lt >= unpaired else m.end()
+            if html[stop : stop + 1] != ">":  # a quote that is never closed, or none looked for: the next bracket ends the tag
+                unpaired, stop = max(unpaired, stop), html.find(">", m.end())
+                if stop < 0:
+                    break
+            name, end = m[1].lower(), html[lt + 1] == "/"
+            found, stop = (None, (end, name, html[m.end() : stop])), stop + 1
+            if name in RAW and not end and not found[1][2].endswith("/"):
+                close = None if name in unended else re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I).search(html, stop)
+                if close:
+                    found, stop = None, close.end()
+                else:
+                    unended.add(name)
+                    if name in ("script", "style"):
+                        found, stop = None, n
+        elif html.startswith(("<!", "<?"), lt):
+            stop, found = html.find(">", lt), None
+            if stop < 0:
+                break
+            stop += 1
+        else:
+            at = lt + 1
+            continue
+        if lt > start:
+            yield html[start:lt], None
+        if found:
+            yield found
+        at = start = stop
+    if start < n:
+        yield html[start:], None
+
+
+def noisy(word: str) -> bool:
+    """Whether a word of a class or id is known for other than main text: by itself, or as a compound about such a word."""
+    parts = PARTS.findall(word)
+    if not parts or parts[0] in SWITCHES:
+        return False
+    return parts[-1] in NAMES or parts[0] in NAMES and parts[-1] in HOLDERS
+
+
+def features(name: str, attrs: str) -> tuple[tuple[str, ...], bool]:
+    """The features of an element, and whether it marks the main part."""
+    own = () if name in PLAIN else (name,)
     if not attrs.strip(" /"):
-        return name, name in NEVER, name in MAIN
+        return own, name in MAIN
     a = {k.lower(): x or y or z for k, x, y, z in ATTR.findall(attrs)}
-    role = a.get("role", "").lower()
-    words = LETTERS.findall((a.get("class", "") + " " + a.get("id", "")).lower())
-    main = name in MAIN or role == "main"
+    role = a.get("role", "").lower().strip()
+    words = sorted(set((a.get("class", "") + " " + a.get("id", "")).lower().split()))
     hidden = "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    never = name in NEVER or name not in ("html", "body") and not main and (role in ROLES or hidden or not NAMES.isdisjoint(words))
-    return name + ("." + words[0] if words else ""), never, main
-
-
-def parse(html: str) -> list[tuple]:
-    """Items of a page: (text, kind around it, never, in main, block number), or for a tag text None."""
-    out, stack, block = [], [], 0  # stack: name, kind, never, main
-    for text, tag in _items(html):
-        kind, never, main = stack[-1][1:] if stack else ("", False, False)
-        if tag is None:
-            out.append((text, kind, never, main, block))
-            continue
-        end, name, attrs = tag
-        if name in BLOCKS:
-            block += 1
-        if end:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-            k = "/" + name
-            never, main = stack[-1][2:] if stack else (False, False)
-        else:
-            k, own_never, own_main = _kind(name, attrs)
-            if name in BLOCKS and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
-                never, main = stack[-1][2:] if stack else (False, False)
-            if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-                never, main = stack[-1][2:] if stack else (False, False)
-            never, main = never or own_never, main or own_main
-            if name not in VOID and name in BLOCKS | NEVER and not attrs.rstrip().endswith("/"):
-                stack.append((name, k, never, main))
-        out.append((None, k, never, main, block))
-    return out
-
-
-def learn(batches) -> Counter:
-    """Words and tags by kind, in and out of the marked main part, of pages that mark one."""
-    seen: Counter = Counter()
-    for html in batches:
-        items = parse(html or "")
-        if any(x[3] for x in items):
-            for text, kind, _, main, _ in items:
-                seen[("t" if text is None else "w") + kind, main] += 1 if text is None else len(text.split())
-    return seen
+    return own + tuple("." + w for w in words) + (("@" + role,) if role else ()) + (("!hidden",) if hidden else ()), name in MAIN or role == "main"
+
+
+class Page:
+    """Items and elements of a page. An item is (text, None, element, block), or for a tag (None, kind, element, block)."""
+
+    def __init__(self, html: str):
+        self.items: list[tuple] = []
+        # For each element, the page being the first: parent, features, inside the main part, mute, own words, around the first mark, a block.
+        self.parent, self.features, self.main, self.mute, self.words, self.around, self.block = [-1], [()], [False], [False], [0], [True], [True]
+        stack, under, open_, marked = [0], [0], Counter(), False  # under: place in the stack of the innermost block
+        block, names = 0, [""]
+
+        def close():
+            stack.pop()
+            under.pop()
+            open_[names.pop()] -= 1
+
+        for text, tag in items(html):
+            if tag is None:
+                e = stack[-1]
+                self.items.append((text, None, e, block))
+                if not self.mute[e]:
+                    self.words[e] += len(text.split())
+                continue
+            end, name, attrs = tag
+            if name in BLOCKS:
+                block += 1
+            if end:
+                if open_[name] > 0:
+                    while names[-1] != name:
+                        close()
+                    close()
+                self.items.append((None, "/" + name, stack[-1], block))
+                continue
+            if name in BLOCKS:
+                while open_["svg"] > 0 or open_["math"] > 0:
+                    close()
+                k = under[-1]
+                if names[k] == "p" or name == "li" and names[k] == "li":
+                    while len(stack) > k:
+                        close()
+            own, mark = features(name, attrs)
+            e = stack[-1]
+            if name in VOID or attrs.rstrip().endswith("/"):
+                self.items.append((None, name, e, block))
+                continue
+            self.parent.append(e)
+            self.features.append(own)
+            self.main.append(self.main[e] or mark)
+            self.mute.append(self.mute[e] or name in MUTE)
+            self.words.append(0)
+            self.around.append(False)
+            self.block.append(name in BLOCKS)
+            stack.append(len(self.parent) - 1)
+            names.append(name)
+            under.append(len(stack) - 1 if name in BLOCKS else under[-1])
+            open_[name] += 1
+            if mark and not marked:
+                marked = True
+                for x in stack:
+                    self.around[x] = True
+            self.items.append((None, name, stack[-1], block))
+        self.size = self.inside(self.words)
+
+    def inside(self, own: list[int]) -> list[int]:
+        """For each element the sum over it and all elements in it."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def main_words(self) -> list[int]:
+        """For each element the main words in it: those of marked parts, but not of what is known for other than main text and holds less than half of them."""
+        half = sum(n for n, m in zip(self.words, self.main, strict=True) if m) / 2
+        other = [False]
+        for e in range(1, len(self.parent)):
+            p = self.parent[e]
+            other.append(other[p] or self.main[p] and self.size[e] < half and any(map(known, self.features[e])))
+        return self.inside([n if m and not o else 0 for n, m, o in zip(self.words, self.main, other, strict=True)])
+
+    def word_scores(self, w: dict[str, float]) -> tuple[list[float], list[float], list[bool]]:
+        """What a word in each element scores, what of it speaks for main text, and whether the element is a hole: what speaks against it lies inside of what speaks for main text."""
+        total, good, bad, hole = self.size[0], [0.0], [0.0], [False]
+        for e in range(1, len(self.parent)):
+            p = self.parent[e]
+            x, y = good[p], bad[p]
+            for f in self.features[e]:
+                v = weight(f, w)
+                if v > 0:
+                    x = min(MOST_FOR, x + v)
+                elif not (self.around[e] or self.size[e] >= NEARLY_ALL * total or f == "header" and self.main[p]):
+                    y = max(-4 * WEIGHT, y + v)  # not around what is main text, nor the heading of a main part
+            good.append(x)
+            bad.append(y)
+            hole.append(hole[p] or self.mute[e] or y <= bad[p] - WEIGHT / 2 and good[p] > 0)
+        lo, hi = WORD_RANGE
+        return [0.0 if m else min(hi, max(lo, WORD + x + y)) for x, y, m in zip(good, bad, self.mute, strict=True)], good, hole
+
+    def scores(self, w: dict[str, float]) -> tuple[list[float], list[float]]:
+        """What each item scores, and what a word in each element scores. Tags inside of what speaks for main text cost no more than unknown ones; what is in holes costs little: it is left out without ending the run."""
+        word, good, hole = self.word_scores(w)
+        out = []
+        for text, kind, e, _ in self.items:
+            if text is not None:
+                out.append((max(word[e], TAG_RANGE[1]) if hole[e] else word[e]) * len(text.split()))
+            else:
+                name, cost = kind.strip("/"), w.get("t" + kind, TAG)
+                out.append(TAG_RANGE[1] if hole[e] or name in MUTE else max(cost, TAG if name in BLOCKS else INLINE) if good[e] > 0 else cost)
+        return out, word
+
+
+def weight(feature: str, w: dict[str, float]) -> float:
+    """Of a feature that no labelled page has: what its name alone says."""
+    if (x := w.get("w" + feature)) is not None:
+        return x
+    if known(feature):
+        return -WEIGHT
+    return TAG_WEIGHT if feature in MAIN or feature == "@main" else 0.0
+
+
+def known(feature: str) -> bool:
+    """Whether a feature is known for other than main text."""
+    return feature in NOISE or feature == "!hidden" or feature[0] == "@" and feature[1:] in ROLES or feature[0] == "." and noisy(feature)
+
+
+def learn(pages) -> tuple[Counter, Counter]:
+    """Words by feature and tags by kind, in and out of the marked main part, of pages that mark one; and on how many pages each is."""
+    seen, on = Counter(), Counter()
+    for html in pages:
+        page = Page(html or "")
+        if any(page.main):
+            here, main = set(), page.main_words()
+            for e in range(1, len(page.parent)):
+                for f in page.features[e]:
+                    here.add("w" + f)
+                    seen["w" + f, True] += main[e]
+                    seen["w" + f, False] += page.size[e] - main[e]
+            for text, kind, e, _ in page.items:
+                if text is None:
+                    here.add("t" + kind)
+                    seen["t" + kind, page.main[e]] += 1
+            on.update(here)
+            seen["w", True] += main[0]
+            seen["w", False] += page.size[0] - main[0]
+            on.update(["w"])
+    return seen, on
 
 
 def weights(seen: dict) -> dict[str, float]:
-    """Log odds of the main part: words at most 1, tags at most -0.05."""
-    total = {m: sum(n for (_, x), n in seen.items() if x == m) or 1 for m in (True, False)}
+    """Log odds of the main part."""
+    words = {m: max(1, seen.get(("w", m), 0)) for m in (True, False)}
+    tags = {m: max(1, sum(n for (k, x), n in seen.items() if k[0] == "t" and x == m)) for m in (True, False)}
     out = {}
-    for k in {k for k, _ in seen}:
-        odds = float(np.log((seen.get((k, True), 0) + 0.5) / total[True]) - np.log((seen.get((k, False), 0) + 0.5) / total[False]))
-        out[k] = float(np.clip(odds, -3, 1)) if k[0] == "w" else float(np.clip(odds, -8, -0.05))
+    for k in {k for k, _ in seen} - {"w"}:
+        total = words if k[0] == "w" else tags
+        against = PRIOR * total[False] if k[0] == "w" and known(k[1:]) else 0
+        odds = math.log((seen.get((k, True), 0) + 0.5) / total[True]) - math.log((seen.get((k, False), 0) + 0.5 + against) / total[False])
+        most = WEIGHT if k[1] in ".@!" or known(k[1:]) else TAG_WEIGHT
+        lo, hi = (-most, most) if k[0] == "w" else TAG_RANGE
+        out[k] = min(hi, max(lo, odds))
     return out
 
 
-def extract(html: str | None, w: dict[str, float]) -> str:
-    items = parse(html or "")
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the highest sum, the first of such and the longest from its start on; none if no score is above zero."""
     best, run, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (text, kind, never, _, _) in enumerate(items):
-        if text is None:
-            score = -0.05 if never else w.get("t" + kind, w.get("t" + kind.partition(".")[0], -1.0))
-        else:
-            score = (-0.05 if never else w.get("w" + kind, w.get("w" + kind.partition(".")[0], 1.0))) * len(text.split())
-        run += score
+    for i, x in enumerate(scores):
+        run += x
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, span = run, (start, i + 1)
+    return span
+
+
+def extract(html: str | None, w: dict[str, float]) -> str:
+    page = Page(html or "")
+    scores, word = page.scores(w)
+    first, last = best_run(scores)
+    # What is kept or left out as one: a block, or in it an element with a name that counts against it.
+    apart = [0] * len(page.parent)
+    for e in range(1, len(apart)):
+        p = page.parent[e]
+        apart[e] = 0 if page.block[e] else e if word[e] < 0 and any(f[0] in ".@!" and weight(f, w) < 0 for f in page.features[e]) else apart[p]
+    units: dict[tuple[int, int], float] = {}
+    for i in range(first, last):
+        text, _, e, block = page.items[i]
+        if text is not None and not page.mute[e]:
+            units[block, apart[e]] = units.get((block, apart[e]), 0.0) + word[e] * len(text.split())
     blocks: dict[int, list[str]] = {}
-    for text, _, never, _, block in items[span[0] : span[1]]:
-        if text is not None and not never:
+    for i in range(first, last):
+        text, _, e, block = page.items[i]
+        if text is not None and not page.mute[e] and units[block, apart[e]] >= 0:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(unescape("".join(x)).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -163,11 +333,17 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> dict[str, float]:
     def run(batches):
         import pandas as pd
 
-        seen = learn(h for b in batches for h in b["html"])
-        yield pd.DataFrame([(k, m, n) for (k, m), n in seen.items()], columns=["kind", "main", "n"])
+        for b in batches:
+            seen, on = learn(b["html"])
+            yield pd.DataFrame([(k, seen[k, True], seen[k, False], c) for k, c in on.items()], columns=["kind", "inside", "outside", "pages"])
 
-    got = sample.mapInPandas(run, "kind string, main boolean, n long").groupBy("kind", "main").agg(F.sum("n").alias("n"))
-    return weights({(r["kind"], r["main"]): r["n"] for r in got.orderBy(F.desc("n")).limit(20_000).collect()})
+    got = sample.mapInPandas(run, "kind string, inside long, outside long, pages long").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "pages")))
+    least = max(2, math.ceil(LEAST_SHARE * sample.count())) if n > 2 else 1
+    # A page has a bounded share of the features that LEAST_SHARE of the pages have, so these are few.
+    seen = {}
+    for r in got.filter(F.col("pages") >= least).collect():
+        seen |= {(r["kind"], True): r["inside"], (r["kind"], False): r["outside"]}
+    return weights(seen)
 
 
 def extracted(pages: DataFrame, w: dict[str, float]) -> DataFrame:
@@ -182,6 +358,7 @@ def extracted(pages: DataFrame, w: dict[str, float]) -> DataFrame:
                 part = b.slice(lo, 500)
                 texts = [extract(h, shared.value) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        give_back()
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
