@@ -208,7 +208,7 @@ class Page:
         return self.inside([n if m and not o else 0 for n, m, o in zip(self.words, self.main, other, strict=True)])
 
     def word_scores(self, w: dict[str, float]) -> tuple[list[float], list[float], list[bool]]:
-        """What a word in each element scores, what of it speaks for main text, and whether the element is a hole: what speaks against it lies inside of what speaks for main text."""
+        """What a word in each element scores, what of it speaks for main text, and whether the element is a hole: it has what speaks against it, inside of what speaks for main text or as a minor part of a part of the page."""
         total, good, bad, hole = self.size[0], [0.0], [0.0], [False]
         for e in range(1, len(self.parent)):
             p = self.parent[e]
@@ -221,7 +221,8 @@ class Page:
                     y = max(-4 * WEIGHT, y + v)  # not around what is main text, nor the heading of a main part
             good.append(x)
             bad.append(y)
-            hole.append(hole[p] or self.mute[e] or y <= bad[p] - WEIGHT / 2 and good[p] > 0)
+            minor = good[p] > 0 or 2 * self.size[e] < self.size[p] < NEARLY_ALL * total
+            hole.append(hole[p] or self.mute[e] or y <= bad[p] - WEIGHT / 2 and minor)
         lo, hi = WORD_RANGE
         return [0.0 if m else min(hi, max(lo, WORD + x + y)) for x, y, m in zip(good, bad, self.mute, strict=True)], good, hole
 
