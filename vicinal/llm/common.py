@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is named, a local session gets one; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,7 +36,32 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of staged frames. Only for frames from which nothing is read any more: all that came of them is staged itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ranked(df: DataFrame, order: list, values: list[str], tag: str) -> DataFrame:
+    """df staged, with its place in the order (from 1) as _place, and for each value the sum over the rows before as <value>_before.
+
+    The order must tell all rows apart. Rows are cut into ranges of the order, so no task holds more than a range.
+    """
+    parts = max(1, -(-df.count() // BIN_ROWS))
+    d = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id().cast("long"))
+    d = staged(d.withColumn("_place", F.lit(1).cast("long")), tag)
+    sums = d.groupBy("_range").agg(*(F.sum(v).alias(v) for v in (*values, "_place")))
+    offsets = bin_offsets(sums, [], "_range", [*values, "_place"])
+    before = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    total = lambda v: F.col(f"{v}_before") + F.coalesce(F.sum(v).over(before), F.lit(0))
+    out = d.join(offsets, "_range").withColumns({f"{v}_before": total(v) for v in values} | {"_place": total("_place") + 1})
+    return out.drop("_range", "_place_before")
 
 
 def small_side(df: DataFrame, tag: str, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,9 +75,9 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def shuffle_key(seed: str, doc_id: Column) -> Column:
-    """The seeded hash-random sort key of a row: 32 hex digits that DuckDB computes alike."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def shuffle_key(seed: str, doc_id: Column, *more: Column) -> Column:
+    """The seeded hash-random sort key of a row: 32 hex digits that DuckDB computes alike. more: what tells rows of one doc_id apart."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), *(m.cast("string") for m in more)))
 
 
 def key_bin(key: Column, bins: Column) -> Column:
@@ -87,6 +115,14 @@ def text_bytes(column):
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def returned(batches):
+    """The batches; when they end, or the task does, memory goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def give_back() -> None:
     """At the end of a task: what a reused worker process no longer needs goes back to the system."""
     import ctypes

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _facts(e: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         large = staged(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        old, e = e, staged(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        discard(old, large)
         last, facts = facts, _facts(e)
         if facts == last:
             break

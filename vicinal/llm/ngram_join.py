@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 The shingles of a text are its tokens. Tokens of at least FREQUENT texts form the frequent class, all others the
-rare one (tokens beyond the counted part of the hash range are told by single blocks of rows: any fixed choice is
-right); in the global order rare tokens come first, each class by hash. A set of n tokens can
-miss d = n // 5 of them and still reach similarity 0.8, so its prefix must hold d + 1 units: a rare token is a
+rare one; in the global order rare tokens come first, each class by hash. Texts are counted for the tokens of the low
+part of the hash range, from which prefixes are taken; the rest of the range is of the frequent class. The counts become
+two bitmaps of bounded size: a rare token that meets a bit of the first counts as frequent, which is right too (any fixed
+choice of the classes is), and a token without a bit in the second is in a single text, so it signs nothing. A set of n
+tokens can miss d = n // 5 of them and still reach similarity 0.8, so its prefix must hold d + 1 units: a rare token is a
 unit by itself; frequent tokens are dealt into subclasses and m tokens of a subclass give m - 1 units, because
 signatures of that class are pairs of tokens. Prefixes are extended until they hold enough units. Two sets that
 link share a signature: one that misses a token loses one unit at most. Signatures are made for size classes, each a
@@ -14,11 +16,12 @@ Equal sets are one class from the start. Signatures that occur once are dropped;
 the most typical class of each of its signatures (a star, never all pairs); classes that are joined by then
 need no further test. Two classes that are still apart were both compared with the centre of the signature that
 they share, so to link they must either both lie well inside the centre or share a token outside it: only such
-pairs are tested after.
+pairs are tested after, and of what shares a token or signature only those of smaller components with the others.
 Every link is verified on the whole sets. Components come from graph.components.
 
-Token hashes have 64 bits; classes are named by 64-bit sums of mixed hashes, so two different sets in one
-class are not to be expected below 10**9 texts. Cases: null texts, and texts without words, have empty sets and
+Tasks work on as many texts as hold TOKENS_AT_ONCE tokens, or one longer text. Token hashes have 64 bits, of which 48 are
+compared; classes are named by 64-bit sums of mixed hashes, so two different sets in one class are not to be expected
+below 10**9 texts. Cases: null texts, and texts without words, have empty sets and
 link with nothing; texts under five words are one shingle; equal rows are in one class; a null doc_id takes part, and the smallest
 doc_id of a component that holds other documents names it; an empty table gives an empty result; only doc_id
 and text are read.
@@ -29,43 +32,51 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, staged, text_bytes
+from .common import discard, give_back, staged, text_bytes
 from .graph import components
 from .shingles import mix, pack, pieces, shingle_sets, unpack
 
 WORDS = 5
-BLOCK_BITS = 13
-#: Texts with a token of the counted part of the hash range, or with another token in one block, that make it frequent.
-FREQUENT, FREQUENT_IN_BLOCK = 3, 2
-#: The part of the hash range whose tokens are counted over all blocks: prefixes are taken from the low end of it.
+#: Texts with a token of the counted part of the hash range that make it frequent, and that make it repeated.
+FREQUENT, REPEATED = 3, 2
+#: The part of the hash range whose tokens are counted: prefixes are taken from the low end of it.
 COUNTED = 0.4
-#: Most tokens that the frequent class may have (it is broadcast): those of most texts.
-MOST_FREQUENT = 4_000_000
 #: Low bits of hashes that are not sent: signatures are only candidates, and two tokens of a pair of texts that
 #: agree in 48 bits and differ are not to be expected.
 DROP = np.uint64(16)
-#: Rows whose signatures one task gathers.
-ROWS_A_PART = 12_000
-BITMAP = 24
+TOP = np.uint64(int(COUNTED * 2**48))
+#: Most bits, as a power of two, of a bitmap (16 MB).
+MOST_BITS = 27
+TOKENS_AT_ONCE = 1 << 21
+#: Tokens that one task counts, or signatures that it gathers.
+TOKENS_A_PART = 3_000_000
 #: Most doc_ids that are broadcast; more are joined by a shuffle.
 MOST_GONE = 1_000_000
 
 
-def with_block(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
-
-
 def _sets(batches, k: int):
-    """(block, doc_id, sets) for runs of rows, in order."""
-    for b in batches:
-        data, at = text_bytes(b.column("text"))
-        ids, blocks = b.column("doc_id").to_pylist(), b.column("block").to_numpy()
-        for first, last in pieces(at):
-            sets = shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], k)
-            for block in np.unique(blocks[first:last]):
-                rows = np.flatnonzero(blocks[first:last] == block)
-                yield int(block), [ids[first + i] for i in rows], [sets[i] for i in rows]
-    give_back()
+    """(doc_ids, sets) for runs of rows, in order."""
+    try:
+        for b in batches:
+            data, at = text_bytes(b.column("text"))
+            ids = b.column("doc_id").to_pylist()
+            for first, last in pieces(at):
+                yield ids[first:last], shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], k)
+    finally:
+        give_back()
+
+
+def _gathered(parts, most: int = TOKENS_AT_ONCE):
+    """Lists of arrays that hold about `most` numbers together."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def _name(tokens: np.ndarray) -> int:
@@ -79,71 +90,68 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for _, ids, sets in _sets(batches, k):
+        for ids, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
 
-    return staged(with_block(docs).mapInArrow(run, "doc_id long, n long, node long"), "join-classes")
+    return staged(docs.mapInArrow(run, "doc_id long, n long, node long"), "join-classes")
+
+
+class Bits:
+    """Which tokens of the counted part of the hash range have a property; a bit stands for a range of hashes."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        """For tokens of 48 bits, in the counted part."""
+        at = tokens >> np.uint64(48 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-def frequent_tokens(docs: DataFrame, k: int, rows: int) -> np.ndarray:
-    """The frequent class, sorted, without the low bits: MOST_FREQUENT at most.
+
+def token_bits(docs: DataFrame, k: int, tokens: int) -> tuple[Bits, Bits]:
+    """The frequent and the repeated tokens of the counted part, by the number of texts over all blocks.
 
     A block sends each distinct token once, with its count, so a token that all texts hold costs a part one entry a block.
     """
-    parts = max(1, -(-rows // ROWS_A_PART))
-    top = np.uint64(int(COUNTED * 2**48))
+    parts = max(1, -(-int(tokens * COUNTED) // TOKENS_A_PART))
+    bits = int(np.clip(int(tokens).bit_length() + 3, 16, MOST_BITS))
+    edges = np.array([int(TOP) * i // parts for i in range(1, parts)], np.uint64)
 
     def run(batches):
         import pyarrow as pa
 
-        def send(held):
+        for held in _gathered(s[: np.searchsorted(s, TOP << DROP)] for _, sets in _sets(batches, k) for s in sets):
             t, c = np.unique(np.concatenate(held) >> DROP, return_counts=True)
-            cut = int(np.searchsorted(t, top))
-            often = cut + np.flatnonzero(c[cut:] >= FREQUENT_IN_BLOCK)
-            edges = [0, *np.searchsorted(t[:cut], np.array([int(COUNTED * 2**48) * i // parts for i in range(1, parts)], np.uint64)), cut]
-            keep = [(p, np.arange(lo, hi)) for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            keep += [(p, often[(t[often] % np.uint64(parts)) == p]) for p in range(parts)] if len(often) else []
-            out = [(p, pack(np.diff(t[i], prepend=np.uint64(0))), pack(c[i].astype(np.uint64))) for p, i in keep if len(i)]
+            cuts = [0, *np.searchsorted(t, edges), len(t)]
+            out = [(p, pack(np.diff(t[lo:hi], prepend=np.uint64(0))), pack(c[lo:hi].astype(np.uint64))) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "tokens", "n"])
 
-        block, held = None, []
-        for at, _, sets in _sets(batches, k):
-            if at != block:
-                if held:
-                    yield from send(held)
-                block, held = at, []
-            held += sets
-        if held:
-            yield from send(held)
-
-    def add(pdf):
-        import pandas as pd
-
-        t = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in pdf["tokens"]])
-        n = np.concatenate([unpack(x) for x in pdf["n"]])
-        t, inverse = np.unique(t, return_inverse=True)
-        n = np.bincount(inverse, n).astype(np.int64)
-        often = (n >= FREQUENT) | (t >= top)
-        return pd.DataFrame({"token": t[often].astype(np.int64), "n": np.minimum(n[often], 1000)})
-
-    def together(batches):
+    def add(table):
         import pyarrow as pa
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("token").to_numpy().tobytes()], pa.binary())], ["tokens"])
-
-    sent = with_block(docs).mapInArrow(run, "part long, tokens binary, n binary")
-    seen = staged(sent.groupBy("part").applyInPandas(add, "token long, n long"), "join-frequent")
-    least, kept = None, 0
-    for n, rows in sorted(seen.groupBy("n").agg(F.count("*")).collect(), reverse=True):  # 1000 rows at most
-        if kept + rows > MOST_FREQUENT:
-            break
-        least, kept = n, kept + rows
-    if least is None:
-        return np.zeros(0, np.uint64)
-    got = seen.filter(F.col("n") >= least).select("token").mapInArrow(together, "tokens binary").collect()
-    return np.sort(np.frombuffer(b"".join(r["tokens"] for r in got), np.uint64))
+        t = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("tokens").to_pylist()])
+        n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()])
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        t, n = t[first], np.add.reduceat(n, first)
+        rows = []
+        for kind, least in ((0, FREQUENT), (1, REPEATED)):
+            at = np.unique(t[n >= least] >> np.uint64(48 - bits))
+            if len(at):
+                word, start = np.unique(at >> np.uint64(6), return_index=True)
+                rows.append((kind, word.tobytes(), np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start).tobytes()))
+        give_back()
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "at", "words"])
+
+    sent = docs.mapInArrow(run, "part long, tokens binary, n binary")
+    found = sent.groupBy("part").applyInArrow(add, "kind int, at binary, words binary").collect()  # 2**MOST_BITS bits of each kind and their places at most
+    out = [np.zeros(1 << (bits - 6), np.uint64) for _ in range(2)]
+    for r in found:
+        at = np.frombuffer(r["at"], np.uint64).astype(np.int64)
+        out[r["kind"]][at] |= np.frombuffer(r["words"], np.uint64)  # parts may share a word at their border
+    return Bits(out[0], bits), Bits(out[1], bits)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,15 +165,22 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 CLASSES = np.array([-(-(5**k) // 4**k) for k in range(120)], float)
 
 
-def signatures(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Of a sorted set, for its own size class and the next; none if only equal sets can reach 0.8."""
+def signatures(tokens: np.ndarray, frequent, repeated=None) -> np.ndarray:
+    """Of a sorted set, for its own size class and the next; none if only equal sets can reach 0.8.
+
+    frequent tells tokens of 48 bits of the counted part that are of the frequent class; repeated those that may be in two texts.
+    """
     n = len(tokens)
     if n < 4:
         return tokens[:0]
     units = n // 5 + 1
-    often = _common(tokens >> DROP, common)
+    counted = int(np.searchsorted(tokens, TOP << DROP))
+    often = np.ones(n, bool)
+    often[:counted] = frequent(tokens[:counted] >> DROP)
     rare = tokens[~often][:units]
     rest, need = tokens[often], units - len(rare)
+    if repeated is not None:
+        rare = rare[repeated(rare >> DROP)]
     kind = int(np.searchsorted(CLASSES, n, "right")) - 1
     out = []
     for level in (kind, kind + 1):
@@ -187,14 +202,14 @@ def signatures(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFrame:
+def postings(docs: DataFrame, bits: tuple[Bits, Bits], k: int, tokens: int) -> DataFrame:
     """Written rows (sig, node) of the signatures that two classes have.
 
     Signatures that a block of rows already holds twice pass as they are, with one of them sent along to the
     part that gathers the signature from all blocks; so no part gets more of a signature than there are blocks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    parts = max(1, -(-rows // ROWS_A_PART))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    parts = max(1, -(-tokens // (2 * TOKENS_A_PART)))
 
     def send(sig, node):
         import pyarrow as pa
@@ -214,26 +229,28 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "sig", "names", "at"])
 
     def run(batches):
-        block, seen, sigs, nodes = None, set(), [], []
-        for at, _, sets in _sets(batches, k):
-            if at != block:
-                if sigs:
-                    yield from send(np.concatenate(sigs), np.concatenate(nodes))
-                block, seen, sigs, nodes = at, set(), [], []
+        frequent, repeated = shared.value
+        seen, sigs, nodes, n = set(), [], [], 0
+        for _, sets in _sets(batches, k):
             for s in sets:
                 if (node := _name(s)) not in seen:
                     seen.add(node)
-                    sigs.append(x := signatures(s, shared.value))
+                    sigs.append(x := signatures(s, frequent.has, repeated.has))
                     nodes.append(np.full(len(x), node, np.int64))
-        if sigs:
+                    n += len(x)
+            if n >= TOKENS_AT_ONCE // 2 or len(seen) >= TOKENS_AT_ONCE // 8:
+                yield from send(np.concatenate(sigs), np.concatenate(nodes))
+                seen, sigs, nodes, n = set(), [], [], 0
+        if n:
             yield from send(np.concatenate(sigs), np.concatenate(nodes))
 
-    def gather(pdf):
-        import pandas as pd
+    def gather(table):
+        import pyarrow as pa
 
-        sig = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in pdf["sig"]]).astype(np.int64)
-        node = np.concatenate([np.frombuffer(x, np.int64)[unpack(y)] for x, y in zip(pdf["names"], pdf["at"], strict=True)])
-        if pdf["part"].iloc[0] >= 0:
+        cols = table.to_pydict()
+        sig = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in cols["sig"]]).astype(np.int64)
+        node = np.concatenate([np.frombuffer(x, np.int64)[unpack(y)] for x, y in zip(cols["names"], cols["at"], strict=True)])
+        if cols["part"][0] >= 0:
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
@@ -241,36 +258,52 @@ def postings(docs: DataFrame, common: np.ndarray, k: int, rows: int) -> DataFram
             same = sig[1:] == sig[:-1]
             keep = np.r_[False, same] | np.r_[same, False]
             sig, node = sig[keep], node[keep]
-        return pd.DataFrame({"sig": sig, "node": node})
+            give_back()
+        return pa.table({"sig": sig, "node": node})
 
-    sent = with_block(docs).mapInArrow(run, "part long, sig binary, names binary, at binary")
+    sent = docs.mapInArrow(run, "part long, sig binary, names binary, at binary")
     passed = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("sig"), F.lit(1 << 40))).otherwise(F.col("part"))
-    return staged(sent.withColumn("part", passed).groupBy("part").applyInPandas(gather, "sig long, node long"), "join-postings")
+    return staged(sent.withColumn("part", passed).groupBy("part").applyInArrow(gather, "sig long, node long"), "join-postings")
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Written (node, tokens) for the classes among nodes, from the row of each with the least doc_id.
+def sets_of(docs: DataFrame, nodes: DataFrame, repeated: Bits, k: int, n: int) -> DataFrame:
+    """Written (node, tokens, shared) for the n classes among nodes; shared: which tokens may be in two texts.
 
-    A bitmap of fixed size keeps other rows from being sent; a few may pass, which only repeats a class.
+    A bitmap keeps other classes from being sent; it has eight bits and more for each class, up to 2**MOST_BITS, and a class may be sent
+    once for each run of rows that has it.
     """
-    first = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    bit = F.coalesce("doc_id", F.lit(0)).bitwiseAND((1 << BITMAP) - 1)
-    words = first.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toPandas()  # 2**18 rows at most
-    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    bits = int(np.clip(int(n).bit_length() + 3, 12, MOST_BITS))
+    bit = F.shiftrightunsigned("node", 64 - bits)
+    words = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toPandas()  # 2**(MOST_BITS - 6) rows at most
+    wanted = np.zeros(1 << (bits - 6), np.uint64)
+    wanted[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, repeated))
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
-        for _, ids, sets in _sets(batches, k):
-            at = np.array([(i or 0) & ((1 << BITMAP) - 1) for i in ids], np.int64)
-            found = {_name(sets[i]): sets[i] for i in np.flatnonzero((m[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))}
+        (m, repeated), sent = shared.value, set()
+        for _, sets in _sets(batches, k):
+            found = {}
+            for s in sets:
+                node = _name(s)
+                at = (node & (2**64 - 1)) >> (64 - bits)
+                if m[at >> 6] >> np.uint64(at & 63) & np.uint64(1) and node not in sent:
+                    found[node] = s >> DROP
+                    sent.add(node)
+            if len(sent) > TOKENS_AT_ONCE // 8:
+                sent.clear()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack(np.diff(s >> DROP, prepend=np.uint64(0))) for s in found.values()], pa.binary())], ["node", "tokens"])
+                some = []
+                for s in found.values():
+                    low = np.ones(len(s), bool)
+                    counted = int(np.searchsorted(s, TOP))
+                    low[:counted] = repeated.has(s[:counted])
+                    some.append(np.packbits(low).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack(np.diff(s, prepend=np.uint64(0))) for s in found.values()], pa.binary()), pa.array(some, pa.binary())], ["node", "tokens", "shared"])
 
-    return staged(with_block(docs).mapInArrow(run, "node long, tokens binary"), "join-sets")
+    sent = docs.mapInArrow(run, "node long, tokens binary, shared binary")
+    return staged(sent.join(F.broadcast(nodes) if n <= MOST_GONE else nodes, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -278,28 +311,32 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """Written (a, b, na, nb, c, extra): sizes, common tokens, and the first tokens of a outside b.
+    """Written (a, b, na, nb, c, extra): sizes, common tokens, and the first tokens of a outside b that may be in two texts.
 
     A partner of a that is not found through tokens of b shares at least percent * na - c of a's tokens outside b,
     so one of the first na - c - (that number) + 1 of them by hash.
     """
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), "shared"), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb", "shared")
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for p in batches:
             out = []
-            for x, y in zip(p["ta"], p["tb"], strict=True):
-                x, y = _tokens(x), _tokens(y)
+            for x, y, some in zip(p.column("ta"), p.column("tb"), p.column("shared"), strict=True):
+                x, y = _tokens(x.as_py()), _tokens(y.as_py())
                 inside = _common(x, y)
                 c = int(inside.sum())
                 need = max(1, -(-percent * len(x) // 100) - c)
-                out.append((len(x), len(y), c, x[~inside][: max(0, len(x) - c - need + 1)].tobytes()))
-            yield p[["a", "b"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["na", "nb", "c", "extra"]))
+                extra = np.flatnonzero(~inside)[: max(0, len(x) - c - need + 1)]
+                extra = extra[np.unpackbits(np.frombuffer(some.as_py(), np.uint8), count=len(x))[extra] == 1]
+                out.append((len(x), len(y), c, x[extra].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["a", "b", "na", "nb", "c", "extra"])
+        give_back()
 
-    return staged(both.mapInPandas(run, "a long, b long, na long, nb long, c long, extra binary"), tag)
+    return staged(both.mapInArrow(run, "a long, b long, na long, nb long, c long, extra binary"), tag)
 
 
 def linked(d: DataFrame, percent: int) -> DataFrame:
@@ -307,11 +344,28 @@ def linked(d: DataFrame, percent: int) -> DataFrame:
 
 
 def _exploded(batches):
-    import pandas as pd
+    """Rows of the columns, once for each token of extra."""
+    import pyarrow as pa
 
     for p in batches:
-        tokens = [np.frombuffer(x, np.int64) for x in p["extra"]]
-        yield p.drop(columns="extra").loc[p.index.repeat([len(t) for t in tokens])].assign(token=np.concatenate([*tokens, np.zeros(0, np.int64)]))
+        extra = p.column("extra")
+        sizes = np.array([len(x.as_py()) // 8 for x in extra], np.int64)
+        tokens = np.frombuffer(b"".join(x.as_py() for x in extra), np.int64)
+        rows = pa.array(np.repeat(np.arange(p.num_rows), sizes))
+        names = [n for n in p.schema.names if n != "extra"]
+        yield pa.RecordBatch.from_arrays([*(p.column(n).take(rows) for n in names), pa.array(tokens)], [*names, "token"])
+
+
+def across(rows: DataFrame, on: list[str], keep) -> DataFrame:
+    """(a, b): pairs of the rows (a, n, c, r) that share `on` and differ in r, if keep holds for columns a1, a2, n1, ...
+
+    Of each `on` with several r, the rows of its most frequent r meet only the others: work follows the pairs that differ.
+    """
+    each = rows.groupBy(*on, "r").agg(F.count("*").alias("w"))
+    several = each.groupBy(*on).agg(F.max(F.struct("w", "r"))["r"].alias("most"), F.count("*").alias("rs")).filter("rs > 1").select(*on, "most")
+    rows = rows.join(several, on)
+    one, two = (x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r"))) for i, x in ((1, rows.filter("r <> most")), (2, rows)))
+    return one.join(two, on).filter((F.col("r1") != F.col("r2")) & keep).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
 
 
 def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -324,18 +378,16 @@ def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataF
     d = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumn("r", F.coalesce("ra", "a")).withColumn("rz", F.coalesce("rb", "b"))
     mixed = d.groupBy("b").agg(F.min(F.least("r", "rz")).alias("lo"), F.max(F.greatest("r", "rz")).alias("hi")).filter("lo < hi").select("b")
     d = staged(d.join(mixed, "b", "left_semi").select("a", "b", F.col("na").alias("n"), "c", "r", "extra"), "join-mixed")
-    sides = lambda x, on: (x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r"))) for i in (1, 2))
     n, low, union = F.col("n1") + F.col("n2"), F.least("c1", "c2"), 100 + percent
-    apart = (F.col("a1") < F.col("a2")) & (F.col("r1") != F.col("r2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    extra = d.mapInPandas(_exploded, "a long, b long, n long, c long, r long, token long")
-    x, y = sides(extra, ["b", "token"])
+    sizes = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    extra = d.filter(F.octet_length("extra") > 0).mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long")
     most = low + F.least(F.col("n1") - F.col("c1"), F.col("n2") - F.col("c2"))
-    outside = x.join(y, ["b", "token"]).filter(apart & (most * union >= n * percent))
+    outside = across(extra.withColumnRenamed("b", "z"), ["z", "token"], sizes & (most * union >= n * percent))
     inner = post.join(star, "sig").join(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r"), ["node", "b"])
-    x, y = sides(inner, ["sig"])
-    inside = x.join(y, "sig").filter(apart & (low * union >= n * percent))
-    pairs = [p.select(F.col("a1").alias("a"), F.col("a2").alias("b")) for p in (outside, inside)]
-    return staged(pairs[0].union(pairs[1]).distinct(), "join-rest")
+    inside = across(inner.select("sig", "a", "n", "c", "r"), ["sig"], sizes & (low * union >= n * percent))
+    out = staged(outside.union(inside).distinct(), "join-rest")
+    discard(d)
+    return out
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
@@ -343,8 +395,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     assert percent >= 80
     docs = docs.select("doc_id", "text")
     rows = classes(docs, k)
-    n = rows.count()
-    post = postings(docs, frequent_tokens(docs, k, n), k, n)
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    bits = token_bits(docs, k, tokens)
+    post = postings(docs, bits, k, tokens)
     # The most typical class of a signature: the one with the most shared signatures.
     weight = post.groupBy("node").agg(F.count("*").alias("w"))
     heavy = post.join(weight, "node")
@@ -356,14 +409,18 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     close = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     pairs = staged(pairs.filter((F.col("held") > 2) | close).select("a", "b"), "join-pairs")
-    sets = sets_of(docs, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k)
+    nodes = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-nodes")
+    sets = sets_of(docs, nodes, bits[1], k, nodes.count())
     stars = compared(pairs, sets, percent, "join-stars")
     links = linked(stars, percent)
     roots = components(links)
     rest = still_apart(post, star, stars, roots, percent)
+    done = [post, star, pairs, nodes, sets, stars, rest]
     if not rest.isEmpty():
-        links = links.union(linked(compared(rest, sets, percent, "join-tested"), percent))
-        roots = components(links)
+        tested = compared(rest, sets, percent, "join-tested")
+        roots = components(links.union(linked(tested, percent)))
+        done.append(tested)
+    discard(*done)
     d = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = d.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return d.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
