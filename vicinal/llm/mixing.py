@@ -5,7 +5,8 @@ key, cut into ranges of that key, and a distributed prefix sum of word counts (r
 sum inside each range) tells where the source's budget ends. A budget above the source's size repeats it.
 
 Cases: a null text has size 0; rows of size 0 take nothing; the null source is a source of its own, last in
-order; equal rows (same doc_id and text) get spans one after the other; an empty table gives an empty result.
+order; the key is a hash of doc_id and text, so null or repeated doc_ids do not gather in one range unless their texts
+are equal too; equal rows (same doc_id and text) get spans one after the other; an empty table gives an empty result.
 Only doc_id, text and source are read, so further columns cannot clash.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import BIN_ROWS, WORD, bin_offsets, key_bin, shuffle_key, small_side, source_key, staged
+from .common import BIN_ROWS, WORD, bin_offsets, key_bin, ranked, shuffle_key, small_side, source_key, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -26,27 +27,23 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
     Water filling: sources in order of cap per weight; the first one that its share does not overfill, and
     all after it, share by weight what the capped ones leave.
     """
-    everything = W.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("skey") == "", "skey")
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long")
-    d = sizes.withColumn("w", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
-    by_room = everything.orderBy(F.col("cap") / F.col("w"), F.col("skey") == "", "skey")
-    before = by_room.rowsBetween(W.unboundedPreceding, -1)
-    d = d.select(
-        "*",
-        F.row_number().over(by_room).alias("i"),
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
-        (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("w_left"),
-    )
+    by_name = [F.col("skey") == "", F.col("skey")]
+    d = ranked(sizes, by_name, [], "mix-names")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_place") - 1) % len(weights) + 1).cast("int")).cast("long")
+    d = d.select("skey", "n_rows", "source_size", weight.alias("w"), (F.lit(most) * F.col("source_size")).alias("cap"))
+    d = ranked(d, [F.col("cap") / F.col("w"), *by_name], ["cap", "w"], "mix-room")
+    size, w = d.agg(F.sum("source_size"), F.sum("w")).first()
+    d = d.withColumns({"left": F.lit(size or 0) - F.col("cap_before"), "w_left": F.lit(w or 0) - F.col("w_before")})
     fits = F.col("left") * F.col("w") <= F.col("cap") * F.col("w_left")
-    d = d.withColumn("first", F.min(F.when(fits, F.struct("i", "left", "w_left"))).over(everything))
-    share = F.col("w").cast("double") * F.col("first.left") / F.col("first.w_left")
-    return d.select("skey", "n_rows", "source_size", F.when(F.col("i") < F.col("first.i"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    place, left, w_left = d.agg(F.min(F.when(fits, F.struct("_place", "left", "w_left"))).alias("x")).select("x.*").first()
+    share = F.col("w").cast("double") * F.lit(left).cast("double") / F.lit(w_left).cast("double")
+    target = F.when(F.col("_place") < F.lit(place), F.col("cap").cast("double")).otherwise(share)
+    return d.select("skey", "n_rows", "source_size", target.alias("target"))
 
 
 def _keyed(docs: DataFrame, keep: tuple, seed: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*keep, source_key(F.col("source")).alias("skey"), shuffle_key(seed, F.col("doc_id")).alias("_key"), size.alias("size"))
+    return docs.select(*keep, source_key(F.col("source")).alias("skey"), shuffle_key(seed, F.col("doc_id"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("_key"), size.alias("size"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED, keep: tuple = ("doc_id",)) -> DataFrame:
@@ -82,7 +79,7 @@ def op1(spark, sf_dir):
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS varchar), 'null')) AS key,
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS varchar), 'null') || ':' || md5(coalesce(text, ''))) AS key,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap,

@@ -7,7 +7,8 @@ So every shard holds each source's share to within about a row, and shard counts
 one task.
 
 Cases: a null text has no bytes (size 1, crc of nothing: 0); the null source is a source of its own; equal
-rows get different slots; an empty table gives an empty result; only doc_id, text and source are read.
+rows get different slots; the key is a hash of doc_id, size and CRC, so null or repeated doc_ids do not gather in one
+range unless their texts are equal too; an empty table gives an empty result; only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
         docs.select(
             "doc_id",
             source_key(F.col("source")).alias("skey"),
-            shuffle_key(seed, F.col("doc_id")).alias("key"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        ),
+        ).withColumn("key", shuffle_key(seed, F.col("doc_id"), F.col("size"), F.col("text_crc32"))),
         "shard-rows",
     )
     sources = small_side(rows.groupBy("skey").agg(F.count("*").alias("n_s")), "shard-sources")
@@ -59,10 +59,11 @@ WITH RECURSIVE bits(b, c, k) AS (
   SELECT i, i, 0 FROM range(256) r(i) UNION ALL
   SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
 tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
-d AS (SELECT doc_id, source, md5('shard:' || coalesce(cast(doc_id AS varchar), 'null')) AS key, strlen(coalesce(text, ''))::bigint + 1 AS size,
+e AS (SELECT doc_id, source, strlen(coalesce(text, ''))::bigint + 1 AS size,
   CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce(
     list_prepend(4294967295::bigint, [('0x' || h)::bigint FOR h IN regexp_extract_all(hex(encode(text)), '..')]),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END::bigint AS text_crc32 FROM documents, tab),
+d AS (SELECT *, md5('shard:' || coalesce(cast(doc_id AS varchar), 'null') || ':' || size || ':' || text_crc32) AS key FROM e),
 r AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1) + 1)::double
              / (2 * count(*) OVER (PARTITION BY source)) AS frac FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY frac, coalesce('=' || source, ''), key, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM r),
