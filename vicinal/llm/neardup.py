@@ -7,8 +7,10 @@ are computed in double precision and links are those at the threshold or above,
 
 The rows of a label lie in blocks in the order of their cells; a large cell (a group of copies) takes several. A vector
 goes to each block with a cell that it visits, and two blocks meet in one task, where a pair is counted once. A task
-returns link counts and a spanning star for each of its groups, never its pairs. The bound cuts little where vectors
-are spread evenly in many dimensions; then nearly all pairs of a label are compared.
+returns link counts and a spanning star for each of its groups, never its pairs. Equal vectors of a label are one
+vector with a count. The bound cuts little where vectors are spread evenly in many dimensions; then nearly all pairs
+of a label's different vectors are compared. The grid grows with the root of the rows up to MOST_CENTRES a half, which
+bounds what a task holds of it; larger cells only take more blocks.
 
 Cases: null, zero and non-finite vectors and rows with null label or vec_id link with nothing (component_id =
 vec_id); vectors meet only vectors of their length and label; rows that repeat a vec_id are vectors of their
@@ -20,13 +22,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import small_side, staged
+from .common import discard, small_side, staged
 from .graph import components
 from .search import finite
 
 THRESHOLD = 0.93
 #: Bounded sample for the codebooks; rows of a block, and of the part of it that is multiplied at once.
 TRAIN_ROWS, BLOCK, SLICE = 20_000, 4096, 1024
+MOST_CENTRES = 256
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -94,10 +97,17 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
                 x = np.stack(g["embedding"]).astype(np.float64)
                 x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
                 x /= np.sqrt((x**2).sum(1, keepdims=True))
-                yield pd.DataFrame({"vec_id": g["vec_id"], "label": g["label"], "dim": d, "v": [r.tobytes() for r in x]})
+                yield pd.DataFrame({"vec_id": g["vec_id"], "label": g["label"], "dim": d, "v": [r.tobytes() for r in x + 0.0]})
 
     rows = finite(vectors).filter(F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
-    return staged(rows.mapInPandas(run, "vec_id long, label string, dim int, v binary").withColumn("uid", F.monotonically_increasing_id()), "neardup-rows")
+    rows = rows.mapInPandas(run, "vec_id long, label string, dim int, v binary").withColumns({"uid": F.monotonically_increasing_id(), "same": F.md5("v")})
+    return staged(rows, "neardup-rows")
+
+
+def distinct(rows: DataFrame) -> DataFrame:
+    """Written uid (the least), label, dim, v, same, m: one row for m equal vectors of a label."""
+    found = rows.groupBy("label", "dim", "same").agg(F.min(F.struct("uid", "v")).alias("x"), F.count("*").alias("m"))
+    return staged(found.select("x.uid", "label", "dim", "x.v", "same", "m"), "neardup-distinct")
 
 
 def _matrix(column) -> np.ndarray:
@@ -105,26 +115,26 @@ def _matrix(column) -> np.ndarray:
 
 
 def build(rows: DataFrame, n: int) -> Index:
-    ordered = rows.orderBy(F.xxhash64("vec_id", "uid")).select("dim", "v").limit(TRAIN_ROWS).toPandas()
-    k = int(np.clip(2 ** np.round(np.log2(np.sqrt(max(1, n) / 200))), 4, 64))
+    ordered = rows.orderBy(F.xxhash64("uid")).select("dim", "v").limit(TRAIN_ROWS).toPandas()
+    k = int(np.clip(2 ** np.round(np.log2(np.sqrt(max(1, n) / 200))), 4, MOST_CENTRES))
     return Index({d: _matrix(g["v"]) for d, g in ordered.groupby("dim")}, k)
 
 
 def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
-    """Written rows (uid, n, root): n links of uid found between two blocks, root a row that it is joined with there."""
+    """Written rows (uid, n, root) of distinct vectors: n rows that uid links with between two blocks, root a vector that it is joined with there."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def housed(batches):
         for b in batches:
             for _, g in b.groupby("dim"):
-                yield g.assign(cell=shared.value.homes(_matrix(g["v"])))[["uid", "label", "dim", "v", "cell"]]
+                yield g.assign(cell=shared.value.homes(_matrix(g["v"])))[["uid", "label", "dim", "v", "m", "cell"]]
 
-    d = staged(rows.select("uid", "label", "dim", "v").mapInPandas(housed, "uid long, label string, dim int, v binary, cell int"), "neardup-cells")
+    d = staged(rows.select("uid", "label", "dim", "v", "m").mapInPandas(housed, "uid long, label string, dim int, v binary, m long, cell int"), "neardup-cells")
     before = W.partitionBy("label", "dim").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # as many rows as cells
     cells = d.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     cells = small_side(cells, "neardup-sizes", 100_000)
     block = lambda place: F.floor(place / BLOCK).cast("int")
-    d = d.join(cells, ["label", "dim", "cell"]).select("uid", "label", "dim", "v", block(F.col("start") + F.pmod(F.xxhash64("uid"), F.col("n"))).alias("block"))
+    d = d.join(cells, ["label", "dim", "cell"]).select("uid", "label", "dim", "v", "m", block(F.col("start") + F.pmod(F.xxhash64("uid"), F.col("n"))).alias("block"))
     spans = cells.select("label", "dim", "cell", block(F.col("start")).alias("first"), block(F.col("start") + F.col("n") - 1).alias("last"))
     grid = spans.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("cell", "first", "last"))).alias("spans"))
     grid = grid.select("label", "dim", F.explode(F.sequence(F.lit(0), F.array_max("spans.last"))).alias("block"), *(F.col(f"spans.{c}").alias(c) for c in ("cell", "first", "last")))
@@ -133,26 +143,27 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
         import pandas as pd
 
         if not len(rows):
-            return pd.DataFrame({"uid": [], "label": [], "dim": [], "v": [], "block": [], "visits": []})
+            return pd.DataFrame({"uid": [], "label": [], "dim": [], "v": [], "m": [], "block": [], "visits": []})
         cell, first, last = (np.asarray(grid[c].iloc[0]) for c in ("cell", "first", "last"))
         every = np.arange(last[-1] + 1)
         at, to = np.searchsorted(last, every), np.searchsorted(first, every, "right")  # the cells of each block
         visits = []
-        for k in range(0, len(rows), SLICE):
-            met = shared.value.visits(_matrix(rows["v"].iloc[k : k + SLICE]), cell, threshold).cumsum(1, dtype=np.int32)
+        part = max(16, min(SLICE, (1 << 21) // len(cell)))
+        for k in range(0, len(rows), part):
+            met = shared.value.visits(_matrix(rows["v"].iloc[k : k + part]), cell, threshold).cumsum(1, dtype=np.int32)
             met = np.pad(met, ((0, 0), (1, 0)))
             visits += [np.flatnonzero(r) for r in met[:, to] > met[:, at]]
-        return rows[["uid", "label", "dim", "v", "block"]].assign(visits=visits)
+        return rows[["uid", "label", "dim", "v", "m", "block"]].assign(visits=visits)
 
     keys = ["label", "dim", "block"]
-    sent = d.groupBy(*keys).cogroup(grid.groupBy(*keys)).applyInPandas(routed, "uid long, label string, dim int, v binary, block int, visits array<int>")
-    sent = sent.withColumn("to", F.explode("visits")).select("label", "dim", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "v")
+    sent = d.groupBy(*keys).cogroup(grid.groupBy(*keys)).applyInPandas(routed, "uid long, label string, dim int, v binary, m long, block int, visits array<int>")
+    sent = sent.withColumn("to", F.explode("visits")).select("label", "dim", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "v", "m")
 
     def meet(rows):
         import pandas as pd
 
         lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        g, h = ((x["uid"].to_numpy(), _matrix(x["v"])) if len(x := rows[rows["block"] == k]) else (np.zeros(0, int), None) for k in (lo, hi))
+        g, h = ((x["uid"].to_numpy(), _matrix(x["v"]), x["m"].to_numpy()) if len(x := rows[rows["block"] == k]) else (np.zeros(0, int), None, None) for k in (lo, hi))
         uid, n, root = [], [], []
         for i in range(0, len(g[0]), SLICE):
             for j in range(i if lo == hi else 0, len(h[0]), SLICE):
@@ -168,7 +179,8 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
                 m, a, b = m[np.ix_(ga, hb)], a[ga], b[hb]
                 ra, rb = _stars(m)
                 uid += [a, b]
-                n += [m.sum(1), 0 * m.sum(0) if same else m.sum(0)]
+                to_b = m @ h[2][j : j + SLICE][hb]
+                n += [to_b, np.zeros(len(b), int) if same else g[2][i : i + SLICE][ga] @ m]
                 root += [a[ra], a[rb]]
         if not uid:
             return pd.DataFrame({"uid": [], "n": [], "root": []}, dtype="int64")
@@ -181,15 +193,18 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of the input."""
     rows = unit_rows(vectors)
-    n = rows.count()
-    index = build(rows, n) if n else Index({}, 4)
-    found = links(rows, index, threshold)
+    one = distinct(rows)
+    n = one.count()
+    index = build(one, n) if n else Index({}, 4)
+    found = links(one, index, threshold)
     counts = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
-    d = rows.select("uid", "vec_id").join(counts, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    d = staged(d, "neardup-joined")
+    one = one.select("uid", "label", "dim", "same", "m").join(counts, "uid", "left").join(roots, "uid", "left")
+    one = one.select("label", "dim", "same", F.coalesce("root", "uid").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    d = staged(rows.select("vec_id", "label", "dim", "same").join(one, ["label", "dim", "same"]), "neardup-joined")
+    discard(rows)
     least = d.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    linked = d.join(least, "root").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    linked = d.join(least, "root").select("vec_id", "n_links", "component_id")
     can = F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.col("vec_id").isNotNull()
     alone = vectors.filter(~F.coalesce(can, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
