@@ -19,9 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, remainder, staged, text_bytes
+from .common import remainder, returned, staged, text_bytes
 
 TRAIN_ROWS_PER_LANG = 4000
+#: A classifier of more languages is refused (an error, none is dropped).
+MOST_LANGS = 1000
 LOG_DIMS = 15
 #: A text is ambiguous if its best probability is below this.
 AMBIGUOUS = 0.6
@@ -48,6 +50,15 @@ def grams(data: np.ndarray) -> np.ndarray:
     return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOG_DIMS)).astype(np.int32)
 
 
+def row_grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for rows that begin at the offsets: each row is on its own, with spaces before it."""
+    n = len(at) - 1
+    place = np.arange(len(data)) + 3 * np.repeat(np.arange(1, n + 1), np.diff(at))
+    x = np.full(len(data) + 3 * n, 32, np.uint8)
+    x[place] = data
+    return grams(x)[place]
+
+
 def codewords(k: int) -> np.ndarray:
     """k rows of +1/-1: all distinct splits for up to 5 languages, else the random code with the widest rows of 50."""
     if k <= 5:
@@ -76,18 +87,18 @@ class Model:
         if not out.size:
             return out
         first = 0
-        while first < len(at) - 1:  # rows in chunks; a longer row is cut into chunks that overlap
+        while first < len(at) - 1:  # as many rows as a chunk holds, or a longer row in chunks that overlap
             last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
-            for lo in range(at[first], max(at[last], at[first] + 1), CHUNK):
-                hi = min(at[last], lo + CHUNK)
-                if hi <= lo:
-                    continue
-                lead = min(3, lo - at[first])
-                w = self.weights[grams(data[lo - lead : hi])[lead:]]
-                rows = np.arange(first, last)
-                rows = rows[at[rows + 1] > at[rows]]
-                starts = np.maximum(at[rows], lo) - lo
-                out[rows] += np.add.reduceat(w, starts, axis=0)
+            if last > first + 1:
+                rows = first + np.flatnonzero(np.diff(at[first : last + 1]))
+                if len(rows):
+                    w = self.weights[row_grams(data[at[first] : at[last]], at[first : last + 1] - at[first])]
+                    out[rows] = np.add.reduceat(w, at[rows] - at[first], axis=0, dtype=np.float64)
+            else:
+                for lo in range(at[first], at[last], CHUNK):
+                    lead = min(3, lo - at[first])
+                    w = self.weights[grams(data[lo - lead : min(at[last], lo + CHUNK)])[lead:]]
+                    out[first] += np.add.reduceat(w, [0], axis=0, dtype=np.float64)[0]
             first = last
         return out / np.sqrt(np.diff(at) + 1.0)[:, None]
 
@@ -101,7 +112,9 @@ class Model:
 def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
     """From rows with text and lang; counts are summed in Spark, a vector for each language reaches the driver."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(share) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang: these are no languages")
     if not share:
         return Model([], np.zeros((0, 0)), np.zeros((1 << LOG_DIMS, 0)), np.zeros(0))
     langs = sorted(r["lang"] for r in share)
@@ -113,16 +126,18 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in returned(batches):
             data, at = text_bytes(b.column("text"))
             for i, lang in enumerate(b.column("lang").to_pylist()):
                 c = np.bincount(grams(data[at[i] : at[i + 1]]), minlength=1 << LOG_DIMS)
-                sums[lang] = sums.get(lang, 0) + np.sqrt(c)  # the root keeps one long row from ruling
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.float64).tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
+                sums[lang] = sums.get(lang, 0) + np.rint(4096 * np.sqrt(c)).astype(np.int64)  # the root keeps one long row from ruling; whole numbers add up alike in any order
+        for lang, v in sums.items():
+            seen = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(v[seen])], ["lang", "gram", "n"])
 
     sums = np.zeros((len(langs), 1 << LOG_DIMS))
-    for r in sample.mapInArrow(count, "lang string, sums binary").toLocalIterator():
-        sums[langs.index(r["lang"])] += np.frombuffer(r["sums"])
+    found = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # langs * 2**LOG_DIMS rows at most
+    sums[np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)), found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(float) / 4096
     p = (sums + 0.5) / (sums + 0.5).sum(1, keepdims=True)
     code = codewords(len(langs))
     weights = np.stack([np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])] or [np.zeros(0)], 1) if code.size else np.zeros((1 << LOG_DIMS, 0))
@@ -132,7 +147,7 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
         def right(batches):
             import pyarrow as pa
 
-            for b in batches:
+            for b in returned(batches):
                 m = model.margins(*text_bytes(b.column("text")))
                 want = model.code[[model.langs.index(x) for x in b.column("lang").to_pylist()]].reshape(m.shape)
                 yield pa.RecordBatch.from_arrays([pa.array([((m * want) > 0).sum(0).tolist()], pa.list_(pa.int64())), pa.array([len(m)], pa.int64())], ["good", "n"])
@@ -151,7 +166,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFra
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in returned(batches):
             seen, n = np.array(b.column("lettered").to_pylist(), bool), b.num_rows
             if not m.langs:
                 best, score = np.zeros(n, int), np.zeros(n)
@@ -166,7 +181,6 @@ def predict(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFra
                 [*(b.column(f"_{c}") for c in keep), pa.array(names[np.where(seen, best, -1)].tolist(), pa.string()), pa.array(np.where(seen, score, 0.0)), pa.array(seen & (score < AMBIGUOUS))],
                 [*keep, "lang_pred", "score", "ambiguous"],
             )
-        give_back()
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
