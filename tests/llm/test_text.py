@@ -172,7 +172,10 @@ def test_signatures_meet():
         same = len(np.intersect1d(a, b))
         common = np.unique(rng.permutation(a)[: int(rng.integers(0, len(a) + 1))] >> ngram_join.DROP)
         if len(b) >= 4 and 100 * same >= 80 * (len(a) + len(b) - same) and not np.array_equal(a, b):
-            assert len(np.intersect1d(ngram_join.signatures(a, common), ngram_join.signatures(b, common)))
+            frequent = lambda x: ngram_join._common(x, common)
+            assert len(np.intersect1d(ngram_join.signatures(a, frequent), ngram_join.signatures(b, frequent)))
+            repeated = lambda x: ngram_join._common(x, np.intersect1d(a, b) >> ngram_join.DROP)
+            assert len(np.intersect1d(ngram_join.signatures(a, frequent, repeated), ngram_join.signatures(b, frequent, repeated)))
 
 
 def test_language_model(spark, texts):
@@ -199,3 +202,80 @@ def test_model_is_a_distribution(spark, texts):
     w = np.array([0.5, 0.3, 0.2])
     p = w[0] * np.array([2, 1, 0]) / 3 + w[1] * ones / total + w[2] / 4
     assert abs(p.sum() + w[2] / 4 - 1) < 1e-12
+
+
+def test_toxicity_by_brute_force():
+    """Features and score, with plain edit distances to every term and prefix."""
+    import numpy as np
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    terms = [("scumbag", False, True), ("moron", True, True), ("rat", False, False), ("idio", True, False), ("scumbug", False, True)]
+
+    def hit(token):
+        found = []
+        for part in re.findall(r"[^\W_]+", token):
+            for k, (t, stem, edits) in enumerate(terms):
+                ends = [part[:i] for i in range(1, len(part) + 1)] if stem else [part]
+                d = min(distance(t, e) for e in ends)
+                if d <= (1 if edits else 0):
+                    found.append((d, k))
+        return min(found, default=None)
+
+    def features(text):
+        tokens = (text or "").lower().split()
+        sums = [0.0, 0.0, 0.0]
+        for i, t in enumerate(tokens):
+            if (h := hit(t)) is None:
+                continue
+            near = range(max(0, i - toxicity.WINDOW), min(len(tokens), i + toxicity.WINDOW + 1))
+            opened = any(tokens[j][0] in toxicity.MARKS for j in near if j <= i)
+            closed = any(tokens[j].rstrip(".,;:!?")[-1:] in set(toxicity.MARKS) for j in near if j >= i)
+            cues = sum(tokens[j].strip(".,;:!?" + toxicity.MARKS) in toxicity.REPORTING for j in near if j != i)
+            abuse = (0.3 if opened and closed else 1.0) * 0.6 ** min(3, cues)
+            sums[1 if terms[h[1]][1] else 0] += abuse * (toxicity.EDITED if h[0] else 1)
+            sums[2] += 1 - abuse
+        return [min(1, sums[0]), math.log1p(sums[0]), min(1, sums[1]), math.log1p(sums[1]), math.log1p(sums[2])]
+
+    r = random.Random(8)
+    vocabulary = ["you", "are", "a", "scumbag", "scumbsg,", "skumbag!", '"moron"', "moronic", "m0ron.", "rat", "rats", "idiots", "idots", "said", "he", "wrote:", "«", "word»", "the", "stone", "..."]
+    w = np.array([1.5, 0.7, 1.1, 0.2, -0.4, -1.0])
+    model = toxicity.Model(terms, w)
+    for _ in range(300):
+        text = " ".join(r.choices(vocabulary, k=r.randint(0, 25)))
+        got, want = model.features(text), features(text)
+        assert got == pytest.approx(want, abs=1e-12), text
+    assert model.features(None) == features(None)
+
+
+def test_language_id_does_not_look_at_other_rows():
+    """A row's margins are those that it has alone, whatever stands before it, and those of a plain loop over its grams."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    code = langid.codewords(3)
+    model = langid.Model(["a", "b", "c"], code, rng.normal(size=(1 << langid.LOG_DIMS, code.shape[1])).astype(np.float32), np.ones(code.shape[1]))
+    texts = [b"A,", b"", "être là".encode(), b"x", b"abc def 123", b"the end", b"x" * 9, "été ".encode() * 400_000, b"A,"]  # one is longer than a chunk
+    for order in (list(range(9)), [3, 0, 7, 1, 8, 2, 6, 5, 4], list(range(9))[::-1]):
+        data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+        at = np.r_[0, np.cumsum([len(texts[i]) for i in order])]
+        got = model.margins(data, at)
+        for row, i in zip(got, order, strict=True):
+            alone = model.margins(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]))[0]
+            assert np.array_equal(row, alone)
+            if len(texts[i]) < 1000:
+                folded = [32] * 3 + [int(langid.FOLD[x]) for x in texts[i]]
+                want = np.zeros(code.shape[1])
+                for j in range(len(texts[i])):
+                    h = 0
+                    for x in folded[j : j + 4]:
+                        h = h << 8 | x
+                    want += model.weights[(h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.LOG_DIMS)]
+                assert row == pytest.approx(want / math.sqrt(len(texts[i]) + 1))

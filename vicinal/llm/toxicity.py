@@ -1,4 +1,4 @@
-"""Toxicity: Levenshtein automata intersected with a lexicon trie, hits weighed by their context window.
+"""Toxicity: Levenshtein automata intersected with a lexicon trie, hits weighed by the words around them.
 
 The lexicon (whole terms and stems) is learned from labelled rows. Its trie and the Levenshtein automata of
 its terms form one nondeterministic automaton whose states are (trie node, edits); it is made deterministic
@@ -8,8 +8,9 @@ marks on both sides and reporting words lower what the hit counts for. A logisti
 of the hits into a score.
 
 Learning reads at most TRAIN_ROWS labelled rows (a documented bound; picked by hash); scoring reads whole
-texts. Cases: null and empty texts score like a text without hits; repeated labels of a doc_id count once,
-the worst one; labels without a document and null labels are left out; without both classes in the labels
+texts. The lexicon has every term that tells the label in these rows; none is cut by number. Cases: null and empty texts
+score like a text without hits; repeated labels of a doc_id count once, the worst one, and so do repeated documents of a
+labelled doc_id, the one with the least text; labels without a document and null labels are left out; without both classes in the labels
 every score is 0; equal texts get equal scores; an empty table gives an empty result. Only doc_id and text of
 the documents and doc_id and toxic of the labels are read.
 """
@@ -23,10 +24,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, remainder, staged
+from .common import remainder, returned, staged
 
 TRAIN_ROWS = 20_000
-MOST_TERMS = 500
 LEAST_ROWS, LEAST_SHARE = 4, 0.75
 #: Likelihood-ratio statistic that a term must reach: chance terms of a million words stay below.
 LEAST_G2 = 24.0
@@ -160,7 +160,7 @@ def _counted(batches):
     import pandas as pd
 
     pos, neg = Counter(), Counter()
-    for b in batches:
+    for b in returned(batches):
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
             words = {w for w in PART.findall((text or "").lower()) if len(w) > 2 and not w.isdigit()}
             stems = {w[:k] + "*" for w in words for k in STEM_LETTERS if len(w) > k}
@@ -172,14 +172,16 @@ def _counted(batches):
         yield pd.DataFrame(rest[i : i + 100_000], columns=["term", "pos", "neg"])
 
 
-def _g2(p: int, n: int, rate: float) -> float:
-    return 2 * sum(x * np.log(x / (e * (p + n))) for x, e in ((p, rate), (n, 1 - rate)) if x)
+def telling(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
+    """The terms (term, pos, neg) that tell the label."""
+    p, n, rate = F.col("pos"), F.col("neg"), n_pos / (n_pos + n_neg)
+    share = (p / n_pos) / (p / n_pos + (n + 0.5) / n_neg)
+    g2 = 2 * sum((F.when(x > 0, x * F.log(x / (e * (p + n)))).otherwise(0.0) for x, e in ((p, rate), (n, 1 - rate))), F.lit(0.0))
+    return counts.filter((p >= LEAST_ROWS) & (share >= 0.97) & (p / (p + n) >= LEAST_SHARE) & (g2 >= LEAST_G2))
 
 
-def choose(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tuple[str, bool]]:
-    """Terms by how much they tell; no stem that one longer form explains, no term that a chosen stem covers."""
-    share = lambda p, n: (p / n_pos) / (p / n_pos + (n + 0.5) / max(1, n_neg))
-    good = {t: p for t, p, n in rows if p >= LEAST_ROWS and share(p, n) >= 0.97 and p / (p + n) >= LEAST_SHARE and _g2(p, n, n_pos / (n_pos + n_neg)) >= LEAST_G2}
+def choose(good: dict[str, int]) -> list[tuple[str, bool]]:
+    """Of the telling terms and their rows with the label: no stem that one longer form explains, no term that a chosen stem covers."""
     longer: dict[str, int] = {}
     for t, p in good.items():
         word = t.rstrip("*")
@@ -195,8 +197,6 @@ def choose(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tup
         chosen.append((word, stem))
         if stem:
             stems.add(word)
-        if len(chosen) == MOST_TERMS:
-            break
     return chosen
 
 
@@ -219,13 +219,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """labels: the rows to learn from."""
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     picked = staged(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-labels")  # at most `rows` rows, so it may be broadcast
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxic-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a doc_id counts once
+    sample = staged(sample.select("text", "toxic"), "toxic-sample")
     sizes = dict(sample.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return Model([], np.array([0.0] * 5 + [-99.0]))
     counts = sample.mapInPandas(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = counts.filter((F.col("pos") >= LEAST_ROWS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg")))).orderBy(F.desc("pos"), "term").limit(20 * MOST_TERMS)
-    terms = choose([tuple(r) for r in best.collect()], sizes[1], sizes[0])
+    terms = choose({r["term"]: r["pos"] for r in telling(counts, sizes[1], sizes[0]).collect()})  # of `rows` rows: each term is in LEAST_ROWS of them
     wide = docs.sparkSession.sparkContext.broadcast(Model([(t, s, len(t) >= FUZZY_LETTERS) for t, s in terms], np.zeros(6)))
 
     def edited(batches):
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         import pandas as pd
 
         met = Counter()
-        for b in batches:
+        for b in returned(batches):
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 met.update({(k[1], toxic) for t in set((text or "").lower().split()) if (k := wide.value.kind(t)) and k[0]})
         yield pd.DataFrame([(t, n if y else 0, 0 if y else n) for (t, y), n in met.items()], columns=["term", "pos", "neg"])
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def featured(batches):
         import pandas as pd
 
-        for b in batches:
+        for b in returned(batches):
             x = np.array([shared.value.features(t) for t in b["text"]]).reshape(-1, 5)
             yield pd.DataFrame(x, columns=list("abcde")).assign(y=b["toxic"].to_numpy())
 
@@ -255,6 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
+def _released(batches, model: Model):
+    """The batches; what the model has remembered goes with the last."""
+    try:
+        yield from returned(batches)
+    finally:
+        model.cache, model.automaton = {}, None
+
+
 def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame:
     """The columns to keep, then score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -263,13 +271,11 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in _released(batches, m):
             texts = b.column("_tox_text").to_pylist()
             x = np.array([m.features(t) for t in texts]).reshape(-1, 5) if m.terms else np.zeros((len(texts), 5))
             z = x @ m.weights[:-1] + m.weights[-1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
-        m.cache, m.automaton = {}, None
-        give_back()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     return docs.select(*keep, F.col("text").alias("_tox_text")).mapInArrow(run, f"{schema}, score double")
