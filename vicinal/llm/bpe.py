@@ -212,16 +212,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         tok = loaded(shared.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(lo, TEXTS_AT_ONCE)
-                got = tok.encode([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in got], pa.int64()), pa.array([sha(ids.encode()) for ids, _ in got]), pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, raw in got])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-        tok.words, tok.pairs, tok.holds = {}, tok.pairs[:0].copy(), tok.holds[:0].copy()
-        give_back()
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
+                    part = b.slice(lo, TEXTS_AT_ONCE)
+                    got = tok.encode([t or "" for t in part.column("text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in got], pa.int64()), pa.array([sha(ids.encode()) for ids, _ in got]), pa.array([sha(raw.decode("utf-8", "replace").encode()) for _, raw in got])],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            tok.words, tok.pairs, tok.holds = {}, tok.pairs[:0].copy(), tok.holds[:0].copy()
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -27,7 +27,7 @@ from html import unescape
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, staged
+from .common import returned, staged
 
 TRAIN_PAGES = 2000
 LEAST_SHARE = 0.005
@@ -354,12 +354,11 @@ def extracted(pages: DataFrame, w: dict[str, float]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in returned(batches):
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 texts = [extract(h, shared.value) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-        give_back()
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
