@@ -178,30 +178,104 @@ def test_signatures_meet():
             assert len(np.intersect1d(ngram_join.signatures(a, frequent, repeated), ngram_join.signatures(b, frequent, repeated)))
 
 
-def test_language_model(spark, texts):
-    docs = spark.createDataFrame(texts, SCHEMA).coalesce(1)
-    got = lm.score(docs).collect()
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [0] for i, t, *_ in texts}
-    c = Counter(w for i, ws in tokens.items() if i is None or crc(i, 5) != 1 for w in ws)
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts)
-    for r in got:
-        ws = tokens[r["doc_id"]]
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
-        assert r["held_out"] == (r["doc_id"] is not None and crc(r["doc_id"], 5) == 1)
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW)) + [0]
+
+
+def model_by_brute_force(rows):
+    """base_score and score of each (doc_id, text), in plain loops."""
+    docs = [(i, words_of(t)) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, ws in docs:
+        if i is None or crc(i, 5) != 1:
+            h = [0, *ws]
+            one.update(ws)
+            two.update(zip(h, ws, strict=False))
+            three.update(zip(h, ws, ws[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def parts(ws, k, out):
+        before = ws[k - 1] if k else 0
+        h1 = one[before] - out
+        h2 = (two[ws[k - 2] if k > 1 else 0, before] if k else one[0]) - out
+        c2 = two[before, ws[k]] - out
+        c3 = (three[ws[k - 2] if k > 1 else 0, before, ws[k]] - out) if k else c2
+        power = lambda h: min(lm.POWERS - 1, int(math.floor(math.log2(h))) + 1) if h > 0 else 0
+        bucket = lm.POWERS + power(h2) if h2 > 0 else power(h1)
+        return bucket, (c3 / h2 if h2 > 0 else 0, c2 / h1 if h1 > 0 else 0, (one[ws[k]] - out) / (n - out) if n > out else 0)
+
+    bins = Counter()
+    for i, ws in docs:
+        if i is None or crc(i, 5) != 1:
+            for k in range(len(ws)):
+                bucket, p = parts(ws, k, 1)
+                bins[bucket, tuple(min(lm.LOWEST - 1, max(0, round(-math.log2(x) * lm.BINS))) if x > 0 else None for x in p)] += 1
+    mix = {}
+    for bucket in {b for b, _ in bins}:
+        cells = [([0 if q is None else 2 ** (-q / lm.BINS) for q in qs] + [1 / (v + 1)], c) for (b, qs), c in bins.items() if b == bucket]
+        w = list(lm.begun(bucket, n))
+        for _ in range(lm.ROUNDS):
+            new = [0.0, 0.0, 0.0, 1e-3]
+            for p, c in cells:
+                all_ = sum(x * y for x, y in zip(w, p, strict=True))
+                for j in range(4):
+                    new[j] += c * w[j] * p[j] / all_
+            w = [x / sum(new) for x in new]
+        mix[bucket] = w
+    out = []
+    for _, ws in docs:
+        total = 0.0
+        for k in range(len(ws)):
+            bucket, p = parts(ws, k, 0)
+            w = mix.get(bucket, lm.begun(bucket, n))
+            total += math.log10(sum(x * y for x, y in zip(w, [*p, 1 / (v + 1)], strict=True)))
+        base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        out.append((len(ws), sum(one[w] > 0 for w in ws), n, base, total))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 22, 1000])
+def test_language_model(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "PART_BYTES", 4 * block)
+    rows = [*((i, t) for i, t, *_ in texts), (1001, "Over the stone " * 3000), (1002, "over THE stone " * 3000)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").repartition(3, "doc_id")
+    got = sorted(map(tuple, lm.score(docs).collect()), key=str)
+    want = sorted([(i, i is not None and crc(i, 5) == 1, *x) for (i, _), x in zip(rows, model_by_brute_force(rows), strict=True)], key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-6), g[0]
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_model_is_a_distribution(spark, texts):
-    """Over all words and the unknown, the probabilities after a context add up to one."""
+def test_nothing_to_learn_from(spark):
+    held = next(i for i in range(100) if crc(i, 5) == 1)
+    got = lm.score(spark.createDataFrame([(held, "a b c"), (held, None)], "doc_id long, text string")).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(1, 0, 0), (4, 0, 0)]
+    assert all(abs(r["score"]) < 1e-12 for r in got)
+
+
+def test_model_is_a_distribution():
+    """Over all words and the unknown, the probabilities after a history add up to one, whatever is known of the history."""
     import numpy as np
 
-    ones, total = np.array([5, 3, 2]), 10
-    w = np.array([0.5, 0.3, 0.2])
-    p = w[0] * np.array([2, 1, 0]) / 3 + w[1] * ones / total + w[2] / 4
-    assert abs(p.sum() + w[2] / 4 - 1) < 1e-12
+    corpus = [words_of("a b a c a b d"), words_of("b a b a"), words_of("")]
+    one = Counter(w for ws in corpus for w in ws)
+    two = Counter(p for ws in corpus for p in zip([0, *ws], ws, strict=False))
+    three = Counter(p for ws in corpus for p in zip([0, *ws], ws, ws[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    mixed = np.stack([lm.begun(b, n) for b in range(lm.BUCKETS)])
+    for history in ([], ["a"], ["a", "b"], ["c", "d"], ["d", "x"], ["x", "y"], ["x", "a"]):
+        total = 0.0
+        for w in [*one, "unknown"]:
+            ws = [*history, w]
+            h = [0, *ws]
+            ones, twos = np.array([one[x] for x in ws]), np.array([two[h[k], ws[k]] for k in range(len(ws))])
+            threes = np.array([two[0, ws[0]], *(three[h[k - 1], ws[k - 1], ws[k]] for k in range(1, len(ws)))])
+            first = np.arange(len(ws)) == 0
+            bucket, p = lm.estimates(ones, twos, threes, first, one[0], n, 0)
+            total += mixed[bucket[-1], :3] @ p[-1] + mixed[bucket[-1], 3] / (v + 1)
+        assert abs(total - 1) < 1e-12, history
 
 
 def test_toxicity_by_brute_force():

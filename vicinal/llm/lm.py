@@ -1,21 +1,22 @@
-"""Language-model scoring by deleted interpolation of a bigram model.
-
-p(w | v) = l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b buckets the context by the power of two of
-its count. The weights of each bucket come from expectation-maximisation on held-out counts: every training
-token is held out in turn, so its own occurrence is taken from the counts that predict it. A text is its
-words and an end; the end also is the context of the first word.
-
-Counts are exact for words and cover all training texts. Rows are worked on in blocks of BLOCK rows. A block sends
-its distinct words and word pairs with their counts, as sorted and packed arrays, to the part of the hash
-range that they belong to; the parts add up the blocks and send the sums back to each block, where they meet
-the texts again. So a frequent word costs a part one entry a block, and no count table is held by one task.
-Word hashes have 64 bits; pair hashes have SPARE bits more than it takes to number the pairs, so one pair in
-2**SPARE may share another's count, at any size.
-
-Cases: null texts are empty and have one token, the end; without training rows N = V = 0 and every text scores
-by the uniform part alone; rows with a null doc_id are learned from; equal texts of a fold score alike; an empty table gives
-an empty result. Only doc_id and text are read. The input must give the same rows in the same order when it
-is read again (files do); a block that differs is noticed and the task fails.
+"""Language-model scoring by deleted interpolation of a trigram model.
+
+p(w | u v) = l3(b) c(u v w) / c(u v) + l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b buckets the
+history by the power of two of the count of u v or, if that is 0, of v. The weights of each bucket come from
+expectation-maximisation on held-out counts: every training token is held out in turn, so its own occurrence is taken
+from the counts that predict it. A text is its words and an end; the end also stands before the first word, where the
+trigram estimate is the bigram's. A training text is scored with its own counts in, a held-out text has none.
+
+Counts are exact and cover all training texts. Rows are worked on in blocks of BLOCK_BYTES of text, or one longer
+text. A block sends its distinct words, pairs and triples with their counts, as sorted and packed arrays, to the part
+of the hash range that they belong to; the parts add up the blocks and send the sums back to each block, where they
+meet the texts again. So a frequent word costs a part one entry a block, and no count table is held by one task. Words,
+pairs and triples are told apart by 64-bit hashes: two that agree are not to be expected below 10**9 of them.
+
+Cases: null texts are empty and have one token, the end; without training rows N = V = 0 and every token has
+probability 1; rows with a null doc_id are learned from; equal texts of a fold score alike; texts of any length are
+scored whole; an empty table gives an empty result. Only doc_id and text are read. The input must give the same
+rows in the same order when it is read again (files and staged tables do): a block whose words, pairs or triples
+differ is noticed and the task fails.
 """
 
 from __future__ import annotations
@@ -23,24 +24,26 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import remainder, staged, text_bytes
+from .common import discard, give_back, remainder, returned, staged, text_bytes
 from .shingles import mix, pack, pieces, unpack, words
 
-BLOCK_BITS = 12
-SPARE = 12
-#: Rows for each part of the hash range.
-ROWS_A_PART = 6000
-BUCKETS = 28
-#: Bins of a factor of two for probabilities in the held-out statistics.
-BINS = 8
+#: Text of a block, and of the part of the hash range that one task adds up, both in bytes.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 12 << 20
+#: Powers of two of a history's count: of the one word before, then of the two words before.
+POWERS = 28
+BUCKETS = 2 * POWERS
+#: Bins of a factor of two for probabilities in the held-out statistics, and the bin of probability 0.
+BINS = 4
+LOWEST = 24 * BINS
+ROUNDS = 200
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
 class Block:
-    """The tokens of some rows."""
+    """The tokens of some rows: words and an end each."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, bits: int):
-        tokens, sizes = [], []
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        tokens, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for first, last in pieces(at):
             w, wat = words(data[at[first] : at[last]], at[first : last + 1] - at[first])
             n = np.diff(wat)
@@ -48,153 +51,217 @@ class Block:
             out[np.arange(len(w)) + np.repeat(np.arange(len(n)), n)] = w
             tokens.append(out)
             sizes.append(n + 1)
-        self.tokens = np.concatenate([*tokens, np.zeros(0, np.uint64)])
-        self.sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        before = np.r_[END, self.tokens[:-1]] if len(self.tokens) else self.tokens  # a row follows the end of another
-        self.pairs = mix(before * np.uint64(3) + mix(self.tokens)) >> np.uint64(64 - bits)
+        self.tokens, self.sizes = np.concatenate(tokens), np.concatenate(sizes)
+        self.first = starts(self.sizes)
+        here = mix(self.tokens)
+        self.pairs = mix(np.r_[END, self.tokens[:-1]][: len(here)] * np.uint64(3) + here)  # an end stands before a row
+        self.triples = mix(np.r_[END, self.pairs[:-1]][: len(here)] * np.uint64(5) + here)[~self.first]
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.tokens, self.pairs, self.triples
 
-def _bounds(parts: int, bits: int) -> np.ndarray:
-    return np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+
+def starts(sizes: np.ndarray) -> np.ndarray:
+    """Which tokens are the first of their row."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
+
+
+def _blocks(batches):
+    """(number, record batch of doc_id, text and train) of each block; the same for the same rows in the same order."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for b in returned(batches):
+        ends, lo = np.cumsum(np.diff(text_bytes(b.column("text"))[1])), 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = min(b.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
+            held.append(b.slice(lo, hi - lo))
+            size += int(ends[hi - 1] - before)
+            lo = hi
+            if size >= BLOCK_BYTES:
+                yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(True)).alias("train"))
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    train = F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(True))
-    return docs.select("doc_id", "text", train.alias("train"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, their sums of n, and for each key its place among them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], np.add.reduceat(n[order], first) if len(first) else n[:0], at
 
 
-def counts(docs: DataFrame, parts: int, bits: int) -> DataFrame:
-    """Written (block, part, kind, sums): what all blocks together count of a block's words (kind 0) and pairs (1), in the order of their hashes; block -1 - part has N and V of the part."""
+def counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Written (block, part, kind, sums, seen): what all blocks together count of a block's words (kind 0), pairs (1) and triples (2), in the order of their hashes; seen adds these up. Block -1 - part has N and V of the part."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
     def run(batches):
         import pyarrow as pa
 
-        def send(block, held):
-            data = np.concatenate([x[0] for x in held])
-            sizes = np.concatenate([np.diff(x[1]) for x in held])
-            train = np.concatenate([x[2] for x in held])
-            b = Block(data, np.r_[0, np.cumsum(sizes)], bits)
-            learned = np.repeat(train, b.sizes)
-            rows = []
-            for kind, keys, width in ((0, b.tokens, 64), (1, b.pairs, bits)):
-                keys, inverse = np.unique(keys, return_inverse=True)
-                n = np.bincount(inverse, learned, len(keys)).astype(np.uint64)
-                cuts = [0, *np.searchsorted(keys, _bounds(parts, width)), len(keys)]
-                rows += [(block, p, kind, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "kind", "keys", "n"])
-
-        now, held = None, []
-        for batch in batches:
-            data, at = text_bytes(batch.column("text"))
-            blocks, train = batch.column("block").to_numpy(), np.array(batch.column("train").to_pylist(), bool)
-            for block in np.unique(blocks):
-                i, j = np.searchsorted(blocks, [block, block + 1])
-                if block != now:
-                    if held:
-                        yield send(now, held)
-                    now, held = int(block), []
-                held.append((data[at[i] : at[j]].copy(), at[i : j + 1] - at[i], train[i:j]))
-        if held:
-            yield send(now, held)
+        types = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
+        for block, rows in _blocks(batches):
+            b = Block(*text_bytes(rows.column("text")))
+            learned = np.repeat(np.array(rows.column("train").to_pylist(), bool), b.sizes).astype(np.int64)
+            for kind, (keys, n) in enumerate(zip(b.keys(), (learned, learned, learned[~b.first]), strict=True)):
+                keys, n, _ = _summed(keys, n)
+                cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+                out = [(block, p, kind, pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi].astype(np.uint64))) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
 
     def add(table):
         import pyarrow as pa
 
         part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
         keys = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, n)
-        back = np.split(sums[inverse].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
-        blocks = table.column("block").to_pylist()
-        rows = [(b, part, kind, pack(x)) for b, x in zip(blocks, back, strict=True)]
+        seen = [int(k.sum(dtype=np.uint64).astype(np.int64)) for k in keys]
+        _, sums, at = _summed(np.concatenate(keys), np.concatenate([unpack(x) for x in table.column("n").to_pylist()]))
+        back = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
+        rows = [(b, part, kind, pack(x), s) for b, x, s in zip(table.column("block").to_pylist(), back, seen, strict=True)]
         if kind == 0:
-            rows.append((-1 - part, part, kind, pack(np.array([sums.sum(), (sums > 0).sum()], np.uint64))))
-        return pa.table(dict(zip(("block", "part", "kind", "sums"), map(list, zip(*rows, strict=True)), strict=True)), pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("sums", pa.binary())]))
+            rows.append((-1 - part, part, kind, pack(np.array([sums.sum(), (sums > 0).sum()], np.uint64)), 0))
+        give_back()
+        types = {"block": pa.int64(), "part": pa.int32(), "kind": pa.int32(), "sums": pa.binary(), "seen": pa.int64()}
+        return pa.table({name: pa.array(c, t) for c, (name, t) in zip(zip(*rows, strict=True), types.items(), strict=True)})
 
-    sent = blocked(docs).select("text", "train", "block").mapInArrow(run, "block long, part int, kind int, keys binary, n binary")
-    return staged(sent.groupBy("part", "kind").applyInArrow(add, "block long, part int, kind int, sums binary"), "lm-sums")
+    sent = folded(docs).mapInArrow(run, "block long, part int, kind int, keys binary, n binary")
+    return staged(sent.groupBy("part", "kind").applyInArrow(add, "block long, part int, kind int, sums binary, seen long"), "lm-sums")
 
 
-def counted(docs: DataFrame, sums: DataFrame, bits: int) -> DataFrame:
-    """Written (doc_id, train, ones, twos): for each token the count of the word and of its pair, packed."""
+def counted(docs: DataFrame, sums: DataFrame) -> DataFrame:
+    """Written (doc_id, train, sizes, ones, twos, threes), a row for each block: for each token the counts of the word, its pair and its triple, packed."""
 
-    def meet(texts, back):
+    def texts(batches):
         import pyarrow as pa
 
-        column = texts.column("text").combine_chunks()
-        b = Block(*text_bytes(column.chunk(0) if hasattr(column, "chunk") else column), bits)
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for block, rows in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=how) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    def meet(left, right):
+        import pyarrow as pa
+
+        rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_next_batch()
+        b = Block(*text_bytes(rows.column("text")))
+        back = sorted(right.to_pylist(), key=lambda r: r["part"])
         got = []
-        for kind, keys in ((0, b.tokens), (1, b.pairs)):
-            rows = sorted((r for r in back.to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
-            total = np.concatenate([unpack(r["sums"]) for r in rows] + [np.zeros(0, np.uint64)])
-            known, inverse = np.unique(keys, return_inverse=True)
-            if len(known) != len(total):
+        for kind, keys in enumerate(b.keys()):
+            known, _, at = _summed(keys, np.zeros(len(keys), np.int64))
+            mine = [r for r in back if r["kind"] == kind]
+            total = np.concatenate([unpack(r["sums"]) for r in mine] + [np.zeros(0, np.uint64)])
+            if len(known) != len(total) or (sum(r["seen"] for r in mine) - int(known.sum(dtype=np.uint64))) % 2**64:
                 raise ValueError("the rows of a block changed between two reads of the input")
-            cuts = np.cumsum(b.sizes)[:-1]
-            got.append([pack(x) for x in np.split(total[inverse], cuts)])
-        return pa.table({"doc_id": texts.column("doc_id"), "train": texts.column("train"), "ones": pa.array(got[0], pa.binary()), "twos": pa.array(got[1], pa.binary())})
-
-    left = blocked(docs).groupBy("block")
+            got.append(total[at])
+        threes = got[1].copy()  # of the first tokens: the pair's
+        threes[~b.first] = got[2]
+        ids, train = rows.column("doc_id"), rows.column("train")
+        one = lambda x: pa.array([x.to_pylist()], pa.list_(x.type))
+        out = pa.table([one(ids), one(train), *(pa.array([pack(x)], pa.binary()) for x in (b.sizes.astype(np.uint64), got[0], got[1], threes))], ["doc_id", "train", "sizes", "ones", "twos", "threes"])
+        give_back()
+        return out
+
+    left = folded(docs).mapInArrow(texts, "block long, rows binary").groupBy("block")
     right = sums.filter("block >= 0").groupBy("block")
-    return staged(left.cogroup(right).applyInArrow(meet, "doc_id long, train boolean, ones binary, twos binary"), "lm-counted")
+    return staged(left.cogroup(right).applyInArrow(meet, "doc_id array<long>, train array<boolean>, sizes binary, ones binary, twos binary, threes binary"), "lm-counted")
+
+
+def estimates(ones: np.ndarray, twos: np.ndarray, threes: np.ndarray, first: np.ndarray, end: int, n: int, out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token, and its trigram, bigram and unigram estimate (three columns). end: how often the end is counted; out: 1 takes the token itself from the counts."""
+    ones, twos, threes = (x.astype(np.int64) for x in (ones, twos, threes))
+    h1 = np.where(first, end, np.r_[0, ones[:-1]][: len(ones)]) - out
+    h2 = np.where(first, end, np.r_[0, twos[:-1]][: len(ones)]) - out
+    power = lambda h: np.minimum(np.where(h > 0, np.frexp(np.maximum(h, 0).astype(float))[1], 0), POWERS - 1)
+    bucket = np.where(h2 > 0, POWERS + power(h2), power(h1))
+    of = lambda c, h: np.where(h > 0, (c - out) / np.maximum(h, 1), 0.0)
+    return bucket, np.stack([of(threes, h2), of(twos, h1), of(ones, np.int64(n - out))], 1)
 
 
-def _parts(ones: np.ndarray, twos: np.ndarray, n: int, out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, bigram and unigram estimate of each token; out: 1 takes the token itself from the counts."""
-    context = np.r_[ones[-1], ones[:-1]].astype(np.int64) - out
-    bucket = np.minimum(np.where(context > 0, np.frexp(np.maximum(context, 0).astype(float))[1], 0), BUCKETS - 1)
-    return bucket, (twos.astype(np.int64) - out) / np.maximum(context, 1), (ones.astype(np.int64) - out) / max(1, n - out)
+def bins(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.clip(np.round(-np.log2(np.maximum(p, 1e-300)) * BINS), 0, LOWEST - 1), LOWEST).astype(np.int64)
 
 
-def weights(tokens: DataFrame, n: int, v: int, rounds: int = 200) -> np.ndarray:
-    """BUCKETS x 3: the shares of the bigram, unigram and uniform estimates, by expectation-maximisation."""
-    lowest = 60 * BINS
-    code = lambda p: np.where(p > 0, np.clip(np.round(-np.log2(np.maximum(p, 1e-300)) * BINS), 0, lowest - 1), lowest).astype(np.int64)
+def begun(bucket: int, n: int) -> np.ndarray:
+    """The weights that a bucket begins with, and keeps if nothing falls into it: none on estimates that are 0."""
+    w = np.array([0.4, 0.3, 0.2, 0.1])
+    w[: 0 if bucket >= POWERS else 1 if bucket else 2 if n else 3] = 0
+    return w / w.sum()
+
+
+def maximised(bucket: int, cells: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The weights of a bucket by expectation-maximisation; cells number the bins of the three estimates, count tells how often each is met."""
+    value = lambda q: np.where(q < LOWEST, 2.0 ** (-q / BINS), 0.0)
+    side = LOWEST + 1
+    p = np.stack([value(cells // side**2), value(cells // side % side), value(cells % side), np.full(len(cells), 1 / (v + 1))], 1)
+    w = begun(bucket, n)
+    for _ in range(ROUNDS):
+        share = w * p
+        share *= (count / share.sum(1))[:, None]
+        w = (share.sum(0) + [0, 0, 0, 1e-3]) / (share.sum() + 1e-3)  # the uniform part stays above zero
+    return w
+
+
+def _unpacked(b, i: int) -> tuple:
+    """doc_ids, train, sizes and the counts of the block in row i."""
+    return b.column("doc_id")[i].as_py(), np.array(b.column("train")[i].as_py(), bool), *(unpack(b.column(c)[i].as_py()) for c in ("sizes", "ones", "twos", "threes"))
+
+
+def weights(tokens: DataFrame, n: int, v: int) -> np.ndarray:
+    """BUCKETS x 4: the shares of the trigram, bigram, unigram and uniform estimates."""
+    side = LOWEST + 1
 
     def held_out(batches):
         import pyarrow as pa
 
         seen: dict[int, int] = {}
-        for b in batches:
-            for one, two, train in zip(b.column("ones").to_pylist(), b.column("twos").to_pylist(), b.column("train").to_pylist(), strict=True):
-                if train:
-                    bucket, p2, p1 = _parts(unpack(one), unpack(two), n, 1)
-                    keys, c = np.unique((bucket * (lowest + 1) + code(p2)) * (lowest + 1) + code(p1), return_counts=True)
-                    for k, x in zip(keys.tolist(), c.tolist(), strict=True):
-                        seen[k] = seen.get(k, 0) + x
+        for b in returned(batches):
+            for i in range(b.num_rows):
+                _, train, sizes, ones, twos, threes = _unpacked(b, i)
+                first = starts(sizes)
+                bucket, p = estimates(ones, twos, threes, first, int(ones[-1]), n, 1)
+                q = bins(p)
+                keys, c = np.unique((((bucket * side + q[:, 0]) * side + q[:, 1]) * side + q[:, 2])[np.repeat(train, sizes.astype(np.int64))], return_counts=True)
+                for k, x in zip(keys.tolist(), c.tolist(), strict=True):
+                    seen[k] = seen.get(k, 0) + x
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
 
-    # At most BUCKETS * (60 * BINS + 1) ** 2 cells by construction, however large the corpus; some thousands have counts.
-    cells = tokens.mapInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    out[0] = [0.0, 0.9, 0.1]
-    cell, count = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)
-    value = lambda q: np.where(q < lowest, 2.0 ** (-q / BINS), 0.0)
-    p = np.stack([value(cell // (lowest + 1) % (lowest + 1)), value(cell % (lowest + 1)), np.full(len(cell), 1 / (v + 1))], 1)
-    for b in range(BUCKETS):
-        at = cell // (lowest + 1) ** 2 == b
-        if at.any():
-            for _ in range(rounds):
-                share = out[b] * p[at]
-                share *= (count[at] / share.sum(1))[:, None]
-                out[b] = (share.sum(0) + [0, 0, 1e-3]) / (share.sum() + 1e-3)  # the uniform part stays above zero
-    return out
-
+    def fitted(pdf):
+        import pandas as pd
 
-def pair_bits(pairs: int) -> int:
-    return min(64, max(1, pairs).bit_length() + SPARE)
+        pdf = pdf.sort_values("cell")
+        bucket = int(pdf["bucket"].iloc[0])
+        w = maximised(bucket, pdf["cell"].to_numpy() % side**3, pdf["n"].to_numpy(float), n, v)
+        return pd.DataFrame([(bucket, *w)], columns=["bucket", "w3", "w2", "w1", "w0"])
+
+    # A bucket has at most (LOWEST + 1) ** 3 cells, however large the corpus.
+    cells = tokens.mapInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("bucket", F.floor(F.col("cell") / float(side**3)).cast("int"))
+    out = np.stack([begun(b, n) for b in range(BUCKETS)])
+    for r in cells.groupBy("bucket").applyInPandas(fitted, "bucket int, w3 double, w2 double, w1 double, w0 double").collect():  # BUCKETS rows at most
+        out[r["bucket"]] = [r["w3"], r["w2"], r["w1"], r["w0"]]
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
-    rows = docs.count()
-    # A word takes a byte and a space at least, so this bounds the pairs.
-    most = docs.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 1
-    bits = pair_bits(most)
-    sums = counts(docs, max(1, -(-rows // ROWS_A_PART)), bits)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 1
+    sums = counts(docs, max(1, -(-size // PART_BYTES)))
 
     def of_part(batches):
         import pandas as pd
@@ -203,23 +270,24 @@ def score(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame([unpack(x).astype(np.int64) for x in b["sums"]], columns=["n", "v"])
 
     n, v = (int(x or 0) for x in sums.filter("block < 0").select("sums").mapInPandas(of_part, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    tokens = counted(docs, sums, bits)
+    tokens = counted(docs, sums)
+    discard(sums)
     mixed = weights(tokens, n, v)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for one, two in zip(b.column("ones").to_pylist(), b.column("twos").to_pylist(), strict=True):
-                ones = unpack(one)
-                bucket, p2, p1 = _parts(ones, unpack(two), n, 0)
+        for b in returned(batches):
+            for i in range(b.num_rows):
+                ids, train, sizes, ones, twos, threes = _unpacked(b, i)
+                first = starts(sizes)
+                bucket, p = estimates(ones, twos, threes, first, int(ones[-1]), n, 0)
                 w = mixed[bucket]
-                p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1)
-                base = np.log10((ones + 0.5) / (n + 0.5 * (v + 1)))
-                out.append((len(ones), int((ones > 0).sum()), float(base.sum()), float(np.log10(p).sum())))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([not x for x in b.column("train").to_pylist()], pa.bool_()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([n] * len(out), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                p = (w[:, :3] * p).sum(1) + w[:, 3] / (v + 1)
+                at = np.flatnonzero(first)
+                base = np.add.reduceat(np.log10((ones + 0.5) / (n + 0.5 * (v + 1))), at)
+                cols = [pa.array(ids, pa.int64()), pa.array(~train), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((ones > 0).astype(np.int64), at)), pa.array(np.full(len(at), n)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), at))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return tokens.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
