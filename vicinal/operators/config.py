@@ -113,6 +113,18 @@ def root(edges: list) -> str:
     return next(iter({p for p, _, _ in edges} - {c for _, c, _ in edges}))
 
 
+def parent(edges: list, node: str) -> str | None:
+    return next((p for p, c, _ in edges if c == node), None)
+
+
+def renamed(edges: list, names: dict[str, str]) -> list:
+    """The tree with other names of nodes; two nodes of one name are an error."""
+    new = [(names.get(p, p), names.get(c, c), t) for p, c, t in edges]
+    if len({c for _, c, _ in new} | {root(new)}) != len(new) + 1:
+        raise ValueError("two nodes have one name")
+    return new
+
+
 def descendants(edges: list, node: str) -> list[str]:
     below = [c for p, c, _ in edges if p == node]
     return below + [x for c in below for x in descendants(edges, c)]

@@ -77,6 +77,12 @@ def mean_over_flanks(entries: DataFrame, value: str, ident: str, left: int, righ
     return d.groupBy("i", "j", ident).agg((F.sum(value) / float(bases ** (left + right))).alias(value))
 
 
+def mean_generator(mut: DataFrame, sel: DataFrame | None, left: int, right: int, bases: int, rates: list[float], coefs: list[float] = (), fixfn=None) -> DataFrame:
+    """i, j, x between the inner patterns: ways and selection differences are averaged first, the fixation function comes after."""
+    ds = mean_over_flanks(sel, "ds", "sel_id", left, right, bases) if sel is not None else None
+    return generator(mean_over_flanks(mut, "n", "rate_id", left, right, bases), ds, rates, coefs, fixfn)
+
+
 def totals(gen: DataFrame) -> DataFrame:
     """Row sums: the rates at which patterns are left."""
     return gen.groupBy("i").agg(F.sum("x").alias("x"))

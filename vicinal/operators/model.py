@@ -6,21 +6,29 @@ most K^L times K^w cells, whatever the size of the data.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.fixation import parse
 from ..functions.patterns import pattern_list
-from .linalg import Sparse, exp_action, gamma_action, minimise, projection
-from .tmers import Shape
+from .linalg import Sparse, exp_action, gamma_action, minimise, projection, root_distribution
+from .tmers import Shape, projected
 
-MOST_CELLS = 1 << 22
+#: Most cells of a table of transitions, and the longest window whose table is broadcast (K^4 * K^4 rows at most); larger ones shuffle.
+MOST_CELLS, MOST_BROADCAST = 1 << 22, 4
 
 
 @dataclass(frozen=True)
 class Model:
-    """Rules with rates on the patterns of a window; rate i applies to every rule of group i."""
+    """Rules with rates on the patterns of a window; rate i applies to every rule of group i.
+
+    A change is slowed or sped up by the fixation function of its selection difference, the sum over groups of selcoef
+    times the change in weighted matches of the group's patterns. selpats: groups of (pattern, factor). Without
+    coefficients no function is applied. boundary wrap: patterns are circles.
+    """
 
     bases: str
     mutpats: tuple
@@ -30,6 +38,11 @@ class Model:
     gamma_shape: float | None = None
     scales: tuple = ()
     names: tuple = field(default=())
+    selpats: tuple = ()
+    selcoef: tuple = ()
+    fixfn: str = "null"
+    fixparams: tuple = ()
+    boundary: str = "none"
 
     def patterns(self) -> list[str]:
         return pattern_list(self.shape.longwin, self.bases)
@@ -38,58 +51,122 @@ class Model:
         """(i, j, rate) of each way to change a pattern: fixed for a model, so rates only re-weigh it."""
         pats = self.patterns()
         at = {p: k for k, p in enumerate(pats)}
-        rows = [(at[p], at[p[:s] + b + p[s + len(b) :]], r) for r, group in enumerate(self.mutpats) for a, b in group for p in pats for s in range(len(p) - len(a) + 1) if p.startswith(a, s)]
-        return tuple(np.array(x, int) for x in zip(*rows, strict=True))
-
-    def transitions(self, rates=None, shortwin: int | None = None, ways=None) -> np.ndarray:
-        """P(short | long) by the exponential acting on the projection only."""
+        rows = [(at[p], at[self._written(p, s, b)], r) for r, group in enumerate(self.mutpats) for a, b in group for p in pats for s in self._places(p, a)]
+        return tuple(np.array(x, int) for x in zip(*(x for x in rows if x[0] != x[1]), strict=True))
+
+    def _places(self, p: str, a: str):
+        """Where a stands in the pattern."""
+        wrap = self.boundary == "wrap"
+        text, last = (p + p, len(p)) if wrap else (p, len(p) - len(a) + 1)
+        return [s for s in range(last if len(a) <= len(p) else 0) if text.startswith(a, s)]
+
+    def _written(self, p: str, s: int, b: str) -> str:
+        out = list(p)
+        for k, c in enumerate(b):
+            out[(s + k) % len(p)] = c
+        return "".join(out)
+
+    def selection(self) -> np.ndarray:
+        """Weighted matches of each group of selected patterns, a row for each pattern."""
+        return np.array([[sum(w * len(self._places(p, q)) for q, w in group) for group in self.selpats] for p in self.patterns()]).reshape(-1, len(self.selpats))
+
+    def entries(self, rates=None, selcoef=None, fixparams=None, ways=None) -> Sparse:
+        """The generator: rates of all ways, times the fixation function of their selection differences."""
         i, j, r = ways or self.ways()
-        pats = self.patterns()
-        g = Sparse(i, j, np.asarray(self.rates if rates is None else rates, float)[r], len(pats))
-        u = projection(pats, pattern_list(shortwin or self.shape.shortwin, self.bases), self.shape.leftwin)
-        return gamma_action(g, u, self.gamma_shape, self.tlen) if self.gamma_shape else exp_action(g, u, self.tlen)
+        x = np.asarray(self.rates if rates is None else rates, float)[r]
+        coef = np.asarray(self.selcoef if selcoef is None else selcoef, float)
+        if len(coef):
+            s = self.selection() @ coef
+            x = x * parse(self.fixfn, dict(self.fixparams if fixparams is None else fixparams), arrays=True)(s[j] - s[i])
+        return Sparse(i, j, x, len(self.bases) ** self.shape.longwin)
+
+    def transitions(self, rates=None, shortwin: int | None = None, ways=None, shape: Shape | None = None, **params) -> np.ndarray:
+        """P(short | long) by the exponential acting on the projection only; shape: of other short patterns."""
+        shape = shape or self.shape
+        u = projection(self.patterns(), pattern_list(shortwin or shape.shortwin, self.bases), shape.leftwin)
+        return self.moved(u, self.tlen, self.entries(rates, ways=ways, **params))
+
+    def moved(self, v: np.ndarray, t: float, g: Sparse | None = None) -> np.ndarray:
+        g = g or self.entries()
+        return gamma_action(g, v, self.gamma_shape, t) if self.gamma_shape else exp_action(g, v, t)
 
     def with_rates(self, rates) -> "Model":
         return replace(self, rates=tuple(map(float, rates)))
 
 
-def transition_frame(spark: SparkSession, model: Model) -> DataFrame:
+def transition_frame(spark: SparkSession, model: Model, shape: Shape | None = None) -> DataFrame:
     """long, short, p of the model; K^L * K^w rows."""
-    p, longs, shorts = model.transitions(), model.patterns(), pattern_list(model.shape.shortwin, model.bases)
+    shape = shape or model.shape
+    return _cells(spark, model.transitions(shape=shape), model.patterns(), {"short": pattern_list(shape.shortwin, model.bases)})
+
+
+def _cells(spark: SparkSession, p: np.ndarray, longs: list[str], shorts: dict[str, list[str]]) -> DataFrame:
+    """long, the columns of shorts, p."""
     if p.size > MOST_CELLS:
         raise ValueError("too many patterns for a table of transitions")
     import pandas as pd
 
-    return spark.createDataFrame(pd.DataFrame({"long": np.repeat(longs, len(shorts)), "short": np.tile(shorts, len(longs)), "p": p.ravel()}))
+    columns = {name: np.tile(values, len(longs)) for name, values in shorts.items()}
+    return spark.createDataFrame(pd.DataFrame({"long": np.repeat(longs, p.shape[1]), **columns, "p": p.ravel()}))
 
 
-def predicted(counts: DataFrame, model: Model) -> DataFrame:
-    """long, short, count: the totals of the long patterns times the model's transitions."""
+def predicted(counts: DataFrame, model: Model, shape: Shape | None = None) -> DataFrame:
+    """long, short, count: the totals of the long patterns times the model's transitions.
+
+    shape: other than the model's. Short patterns may be any that lie in the model's window; a shorter window gets the
+    prediction for the model's own, re-shaped.
+    """
+    shape = shape or model.shape
+    if shape.longwin > model.shape.longwin:
+        raise ValueError("the model's window is shorter than that of the prediction")
+    inner = replace(shape, longwin=model.shape.longwin)
     totals = counts.groupBy("long").agg(F.sum("count").alias("total"))
-    p = transition_frame(counts.sparkSession, model)
-    return totals.join(F.broadcast(p), "long").select("long", "short", (F.col("total") * F.col("p")).alias("count"))
+    p = transition_frame(counts.sparkSession, model, inner)
+    p = F.broadcast(p) if model.shape.longwin <= MOST_BROADCAST else p
+    out = totals.join(p, "long").select("long", "short", (F.col("total") * F.col("p")).alias("count"))
+    return out if inner == shape else projected(out, inner, shape)
+
+
+def predicted_tree(counts: DataFrame, edges: list, row: str, cols: list[str], models: dict, freqs: dict) -> DataFrame:
+    """long, short1.., count at the tips cols of a tree, given the totals of the long patterns at `row`.
+
+    models: by the node at the lower end of each edge (parent, child, length), all of one window.
+    """
+    first = next(iter(models.values()))
+    shorts = pattern_list(first.shape.shortwin, first.bases)
+    u = projection(first.patterns(), shorts, first.shape.leftwin)
+    p = peel(edges, row, cols, {n: m.entries() for n, m in models.items()}, u, root_distribution(first.patterns(), freqs))
+    names = ["short"] if len(cols) == 1 else [f"short{k + 1}" for k in range(len(cols))]
+    every = np.array(list(itertools.product(shorts, repeat=len(cols))))
+    cells = _cells(counts.sparkSession, p, first.patterns(), {n: every[:, k] for k, n in enumerate(names)})
+    totals = counts.groupBy("long").agg(F.sum("count").alias("total"))
+    return totals.join(cells, "long").select("long", *names, (F.col("total") * F.col("p")).alias("count"))
 
 
 def _matrix(counts: DataFrame, model: Model, shortwin: int) -> np.ndarray:
     longs = {p: k for k, p in enumerate(model.patterns())}
     shorts = {p: k for k, p in enumerate(pattern_list(shortwin, model.bases))}
     m = np.zeros((len(longs), len(shorts)))
-    for r in counts.groupBy("long", F.substring("short", 1, shortwin).alias("short")).agg(F.sum("count").alias("count")).toLocalIterator():
+    if m.size > MOST_CELLS:
+        raise ValueError("too many patterns for a table of counts")
+    # Patterns outside the model's alphabet say nothing on it. As many rows as cells, summed before.
+    known = counts.filter(~(F.col("long").rlike(f"[^{model.bases}]") | F.col("short").rlike(f"[^{model.bases}]")))
+    for r in known.groupBy("long", F.substring("short", 1, shortwin).alias("short")).agg(F.sum("count").alias("count")).collect():
         m[longs[r["long"]], shorts[r["short"]]] = r["count"]
     return m
 
 
 def likelihood(counts: DataFrame, model: Model):
-    """rates -> composite log-likelihood: of the short patterns less that of the ones shorter by a symbol."""
+    """rates (and selcoef, fixparams by name) -> composite log-likelihood: of the short patterns less that of the ones shorter by a symbol."""
     w = model.shape.shortwin
     c, ways = _matrix(counts, model, w), model.ways()
     c0 = _matrix(counts, model, w - 1) if w > 1 else None
 
-    def value(rates) -> float:
+    def value(rates, **params) -> float:
         total = 0.0
         for m, k, sign in ((c, w, 1), (c0, w - 1, -1)):
             if m is not None:
-                p = model.transitions(rates, k, ways)
+                p = model.transitions(rates, k, ways, **params)
                 seen = m > 0
                 total += -np.inf if sign > 0 and (p[seen] <= 0).any() else sign * float((m[seen] * np.log(np.maximum(p[seen], 1e-300))).sum())
         return total
@@ -97,6 +174,19 @@ def likelihood(counts: DataFrame, model: Model):
     return value
 
 
+def loglikelihood(counts: DataFrame, model: Model) -> DataFrame:
+    """loglik: the composite log-likelihood of the model as it is, one row."""
+    shape, spark = model.shape, counts.sparkSession
+    terms = [(1, shape)] + ([(-1, replace(shape, shortwin=shape.shortwin - 1))] if shape.shortwin > 1 else [])
+    out = None
+    for sign, s in terms:
+        p = transition_frame(spark, model, s)
+        c = counts.groupBy("long", F.substring("short", 1, s.shortwin).alias("short")).agg(F.sum("count").alias("count"))
+        part = c.join(p, ["long", "short"]).select((sign * F.col("count") * F.log("p")).alias("x"))
+        out = part if out is None else out.union(part)
+    return out.agg(F.sum("x").alias("loglik"))
+
+
 def fit(counts: DataFrame, model: Model, lowest: float = 1e-6) -> tuple[Model, float, bool]:
     """Maximum likelihood; rates with scale 0 stay as they are."""
     value = likelihood(counts, model)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.sequences import flanks_lowered, hamming, reverse_complement
+from . import ranks
 
 
 def z_score(resid: Column, expected: Column, longwin: int) -> Column:
@@ -49,8 +50,8 @@ def extremes(df: DataFrame, by: str, k: int, ties: list[str]) -> DataFrame:
 
 
 def above_quantile(df: DataFrame, by: str, q: float) -> DataFrame:
-    cut = df.agg(F.percentile(by, q).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).filter(F.col(by) > F.col("_cut")).drop("_cut")
+    found = ranks.quantiles(df, [], by, (q,)).first()
+    return df.filter(F.col(by) > F.lit(found["q"][0] if found else None).cast("double"))
 
 
 def motif(patterns: DataFrame, pattern: str, weight: str, keys: list[str] = ()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import ranks
+
 QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
 
 
@@ -24,13 +27,12 @@ def by_schema(tables: list[DataFrame]) -> dict[str, DataFrame]:
 
 def quantiles(df: DataFrame, key: str, value: str, qs: tuple = QUANTILES) -> DataFrame:
     names = [f"q{q * 100:g}".replace(".", "_") for q in qs]
-    d = df.groupBy(key).agg(F.percentile(value, F.array(*map(F.lit, qs))).alias("q"))
-    return d.select(key, *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    return ranks.quantiles(df, [key], value, qs).select(key, *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles and whiskers: the last values within 1.5 times the spread of the quartiles."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    q = ranks.quantiles(df, [key], value, (0.25, 0.5, 0.75))
     d = df.join(q, key)
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     v, lo, hi = F.col(value), F.col("q")[0] - reach, F.col("q")[2] + reach
@@ -45,20 +47,43 @@ def coverage(df: DataFrame, key: str) -> DataFrame:
 
 
 def diagnostics(df: DataFrame, key: str, value: str, truth: str) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    d = df.groupBy(key).agg(F.avg((F.col(value) <= F.col(truth)).cast("double")).alias("q_truth"), F.avg(value).alias("mean"), q.alias("q"))
-    return d.select(key, "q_truth", "mean", *(F.col("q")[i].alias(n) for i, n in enumerate(("q05", "q25", "med", "q75", "q95"))))
+    d = df.groupBy(key).agg(F.avg((F.col(value) <= F.col(truth)).cast("double")).alias("q_truth"), F.avg(value).alias("mean"))
+    return d.join(ranks.quantiles(df, [key], value, (0.05, 0.25, 0.5, 0.75, 0.95)), key).select(key, "q_truth", "mean", *(F.col("q")[i].alias(n) for i, n in enumerate(("q05", "q25", "med", "q75", "q95"))))
 
 
 def trimmed(df: DataFrame, key: str, value: str, cut: float = 0.1, most: float = 4.0) -> DataFrame:
     """Rows within `most` trimmed standard deviations of the trimmed mean of their key."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(cut), F.lit(1 - cut))).alias("q"))
+    q = ranks.quantiles(df, [key], value, (cut, 1 - cut))
     d = df.join(q, key)
     inner = F.when(F.col(value).between(F.col("q")[0], F.col("q")[1]), F.col(value))
     m = d.groupBy(key).agg(F.avg(inner).alias("m"), F.stddev_samp(inner).alias("s"))
     return df.join(m, key).filter(F.abs((F.col(value) - F.col("m")) / F.col("s")) < most).drop("m", "s")
 
 
+def finite(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is a finite number."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
+
+
+def reordered(df: DataFrame, *regexes: str) -> DataFrame:
+    """Columns whose name matches the first pattern, then those of the next, each in order of name; the rest after them as they were."""
+    seen: list[str] = []
+    for r in regexes:
+        seen += sorted(c for c in df.columns if re.search(r, c) and c not in seen)
+    return df.select(*seen, *(c for c in df.columns if c not in seen))
+
+
+def merged(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows whose keys are in all tables, with the columns of each."""
+    return reduce(lambda a, b: a.join(b, keys), tables)
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: list, order_b: list) -> DataFrame:
+    """Row k of a beside row k of b, by their orders; rows without a partner go. Columns must differ in name."""
+    a, b = ranks.ranked(a, order_a, place="_row"), ranks.ranked(b, order_b, place="_row")
+    return a.join(b, "_row").drop("_row")
+
+
 def without_empty(df: DataFrame) -> DataFrame:
     """Without the columns that are null in every row."""
     n = df.agg(*(F.count(c).alias(c) for c in df.columns)).first()

@@ -75,12 +75,13 @@ def tmer_counts(df: DataFrame, shape: Shape, long: str, *shorts: str, alphabet:
     return d.groupBy(*keys).agg(F.count("*").alias("count"))
 
 
-def both_directions(df: DataFrame, shape: Shape, a: str, b: str) -> DataFrame:
-    """Forward counts, and reverse counts with the roles of the sequences swapped."""
-    taxa = {"la": (a, 0, shape.longwin), "sb": (b, shape.leftwin, shape.shortwin), "lb": (b, 0, shape.longwin), "sa": (a, shape.leftwin, shape.shortwin)}
-    ways = F.array(F.struct(F.lit("forward").alias("direction"), F.col("la").alias("long"), F.col("sb").alias("short")), F.struct(F.lit("reverse").alias("direction"), F.col("lb").alias("long"), F.col("sa").alias("short")))
-    d = strict(windows(df, taxa, shape.longwin).select(F.explode(ways).alias("w")).select("w.*"), ["long", "short"])
-    return d.groupBy("direction", "long", "short").agg(F.count("*").alias("count"))
+def both_directions(df: DataFrame, shape: Shape, a: str, b: str, spread: int | None = None) -> DataFrame:
+    """Forward counts, and reverse counts with the roles of the sequences swapped. Pairs of windows are counted first, then turned both ways."""
+    d = windows(df, {"la": (a, 0, shape.longwin), "lb": (b, 0, shape.longwin)}, shape.longwin, spread=spread)
+    d = d.groupBy("la", "lb").agg(F.count("*").alias("n"))
+    way = lambda name, x, y: F.struct(F.lit(name).alias("direction"), F.col(x).alias("long"), F.substring(F.col(y), F.lit(shape.leftwin + 1), F.lit(shape.shortwin)).alias("short"))
+    d = d.select("n", F.explode(F.array(way("forward", "la", "lb"), way("reverse", "lb", "la"))).alias("w")).select("n", "w.*")
+    return strict(d, ["long", "short"]).groupBy("direction", "long", "short").agg(F.sum("n").alias("count"))
 
 
 def listed(counts: DataFrame, combos: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def row_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("long").agg(F.sum("count").alias("count"))
 
 
-def projected(counts: DataFrame, old: Shape, new: Shape, shorts: list[str] = ("short",), overlapping: bool = True) -> DataFrame:
-    """Counts re-shaped to smaller windows: the sum over the admissible shifts, by their number if overlapping."""
+def projected(counts: DataFrame, old: Shape, new: Shape, shorts: list[str] = ("short",), overlapping: bool = True, combos: DataFrame | None = None) -> DataFrame:
+    """Counts re-shaped to smaller windows: the sum over the admissible shifts, by their number if overlapping. combos: the combinations of short patterns that count."""
     lo = max(0, old.leftwin - new.leftwin)
     hi = min(old.leftwin + old.shortwin - new.leftwin - new.shortwin, old.longwin - new.longwin)
     if lo > hi:
@@ -135,4 +136,5 @@ def projected(counts: DataFrame, old: Shape, new: Shape, shorts: list[str] = ("s
     d = counts.withColumn("_k", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
     k = F.col("_k")
     d = d.select(F.substring(F.col("long"), k + 1, F.lit(new.longwin)).alias("long"), *(F.substring(F.col(s), k + (new.leftwin - old.leftwin + 1), F.lit(new.shortwin)).alias(s) for s in shorts), "count")
+    d = d if combos is None else listed(d, combos)
     return d.groupBy("long", *shorts).agg((F.sum("count") / F.lit(hi - lo + 1 if overlapping else 1)).alias("count"))

@@ -6,11 +6,13 @@ them, whole. Sums of fractions are rounded alike on both sides.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..functions import fixation, patterns as P, sequences as S
-from ..operators import generator as G, intervals as I, model as M, residuals as R, results as X, simulate as Z, tmers as C
-from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spread, table, trio_docs, windows_sql
+from ..operators import generator as G, intervals as I, model as M, ranks as K, residuals as R, results as X, simulate as Z, tmers as C
+from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, SPIN_PAIR, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spin_pairs, spread, table, trio_docs, windows_sql, written_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -18,7 +20,9 @@ ORACLE_SQL: dict = {}
 MUTPATS = ((("A", "C"),), (("C", "T"),), (("G", "A"), ("T", "G")), (("CG", "TG"),))
 RATES = (0.1, 0.2, 0.15, 0.3)
 RULES_SQL = "rules(rate_id, f, t) AS (VALUES (0, 'A', 'C'), (1, 'C', 'T'), (2, 'G', 'A'), (2, 'T', 'G'), (3, 'CG', 'TG'))"
-CODONS = {"ATG": "M", "TGG": "W", "TAA": "*", "TAG": "*", "TGA": "*", "GAT": "D", "GAC": "D", "AAA": "K", "AAG": "K"}
+# Amino acids of the 64 codons of the standard code, codons in the order of TCAG, last letter fastest.
+AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+CODONS = dict(zip(map("".join, itertools.product("TCAG", repeat=3)), AMINO_ACIDS, strict=True))
 
 
 def query(name: str, sql: str | None = None):
@@ -51,7 +55,7 @@ def _(spark, d):
 w AS (SELECT 'forward' AS direction, substr(s1, i, 3) AS long, substr(s2, i + 1, 1) AS short FROM p UNION ALL SELECT 'reverse', substr(s2, i, 3), substr(s1, i + 1, 1) FROM p)
 SELECT direction, long, short, count(*) AS count FROM w WHERE NOT regexp_matches(long || short, '[^ACGT]') GROUP BY ALL""")
 def _(spark, d):
-    return C.both_directions(pair_docs(spark, d), C.Shape(3, 1, 1), "s1", "s2")
+    return C.both_directions(pair_docs(spark, d), C.Shape(3, 1, 1), "s1", "s2", spread=spread(spark))
 
 
 @query("tmer_counts_frames", f"WITH {windows_sql()} SELECT long, short, (((-pos) % 3 + 3) % 3)::int AS frame, count(*) AS count FROM ok GROUP BY ALL")
@@ -273,6 +277,15 @@ def _(spark, d):
     return I.first_matches(c, spark.createDataFrame(list(CODONS.items()), "codon string, aa string"), ["codon"], ["aa"])
 
 
+@query("codon_changes", f"""WITH {PAIR}, w AS (SELECT substr(s1, i, 3) AS a, substr(s2, i, 3) AS b FROM (SELECT s1, s2, unnest(range(1, least(length(s1), length(s2)) - 1)) AS i FROM pair_docs)), c AS (SELECT a AS long, b AS short, count(*) AS count FROM w WHERE NOT regexp_matches(a || b, '[^ACGT]') GROUP BY ALL), k(codon, aa) AS (VALUES {CODON_SQL})
+SELECT x.aa AS aa_from, y.aa AS aa_to, x.aa = y.aa AS synonymous, long = short AS same, sum(count)::bigint AS count FROM c JOIN k x ON x.codon = long JOIN k y ON y.codon = short GROUP BY ALL""")
+def _(spark, d):
+    k = spark.createDataFrame(list(CODONS.items()), "codon string, aa string")
+    c = pair_counts(spark, d, C.Shape(3, 3, 0))
+    c = c.join(F.broadcast(k.toDF("long", "aa_from")), "long").join(F.broadcast(k.toDF("short", "aa_to")), "short")  # 64 rows
+    return c.groupBy("aa_from", "aa_to", (F.col("aa_from") == F.col("aa_to")).alias("synonymous"), (F.col("long") == F.col("short")).alias("same")).agg(F.sum("count").alias("count"))
+
+
 @query("complement_partners", f"""WITH {counts_sql()}, r AS (SELECT long, short, count, reverse(translate(long, 'ACGT', 'TGCA')) AS rl, reverse(translate(short, 'ACGT', 'TGCA')) AS rs FROM counts)
 SELECT a.long, a.short, a.count, b.count AS partner FROM r a LEFT JOIN counts b ON b.long = a.rl AND b.short = a.rs""")
 def _(spark, d):
@@ -389,6 +402,43 @@ def _(spark, d):
     return kind(a.intersect(b), "both").union(kind(a.subtract(b), "customer")).union(kind(b.subtract(a), "supplier"))
 
 
+DEPTHS = "SELECT doc_id, list_sum([x::bigint FOR x IN regexp_extract_all(text, '[0-9]{1,6}')])::bigint AS total FROM documents"
+
+
+@query("field_sums", DEPTHS)
+def _(spark, d):
+    fields = F.regexp_extract_all("text", F.lit("([0-9]{1,6})"), F.lit(1))
+    total = F.aggregate(fields, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return table(spark, d, "documents").select("doc_id", F.when(F.size(fields) > 0, total).alias("total"))
+
+
+@query("zipped_rows", "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) SELECT c_custkey, o_orderkey FROM a JOIN b USING (k)")
+def _(spark, d):
+    a, b = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_orderkey")
+    return X.zipped(a, b, [F.col("c_custkey")], [F.col("o_orderkey")])
+
+
+@query("sorted_positions", "SELECT o_custkey AS chrom, o_orderkey AS pos, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
+def _(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("chrom"), F.col("o_orderkey").alias("pos"))
+    return K.ranked(p, [F.col("chrom"), F.col("pos")])
+
+
+@query("finite_values", "SELECT event_id, value FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND value IS NOT NULL AND isfinite(value)")
+def _(spark, d):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return X.finite(table(spark, d, "events").select("event_id", v.alias("value")), "value")
+
+
+FOLDS = 4
+
+
+@query("folded_tables", "SELECT f, s, n, " + ", ".join(f"c{k}" for k in range(FOLDS)) + " FROM " + " JOIN ".join(f"(SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS n, count(*) AS c{k} FROM lineitem WHERE l_orderkey % {FOLDS} = {k} GROUP BY ALL) t{k}" + (" USING (f, s, n)" if k else "") for k in range(FOLDS)))
+def _(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.col("l_linenumber").alias("n"), "l_orderkey")
+    return X.merged([t.filter(F.col("l_orderkey") % FOLDS == k).groupBy("f", "s", "n").agg(F.count("*").alias(f"c{k}")) for k in range(FOLDS)], ["f", "s", "n"])
+
+
 # Functions
 
 
@@ -411,11 +461,11 @@ def _(spark, d):
     return pair_counts(spark, d).select("long", S.pattern_index("long", "ACGT").alias("idx")).distinct()
 
 
-@query("fixation_functions", """SELECT l_orderkey, l_linenumber, round(CASE WHEN ds = 0 THEN 1 ELSE 3 * (exp(2 * abs(ds)) - 1) / (exp(6 * abs(ds)) - 1) END, 6) AS shape, round(CASE WHEN ds = 0 THEN 1 ELSE 3 * (exp(-2 * ds) - 1) / (exp(-6 * ds) - 1) END, 6) AS popgen, round(1 / (1 + exp(-ds)), 6) AS ising, 1.0::double AS neutral FROM (SELECT *, l_discount - 0.05 AS ds FROM lineitem WHERE l_discount <> 0.05)""")
+@query("fixation_functions", """SELECT l_orderkey, l_linenumber, round(CASE WHEN ds = 0 THEN 1 ELSE 3 * (exp(2 * abs(ds)) - 1) / (exp(6 * abs(ds)) - 1) END, 6) AS shape, round(CASE WHEN ds = 0 THEN 1 ELSE 3 * (exp(-2 * ds) - 1) / (exp(-6 * ds) - 1) END, 6) AS popgen, round(1 / (1 + exp(-ds)), 6) AS ising, 1.0::double AS neutral FROM (SELECT *, l_discount - 0.05 AS ds FROM lineitem)""")
 def _(spark, d):
     ds = F.col("l_discount") - 0.05
     f = lambda n, **p: F.round(fixation.parse(n, p)(ds), 6)
-    return table(spark, d, "lineitem").filter("l_discount <> 0.05").select("l_orderkey", "l_linenumber", f("shape", Ne=3.0).alias("shape"), f("popgen", Ne=3.0).alias("popgen"), f("ising").alias("ising"), f("null").alias("neutral"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", f("shape", Ne=3.0).alias("shape"), f("popgen", Ne=3.0).alias("popgen"), f("ising").alias("ising"), f("null").alias("neutral"))
 
 
 @query("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -479,6 +529,25 @@ def _(spark, d):
     return rounded(G.mean_over_flanks(mut, "n", "rate_id", 1, 1, 4), "n")
 
 
+@query("mean_generator_selection", f"""WITH {GEN}, {SEL}, ks AS (SELECT p, sel_id, q, w, unnest(range(1, 6 - length(q))) AS k FROM (SELECT i AS p FROM mut UNION SELECT j FROM mut), sp),
+m AS (SELECT p, sel_id, sum(w) AS v FROM ks WHERE substr(p, k, length(q)) = q GROUP BY ALL), ids(sel_id) AS (VALUES (0), (1)),
+ds AS (SELECT i, j, ids.sel_id, coalesce(b.v, 0) - coalesce(a.v, 0) AS ds FROM (SELECT DISTINCT i, j FROM mut) CROSS JOIN ids LEFT JOIN m a ON a.p = i AND a.sel_id = ids.sel_id LEFT JOIN m b ON b.p = j AND b.sel_id = ids.sel_id),
+hs AS (SELECT substr(i, 2, 2) AS i, substr(j, 2, 2) AS j, sum(ds * CASE sel_id WHEN 0 THEN 0.5 ELSE -0.3 END) / 16 AS s FROM ds GROUP BY ALL),
+h AS (SELECT substr(i, 2, 2) AS i, substr(j, 2, 2) AS j, sum(n * CASE rate_id WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 WHEN 2 THEN 0.15 ELSE 0.3 END) / 16 AS x FROM mut GROUP BY ALL)
+SELECT i, j, round(x / (1 + exp(-s)), 6) AS x FROM h JOIN hs USING (i, j) WHERE i <> j""")
+def _(spark, d):
+    mut = G.applied(_seen(spark, d), P.rules(spark, MUTPATS))
+    every = mut.select(F.col("i").alias("pattern")).union(mut.select("j")).distinct()
+    ds = G.differences(mut, G.selection(every, _selpats(spark)))
+    return rounded(G.mean_generator(mut, ds, 1, 1, 4, list(RATES), [0.5, -0.3], fixation.ising), "x")
+
+
+@query("column_major_order", f"WITH {GEN}, e AS (SELECT i, j, sum(n)::bigint AS n FROM mut GROUP BY ALL) SELECT i, j, n, row_number() OVER (ORDER BY j, i) AS place FROM e")
+def _(spark, d):
+    e = G.applied(_seen(spark, d), P.rules(spark, MUTPATS)).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return K.ranked(e, [F.col("j"), F.col("i")])
+
+
 # Expected counts and residuals
 
 
@@ -488,7 +557,7 @@ r AS (SELECT long AS inpat, short AS outpat, coalesce(count, 0)::double AS obser
 
 def _independent(spark, d):
     """Expected counts if long and short patterns were independent."""
-    c = pair_counts(spark, d)
+    c = written_counts(spark, d)
     a, b = c.groupBy("long").agg(F.sum("count").cast("double").alias("a")), c.groupBy("short").agg(F.sum("count").cast("double").alias("b"))
     t = c.agg(F.sum("count").cast("double").alias("t"))
     return c, a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(t)).select("long", "short", (F.col("a") * F.col("b") / F.col("t")).alias("count"))
@@ -518,9 +587,9 @@ def _(spark, d):
     return rounded(R.merged_complements(_resids(spark, d), 4, 1, 2), "expected", "resid", "z", digits=4)
 
 
-@query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r WHERE abs(z) > 2")
+@query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r WHERE abs(z) > 0.5")
 def _(spark, d):
-    return rounded(R.listed(_resids(spark, d), 1, 2, 2.0).select("inpat", "outpat", "z"), "z", digits=4)
+    return rounded(R.listed(_resids(spark, d), 1, 2, 0.5).select("inpat", "outpat", "z"), "z", digits=4)
 
 
 @query("extreme_residuals", f"""WITH {EXPECTED}, n AS (SELECT inpat, outpat, (round(z, 4) + 0.0::double) AS z, row_number() OVER (ORDER BY round(z, 4) DESC, inpat, outpat) AS hi, row_number() OVER (ORDER BY round(z, 4), inpat, outpat) AS lo FROM r) SELECT inpat, outpat, z FROM n WHERE hi <= 20 OR lo <= 20""")
@@ -533,6 +602,12 @@ def _(spark, d):
     return rounded(R.above_quantile(_resids(spark, d), "z", 0.95).select("inpat", "outpat", "z"), "z", digits=4)
 
 
+@query("residuals_in_order", f"WITH {EXPECTED}, x AS (SELECT inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r) SELECT *, row_number() OVER (ORDER BY z, inpat, outpat) AS place FROM x")
+def _(spark, d):
+    r = rounded(_resids(spark, d).select("inpat", "outpat", "z"), "z", digits=4)
+    return K.ranked(r, [F.col("z"), F.col("inpat"), F.col("outpat")])
+
+
 @query("motifs", f"""WITH {counts_sql()}, s AS (SELECT short, site, substr(long, site, 1) AS c, sum(count) AS w FROM (SELECT *, unnest(range(1, 5)) AS site FROM counts) GROUP BY ALL),
 h AS (SELECT short, site, c, w::double / sum(w) OVER (PARTITION BY short, site) AS share FROM s), b AS (SELECT short, site, max(share) AS share, max_by(c, (share, c)) AS c FROM h GROUP BY ALL)
 SELECT short, string_agg(CASE WHEN share > 0.75 THEN upper(c) WHEN share > 0.5 THEN lower(c) ELSE '.' END, '' ORDER BY site) AS motif FROM b GROUP BY 1""")
@@ -561,15 +636,98 @@ def _(spark, d):
 # Models on counts of the documents
 
 
-@query("predicted_counts")
+def pattern_sql(length: int, bases: str) -> str:
+    letters = ", ".join(f"('{c}')" for c in bases)
+    return f"letters(c) AS (VALUES {letters}), pats AS (SELECT {' || '.join(f'l{k}.c' for k in range(length))} AS p FROM {', '.join(f'letters l{k}' for k in range(length))})"
+
+
+def rules_sql(mutpats, rates) -> str:
+    rows = ", ".join(f"('{a}', '{b}', {x}::double)" for group, x in zip(mutpats, rates, strict=True) for a, b in group)
+    return f"ways(f, t, rate) AS (VALUES {rows})"
+
+
+def generator_sql(length: int, factor: str = "1") -> str:
+    """g(i, j, x) from pats and ways; factor: of i and j."""
+    return f"""gw AS (SELECT p, f, t, rate, unnest(range(1, {length + 2} - length(f))) AS k FROM pats, ways),
+    ge AS (SELECT p AS i, substr(p, 1, k - 1) || t || substr(p, k + length(f)) AS j, sum(rate) AS x FROM gw WHERE substr(p, k, length(f)) = f GROUP BY ALL), g AS (SELECT i, j, x * {factor} AS x FROM ge)"""
+
+
+def series_sql(start: str, t: float = 1.0, steps: int = 40) -> str:
+    """tr(long, short, p): the exponential of the generator g for a time t, acting on what `start` (p, s) says, by its uniformization series."""
+    return f"""o AS (SELECT i, sum(x) AS o FROM g GROUP BY i), top AS (SELECT max(o) AS r FROM o),
+    pg AS (SELECT i, j, x / r AS x FROM g, top UNION ALL SELECT p, p, 1 - coalesce(o, 0) / r FROM pats LEFT JOIN o ON i = p, top),
+    v(k, i, s, x) AS (SELECT 0, p, {start}, 1.0::double FROM pats UNION ALL SELECT k + 1, pg.i, s, sum(pg.x * v.x) FROM v JOIN pg ON v.i = pg.j WHERE k < {steps} GROUP BY k, pg.i, s),
+    tr AS (SELECT i AS long, s AS short, sum(x * exp(k * ln(r * {t}) - r * {t} - lgamma(k + 1))) AS p FROM v, top GROUP BY ALL)"""
+
+
+PREDICTED = f"""{pattern_sql(4, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(4)}, {series_sql("substr(p, 2, 2)")}, {counts_sql()},
+totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1), predicted AS (SELECT long, short, n * p AS count FROM totals JOIN tr USING (long))"""
+
+
+@query("predicted_counts", f"WITH RECURSIVE {PREDICTED} SELECT long, short, round(count, 4) AS count FROM predicted")
 def _(spark, d):
     return rounded(M.predicted(pair_counts(spark, d), model()), "count", digits=4)
 
 
-@query("model_residuals")
+@query("model_residuals", f"""WITH RECURSIVE {PREDICTED}, r AS (SELECT long AS inpat, short AS outpat, coalesce(c.count, 0)::double AS observed, coalesce(p.count, 0) AS expected FROM predicted p FULL JOIN counts c USING (long, short))
+SELECT inpat, outpat, observed, round(expected, 4) AS expected, round(observed - expected, 4) + 0.0::double AS resid, CASE WHEN expected > 0 THEN round((observed - expected) / sqrt(4 * expected), 2) + 0.0::double END AS z FROM r""")
 def _(spark, d):
-    c = pair_counts(spark, d)
-    return rounded(R.residuals(c, M.predicted(c, model()), 4), "expected", "resid", "z", digits=4)
+    c = written_counts(spark, d)
+    r = R.residuals(c, M.predicted(c, model()), 4)
+    return rounded(rounded(r, "expected", "resid", digits=4), "z", digits=2)
+
+
+@query("predicted_counts_other_shape", f"""WITH RECURSIVE {pattern_sql(4, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(4)}, {series_sql("substr(p, 1, 3)")}, {counts_sql()}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1)
+SELECT long, short, round(n * p, 4) AS count FROM totals JOIN tr USING (long)""")
+def _(spark, d):
+    return rounded(M.predicted(pair_counts(spark, d), model(), C.Shape(4, 3, 0)), "count", digits=4)
+
+
+SPINS = M.Model("XO", ((("X", "O"), ("O", "X")), (("XO", "OX"),)), (0.5, 0.25), C.Shape(4, 2, 1), selpats=((("OX", 1.0), ("XO", 1.0)), (("X", 0.5),)), selcoef=(-0.6, 0.3), fixfn="ising")
+SPIN_GEN = f"""{pattern_sql(4, "XO")}, {rules_sql(SPINS.mutpats, SPINS.rates)}, sel AS (SELECT p, (SELECT sum(CASE WHEN substr(p, k, 2) IN ('OX', 'XO') THEN -0.6 ELSE 0 END) FROM range(1, 4) r(k)) + 0.15 * length(replace(p, 'O', '')) AS s FROM pats),
+{generator_sql(4, "(1 / (1 + exp((SELECT s FROM sel WHERE p = i) - (SELECT s FROM sel WHERE p = j))))")}"""
+SPIN_COUNTS = f"{SPIN_PAIR}, sw AS (SELECT substr(s1, k, 4) AS long, substr(s2, k + 1, 2) AS short FROM (SELECT s1, s2, unnest(range(1, length(s1) - 2)) AS k FROM spin_pairs)), counts AS (SELECT long, short, count(*) AS count FROM sw GROUP BY ALL)"
+
+
+def _spin_counts(spark, d):
+    return C.tmer_counts(spin_pairs(spark, d), SPINS.shape, "s1", "s2", alphabet=None)
+
+
+@query("predicted_counts_selection", f"""WITH RECURSIVE {SPIN_GEN}, {series_sql("substr(p, 2, 2)")}, {SPIN_COUNTS}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1) SELECT long, short, round(n * p, 4) AS count FROM totals JOIN tr USING (long)""")
+def _(spark, d):
+    return rounded(M.predicted(_spin_counts(spark, d), SPINS), "count", digits=4)
+
+
+@query("loglikelihood_selection", f"""WITH RECURSIVE {SPIN_GEN}, {series_sql("substr(p, 2, 2)")}, {SPIN_COUNTS}, shorter AS (SELECT long, substr(short, 1, 1) AS short, sum(p) AS p FROM tr GROUP BY ALL)
+SELECT round((SELECT sum(count * ln(p)) FROM counts JOIN tr USING (long, short)) - (SELECT sum(count * ln(s.p)) FROM counts c JOIN shorter s ON c.long = s.long AND substr(c.short, 1, 1) = s.short), 3) AS loglik""")
+def _(spark, d):
+    return rounded(M.loglikelihood(_spin_counts(spark, d), SPINS), "loglik", digits=3)
+
+
+#: Three taxa below one root; the long patterns are seen in the first.
+STAR = [("root", "sp1", 0.3), ("root", "sp2", 0.2), ("root", "sp3", 0.4)]
+FREQS = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+
+
+@query("predicted_tree_counts", f"""WITH RECURSIVE {pattern_sql(3, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(3)}, {series_sql("p")},
+q AS (SELECT t, i, s AS j, sum(x * exp(k * ln(r * t) - r * t - lgamma(k + 1))) AS p FROM v, top, (VALUES (0.3), (0.2), (0.4)) times(t) GROUP BY ALL),
+b AS (SELECT t, i, substr(j, 2, 1) AS s, sum(p) AS p FROM q WHERE t <> 0.3 GROUP BY ALL),
+root AS (SELECT p AS i, list_product([CASE WHEN c IN ('A', 'T') THEN 0.3 ELSE 0.2 END FOR c IN string_split(p, '')]) AS w FROM pats),
+joint AS (SELECT q.j AS long, b.s AS short1, c.s AS short2, sum(w * q.p * b.p * c.p) AS x FROM root JOIN q USING (i) JOIN b USING (i) JOIN b c USING (i) WHERE q.t = 0.3 AND b.t = 0.2 AND c.t = 0.4 GROUP BY ALL),
+{TRIO}, totals AS (SELECT long, sum(count) AS n FROM trio GROUP BY 1)
+SELECT long, short1, short2, round(n * x / sum(x) OVER (PARTITION BY long), 4) AS count FROM joint JOIN totals USING (long)""")
+def _(spark, d):
+    m = M.Model("ACGT", MUTPATS, RATES, C.Shape(3, 1, 1))
+    return rounded(M.predicted_tree(_trio(spark, d), STAR, "sp1", ["sp2", "sp3"], dict.fromkeys(("sp1", "sp2", "sp3"), m), FREQS), "count", digits=4)
+
+
+@query("projected_tree_counts", f"""WITH {PAIR}, t AS (SELECT s1, s2, c.seq AS s3 FROM pair_docs p JOIN seq_docs c ON c.doc_id = p.id + 2),
+w AS (SELECT substr(s1, i, 4) AS long, substr(s2, i + 1, 2) AS a, substr(s3, i + 1, 2) AS b FROM (SELECT *, unnest(range(1, least(length(s1), length(s2), length(s3)) - 2)) AS i FROM t)),
+c AS (SELECT long, a, b, count(*) AS count FROM w WHERE NOT regexp_matches(long || a || b, '[^ACGT]') GROUP BY ALL), k AS (SELECT *, unnest(range(1, 3)) AS k FROM c)
+SELECT substr(long, k + 1, 2) AS long, substr(a, k, 1) AS short1, substr(b, k, 1) AS short2, sum(count) / 2.0::double AS count FROM k WHERE (substr(a, k, 1), substr(b, k, 1)) IN (('A', 'C'), ('G', 'G'), ('T', 'A')) GROUP BY ALL""")
+def _(spark, d):
+    c = C.tmer_counts(trio_docs(spark, d), SHAPE, "s1", "s2", "s3", spread=spread(spark))
+    return C.projected(c, SHAPE, C.Shape(2, 1, 0), ["short1", "short2"], combos=spark.createDataFrame([("A", "C"), ("G", "G"), ("T", "A")], "short1 string, short2 string"))
 
 
 @query("fitted_rates")
@@ -585,10 +743,19 @@ def _(spark, d):
     return M.sample(pair_counts(spark, d, shape), model(shape), 200, 4)
 
 
-@query("likelihood_surface")
+POINTS = "points(a, b) AS (SELECT 0.1 * (0.5 + 0.25 * i), 0.2 * (0.5 + 0.25 * j) FROM range(5) x(i), range(5) y(j))"
+
+
+@query("likelihood_surface", f"""WITH RECURSIVE {pattern_sql(3, "ACGT")}, {POINTS}, ways(f, t, r) AS (VALUES ('A', 'C', 0), ('C', 'T', 1), ('G', 'A', 2), ('T', 'G', 2), ('CG', 'TG', 3)),
+gw AS (SELECT p, f, t, r, unnest(range(1, 5 - length(f))) AS k FROM pats, ways), ge AS (SELECT p AS i, substr(p, 1, k - 1) || t || substr(p, k + length(f)) AS j, r FROM gw WHERE substr(p, k, length(f)) = f),
+g AS (SELECT a, b, i, j, sum(CASE r WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN 0.15 ELSE 0.3 END)::double AS x FROM ge, points GROUP BY ALL), o AS (SELECT a, b, i, sum(x) AS o FROM g GROUP BY ALL), top AS (SELECT a, b, max(o) AS r FROM o GROUP BY ALL),
+pg AS (SELECT a, b, i, j, x / r AS x FROM g JOIN top USING (a, b) UNION ALL SELECT top.a, top.b, p, p, 1 - coalesce(o, 0) / r FROM pats CROSS JOIN top LEFT JOIN o ON o.i = p AND o.a = top.a AND o.b = top.b),
+v(k, a, b, i, s, x) AS (SELECT 0, a, b, p, substr(p, 2, 1), 1.0::double FROM pats, points UNION ALL SELECT k + 1, v.a, v.b, pg.i, s, sum(pg.x * v.x) FROM v JOIN pg ON v.i = pg.j AND v.a = pg.a AND v.b = pg.b WHERE k < 40 GROUP BY ALL),
+tr AS (SELECT a, b, i AS long, s AS short, sum(x * exp(k * ln(r) - r - lgamma(k + 1))) AS p FROM v JOIN top USING (a, b) GROUP BY ALL), {counts_sql(C.Shape(3, 1, 1))}
+SELECT round(a::double, 9) AS x, round(b::double, 9) AS y, round(sum(count * ln(p)), 2) AS loglik FROM tr JOIN counts USING (long, short) GROUP BY ALL""")
 def _(spark, d):
     shape = C.Shape(3, 1, 1)
-    return M.surface(pair_counts(spark, d, shape), model(shape), 0, 1)
+    return rounded(rounded(M.surface(pair_counts(spark, d, shape), model(shape), 0, 1), "x", "y", digits=9), "loglik", digits=2)
 
 
 @query("candidate_rules")

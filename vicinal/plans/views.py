@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tmers import Shape, kmers, tmer_counts
+from ..staging import staged
 
 ALPHA, SYMBOLS = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 EVENTS = {"signup": "A", "purchase": "C", "error": "G", "view": "T"}
@@ -44,6 +45,11 @@ def pair_counts(spark: SparkSession, d: str, shape: Shape = SHAPE) -> DataFrame:
     return tmer_counts(pair_docs(spark, d), shape, "s1", "s2", spread=spread(spark))
 
 
+def written_counts(spark: SparkSession, d: str, shape: Shape = SHAPE) -> DataFrame:
+    """The same as a written table, for queries that use the counts several times."""
+    return staged(pair_counts(spark, d, shape), "counts")
+
+
 def event_runs(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     """user_id, grp, part, no, text: the letters of each user in order of (ts, event_id), no user in one task.
 
@@ -122,6 +128,14 @@ def seq_events(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", F.concat_ws("", F.transform("l", lambda x: x["text"])).alias("seq"))
 
 
+def spin_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """l_orderkey, s1, s2: two aligned sequences of an order's lines."""
+    x = lambda c: F.when(c, "X").otherwise("O")
+    line = F.struct("l_linenumber", "l_linestatus", "l_returnflag", x(F.col("l_linestatus") == "F").alias("a"), x(F.col("l_returnflag") != "N").alias("b"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("l"))
+    return g.select("l_orderkey", F.concat_ws("", F.transform("l", lambda x: x["a"])).alias("s1"), F.concat_ws("", F.transform("l", lambda x: x["b"])).alias("s2"))
+
+
 def spin_lines(spark: SparkSession, d: str) -> DataFrame:
     c = F.when(F.col("l_linestatus") == "F", "X").otherwise("O")
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus", c.alias("c")))).alias("l"))
@@ -134,6 +148,9 @@ EVENT_SEQ = "seq_events AS (SELECT user_id, string_agg(CASE event_type WHEN 'sig
 SPIN = "spin_lines AS (SELECT l_orderkey, string_agg(CASE l_linestatus WHEN 'F' THEN 'X' ELSE 'O' END, '' ORDER BY l_linenumber, l_linestatus) AS seq FROM lineitem GROUP BY l_orderkey)"
 
 
+SPIN_PAIR = "spin_pairs AS (SELECT l_orderkey, string_agg(CASE l_linestatus WHEN 'F' THEN 'X' ELSE 'O' END, '' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS s1, string_agg(CASE l_returnflag WHEN 'N' THEN 'O' ELSE 'X' END, '' ORDER BY l_linenumber, l_linestatus, l_returnflag) AS s2 FROM lineitem GROUP BY l_orderkey)"
+
+
 def windows_sql(shape: Shape = SHAPE) -> str:
     n, w, o = shape.longwin, shape.shortwin, shape.leftwin
     return PAIR + f""", wins AS (SELECT id, pos, substr(s1, pos, {n}) AS long, substr(s2, pos + {o}, {w}) AS short

@@ -64,9 +64,15 @@ def unknown_patterns(counts: DataFrame, patterns: DataFrame, column: str) -> Dat
 
 
 def multiple_alignment(spark: SparkSession, path: str, taxa: list[str] | None = None) -> DataFrame:
-    """taxon, seq of a PHYLIP file; spaces inside sequences are dropped."""
-    d = spark.read.text(path).filter(F.trim("value") != "").filter(~F.col("value").rlike(r"^\s*\d+\s+\d+\s*$"))
+    """taxon, seq of a sequential PHYLIP file, a line for each taxon; spaces inside sequences are dropped. Lines that are not as long as the head line says (as in interleaved files) are an error."""
+    head = r"^\s*\d+\s+\d+\s*$"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    said = lines.filter(F.col("value").rlike(head)).first()
+    d = lines.filter(~F.col("value").rlike(head))
     d = d.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("taxon"), F.regexp_replace(F.regexp_replace("value", r"^\s*\S+", ""), r"\s", "").alias("seq"))
+    if said:
+        n = int(said["value"].split()[1])
+        d = d.withColumn("seq", F.when(F.length("seq") == n, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit(f"not a sequence of {n} sites: "), F.col("taxon")))))
     return d.filter(F.col("taxon").isin(taxa)) if taxa else d
 
 
