@@ -49,26 +49,33 @@ class Model:
 
     def ways(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, rate) of each way to change a pattern: fixed for a model, so rates only re-weigh it."""
-        pats = self.patterns()
-        at = {p: k for k, p in enumerate(pats)}
-        rows = [(at[p], at[self._written(p, s, b)], r) for r, group in enumerate(self.mutpats) for a, b in group for p in pats for s in self._places(p, a)]
-        return tuple(np.array(x, int) for x in zip(*(x for x in rows if x[0] != x[1]), strict=True))
-
-    def _places(self, p: str, a: str):
-        """Where a stands in the pattern."""
-        wrap = self.boundary == "wrap"
-        text, last = (p + p, len(p)) if wrap else (p, len(p) - len(a) + 1)
-        return [s for s in range(last if len(a) <= len(p) else 0) if text.startswith(a, s)]
-
-    def _written(self, p: str, s: int, b: str) -> str:
-        out = list(p)
-        for k, c in enumerate(b):
-            out[(s + k) % len(p)] = c
-        return "".join(out)
+        k, n, out = len(self.bases), self.shape.longwin, []
+        for r, group in enumerate(self.mutpats):
+            for a, b in group:
+                for s, at in self._places(a):
+                    step = sum((self.bases.index(y) - self.bases.index(x)) * k ** ((s + m) % n) for m, (x, y) in enumerate(zip(a, b, strict=True)))
+                    if step:
+                        out.append((at, at + step, np.full(len(at), r)))
+        return tuple(np.concatenate([x[c] for x in out] or [np.zeros(0, int)]) for c in range(3))
+
+    def _places(self, q: str):
+        """(start, numbers of the patterns in which q stands there) for each start; the first symbol of a pattern varies fastest."""
+        k, n = len(self.bases), self.shape.longwin
+        every = np.arange(k**n)
+        for s in range(0 if len(q) > n else n if self.boundary == "wrap" else n - len(q) + 1):
+            here = np.ones(len(every), bool)
+            for m, c in enumerate(q):
+                here &= every // k ** ((s + m) % n) % k == self.bases.index(c)
+            yield s, every[here]
 
     def selection(self) -> np.ndarray:
         """Weighted matches of each group of selected patterns, a row for each pattern."""
-        return np.array([[sum(w * len(self._places(p, q)) for q, w in group) for group in self.selpats] for p in self.patterns()]).reshape(-1, len(self.selpats))
+        out = np.zeros((len(self.bases) ** self.shape.longwin, len(self.selpats)))
+        for c, group in enumerate(self.selpats):
+            for q, w in group:
+                for _, at in self._places(q):
+                    out[at, c] += w
+        return out
 
     def entries(self, rates=None, selcoef=None, fixparams=None, ways=None) -> Sparse:
         """The generator: rates of all ways, times the fixation function of their selection differences."""
