@@ -1,13 +1,11 @@
-"""What the operators of this subpackage share: tables, staging, bounded broadcasts, prefix sums."""
+"""What the operators of this subpackage share: tables, bounded broadcasts, prefix sums."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from ..staging import discard, staged
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that may be broadcast; beyond it the join shuffles.
@@ -20,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where none is named, a local session gets one; a cluster must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to a new Parquet folder in the shared directory and reads it back: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vicinal/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes the folders of staged frames. Only for frames from which nothing is read any more: all that came of them is staged itself."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ranked(df: DataFrame, order: list, values: list[str], tag: str) -> DataFrame:
     """df staged, with its place in the order (from 1) as _place, and for each value the sum over the rows before as <value>_before.
 
