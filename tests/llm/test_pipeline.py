@@ -71,3 +71,30 @@ def test_tokens(steps):
 def test_run_is_the_stages(spark, steps):
     got = pipeline.run(spark, DIR).toPandas()
     assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, steps[-1][2].to_numpy().tolist()))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string, k0 string, lang_pred string, _tox_text string, size string, _0 string"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, no rows, and further columns of any name."""
+    name, fn = pipeline.STAGES[stage]
+    long = " ".join(f"the word{i % 5000} of" for i in range(150_000))  # two megabytes
+    texts = ["the water of the stone and the word " * 3, "the water of the stone and the word " * 3, None, "", " \n", "123 !!", long, "über den stein und das wasser nicht weit", "x"]
+    rows = [(i if i != 7 else None, t, "en", "s" if i % 2 else None, None, "a", "b", "c", "d", "e", "f", "g") for i, t in enumerate(texts)]
+    rows += [rows[0], (None,) * 12]
+    docs = spark.createDataFrame(rows, ODD)
+    got = fn(spark, docs, DIR)
+    empty = fn(spark, docs.limit(0), DIR)
+    assert empty.columns == got.columns and empty.count() == 0
+    found = got.collect()
+    if stage < 4:
+        assert got.columns == docs.columns
+        assert {tuple(r) for r in found} <= set(rows)
+    if name == "n-gram Jaccard join":
+        want = {c for _, _, c in brute([(i, r[1]) for i, r in enumerate(rows)])}
+        assert len(found) == len(want)
+    if name == "BPE encoding and decoding":
+        lib = Tokenizer.from_file(bpe.default_path())
+        assert sorted(r["n_tokens"] for r in found) == sorted(len(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)

@@ -1,5 +1,7 @@
 """Top-k search and near duplicates of vectors, against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,45 @@ def test_components(spark):
             for x in both:
                 seen[x] = both
     assert got == {x: min(s) for x, s in seen.items()}
+
+
+@pytest.mark.parametrize("largest", [0.9, 4e8, 3e38])
+def test_top_k_of_any_finite_floats(spark, monkeypatch, largest):
+    """Scores in unbounded integers, in many blocks; beyond a long the nearest long, in the exact order."""
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(search, "CANDIDATES", 16)
+    monkeypatch.setattr(search, "QUERIES", 2)
+    f = lambda x: float(np.float32(x))
+    vectors = {i: [f(r.uniform(-1, 1) * (largest if r.random() < 0.2 else 1)) for _ in range(9)] for i in range(70)}
+    vectors |= {70: vectors[3], 71: vectors[3], 100: vectors[0], 150: [0.0] * 9}
+    rows = [*vectors.items(), (200, None), (201, [1.0, None] + [0.0] * 7), (202, [float("nan")] * 9), (203, [float("inf")] * 9)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string").repartition(4)
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in search.top_k(df).collect()}
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    want = {}
+    for q in (0, 50, 100, 150):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want |= {(q, k + 1): (i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(scores)}
+    assert got == want
+
+
+def test_equal_vectors_count_each(spark):
+    """Copies of a vector, alone and near others: links and components are those of all rows."""
+    base = [[1.0, 0.0, 0.0], [0.97, 0.2, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(i, base[i % 4] if i < 60 else base[2], i % 2) for i in range(100)] + [(7, base[3], 1), (500, base[0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(df).collect())
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    near = [[j for j, y in enumerate(rows) if i != j and x[2] is not None and x[2] == y[2] and cos(x[1], y[1]) >= 0.93] for i, x in enumerate(rows)]
+    want = []
+    for i, x in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        least = min(rows[j][0] for j in seen)
+        want.append((x[0], len(near[i]), least, x[0] == least))
+    assert got == sorted(want)

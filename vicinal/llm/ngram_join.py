@@ -263,7 +263,9 @@ def postings(docs: DataFrame, bits: tuple[Bits, Bits], k: int, tokens: int) -> D
 
     sent = docs.mapInArrow(run, "part long, sig binary, names binary, at binary")
     passed = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("sig"), F.lit(1 << 40))).otherwise(F.col("part"))
-    return staged(sent.withColumn("part", passed).groupBy("part").applyInArrow(gather, "sig long, node long"), "join-postings")
+    out = staged(sent.withColumn("part", passed).groupBy("part").applyInArrow(gather, "sig long, node long"), "join-postings")
+    shared.unpersist()
+    return out
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, repeated: Bits, k: int, n: int) -> DataFrame:
@@ -303,7 +305,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, repeated: Bits, k: int, n: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack(np.diff(s, prepend=np.uint64(0))) for s in found.values()], pa.binary()), pa.array(some, pa.binary())], ["node", "tokens", "shared"])
 
     sent = docs.mapInArrow(run, "node long, tokens binary, shared binary")
-    return staged(sent.join(F.broadcast(nodes) if n <= MOST_GONE else nodes, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    out = staged(sent.join(F.broadcast(nodes) if n <= MOST_GONE else nodes, "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    shared.unpersist()
+    return out
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -427,14 +431,19 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: one of its smallest doc_id, or any if none has one. Rows count by themselves, whether or not they share a doc_id."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "join-rows")
+    """docs with one row of each component: one of its smallest doc_id, or any if none has one. Rows count by themselves, whether or not they share a doc_id. Columns may have any names."""
+    names = docs.columns
+    numbered = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    at = {c: F.col(f"_c{i}") for i, c in enumerate(names)}
+    rows = staged(numbered.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), F.monotonically_increasing_id().alias("_row")), "join-rows")
     found = join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     found = rows.select("_row", "doc_id").join(found, "_row")
     found = staged(found, "join-found")
     least = found.groupBy("_group").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept")).filter("_n > 1")
     gone = staged(found.join(least, "_group").filter("_row <> _kept").select("_row"), "join-gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "_row", "left_anti").select(*docs.columns)
+    discard(found)
+    kept = rows.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "_row", "left_anti")
+    return kept.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op5(spark, sf_dir):
