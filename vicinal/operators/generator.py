@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sequences import wrap_overwrite, wrap_substring
 
+#: Most rows of a table of rules that is broadcast.
+MOST_RULES = 10_000
+
+
+def few(rules: DataFrame) -> DataFrame:
+    """A table of rules, a model's configuration, marked for a broadcast; more rows than a configuration has are an error."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return F.broadcast(rules)
+
 
 def applied(patterns: DataFrame, rules: DataFrame, boundary: str = "none") -> DataFrame:
     """i, j, rate_id, n: in how many ways the rules of a rate turn pattern i into j. boundary wrap: patterns are circles.
@@ -17,7 +27,7 @@ def applied(patterns: DataFrame, rules: DataFrame, boundary: str = "none") -> Da
     The rule table is small by nature (a model's configuration), the pattern table may not be.
     """
     n, k = F.length("pattern"), F.length("from")
-    d = patterns.select("pattern").crossJoin(F.broadcast(rules.filter(F.length("from") == F.length("to"))))
+    d = patterns.select("pattern").crossJoin(few(rules.filter(F.length("from") == F.length("to"))))
     last = n if boundary == "wrap" else n - k + 1
     d = d.filter((last >= 1) & (k <= n)).withColumn("s", F.explode(F.sequence(F.lit(1), last)))
     if boundary == "wrap":
@@ -31,7 +41,7 @@ def applied(patterns: DataFrame, rules: DataFrame, boundary: str = "none") -> Da
 
 def selection(patterns: DataFrame, selpats: DataFrame, boundary: str = "none") -> DataFrame:
     """pattern, sel_id, weight: weighted matches of selpats (sel_id, selpat, factor)."""
-    d = patterns.select("pattern").crossJoin(F.broadcast(selpats))
+    d = patterns.select("pattern").crossJoin(few(selpats))
     n, k = F.length("pattern"), F.length("selpat")
     last = n if boundary == "wrap" else n - k + 1
     d = d.filter((last >= 1) & (k <= n)).withColumn("s", F.explode(F.sequence(F.lit(1), last)))

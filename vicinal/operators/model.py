@@ -44,6 +44,17 @@ class Model:
     fixparams: tuple = ()
     boundary: str = "none"
 
+    def __post_init__(self):
+        for group in self.mutpats:
+            for a, b in group:
+                if len(a) != len(b) or len(a) > self.shape.longwin or set(a + b) - set(self.bases):
+                    raise ValueError(f"no rule on windows of {self.shape.longwin} of {self.bases}: {a} -> {b}")
+        if any(len(q) > self.shape.longwin or set(q) - set(self.bases) for group in self.selpats for q, _ in group):
+            raise ValueError("a selected pattern does not fit the window")
+        if len(self.rates) != len(self.mutpats) or len(self.selcoef) not in (0, len(self.selpats)):
+            raise ValueError("as many rates and coefficients as groups are wanted")
+        parse(self.fixfn, dict(self.fixparams))
+
     def patterns(self) -> list[str]:
         return pattern_list(self.shape.longwin, self.bases)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.sequences import flanks_lowered, hamming, reverse_complement
 from . import ranks
+from .generator import few
 
 
 def z_score(resid: Column, expected: Column, longwin: int) -> Column:
@@ -95,7 +96,7 @@ def divergence(counts: DataFrame, leftwin: int, shortwin: int) -> DataFrame:
 
 def mutations(counts: DataFrame, rules: DataFrame, leftwin: int, shortwin: int, full_range: bool = False) -> DataFrame:
     """rate_id, observed, possible: windows in which a rule's pattern stands in the long pattern, and those of them with its replacement in the short one."""
-    d = counts.withColumn("inner", F.substring(F.col("long"), leftwin + 1, shortwin)).crossJoin(F.broadcast(rules))
+    d = counts.withColumn("inner", F.substring(F.col("long"), leftwin + 1, shortwin)).crossJoin(few(rules))
     last = F.lit(shortwin) - F.length("from") + 1
     last = last if full_range else F.least(last, F.greatest(F.lit(shortwin - 1), F.lit(1)))
     d = d.filter(last >= 1).withColumn("k", F.explode(F.sequence(F.lit(1), last)))

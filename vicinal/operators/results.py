@@ -84,6 +84,12 @@ def zipped(a: DataFrame, b: DataFrame, order_a: list, order_b: list) -> DataFram
     return a.join(b, "_row").drop("_row")
 
 
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the order."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*").select(*df.columns)
+
+
 def without_empty(df: DataFrame) -> DataFrame:
     """Without the columns that are null in every row."""
     n = df.agg(*(F.count(c).alias(c) for c in df.columns)).first()

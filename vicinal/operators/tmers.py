@@ -84,6 +84,15 @@ def both_directions(df: DataFrame, shape: Shape, a: str, b: str, spread: int | N
     return strict(d, ["long", "short"]).groupBy("direction", "long", "short").agg(F.sum("n").alias("count"))
 
 
+def all_pairs(df: DataFrame, shape: Shape, taxa: list[str], spread: int | None = None) -> DataFrame:
+    """a, b, long, short, count: long patterns in a, short ones in b, for all pairs of the columns, in one pass over the windows."""
+    d = windows(df, {f"l{k}": (c, 0, shape.longwin) for k, c in enumerate(taxa)}, shape.longwin, spread=spread)
+    short = lambda k: F.substring(F.col(f"l{k}"), F.lit(shape.leftwin + 1), F.lit(shape.shortwin))
+    pairs = [F.struct(F.lit(taxa[i]).alias("a"), F.lit(taxa[j]).alias("b"), F.col(f"l{i}").alias("long"), short(j).alias("short")) for i in range(len(taxa)) for j in range(i + 1, len(taxa))]
+    d = strict(d.select(F.explode(F.array(*pairs)).alias("w")).select("w.*"), ["long", "short"])
+    return d.groupBy("a", "b", "long", "short").agg(F.count("*").alias("count"))
+
+
 def listed(counts: DataFrame, combos: DataFrame) -> DataFrame:
     """Only counts whose short patterns are among the listed combinations."""
     return counts.join(combos, combos.columns, "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..functions import fixation, patterns as P, sequences as S
 from ..operators import generator as G, intervals as I, model as M, ranks as K, residuals as R, results as X, simulate as Z, tmers as C
+from .formats import FORMATS
 from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, SPIN_PAIR, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spin_pairs, spread, table, trio_docs, windows_sql, written_counts
 
 QUERIES: dict = {}
@@ -329,6 +330,13 @@ def _(spark, d):
     return a.join(b, "pattern").filter("a < b").groupBy("a", "b").agg(F.sum(F.abs(F.col("na") - F.col("nb"))).alias("distance"))
 
 
+@query("taxa_pair_counts", f"""{"WITH " + PAIR}, t AS (SELECT s1, s2, c.seq AS s3 FROM pair_docs p JOIN seq_docs c ON c.doc_id = p.id + 2), i AS (SELECT *, unnest(range(1, least(length(s1), length(s2), length(s3)) - 1)) AS i FROM t),
+w AS (SELECT 's1' AS a, 's2' AS b, substr(s1, i, 3) AS long, substr(s2, i + 1, 1) AS short FROM i UNION ALL SELECT 's1', 's3', substr(s1, i, 3), substr(s3, i + 1, 1) FROM i UNION ALL SELECT 's2', 's3', substr(s2, i, 3), substr(s3, i + 1, 1) FROM i)
+SELECT a, b, long, short, count(*) AS count FROM w WHERE NOT regexp_matches(long || short, '[^ACGT]') GROUP BY ALL""")
+def _(spark, d):
+    return C.all_pairs(trio_docs(spark, d), C.Shape(3, 1, 1), ["s1", "s2", "s3"], spread=spread(spark))
+
+
 @query("unknown_patterns", f"""WITH {EVENT_SEQ}, w AS (SELECT substr(seq, i, 2) AS pattern FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM seq_events)) SELECT DISTINCT pattern FROM w WHERE regexp_matches(pattern, '[^ACGT]')""")
 def _(spark, d):
     seen = event_kmers(spark, d, 2).select("pattern")
@@ -628,6 +636,11 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("place"))
 
 
+@query("first_occurrences", "SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1")
+def _(spark, d):
+    return X.first_of(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber")
+
+
 @query("distinct_features", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
@@ -781,3 +794,7 @@ def _(spark, d):
     starts = seq_events(spark, d).select(F.col("user_id").alias("rep_id"), F.regexp_replace("seq", "[^ACGT]", "").alias("initseq"))
     rules = (list(MUTPATS), list(RATES))
     return Z.simulate_tree(starts, [("root", "an", 0.2), ("root", "sp1", 0.5), ("an", "sp2", 0.3), ("an", "sp3", 0.3)], dict.fromkeys(("an", "sp1", "sp2", "sp3"), rules))
+
+
+QUERIES |= {name: fn for name, (fn, _) in FORMATS.items()}
+ORACLE_SQL |= {name: sql for name, (_, sql) in FORMATS.items()}
