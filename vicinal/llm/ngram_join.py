@@ -422,7 +422,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     done = [post, star, pairs, nodes, sets, stars, rest]
     if not rest.isEmpty():
         tested = compared(rest, sets, percent, "join-tested")
-        roots = components(links.union(linked(tested, percent)))
+        new = linked(tested, percent)
+        if not new.isEmpty():  # what is joined so far is a star for each component
+            roots = components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         done.append(tested)
     discard(*done)
     d = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
