@@ -771,10 +771,26 @@ def _(spark, d):
     return rounded(rounded(M.surface(pair_counts(spark, d, shape), model(shape), 0, 1), "x", "y", digits=9), "loglik", digits=2)
 
 
-@query("candidate_rules")
+#: The rates tried for each rule that is added alone: 12 from 0.0001 to 0.5, each by the same factor greater.
+TRIED = "(SELECT 0.0001::double * pow(5000.0::double, e / 11.0::double) FROM range(12) z(e))"
+
+
+@query("candidate_rules", f"""WITH RECURSIVE {pattern_sql(3, "ACGT")}, base(f, t, rate) AS (VALUES ('A', 'C', 0.1::double), ('C', 'T', 0.2), ('G', 'A', 0.15), ('T', 'G', 0.15), ('CG', 'TG', 0.3)),
+tries AS (SELECT a.c || '->' || b.c AS rule, a.c AS f, b.c AS t, x.rate FROM letters a, letters b, {TRIED} x(rate) WHERE a.c <> b.c UNION ALL SELECT 'none', 'A', 'C', 0.0::double),
+points AS (SELECT *, row_number() OVER (ORDER BY rule, rate) AS id FROM tries), ways AS (SELECT id, base.f, base.t, base.rate FROM points, base UNION ALL SELECT id, f, t, rate FROM points WHERE rate > 0),
+gw AS (SELECT id, p, f, t, rate, unnest(range(1, 5 - length(f))) AS k FROM pats, ways), g AS (SELECT id, p AS i, substr(p, 1, k - 1) || t || substr(p, k + length(f)) AS j, sum(rate) AS x FROM gw WHERE substr(p, k, length(f)) = f GROUP BY ALL),
+o AS (SELECT id, i, sum(x) AS o FROM g GROUP BY ALL), top AS (SELECT id, max(o) AS r FROM o GROUP BY 1),
+pg AS (SELECT id, i, j, x / r AS x FROM g JOIN top USING (id) UNION ALL SELECT top.id, p, p, 1 - coalesce(o, 0) / r FROM pats CROSS JOIN top LEFT JOIN o ON o.i = p AND o.id = top.id),
+v(k, id, i, s, x) AS (SELECT 0, id, p, substr(p, 1, 2), 1.0::double FROM pats, points UNION ALL SELECT k + 1, v.id, pg.i, s, sum(pg.x * v.x) FROM v JOIN pg ON v.i = pg.j AND v.id = pg.id WHERE k < 30 GROUP BY ALL),
+two AS (SELECT id, i AS long, s AS short, sum(x * exp(k * ln(r) - r - lgamma(k + 1))) AS p FROM v JOIN top USING (id) GROUP BY ALL), one AS (SELECT id, long, substr(short, 1, 1) AS short, sum(p) AS p FROM two GROUP BY ALL), {counts_sql(C.Shape(3, 2, 0))},
+single AS (SELECT long, substr(short, 1, 1) AS short, sum(count) AS count FROM counts GROUP BY ALL),
+ll AS (SELECT id, a - b AS ll FROM (SELECT id, sum(count * ln(p)) AS a FROM counts JOIN two USING (long, short) GROUP BY 1) JOIN (SELECT id, sum(count * ln(p)) AS b FROM single JOIN one USING (long, short) GROUP BY 1) USING (id)),
+gains AS (SELECT rule, rate, ll - (SELECT ll FROM ll JOIN points USING (id) WHERE rule = 'none') AS gain FROM ll JOIN points USING (id) WHERE rule <> 'none')
+SELECT rule, round(max_by(rate, gain), 9) AS rate, round(max(gain), 1) + 0.0::double AS gain FROM gains GROUP BY 1""")
 def _(spark, d):
     shape = C.Shape(3, 2, 0)
-    return M.candidates(pair_counts(spark, d, shape), model(shape), P.all_rules("ACGT", 1))
+    found = M.candidates(pair_counts(spark, d, shape), model(shape), P.all_rules("ACGT", 1))
+    return rounded(rounded(found, "rate", digits=9), "gain", digits=1)
 
 
 @query("residual_clusters")
