@@ -203,7 +203,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     one = one.select("label", "dim", "same", F.coalesce("root", "uid").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     d = staged(rows.select("vec_id", "label", "dim", "same").join(one, ["label", "dim", "same"]), "neardup-joined")
     discard(rows)
-    least = d.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    least = small_side(d.groupBy("root").agg(F.min("vec_id").alias("component_id")), "neardup-least", 1_000_000)
     linked = d.join(least, "root").select("vec_id", "n_links", "component_id")
     can = F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.col("vec_id").isNotNull()
     alone = vectors.filter(~F.coalesce(can, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, give_back, staged, text_bytes
+from .common import discard, give_back, small_side, staged, text_bytes
 from .graph import components
 from .shingles import mix, pack, pieces, shingle_sets, unpack
 
@@ -50,7 +50,7 @@ MOST_BITS = 27
 TOKENS_AT_ONCE = 1 << 21
 #: Tokens that one task counts, or signatures that it gathers.
 TOKENS_A_PART = 3_000_000
-#: Most doc_ids that are broadcast; more are joined by a shuffle.
+#: Most rows of a side that is broadcast; more are joined by a shuffle that may split skewed keys.
 MOST_GONE = 1_000_000
 
 
@@ -428,7 +428,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
         done.append(tested)
     discard(*done)
     d = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    least = d.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = small_side(d.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "join-least", MOST_GONE)
     return d.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -442,6 +442,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = rows.select("_row", "doc_id").join(found, "_row")
     found = staged(found, "join-found")
     least = found.groupBy("_group").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept")).filter("_n > 1")
+    least = small_side(least, "join-groups", MOST_GONE)
     gone = staged(found.join(least, "_group").filter("_row <> _kept").select("_row"), "join-gone")
     discard(found)
     kept = rows.join(F.broadcast(gone) if gone.count() <= MOST_GONE else gone, "_row", "left_anti")
