@@ -28,7 +28,7 @@ from .common import discard, give_back, remainder, returned, staged, text_bytes
 from .shingles import mix, pack, pieces, unpack, words
 
 #: Text of a block, and of the part of the hash range that one task adds up, both in bytes.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 12 << 20
+BLOCK_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Powers of two of a history's count: of the one word before, then of the two words before.
 POWERS = 28
 BUCKETS = 2 * POWERS
