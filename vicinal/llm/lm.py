@@ -33,7 +33,7 @@ BLOCK_BYTES, PART_BYTES = 2 << 20, 8 << 20
 POWERS = 28
 BUCKETS = 2 * POWERS
 #: Bins of a factor of two for probabilities in the held-out statistics, and the bin of probability 0.
-BINS = 4
+BINS = 3
 LOWEST = 24 * BINS
 ROUNDS = 200
 END = mix(np.array([0x656E64], np.uint64))[0]
