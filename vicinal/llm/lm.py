@@ -147,7 +147,7 @@ def counted(docs: DataFrame, sums: DataFrame) -> DataFrame:
     def texts(batches):
         import pyarrow as pa
 
-        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for block, rows in _blocks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=how) as out:
