@@ -68,3 +68,21 @@ def test_shard_laws(docs):
 @pytest.mark.parametrize("run", [mixing.mix, mixing.mixed, sharding.shard])
 def test_empty(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["mix", "shard"])
+def test_small_ranges_and_many_sources(spark, monkeypatch, name):
+    """Ranges of four rows, sources over many of them, null and repeated doc_ids: the same as the SQL."""
+    from vicinal.llm import common
+
+    for module in (common, mixing, sharding):
+        monkeypatch.setattr(module, "BIN_ROWS", 4)
+    rows_ = [(i % 90 if i % 5 else None, " ".join([f"w{i}"] * (i % 6)), None if i % 41 == 0 else f"host{i * i % 61}", "x") for i in range(400)]
+    docs = spark.createDataFrame(rows_, SCHEMA)
+    got = (mixing.mix(docs).drop("epochs") if name == "mix" else sharding.shard(docs)).toPandas()
+    c = duckdb.connect()
+    c.register("documents", docs.toArrow())  # keeps null doc_ids whole numbers
+    want = c.sql(mixing.ORACLE if name == "mix" else sharding.ORACLE).df()
+    cols = sorted(c for c in got.columns if c not in ("grown_shard", "doc_id"))
+    assert len(got) == len(want) == 400
+    assert rows(got, cols) == rows(want.astype(got.dtypes[cols].to_dict()), cols)
