@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,25 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024):
-    """Meanwhile, what goes to Python at once is at most so many rows: long texts make large batches, which a task holds several times."""
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """From now on at most so many rows go to Python at once in this session: long texts make large batches, which a task holds several times."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
+    if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a new Parquet folder in the shared directory and reads it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{tag}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    bounded_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
