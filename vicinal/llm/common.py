@@ -10,6 +10,8 @@ from ..staging import discard, staged
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 10_000
+#: Rows of texts that a task works on, and gives out, at once.
+ROWS_AT_ONCE = 1024
 #: Rows aimed at in one bin of a distributed sort.
 BIN_ROWS = 4096
 
@@ -85,10 +87,14 @@ def text_bytes(column):
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def returned(batches):
-    """The batches; when they end, or the task does, memory goes back to the system."""
+def returned(batches, rows: int = ROWS_AT_ONCE):
+    """The batches, Arrow ones in slices of so many rows; when they end, or the task does, memory goes back to the system."""
     try:
-        yield from batches
+        for b in batches:
+            if hasattr(b, "num_rows"):
+                yield from (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+            else:
+                yield b
     finally:
         give_back()
 

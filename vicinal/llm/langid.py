@@ -28,7 +28,7 @@ LOG_DIMS = 15
 #: A text is ambiguous if its best probability is below this.
 AMBIGUOUS = 0.6
 #: Bytes worked on at once inside a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _fold() -> np.ndarray:
@@ -135,9 +135,17 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Model:
             seen = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(v[seen])], ["lang", "gram", "n"])
 
+    def dense(table):
+        import pyarrow as pa
+
+        v = np.zeros(1 << LOG_DIMS)
+        v[table.column("gram").to_numpy()] = table.column("n").to_numpy() / 4096
+        return pa.table({"lang": table.column("lang").slice(0, 1), "sums": pa.array([v.tobytes()], pa.binary())})
+
     sums = np.zeros((len(langs), 1 << LOG_DIMS))
-    found = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # langs * 2**LOG_DIMS rows at most
-    sums[np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)), found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(float) / 4096
+    found = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    for r in found.groupBy("lang").applyInArrow(dense, "lang string, sums binary").collect():  # a row of 256 KB for each language
+        sums[langs.index(r["lang"])] = np.frombuffer(r["sums"])
     p = (sums + 0.5) / (sums + 0.5).sum(1, keepdims=True)
     code = codewords(len(langs))
     weights = np.stack([np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])] or [np.zeros(0)], 1) if code.size else np.zeros((1 << LOG_DIMS, 0))

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, give_back, small_side, staged, text_bytes
+from .common import discard, give_back, returned, small_side, staged, text_bytes
 from .graph import components
 from .shingles import mix, pack, pieces, shingle_sets, unpack
 
@@ -47,23 +47,20 @@ DROP = np.uint64(16)
 TOP = np.uint64(int(COUNTED * 2**48))
 #: Most bits, as a power of two, of a bitmap (16 MB).
 MOST_BITS = 27
-TOKENS_AT_ONCE = 1 << 21
+TOKENS_AT_ONCE = 1 << 20
 #: Tokens that one task counts, or signatures that it gathers.
-TOKENS_A_PART = 3_000_000
+TOKENS_A_PART = 2_000_000
 #: Most rows of a side that is broadcast; more are joined by a shuffle that may split skewed keys.
 MOST_GONE = 1_000_000
 
 
 def _sets(batches, k: int):
     """(doc_ids, sets) for runs of rows, in order."""
-    try:
-        for b in batches:
-            data, at = text_bytes(b.column("text"))
-            ids = b.column("doc_id").to_pylist()
-            for first, last in pieces(at):
-                yield ids[first:last], shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], k)
-    finally:
-        give_back()
+    for b in returned(batches):
+        data, at = text_bytes(b.column("text"))
+        ids = b.column("doc_id").to_pylist()
+        for first, last in pieces(at):
+            yield ids[first:last], shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], k)
 
 
 def _gathered(parts, most: int = TOKENS_AT_ONCE):
@@ -326,7 +323,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        for p in batches:
+        for p in returned(batches):
             out = []
             for x, y, some in zip(p.column("ta"), p.column("tb"), p.column("shared"), strict=True):
                 x, y = _tokens(x.as_py()), _tokens(y.as_py())
@@ -338,7 +335,6 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataF
                 out.append((len(x), len(y), c, x[extra].tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["a", "b", "na", "nb", "c", "extra"])
-        give_back()
 
     return staged(both.mapInArrow(run, "a long, b long, na long, nb long, c long, extra binary"), tag)
 

@@ -37,7 +37,7 @@ EDITED = 0.8
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
 WINDOW = 6
-MOST_CACHED = 200_000
+MOST_CACHED = 100_000
 MOST_STATES = 50_000
 # Words that report what others said, and quotation marks.
 REPORTING = frozenset("said says called calls wrote writes word words term quote quoted quotes insult slur dijo dice llamó palabra dit appelé mot sagte sagt nannte wort".split())
