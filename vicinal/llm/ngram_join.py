@@ -364,8 +364,10 @@ def across(rows: DataFrame, on: list[str], keep) -> DataFrame:
     each = rows.groupBy(*on, "r").agg(F.count("*").alias("w"))
     several = each.groupBy(*on).agg(F.max(F.struct("w", "r"))["r"].alias("most"), F.count("*").alias("rs")).filter("rs > 1").select(*on, "most")
     rows = rows.join(several, on)
-    one, two = (x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r"))) for i, x in ((1, rows.filter("r <> most")), (2, rows)))
-    return one.join(two, on).filter((F.col("r1") != F.col("r2")) & keep).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
+    side = lambda x, i, *names: x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r", *names)))
+    one, two = side(rows.filter("r <> most"), 1, "most"), side(rows, 2)
+    once = (F.col("a1") < F.col("a2")) | (F.col("r2") == F.col("most1"))  # two rows of other r meet both ways
+    return one.join(two, on).filter((F.col("r1") != F.col("r2")) & once & keep).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
 
 
 def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -382,7 +384,8 @@ def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataF
     sizes = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
     extra = d.filter(F.octet_length("extra") > 0).mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long")
     most = low + F.least(F.col("n1") - F.col("c1"), F.col("n2") - F.col("c2"))
-    outside = across(extra.withColumnRenamed("b", "z"), ["z", "token"], sizes & (most * union >= n * percent))
+    # Pairs that lie well inside z are those of `inside`.
+    outside = across(extra.withColumnRenamed("b", "z"), ["z", "token"], sizes & (low * union < n * percent) & (most * union >= n * percent))
     inner = post.join(star, "sig").join(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r"), ["node", "b"])
     inside = across(inner.select("sig", "a", "n", "c", "r"), ["sig"], sizes & (low * union >= n * percent))
     out = staged(outside.union(inside).distinct(), "join-rest")
