@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lm, mixing, neardup, ngram_join, search, sharding, toxicity
+from . import bpe, html, langid, lm, mixing, neardup, ngram_join, search, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html.op8,
     "op9_embedding_neardup": neardup.op9,
     "op10_bpe": bpe.op10,
+    "op13_embedding_whitening": whitening.op13,
 }
 ORACLE_SQL = {
     "op1_source_mixing": mixing.ORACLE,
