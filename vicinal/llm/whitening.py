@@ -94,7 +94,7 @@ def totals(fit: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
         sums: dict[int, list] = {}
         for d, _, x in _by_dim(batches):
             old = sums.get(d, [0, np.zeros(d, object)])
-            sums[d] = [old[0] + len(x), old[1] + x.astype(object).sum(0) if np.abs(x).max(initial=0) * len(x) >= LONG / 2 else old[1] + x.sum(0)]
+            sums[d] = [old[0] + len(x), old[1] + x.astype(object).sum(0) if int(np.abs(x).max(initial=0)) * len(x) >= LONG / 4 else old[1] + x.sum(0)]
         for d, (n, s) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([d] * (d + 1), pa.int32()), pa.array(range(-1, d), pa.int32()), pa.array([str(v) for v in (n, *s)])], ["dim", "i", "v"])
 
@@ -105,9 +105,14 @@ def totals(fit: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
     return {d: (v[-1], np.array([v[i] for i in range(d)], object)) for d, v in out.items() if d}
 
 
+def narrow(x: np.ndarray, n: int, s: np.ndarray) -> bool:
+    """Whether n x - s fits a long."""
+    return max(n * (int(np.abs(x).max(initial=0)) + 1), *map(abs, s), 0) < LONG / 4
+
+
 def centred(x: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
     """x - s / n, from exact differences."""
-    if n * (np.abs(x).max(initial=0) + 1) < LONG / 4 and max(map(abs, s), default=0) < LONG / 4:
+    if narrow(x, n, s):
         return (n * x - s.astype(np.int64)) / n
     return ((n * x.astype(object) - s) / n).astype(float)
 
@@ -117,7 +122,8 @@ def deviations(x: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
     far = ((centred(x, n, s) * n) ** 2).sum(1)
     out = np.zeros(len(x), np.int64)
     small = far < LONG / 4
-    out[small] = ((n * x[small] - s.astype(object)) ** 2).sum(1) if n * (np.abs(x).max(initial=0) + 1) >= LONG / 4 else ((n * x[small] - s.astype(np.int64)) ** 2).sum(1)
+    kind = np.int64 if narrow(x, n, s) else object
+    out[small] = ((n * x[small].astype(kind) - s.astype(kind)) ** 2).sum(1)
     for k in np.flatnonzero(~small):
         out[k] = min(LONG - 1, sum((n * v - t) ** 2 for v, t in zip(x[k].tolist(), s, strict=True)))
     return out
