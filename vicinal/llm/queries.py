@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lm, mixing, neardup, ngram_join, search, sharding, toxicity, whitening
+from . import bpe, html, langid, linededup, lm, mixing, neardup, ngram_join, search, sharding, toxicity, trie, whitening
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html_extraction": html.op8,
     "op9_embedding_neardup": neardup.op9,
     "op10_bpe": bpe.op10,
+    "op11_prefix_trie": trie.op11,
+    "op12_line_dedup": linededup.op12,
     "op13_embedding_whitening": whitening.op13,
 }
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op4_topk_search": search.ORACLE,
     "op5_ngram_join": ngram_join.ORACLE,
     "op9_embedding_neardup": neardup.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op12_line_dedup": linededup.ORACLE,
 }
