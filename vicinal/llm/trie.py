@@ -167,14 +167,14 @@ WITH RECURSIVE bits(b, c, k) AS (
   SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
 tab AS (SELECT list(c ORDER BY b) AS s FROM bits WHERE k = 8),
 t AS (SELECT conv_id, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS at
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, own, xor(list_reduce(
     list_prepend(4294967295::bigint, [('0x' || h)::bigint FOR h IN regexp_extract_all(hex(encode(conv_id::varchar)), '..')]),
     lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
   FROM (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id), tab),
-r AS (SELECT c.conv_id, least(h, coalesce(b.own, 0)) + at - h AS d, m, text FROM t JOIN c USING (conv_id) LEFT JOIN (SELECT conv_id AS base, own FROM c) b USING (base) WHERE at > h
-  UNION ALL SELECT c.conv_id, at, m, text FROM c JOIN t ON t.conv_id = c.base WHERE at <= h),
+r AS (SELECT c.conv_id, least(h, coalesce(b.own, 0)) + pos - h AS d, m, text FROM t JOIN c USING (conv_id) LEFT JOIN (SELECT conv_id AS base, own FROM c) b USING (base) WHERE pos > h
+  UNION ALL SELECT c.conv_id, pos, m, text FROM c JOIN t ON t.conv_id = c.base WHERE pos <= h),
 p AS (SELECT conv_id, d, strlen(text) AS size, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
 n AS (SELECT k, min(conv_id) AS conv_id, max(d) AS depth, count(*) AS n_convs, max(size) AS size FROM p GROUP BY k),
 u AS (SELECT n.*, v.conv_id AS parent FROM n LEFT JOIN n v ON n.depth > 0 AND v.k = left(n.k, 32 * (n.depth - 1)::int)),
