@@ -147,3 +147,48 @@ def test_trees_and_alignments(spark, tmp_path):
     (tmp_path / "parts.phy").write_text(" 2 6\none ACG\ntwo ACG\n\nTAC\nTAG\n")
     with pytest.raises(Exception, match="not a sequence of 6 sites"):
         readers.multiple_alignment(spark, str(tmp_path / "parts.phy")).collect()
+
+
+def test_series_equals_arrays(spark):
+    from vicinal.operators import series
+    from vicinal.operators.model import Model
+    from vicinal.operators.tmers import Shape
+
+    models = [
+        Model("ACGT", ((("A", "C"),), (("C", "T"),), (("CG", "TG"), ("CG", "CA"))), (0.1, 0.2, 1.3), Shape(4, 2, 1), tlen=1.7),
+        Model("XO", ((("X", "O"), ("O", "X")), (("XO", "OX"),)), (0.5, 0.25), Shape(5, 1, 2), selpats=((("OX", 1.0), ("XO", 1.0)), (("X", 0.5),)), selcoef=(-0.6, 0.3), fixfn="ising", boundary="wrap"),
+        Model("XO", ((("X", "O"),),), (0.7,), Shape(3, 3, 0), gamma_shape=2.5, tlen=3.0),
+        Model("XO", ((("X", "O"),),), (0.0,), Shape(3, 1, 0)),
+    ]
+    for m in models:
+        want = m.transitions()
+        got = np.zeros_like(want)
+        for r in series.transitions(spark, m).collect():
+            got[r["i"], r["first"] : r["first"] + len(r["p"])] = r["p"]
+        assert np.abs(got - want).max() < 1e-11
+    counts = spark.createDataFrame([("ACGT", "CG", 5), ("ACGT", "TG", 2), ("AAAA", "AA", 3), ("AANA", "AA", 3)], "long string, short string, count long")
+    from vicinal.operators import model as M
+
+    a, b = ({(r["long"], r["short"]): r["count"] for r in f(counts, models[0]).collect()} for f in (M.predicted, series.predicted))
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_gamma_series_of_large_shapes_and_extension():
+    from vicinal.operators import linalg as A
+
+    rng = np.random.default_rng(3)
+    i, j = np.nonzero(~np.eye(6, dtype=bool))
+    g = A.Sparse(i, j, rng.random(len(i)) * 1e4, 6)
+    out = A.gamma_action(g, np.eye(6), 200.0, 1e-4)
+    assert np.isfinite(out).all() and np.allclose(out.sum(1), 1)
+    q = np.zeros((6, 6))
+    q[i, j] = g.x
+    np.fill_diagonal(q, -q.sum(1))
+    w, v = np.linalg.eig(q)
+    assert np.allclose(out, ((v * (1 - 1e-4 * w) ** -200.0) @ np.linalg.inv(v)).real, atol=1e-9)
+    with pytest.raises(ValueError, match="terms"):
+        A.gamma_action(g, np.eye(6), 200.0, 1.0)
+    g = A.Sparse(i, j, rng.random(len(i)), 6)
+    assert np.abs(A.extended_action(g, A.gamma_action(g, np.eye(6), 1.0, 0.7), 0.7, 2.9) - A.gamma_action(g, np.eye(6), 1.0, 2.9)).max() < 1e-10
+    with pytest.raises(ValueError, match="longer"):
+        A.extended_action(g, np.eye(6), 2.0, 1.0)

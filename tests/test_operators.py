@@ -261,3 +261,43 @@ def test_running_counts_equal_batch_counts(spark, tmp_path):
     q = running_counts(spark, str(tmp_path / "in"), df.schema, shape, "a", "b").writeStream.outputMode("complete").format("memory").queryName("running").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, C.tmer_counts(df, shape, "a", "b").collect()))
+
+
+def test_intervals_of_all_lengths(spark):
+    import random
+
+    from vicinal.operators import intervals as I
+
+    rng = random.Random(5)
+    spans = lambda n: [(f"c{rng.randrange(2)}", s := rng.randrange(-5000, 10**6), s + rng.choice([0, 1, 2, 255, 256, 257, 2048, 2049, 40_000, 10**6, 10**12])) for _ in range(n)]
+    a, b = spans(120), spans(120)
+    blocks, regions = (spark.createDataFrame(x, "chrom string, start long, end long") for x in (a, b))
+    got = sorted((r["chrom"], r["b_start"], r["b_end"], r["r_start"], r["r_end"], r["start"], r["end"]) for r in I.overlaps(blocks, regions).collect())
+    assert got == sorted((c, s, e, x, y, max(s, x), min(e, y)) for c, s, e in a for k, x, y in b if c == k and s < e and x < y and max(s, x) < min(e, y))
+    pos = [(f"c{rng.randrange(3)}", rng.randrange(-6000, 10**6)) for _ in range(300)]
+    frames = I.coding_frames(spark.createDataFrame(pos, "chrom string, pos long"), regions, ["chrom"]).collect()
+    for r in frames:
+        over = sorted((s, e) for c, s, e in b if c == r["chrom"] and s <= r["pos"] < e)
+        assert (r["coding"], r["frame"]) == ((True, (r["pos"] - over[0][0]) % 3) if over else (False, None))
+    assert len(frames) == 300
+    whole = spark.createDataFrame([("c", 0, 10**15)], "chrom string, start long, end long")
+    assert I.binned(whole, "start", "end").count() <= 2  # no row for each bin of a long interval
+    assert I.overlaps(blocks.limit(0), regions).count() == I.coding_frames(spark.createDataFrame(pos, "chrom string, pos long"), regions.limit(0), ["chrom"]).filter("coding").count() == 0
+
+
+def test_quantiles_of_tied_values(spark):
+    import numpy as np
+
+    from vicinal.operators import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [("a", 5.0)] * 900 + [("a", float(x)) for x in rng.normal(5, 1, 100)] + [("b", float(x)) for x in rng.integers(0, 3, 50)] + [(None, 1.0), (None, 2.0), ("c", None), ("d", float("inf")), ("d", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    qs = (0.0, 0.01, 0.25, 0.5, 0.951, 1.0)
+    got = {r["k"]: r["q"] for r in ranks.quantiles(df, ["k"], "v", qs).collect()}
+    assert set(got) == {"a", "b", None, "d"} and got["d"][0] == 1.0 and got["d"][-1] == float("inf")
+    for k in ("a", "b", None):
+        assert np.allclose(got[k], np.quantile([v for x, v in rows if x == k], qs))
+    counted = df.groupBy("k", "v").count()
+    assert {r["k"]: r["q"] for r in ranks.weighted_quantiles(counted, ["k"], "v", "count", qs).collect()} == got
+    assert ranks.quantiles(df.limit(0), [], "v", (0.5,)).collect()[0]["q"] in (None, [None])

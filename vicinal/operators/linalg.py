@@ -51,21 +51,32 @@ def exp_action(g: Sparse, v: np.ndarray, t: float = 1.0, tol: float = 1e-17) ->
     return v
 
 
-def gamma_action(g: Sparse, v: np.ndarray, shape: float, scale: float = 1.0, tol: float = 1e-12) -> np.ndarray:
-    """E exp(T (G - diag)) v for a Gamma-distributed time T: uniformization with negative-binomial weights."""
+def gamma_action(g: Sparse, v: np.ndarray, shape: float, scale: float = 1.0) -> np.ndarray:
+    """E exp(T (G - diag)) v for a Gamma-distributed time T: uniformization with negative-binomial weights, taken in logarithms. A series without end is an error."""
+    from .series import negative_binomial
+
     rate = float(g.out.max(initial=0.0))
-    if rate == 0:
-        return v.copy()
-    p = rate * scale / (1 + rate * scale)
-    weight = (1 - p) ** shape
-    term, acc, total, k = v, weight * v, weight, 0
-    while 1 - total > tol and k < 100_000:
-        k += 1
-        term = term + g.dot(term) / rate
-        weight *= p * (shape + k - 1) / k
-        total += weight
+    term, acc = v, 0.0
+    for k, weight in enumerate(negative_binomial(shape, rate * scale)):
+        term = term + g.dot(term) / rate if k else v
+        acc = acc + weight * term
+    return acc
+
+
+def extended_action(g: Sparse, moved: np.ndarray, mean: float, longer: float, tol: float = 1e-12) -> np.ndarray:
+    """What an exponential time of mean `longer` does, from what one of mean `mean` has done: moved = gamma_action(g, v, 1, mean).
+
+    With R = (1 - mean Q) ** -1, the longer time is the series (mean / longer) * sum of (1 - mean / longer) ** k * R ** k on moved. The terms that are left out
+    have a weight of tol at most, and so change no entry by more than tol times the greatest of moved.
+    """
+    if not 0 < mean <= longer:
+        raise ValueError("a time can only be extended to a longer one")
+    rest = 1 - mean / longer
+    term, acc, weight, left = moved, (1 - rest) * moved, 1 - rest, rest
+    while left > tol:
+        term, weight, left = gamma_action(g, term, 1.0, mean), weight * rest, left * rest
         acc = acc + weight * term
-    return acc / total
+    return acc / (1 - left)
 
 
 def projection(longs: list[str], shorts: list[str], left: int) -> np.ndarray:

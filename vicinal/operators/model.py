@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixation import parse
 from ..functions.patterns import pattern_list
+from . import series
 from .linalg import Sparse, exp_action, gamma_action, minimise, projection, root_distribution
 from .tmers import Shape, projected
 
@@ -132,16 +133,20 @@ def predicted(counts: DataFrame, model: Model, shape: Shape | None = None) -> Da
     """long, short, count: the totals of the long patterns times the model's transitions.
 
     shape: other than the model's. Short patterns may be any that lie in the model's window; a shorter window gets the
-    prediction for the model's own, re-shaped.
+    prediction for the model's own, re-shaped. Where the table of transitions is too large for one task, it is worked out
+    as a series of joins.
     """
     shape = shape or model.shape
     if shape.longwin > model.shape.longwin:
         raise ValueError("the model's window is shorter than that of the prediction")
     inner = replace(shape, longwin=model.shape.longwin)
-    totals = counts.groupBy("long").agg(F.sum("count").alias("total"))
-    p = transition_frame(counts.sparkSession, model, inner)
-    p = F.broadcast(p) if model.shape.longwin <= MOST_BROADCAST else p
-    out = totals.join(p, "long").select("long", "short", (F.col("total") * F.col("p")).alias("count"))
+    if len(model.bases) ** (inner.longwin + inner.shortwin) > MOST_CELLS:
+        out = series.predicted(counts, model, inner)
+    else:
+        totals = counts.groupBy("long").agg(F.sum("count").alias("total"))
+        p = transition_frame(counts.sparkSession, model, inner)
+        p = F.broadcast(p) if model.shape.longwin <= MOST_BROADCAST else p
+        out = totals.join(p, "long").select("long", "short", (F.col("total") * F.col("p")).alias("count"))
     return out if inner == shape else projected(out, inner, shape)
 
 

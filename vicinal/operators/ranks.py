@@ -1,7 +1,9 @@
 """Places in an order, and exact quantiles, without all rows of a key in one task.
 
 Rows are range-partitioned by the whole order and written; a place is the rows of the ranges before, from the counts of
-ranges, plus the place within the range. Rows that tie in the whole order share a range.
+ranges, plus the place within the range. Rows that tie in the whole order share a range. Quantiles need no rows, only
+values: equal values of a key are one row with a count, summed before they are sent, so a value that most rows have costs no
+more than any other.
 """
 
 from __future__ import annotations
@@ -32,13 +34,34 @@ def ranked(df: DataFrame, order: list[Column], keys: list[str] = (), place: str
     return out.select(*df.columns, place, *more)
 
 
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: tuple) -> DataFrame:
+    """keys, q (an array): exact quantiles, interpolated linearly, where a row stands for `weight` (a whole number) rows of its value; keys without values have none."""
+    d = df.select(*keys, F.col(value).alias("_v"), F.col(weight).cast("long").alias("_w")).filter("_v IS NOT NULL AND _w > 0")
+    d = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    d = staged(d.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "ranks")
+    ranges = d.groupBy(*keys, "_range").agg(F.sum("_w").alias("_n"))
+    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    first = F.coalesce(F.sum("_n").over(over.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), first.alias("_first"), F.sum("_n").over(over).alias("_total"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.coalesce(F.sum("_w").over(W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_within", within).join(ranges, same).withColumn("_before", F.col("_first") + F.col("_within"))
+    last = F.col("_before") + F.col("_w")
+
+    def share(q: float):
+        """How much of the value the quantile takes: those of the two places around it that the value holds."""
+        at = (F.col("_total") - 1) * F.lit(float(q)) + 1
+        low = F.floor(at)
+        held = lambda p: (F.col("_before") < p) & (p <= last)
+        return F.when(held(low), 1 - (at - low)).otherwise(0.0) + F.when(held(low + 1), at - low).otherwise(0.0)
+
+    shares = F.array(*(share(q) for q in qs))
+    d = d.select(*keys, "_v", shares.alias("_s")).filter(F.exists("_s", lambda x: x > 0))  # two values at most for each quantile of a key
+    return d.groupBy(*keys).agg(F.array(*(F.sum(F.when(F.col("_s")[i] > 0, F.col("_v") * F.col("_s")[i]).otherwise(0.0)) for i in range(len(qs)))).alias("q"))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: tuple) -> DataFrame:
     """keys, q (an array): exact quantiles of the values that are there, interpolated linearly; keys without values have none."""
-    d = ranked(df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL"), [F.col("_v")], keys, "_place", "_total")
-    spots = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(q)) + 1).alias("at")) for i, q in enumerate(qs)))
-    d = d.withColumn("_spots", F.filter(spots, lambda s: F.abs(s["at"] - F.col("_place")) < 1)).filter(F.size("_spots") > 0)
-    d = d.select(*keys, "_v", "_place", F.explode("_spots").alias("_s"))  # two rows at most for each quantile of a key
-    share = F.col("_v") * (1 - F.abs(F.col("_s.at") - F.col("_place")))
-    d = d.groupBy(*keys, F.col("_s.i").alias("_i")).agg(F.sum(share).alias("_q"))
-    q = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("q")
-    return d.groupBy(*keys).agg(q)
+    return weighted_quantiles(df.withColumn("_one", F.lit(1)), keys, value, "_one", qs)

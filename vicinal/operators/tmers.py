@@ -1,8 +1,9 @@
 """Counting co-located substrings (T-mers) of aligned sequences.
 
-Aligned sequences lie in one row, so co-location needs no join: a row is cut into chunks of start positions,
-chunks are exploded and dealt out, and each start gives its substrings. Counting is one aggregate with partial
-sums. Chunks keep substring() away from the start of long sequences, and long rows from one task.
+Aligned sequences lie in one row, so co-location needs no join. Counts of patterns of a small alphabet are those of
+packed keys (operators/packed.py). Where rows of keys are asked for, or patterns do not fit a key, a row is cut into chunks
+of start positions, chunks are exploded and dealt out, and each start gives its substrings. Counting is one aggregate
+with partial sums. Chunks keep substring() away from the start of long sequences, and long rows from one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.sequences import outside
+from . import packed
 
 CHUNK = 256
 
@@ -65,6 +67,9 @@ def strict(df: DataFrame, names: list[str], alphabet: str = "ACGT") -> DataFrame
 def tmer_counts(df: DataFrame, shape: Shape, long: str, *shorts: str, alphabet: str | None = "ACGT", cyclic: bool = False, shift: int = 0, keep: list[str] = (), spread: int | None = None) -> DataFrame:
     """long, short1.. (or short), count; with shift, frame k holds the positions with (pos + k) mod shift = 0."""
     names = ["short"] if len(shorts) == 1 else [f"short{i + 1}" for i in range(len(shorts))]
+    if not keep and not cyclic and packed.fits(shape.longwin + len(shorts) * shape.shortwin, alphabet, shift):
+        found = packed.counted(df, [(long, list(shorts))], shape.longwin, shape.shortwin, shape.leftwin, alphabet, shift, spread)
+        return packed.patterns(found, names, shape.longwin, shape.shortwin, alphabet, shift).select("long", *names, *(["frame"] if shift else []), "count")
     taxa = {"long": (long, 0, shape.longwin)} | {n: (c, shape.leftwin, shape.shortwin) for n, c in zip(names, shorts, strict=True)}
     d = windows(df, taxa, shape.longwin, list(keep), cyclic, spread)
     d = strict(d, ["long", *names], alphabet) if alphabet else d
@@ -75,22 +80,29 @@ def tmer_counts(df: DataFrame, shape: Shape, long: str, *shorts: str, alphabet:
     return d.groupBy(*keys).agg(F.count("*").alias("count"))
 
 
+def several(df: DataFrame, shape: Shape, ways: list[tuple[dict, str, str]], alphabet: str = "ACGT", spread: int | None = None) -> DataFrame:
+    """The columns of a way, long, short, count for each way (its columns, column of long patterns, column of short ones), in one pass over the sequences."""
+    if packed.fits(shape.longwin + shape.shortwin, alphabet, len(ways)):
+        found = packed.counted(df, [(a, [b]) for _, a, b in ways], shape.longwin, shape.shortwin, shape.leftwin, alphabet, spread=spread)
+        return packed.patterns(found, ["short"], shape.longwin, shape.shortwin, alphabet, ways=[w for w, _, _ in ways]).select(*ways[0][0], "long", "short", "count")
+    columns = list(dict.fromkeys(c for _, a, b in ways for c in (a, b)))
+    at = {c: f"l{k}" for k, c in enumerate(columns)}
+    d = windows(df, {name: (c, 0, shape.longwin) for c, name in at.items()}, shape.longwin, spread=spread)
+    d = d.groupBy(*at.values()).agg(F.count("*").alias("n"))
+    short = lambda c: F.substring(F.col(at[c]), F.lit(shape.leftwin + 1), F.lit(shape.shortwin)).alias("short")
+    each = [F.struct(*(F.lit(v).alias(k) for k, v in w.items()), F.col(at[a]).alias("long"), short(b)) for w, a, b in ways]
+    d = strict(d.select("n", F.explode(F.array(*each)).alias("w")).select("n", "w.*"), ["long", "short"], alphabet)
+    return d.groupBy(*ways[0][0], "long", "short").agg(F.sum("n").alias("count"))
+
+
 def both_directions(df: DataFrame, shape: Shape, a: str, b: str, spread: int | None = None) -> DataFrame:
-    """Forward counts, and reverse counts with the roles of the sequences swapped. Pairs of windows are counted first, then turned both ways."""
-    d = windows(df, {"la": (a, 0, shape.longwin), "lb": (b, 0, shape.longwin)}, shape.longwin, spread=spread)
-    d = d.groupBy("la", "lb").agg(F.count("*").alias("n"))
-    way = lambda name, x, y: F.struct(F.lit(name).alias("direction"), F.col(x).alias("long"), F.substring(F.col(y), F.lit(shape.leftwin + 1), F.lit(shape.shortwin)).alias("short"))
-    d = d.select("n", F.explode(F.array(way("forward", "la", "lb"), way("reverse", "lb", "la"))).alias("w")).select("n", "w.*")
-    return strict(d, ["long", "short"]).groupBy("direction", "long", "short").agg(F.sum("n").alias("count"))
+    """direction, long, short, count: forward counts, and reverse counts with the roles of the sequences swapped."""
+    return several(df, shape, [({"direction": "forward"}, a, b), ({"direction": "reverse"}, b, a)], spread=spread)
 
 
 def all_pairs(df: DataFrame, shape: Shape, taxa: list[str], spread: int | None = None) -> DataFrame:
-    """a, b, long, short, count: long patterns in a, short ones in b, for all pairs of the columns, in one pass over the windows."""
-    d = windows(df, {f"l{k}": (c, 0, shape.longwin) for k, c in enumerate(taxa)}, shape.longwin, spread=spread)
-    short = lambda k: F.substring(F.col(f"l{k}"), F.lit(shape.leftwin + 1), F.lit(shape.shortwin))
-    pairs = [F.struct(F.lit(taxa[i]).alias("a"), F.lit(taxa[j]).alias("b"), F.col(f"l{i}").alias("long"), short(j).alias("short")) for i in range(len(taxa)) for j in range(i + 1, len(taxa))]
-    d = strict(d.select(F.explode(F.array(*pairs)).alias("w")).select("w.*"), ["long", "short"])
-    return d.groupBy("a", "b", "long", "short").agg(F.count("*").alias("count"))
+    """a, b, long, short, count: long patterns in a, short ones in b, for all pairs of the columns, windows up to the end of the shortest."""
+    return several(df, shape, [({"a": x, "b": y}, x, y) for k, x in enumerate(taxa) for y in taxa[k + 1 :]], spread=spread)
 
 
 def listed(counts: DataFrame, combos: DataFrame) -> DataFrame:
@@ -99,6 +111,10 @@ def listed(counts: DataFrame, combos: DataFrame) -> DataFrame:
 
 
 def kmers(df: DataFrame, seq: str, k: int, cyclic: bool = True, alphabet: str | None = "ACGT", keep: list[str] = ()) -> DataFrame:
+    if not keep and packed.fits(k, alphabet):
+        around = F.concat(F.col(seq), F.substring(F.repeat(F.col(seq), k), 1, k - 1)) if cyclic else F.col(seq)
+        found = packed.counted(df.select(around.alias("_s")), [("_s", [])], k, 0, 0, alphabet)
+        return packed.patterns(found, [], k, 0, alphabet).withColumnRenamed("long", "pattern")
     d = windows(df, {"pattern": (seq, 0, k)}, k, list(keep), cyclic)
     d = strict(d, ["pattern"], alphabet) if alphabet else d
     return d.groupBy(*keep, "pattern").agg(F.count("*").alias("count"))
