@@ -145,8 +145,13 @@ def test_trees_and_alignments(spark, tmp_path):
     (tmp_path / "whole.phy").write_text(" 2 6\none ACG TAC\ntwo AC GTAG\n")
     assert {r["taxon"]: r["seq"] for r in readers.multiple_alignment(spark, str(tmp_path / "whole.phy")).collect()} == {"one": "ACGTAC", "two": "ACGTAG"}
     (tmp_path / "parts.phy").write_text(" 2 6\none ACG\ntwo ACG\n\nTAC\nTAG\n")
-    with pytest.raises(Exception, match="not a sequence of 6 sites"):
-        readers.multiple_alignment(spark, str(tmp_path / "parts.phy")).collect()
+    assert {r["taxon"]: r["seq"] for r in readers.multiple_alignment(spark, str(tmp_path / "parts.phy")).collect()} == {"one": "ACGTAC", "two": "ACGTAG"}
+    (tmp_path / "short.phy").write_text(" 2 6\none ACG\ntwo ACG\n\nTAC\n")
+    with pytest.raises(Exception, match="sites"):
+        readers.multiple_alignment(spark, str(tmp_path / "short.phy")).collect()
+    (tmp_path / "few.phy").write_text(" 3 3\none ACG\ntwo ACG\n")
+    with pytest.raises(ValueError, match="fewer taxa"):
+        readers.multiple_alignment(spark, str(tmp_path / "few.phy"))
 
 
 def test_series_equals_arrays(spark):

@@ -129,22 +129,22 @@ def _cells(spark: SparkSession, p: np.ndarray, longs: list[str], shorts: dict[st
     return spark.createDataFrame(pd.DataFrame({"long": np.repeat(longs, p.shape[1]), **columns, "p": p.ravel()}))
 
 
-def predicted(counts: DataFrame, model: Model, shape: Shape | None = None) -> DataFrame:
+def predicted(counts: DataFrame, model: Model, shape: Shape | None = None, cells: np.ndarray | None = None) -> DataFrame:
     """long, short, count: the totals of the long patterns times the model's transitions.
 
     shape: other than the model's. Short patterns may be any that lie in the model's window; a shorter window gets the
     prediction for the model's own, re-shaped. Where the table of transitions is too large for one task, it is worked out
-    as a series of joins.
+    as a series of joins. cells: a table of transitions to use in place of the model's.
     """
     shape = shape or model.shape
     if shape.longwin > model.shape.longwin:
         raise ValueError("the model's window is shorter than that of the prediction")
     inner = replace(shape, longwin=model.shape.longwin)
-    if len(model.bases) ** (inner.longwin + inner.shortwin) > MOST_CELLS:
+    if cells is None and len(model.bases) ** (inner.longwin + inner.shortwin) > MOST_CELLS:
         out = series.predicted(counts, model, inner)
     else:
         totals = counts.groupBy("long").agg(F.sum("count").alias("total"))
-        p = transition_frame(counts.sparkSession, model, inner)
+        p = transition_frame(counts.sparkSession, model, inner) if cells is None else _cells(counts.sparkSession, cells, model.patterns(), {"short": pattern_list(inner.shortwin, model.bases)})
         p = F.broadcast(p) if model.shape.longwin <= MOST_BROADCAST else p
         out = totals.join(p, "long").select("long", "short", (F.col("total") * F.col("p")).alias("count"))
     return out if inner == shape else projected(out, inner, shape)

@@ -34,20 +34,33 @@ def ranked(df: DataFrame, order: list[Column], keys: list[str] = (), place: str
     return out.select(*df.columns, place, *more)
 
 
-def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: tuple) -> DataFrame:
-    """keys, q (an array): exact quantiles, interpolated linearly, where a row stands for `weight` (a whole number) rows of its value; keys without values have none."""
-    d = df.select(*keys, F.col(value).alias("_v"), F.col(weight).cast("long").alias("_w")).filter("_v IS NOT NULL AND _w > 0")
-    d = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    d = staged(d.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "ranks")
-    ranges = d.groupBy(*keys, "_range").agg(F.sum("_w").alias("_n"))
+def cumulative(df: DataFrame, keys: list[str], order: list[str], weight: str) -> DataFrame:
+    """df with _before, the sum of the weights of the earlier rows of its keys, and _total, that of all; the order's rows in ranges, so no key is in one task. Weights must be there."""
+    d = staged(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranks")
+    ranges = d.groupBy(*keys, "_range").agg(F.sum(weight).alias("_n"))
     over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     first = F.coalesce(F.sum("_n").over(over.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), first.alias("_first"), F.sum("_n").over(over).alias("_total"))
     same = F.col("_range") == F.col("_r")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    within = F.coalesce(F.sum("_w").over(W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(weight).over(W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("_within", within).join(ranges, same).withColumn("_before", F.col("_first") + F.col("_within"))
+    return d.select(*df.columns, "_before", "_total")
+
+
+def systematic(df: DataFrame, keys: list[str], order: list[str], weight: str, n: int) -> DataFrame:
+    """df, draw: of each key the row at each of n evenly spaced points of its summed weights, k / (n + 1) of the total for draw k. A row is drawn as often as points fall into its share; the order must tell rows apart."""
+    d = cumulative(df.filter(F.col(weight) > 0), keys, order, weight)
+    upto = lambda x: F.floor(x * (n + 1) / F.col("_total"))
+    lo, hi = upto(F.col("_before")) + 1, F.least(upto(F.col("_before") + F.col(weight)), F.lit(n))
+    return d.filter(lo <= hi).withColumn("draw", F.explode(F.sequence(lo, hi))).select(*df.columns, "draw")
+
+
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, qs: tuple) -> DataFrame:
+    """keys, q (an array): exact quantiles, interpolated linearly, where a row stands for `weight` (a whole number) rows of its value; keys without values have none."""
+    d = df.select(*keys, F.col(value).alias("_v"), F.col(weight).cast("long").alias("_w")).filter("_v IS NOT NULL AND _w > 0")
+    d = cumulative(d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")), keys, ["_v"], "_w")
     last = F.col("_before") + F.col("_w")
 
     def share(q: float):

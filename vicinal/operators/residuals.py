@@ -66,6 +66,14 @@ def motif(patterns: DataFrame, pattern: str, weight: str, keys: list[str] = ())
     return site.groupBy(*keys).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list("s")), lambda s: s["c"])).alias("motif"))
 
 
+def motif_samples(patterns: DataFrame, pattern: str, weight: str, keys: list[str] = (), n: int = 24) -> DataFrame:
+    """keys, draw, motif: n patterns whose symbols at each site are in proportion to their weights there (count times sum): at each site, symbols in order, those at evenly spaced points of the summed weights."""
+    d = patterns.select(*keys, F.posexplode(F.split(pattern, "")).alias("site", "c"), F.col(weight).alias("_w")).filter("c <> ''")
+    d = d.groupBy(*keys, "site", "c").agg((F.count("*") * F.sum("_w")).alias("w"))
+    d = ranks.systematic(d, [*keys, "site"], ["c"], "w", n)
+    return d.groupBy(*keys, "draw").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("site", "c"))), lambda s: s["c"])).alias("motif"))
+
+
 def weighted_table(df: DataFrame, value: str, weight: str) -> DataFrame:
     """Count times the sum of the weights of each value."""
     return df.groupBy(value).agg((F.count("*") * F.sum(weight)).alias("weight"))

@@ -6,12 +6,14 @@ them, whole. Sums of fractions are rounded alike on both sides.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import itertools
 
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
-from ..functions import fixation, patterns as P, sequences as S
-from ..operators import generator as G, intervals as I, model as M, ranks as K, residuals as R, results as X, simulate as Z, tmers as C
+from ..functions import fixation, normal as N, patterns as P, sequences as S
+from ..operators import generator as G, intervals as I, linalg as A, model as M, ranks as K, residuals as R, results as X, series as E, simulate as Z, tmers as C, trees as Y
 from .formats import FORMATS
 from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, SPIN_PAIR, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spin_pairs, spread, table, trio_docs, windows_sql, written_counts
 
@@ -595,6 +597,22 @@ def _(spark, d):
     return rounded(R.merged_complements(_resids(spark, d), 4, 1, 2), "expected", "resid", "z", digits=4)
 
 
+def _sql_ratio(c: tuple, r: str) -> str:
+    poly = lambda x: functools.reduce(lambda out, v: f"({out} * {r} + {v!r}::double)", reversed(x[:-1]), f"{x[-1]!r}::double")
+    return f"({poly(c[0])} / {poly(c[1])})"
+
+
+NORMAL = f"CASE WHEN p >= 0.075 THEN (p - 0.5) * {_sql_ratio(N.MIDDLE, '(0.180625 - (p - 0.5) * (p - 0.5))')} WHEN sqrt(-ln(p)) <= 5 THEN -{_sql_ratio(N.TAIL, '(sqrt(-ln(p)) - 1.6)')} ELSE -{_sql_ratio(N.FAR, '(sqrt(-ln(p)) - 5)')} END"
+
+
+@query("normal_residuals", f"""WITH {EXPECTED}, k AS (SELECT inpat, outpat, observed, expected, unnest(range(0, (greatest(observed, expected) + 60 * sqrt(expected) + 80)::bigint)) AS k FROM r),
+t AS (SELECT inpat, outpat, sum(CASE WHEN k <= observed THEN exp(k * ln(expected) - expected - lgamma(k + 1)) ELSE 0 END) AS lo, sum(CASE WHEN k > observed THEN exp(k * ln(expected) - expected - lgamma(k + 1)) ELSE 0 END) AS up FROM k GROUP BY ALL),
+q AS (SELECT inpat, outpat, lo, up, least(lo, up) AS p FROM t WHERE least(lo, up) > 1e-300), z AS (SELECT inpat, outpat, CASE WHEN lo <= up THEN 1 ELSE -1 END * {NORMAL} AS z FROM q) SELECT inpat, outpat, round(z, 5) + 0.0::double AS z FROM z WHERE abs(z) < 36""")
+def _(spark, d):
+    d = N.with_poisson_to_normal(_resids(spark, d).select("inpat", "outpat", "observed", "expected"), "observed", "expected")
+    return rounded(d.select("inpat", "outpat", "z").filter("abs(z) < 36"), "z", digits=5)
+
+
 @query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r WHERE abs(z) > 0.5")
 def _(spark, d):
     return rounded(R.listed(_resids(spark, d), 1, 2, 0.5).select("inpat", "outpat", "z"), "z", digits=4)
@@ -623,6 +641,37 @@ def _(spark, d):
     return R.motif(pair_counts(spark, d), "long", "count", ["short"])
 
 
+@query("motif_samples", f"""WITH {counts_sql()}, s AS (SELECT short, site, substr(long, site, 1) AS c, count(*) * sum(count) AS w FROM (SELECT *, unnest(range(1, 5)) AS site FROM counts) GROUP BY ALL),
+b AS (SELECT *, sum(w) OVER (PARTITION BY short, site ORDER BY c) - w AS before, sum(w) OVER (PARTITION BY short, site) AS total FROM s),
+k AS (SELECT short, site, c, draw FROM b, range(1, 25) r(draw) WHERE before::hugeint * 25 < draw * total AND draw * total <= (before + w)::hugeint * 25)
+SELECT short, draw, string_agg(c, '' ORDER BY site) AS motif FROM k GROUP BY ALL""")
+def _(spark, d):
+    return R.motif_samples(pair_counts(spark, d), "long", "count", ["short"])
+
+
+@query("systematic_sample", """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::bigint AS w, sum(l_quantity::bigint) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - l_quantity::bigint AS before, sum(l_quantity::bigint) OVER () AS total FROM lineitem)
+SELECT l_orderkey, l_linenumber, draw FROM (SELECT *, unnest(range(((before * 1001) // total + 1)::bigint, (least(((before + w) * 1001) // total, 1000) + 1)::bigint)) AS draw FROM b)""")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("w"))
+    return K.systematic(t, [], ["l_orderkey", "l_linenumber", "l_partkey"], "w", 1000).select("l_orderkey", "l_linenumber", "draw")
+
+
+EDGES = """edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '_' || l_linenumber FROM lineitem)"""
+
+
+@query("tree_descendants", f"""WITH RECURSIVE {EDGES}, up(node, up, steps) AS (SELECT child, parent, 1 FROM edges UNION ALL SELECT node, parent, steps + 1 FROM up JOIN edges ON child = up),
+nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges), depth AS (SELECT node, max(steps) AS depth FROM up GROUP BY 1),
+below AS (SELECT up AS node, count(*) AS n, count(*) FILTER (node NOT IN (SELECT parent FROM edges)) AS tips FROM up GROUP BY 1)
+SELECT node, coalesce(depth, 0)::bigint AS depth, coalesce(n, 0)::bigint AS n_below, coalesce(tips, 1)::bigint AS n_tips FROM nodes LEFT JOIN depth USING (node) LEFT JOIN below USING (node)""")
+def _(spark, d):
+    name = lambda prefix, *c: F.concat(F.lit(prefix), F.concat_ws("_", *(F.col(x).cast("string") for x in c)))
+    edge = lambda t, parent, child: table(spark, d, t).select(parent.alias("parent"), child.alias("child"))
+    e = edge("nation", name("r", "n_regionkey"), name("n", "n_nationkey")).union(edge("customer", name("n", "c_nationkey"), name("c", "c_custkey")))
+    e = e.union(edge("orders", name("c", "o_custkey"), name("o", "o_orderkey"))).union(edge("lineitem", name("o", "l_orderkey"), name("l", "l_orderkey", "l_linenumber")))
+    return Y.subtrees(e.distinct())
+
+
 @query("ordered_groups", "SELECT source, count(*) AS n, row_number() OVER (ORDER BY regexp_extract(source, '([0-9]+)', 1)::int, source)::int AS place FROM documents GROUP BY source")
 def _(spark, d):
     g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
@@ -696,6 +745,35 @@ def _(spark, d):
     return rounded(M.predicted(pair_counts(spark, d), model(), C.Shape(4, 3, 0)), "count", digits=4)
 
 
+WIDE = C.Shape(6, 2, 2)
+
+
+@query("predicted_counts_series", f"""WITH RECURSIVE {pattern_sql(6, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(6)}, {series_sql("substr(p, 3, 2)")}, {counts_sql(WIDE)}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1)
+SELECT long, short, round(n * p, 4) AS count FROM totals JOIN tr USING (long)""")
+def _(spark, d):
+    return rounded(E.predicted(pair_counts(spark, d, WIDE), model(WIDE)), "count", digits=4)
+
+
+def gamma_sql(shape: float, scale: float) -> str:
+    """tr for a Gamma-distributed time: the weights of series_sql's terms are negative binomial."""
+    p = f"(r * {scale} / (1 + r * {scale}))"
+    return f"gm AS (SELECT i AS long, s AS short, sum(x * exp(lgamma(k + {shape}) - lgamma({shape}) - lgamma(k + 1) - {shape} * ln(1 + r * {scale}) + k * ln{p})) AS p FROM v, top GROUP BY ALL)"
+
+
+@query("predicted_counts_gamma", f"""WITH RECURSIVE {pattern_sql(4, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(4)}, {series_sql("substr(p, 2, 2)", steps=90)}, {gamma_sql(2.5, 0.4)}, {counts_sql()}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1)
+SELECT long, short, round(n * p, 4) AS count FROM totals JOIN gm USING (long)""")
+def _(spark, d):
+    return rounded(M.predicted(pair_counts(spark, d), dataclasses.replace(model(), gamma_shape=2.5, tlen=0.4)), "count", digits=4)
+
+
+@query("predicted_counts_extended_time", f"""WITH RECURSIVE {pattern_sql(4, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(4)}, {series_sql("substr(p, 2, 2)", steps=90)}, {gamma_sql(1.0, 0.6)}, {counts_sql()}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1)
+SELECT long, short, round(n * p, 4) AS count FROM totals JOIN gm USING (long)""")
+def _(spark, d):
+    m = dataclasses.replace(model(), gamma_shape=1.0, tlen=0.2)
+    longer = A.extended_action(m.entries(), m.transitions(), 0.2, 0.6)
+    return rounded(M.predicted(pair_counts(spark, d), m, cells=longer), "count", digits=4)
+
+
 SPINS = M.Model("XO", ((("X", "O"), ("O", "X")), (("XO", "OX"),)), (0.5, 0.25), C.Shape(4, 2, 1), selpats=((("OX", 1.0), ("XO", 1.0)), (("X", 0.5),)), selcoef=(-0.6, 0.3), fixfn="ising")
 SPIN_GEN = f"""{pattern_sql(4, "XO")}, {rules_sql(SPINS.mutpats, SPINS.rates)}, sel AS (SELECT p, (SELECT sum(CASE WHEN substr(p, k, 2) IN ('OX', 'XO') THEN -0.6 ELSE 0 END) FROM range(1, 4) r(k)) + 0.15 * length(replace(p, 'O', '')) AS s FROM pats),
 {generator_sql(4, "(1 / (1 + exp((SELECT s FROM sel WHERE p = i) - (SELECT s FROM sel WHERE p = j))))")}"""

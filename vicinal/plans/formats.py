@@ -69,12 +69,59 @@ def _(spark, d):
     return got
 
 
-@query("alignment_lines", f"WITH {SEQ}, s AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM seq_docs) SELECT 't' || doc_id AS taxon, substr(seq, 1, 40) AS seq FROM s WHERE length(seq) >= 40")
+#: Whole texts in lines of 40 sites, the last one filled up.
+SITES = 40
+PIECES = f"""{SEQ}, s AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM seq_docs),
+pieces AS (SELECT 't' || doc_id || '_' || k AS taxon, rpad(substr(seq, (k * {SITES} + 1)::int, {SITES}), {SITES}, '-') AS seq FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + {SITES - 1}) // {SITES})) AS k FROM s))"""
+
+
+def _alignment(spark, d, parts: int) -> str:
+    """Alignments of all texts' lines, each in `parts` blocks, under a head line in every file."""
+    s = seq_docs(spark, d).select("doc_id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq")).filter("seq <> ''")
+    s = s.select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / SITES).cast("int"))).alias("k"))
+    line = F.rpad(F.substring("seq", F.col("k") * SITES + 1, F.lit(SITES)), SITES, "-")
+    s = s.select(F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("taxon"), line.alias("seq")).repartition(16, "taxon")
+    width = SITES // parts
+
+    def lines(batches):
+        import pyarrow as pa
+
+        rows = [(t, q) for b in batches for t, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([f" {len(rows)} {SITES}"])], ["value"])
+        for k in range(parts):
+            cut = slice(k * width, (k + 1) * width)
+            for lo in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{t}  {q[cut][:9]} {q[cut][9:]}" if k == 0 else f"   {q[cut]}" for t, q in rows[lo : lo + 4096]])], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([""])], ["value"])
+
+    path = _path(spark, "alignment")
+    s.mapInArrow(lines, "value string").write.text(path)
+    return path
+
+
+@query("alignment_lines", f"WITH {PIECES} SELECT * FROM pieces")
+def _(spark, d):
+    return readers.multiple_alignment(spark, _alignment(spark, d, 1))
+
+
+@query("alignment_interleaved", f"WITH {PIECES} SELECT * FROM pieces")
+def _(spark, d):
+    return readers.multiple_alignment(spark, _alignment(spark, d, 4))
+
+
+GENOME = ("ACGTA", "GGT", "TTTTTT")
+
+
+@query("genome_occurrences", f"""WITH {SEQ}, s AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM seq_docs),
+p(pattern) AS (VALUES {", ".join(f"('{x}')" for x in GENOME)}),
+i AS (SELECT doc_id, unnest(range(1, length(seq) + 1)) AS k, seq || coalesce(lead(seq) OVER (ORDER BY doc_id), '') || coalesce(lead(seq, 2) OVER (ORDER BY doc_id), '') || coalesce(lead(seq, 3) OVER (ORDER BY doc_id), '') || coalesce(lead(seq, 4) OVER (ORDER BY doc_id), '') || coalesce(lead(seq, 5) OVER (ORDER BY doc_id), '') AS long, coalesce(sum(length(seq)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE seq <> '')
+SELECT pattern, (before + k)::bigint AS pos FROM i, p WHERE substr(long, k, length(pattern)) = pattern""")
 def _(spark, d):
-    s = seq_docs(spark, d).select("doc_id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq")).filter("length(seq) >= 40")
-    line = F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit("  "), F.substring("seq", 1, 20), F.lit(" "), F.substring("seq", 21, 20))
-    lines = s.select(line.alias("value")).union(s.agg(F.concat(F.lit(" "), F.count("*").cast("string"), F.lit(" 40")).alias("value")))
-    return readers.multiple_alignment(spark, _text(lines, F.col("value"), "alignment"))
+    s = seq_docs(spark, d).select("doc_id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq")).filter("seq <> ''")
+    path = _path(spark, "genome")
+    s.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("seq").write.text(path)
+    return readers.raw_occurrences(spark, path, list(GENOME), breaks=False, joined=True, range_=1 << 20).select("pattern", "pos")
 
 
 @query("tab_separated", "SELECT c_custkey::varchar AS c_custkey, c_mktsegment, c_nationkey::varchar AS c_nationkey FROM customer")

@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.tmers import Shape
+from ..operators.tmers import Shape, occurrences
+from . import scan
 
 
 def axt(spark: SparkSession, path: str) -> DataFrame:
@@ -22,13 +23,14 @@ def axt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def paired_fasta(spark: SparkSession, path: str, suffixes: list[str] = ()) -> DataFrame:
-    """Records of four lines; the first header, less its suffix, must begin the second."""
-    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("n", "line"), F.input_file_name().alias("file"))
-    d = d.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"))
-    d = d.select(*(F.get("l", F.lit(i))["line"].alias(c) for i, c in enumerate(("head1", "seq1", "head2", "seq2"))))
+    """Records of four lines; the first header, less its suffix, must begin the second. Lines are numbered across the splits of a file, and records put together from them."""
+    lines = scan.numbered(spark, path)
+    part = lambda k: F.max(F.when(F.col("no") % 4 == k, F.trim("line")))
+    d = lines.groupBy("file", F.floor(F.col("no") / 4).alias("rec")).agg(*(part(k).alias(c) for k, c in enumerate(("head1", "seq1", "head2", "seq2"))))
     base = reduce(lambda x, s: F.regexp_replace(x, f"\\Q{s}\\E$", ""), suffixes, F.col("head1"))
     ok = F.coalesce(F.startswith("head2", base), F.lit(False))
-    return d.withColumn("seq2", F.when(ok, F.col("seq2")).otherwise(F.raise_error(F.concat(F.lit("headers do not match: "), F.col("head1")))))
+    seq2 = F.when(ok, F.col("seq2")).otherwise(F.raise_error(F.concat(F.lit("headers do not match: "), F.col("head1"))))
+    return d.select("head1", "seq1", "head2", seq2.alias("seq2"))
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
@@ -64,21 +66,42 @@ def unknown_patterns(counts: DataFrame, patterns: DataFrame, column: str) -> Dat
 
 
 def multiple_alignment(spark: SparkSession, path: str, taxa: list[str] | None = None) -> DataFrame:
-    """taxon, seq of a sequential PHYLIP file, a line for each taxon; spaces inside sequences are dropped. Lines that are not as long as the head line says (as in interleaved files) are an error."""
-    head = r"^\s*\d+\s+\d+\s*$"
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    said = lines.filter(F.col("value").rlike(head)).first()
-    d = lines.filter(~F.col("value").rlike(head))
-    d = d.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("taxon"), F.regexp_replace(F.regexp_replace("value", r"^\s*\S+", ""), r"\s", "").alias("seq"))
-    if said:
-        n = int(said["value"].split()[1])
-        d = d.withColumn("seq", F.when(F.length("seq") == n, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit(f"not a sequence of {n} sites: "), F.col("taxon")))))
+    """taxon, seq of PHYLIP files, sequential (a line for each taxon) or interleaved; spaces inside sequences are dropped.
+
+    The head line of a file tells the taxa and sites. Line i of each block of as many lines as taxa goes on with taxon i, whose name only the
+    first block has. A taxon with other than the number of sites, as in truncated files, is an error, and so is a file with other than its number of taxa. Lines of files without a head line are a taxon each.
+    """
+    lines = scan.numbered(spark, path)
+    head = F.regexp_extract("line", r"^\s*(\d+)\s+(\d+)\s*$", 1), F.regexp_extract("line", r"^\s*(\d+)\s+(\d+)\s*$", 2)
+    said = lines.filter(F.col("no") == 0).select("file", *(h.try_cast("long").alias(c) for h, c in zip(head, ("taxa", "sites"), strict=True)))
+    d = lines.join(said, "file").filter((F.col("no") > 0) | F.col("taxa").isNull())
+    at = F.col("no") - 1
+    d = d.withColumns({"i": F.when(F.col("taxa").isNull(), F.col("no")).otherwise(at % F.greatest("taxa", F.lit(1))), "part": F.when(F.col("taxa").isNull(), F.lit(0)).otherwise(F.floor(at / F.greatest("taxa", F.lit(1))))})
+    named = F.col("part") == 0
+    d = d.withColumn("taxon", F.when(named, F.regexp_extract("line", r"^\s*(\S+)", 1)))
+    d = d.withColumn("seq", F.regexp_replace(F.when(named, F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line")), r"\s", ""))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"])
+    d = d.groupBy("file", "i", "taxa", "sites").agg(F.max("taxon").alias("taxon"), F.concat_ws("", parts).alias("seq"))
+    wrong = F.raise_error(F.concat(F.lit("not as many sites as the head line says: "), F.col("taxon")))
+    d = d.withColumn("seq", F.when(F.col("sites").isNull() | (F.length("seq") == F.col("sites")), F.col("seq")).otherwise(wrong))
+    short = said.join(d.groupBy("file").agg(F.count("*").alias("n")), "file", "left").filter(F.coalesce("n", F.lit(0)) < F.col("taxa"))
+    if not short.isEmpty():
+        raise ValueError("an alignment has fewer taxa than its head line says")
+    d = d.select("taxon", "seq")
     return d.filter(F.col("taxon").isin(taxa)) if taxa else d
 
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
-    """pos, symbol of a raw sequence file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("pos", "symbol")).withColumn("pos", F.col("pos") + 1)
+    """path, pos, symbol of raw files: every byte is a symbol. Files are read in ranges."""
+    d = scan.stretches(spark, path)
+    return d.select("path", "before", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("k", "symbol")).select("path", (F.col("before") + F.col("k") + 1).alias("pos"), "symbol")
+
+
+def raw_occurrences(spark: SparkSession, path: str, patterns: list[str], breaks: bool = True, joined: bool = False, **sizes) -> DataFrame:
+    """path, pattern, pos: where patterns stand in raw files, overlapping; see scan.stretches."""
+    k = max(map(len, patterns))
+    d = scan.stretches(spark, path, k, breaks, joined, **sizes)
+    return occurrences(d, "seq", patterns, ["path", "before", "n"]).filter("pos <= n").select("path", "pattern", (F.col("before") + F.col("pos")).alias("pos"))
 
 
 def table(spark: SparkSession, path: str, columns: int = 3) -> DataFrame:
