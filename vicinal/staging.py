@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -20,19 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """From now on at most so many rows go to Python at once in this session: long texts make large batches, which a task holds several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for a while; those from before come back. Names have __ for dots."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fixed_splits(spark: SparkSession):
+    """Files are split alike for as long as this lasts: as for the tasks that run at once now, however many executors there are later."""
+    key = "spark__sql__files__minPartitionNum"
+    return settings(spark, **{key: spark.conf.get(key.replace("__", "."), None) or str(spark.sparkContext.defaultParallelism)})
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024):
+    """For as long as this lasts, at most so many rows go to Python at once: long texts make large batches, which a task holds several times."""
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(most if 0 < most <= rows else rows))
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a new Parquet folder in the shared directory and reads it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{tag}-{uuid.uuid4().hex}"
-    bounded_batches(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
