@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from vicinal.llm import langid, lm, ngram_join, toxicity
@@ -200,34 +201,28 @@ def model_by_brute_force(rows):
         h2 = (two[ws[k - 2] if k > 1 else 0, before] if k else one[0]) - out
         c2 = two[before, ws[k]] - out
         c3 = (three[ws[k - 2] if k > 1 else 0, before, ws[k]] - out) if k else c2
-        power = lambda h: min(lm.POWERS - 1, int(math.floor(math.log2(h))) + 1) if h > 0 else 0
-        bucket = lm.POWERS + power(h2) if h2 > 0 else power(h1)
+        power = lambda h: int(math.floor(math.log2(h))) + 1 if h > 0 else 0
+        bucket = lm.powers(n) + power(h2) if h2 > 0 else power(h1)
         return bucket, (c3 / h2 if h2 > 0 else 0, c2 / h1 if h1 > 0 else 0, (one[ws[k]] - out) / (n - out) if n > out else 0)
 
-    bins = Counter()
-    for i, ws in docs:
-        if i is None or crc(i, 5) != 1:
-            for k in range(len(ws)):
-                bucket, p = parts(ws, k, 1)
-                bins[bucket, tuple(min(lm.LOWEST - 1, max(0, round(-math.log2(x) * lm.BINS))) if x > 0 else None for x in p)] += 1
-    mix = {}
-    for bucket in {b for b, _ in bins}:
-        cells = [([0 if q is None else 2 ** (-q / lm.BINS) for q in qs] + [1 / (v + 1)], c) for (b, qs), c in bins.items() if b == bucket]
-        w = list(lm.begun(bucket, n))
-        for _ in range(lm.ROUNDS):
-            new = [0.0, 0.0, 0.0, 1e-3]
-            for p, c in cells:
-                all_ = sum(x * y for x, y in zip(w, p, strict=True))
-                for j in range(4):
-                    new[j] += c * w[j] * p[j] / all_
-            w = [x / sum(new) for x in new]
-        mix[bucket] = w
+    cells = Counter(parts(ws, k, 1) for i, ws in docs if i is None or crc(i, 5) != 1 for k in range(len(ws)))
+
+    def step(w):
+        new = np.zeros((len(w), 5))
+        for (b, p), c in cells.items():
+            each = [x * y for x, y in zip(w[b], [*p, 1 / (v + 1)], strict=True)]
+            for j in range(4):
+                new[b, j] += c * each[j] / sum(each)
+            new[b, 4] += c * math.log(sum(each))
+        return new
+
+    mix = lm.climbed(step, lm.begun(n))
     out = []
     for _, ws in docs:
         total = 0.0
         for k in range(len(ws)):
             bucket, p = parts(ws, k, 0)
-            w = mix.get(bucket, lm.begun(bucket, n))
+            w = mix[bucket]
             total += math.log10(sum(x * y for x, y in zip(w, [*p, 1 / (v + 1)], strict=True)))
         base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         out.append((len(ws), sum(one[w] > 0 for w in ws), n, base, total))
@@ -248,6 +243,35 @@ def test_language_model(spark, texts, monkeypatch, block):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_weights_climb_to_the_maximum():
+    """The extrapolated rounds end where very many plain ones do, also for estimates far below 2 ** -24."""
+    rng = np.random.default_rng(2)
+    n, bucket = 1 << 30, rng.integers(0, 2 * lm.powers(1 << 30), 4000)
+    p = 2.0 ** -rng.uniform(0, 34, (4000, 3)) * (rng.random((4000, 3)) < 0.6)
+    step = lambda w: lm.shares(bucket, p, 50_000, w)
+    plain = lm.begun(n)
+    for _ in range(3000):
+        s = step(plain)[:, :4] + [0, 0, 0, 1e-3]
+        plain = s / s.sum(1, keepdims=True)
+    ours = lm.climbed(step, lm.begun(n))
+    assert step(ours)[:, 4].sum() > step(plain)[:, 4].sum() - 0.5 and step(plain)[:, 4].sum() - step(lm.begun(n))[:, 4].sum() > 50
+    assert np.abs(ours.sum(1) - 1).max() < 1e-12 and (ours[:, 3] > 0).all()
+
+
+def test_other_splits_between_the_reads(spark, tmp_path):
+    """How many tasks run at once does not matter while the texts are read."""
+    from vicinal.staging import fixed_splits
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('word', id, ' and ', id % 7, ' more') AS text").repartition(12).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    with fixed_splits(spark):
+        assert int(spark.conf.get("spark.sql.files.minPartitionNum")) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) == before
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert lm.score(spark.read.parquet(str(tmp_path / "d"))).count() == 4000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if crc(i, 5) == 1)
     got = lm.score(spark.createDataFrame([(held, "a b c"), (held, None)], "doc_id long, text string")).collect()
@@ -264,7 +288,7 @@ def test_model_is_a_distribution():
     two = Counter(p for ws in corpus for p in zip([0, *ws], ws, strict=False))
     three = Counter(p for ws in corpus for p in zip([0, *ws], ws, ws[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    mixed = np.stack([lm.begun(b, n) for b in range(lm.BUCKETS)])
+    mixed = lm.begun(n)
     for history in ([], ["a"], ["a", "b"], ["c", "d"], ["d", "x"], ["x", "y"], ["x", "a"]):
         total = 0.0
         for w in [*one, "unknown"]:

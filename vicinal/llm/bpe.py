@@ -25,7 +25,6 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..staging import bounded_batches
 from .common import give_back
 
 MOST_WORDS = 250_000
@@ -205,7 +204,6 @@ def loaded(source: str) -> Tokenizer:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256. path: of the vocabulary file on the driver."""
-    bounded_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 

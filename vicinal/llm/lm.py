@@ -3,7 +3,7 @@
 p(w | u v) = l3(b) c(u v w) / c(u v) + l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b buckets the
 history by the power of two of the count of u v or, if that is 0, of v. The weights of each bucket come from
 expectation-maximisation on held-out counts: every training token is held out in turn, so its own occurrence is taken
-from the counts that predict it. A text is its words and an end; the end also stands before the first word, where the
+from the counts that predict it. A round is a pass over all training tokens with their exact counts; there are 3 ROUNDS of them at most. A text is its words and an end; the end also stands before the first word, where the
 trigram estimate is the bigram's. A training text is scored with its own counts in, a held-out text has none.
 
 Counts are exact and cover all training texts. Rows are worked on in blocks of BLOCK_BYTES of text, or one longer
@@ -14,9 +14,9 @@ pairs and triples are told apart by 64-bit hashes: two that agree are not to be
 
 Cases: null texts are empty and have one token, the end; without training rows N = V = 0 and every token has
 probability 1; rows with a null doc_id are learned from; equal texts of a fold score alike; texts of any length are
-scored whole; an empty table gives an empty result. Only doc_id and text are read. The input must give the same
-rows in the same order when it is read again (files and staged tables do): a block whose words, pairs or triples
-differ is noticed and the task fails.
+scored whole; an empty table gives an empty result. Only doc_id and text are read. Texts are read twice, and the input must
+give the same rows in the same order each time, as files do: how they are split is held fixed meanwhile, whatever
+executors come and go. A block whose words, pairs or triples differ is noticed and the task fails.
 """
 
 from __future__ import annotations
@@ -24,18 +24,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..staging import fixed_splits
+from .blocks import cut
 from .common import discard, give_back, remainder, returned, staged, text_bytes
 from .shingles import mix, pack, pieces, unpack, words
 
 #: Text of a block, and of the part of the hash range that one task adds up, both in bytes.
 BLOCK_BYTES, PART_BYTES = 2 << 20, 8 << 20
-#: Powers of two of a history's count: of the one word before, then of the two words before.
-POWERS = 28
-BUCKETS = 2 * POWERS
-#: Bins of a factor of two for probabilities in the held-out statistics, and the bin of probability 0.
-BINS = 3
-LOWEST = 24 * BINS
-ROUNDS = 200
+#: Most rounds, each of three passes over the training tokens; the change of a weight at which they end.
+ROUNDS, CLOSE = 5, 1e-4
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
@@ -70,23 +67,9 @@ def starts(sizes: np.ndarray) -> np.ndarray:
 
 def _blocks(batches):
     """(number, record batch of doc_id, text and train) of each block; the same for the same rows in the same order."""
-    import pyarrow as pa
     from pyspark import TaskContext
 
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for b in returned(batches):
-        ends, lo = np.cumsum(np.diff(text_bytes(b.column("text"))[1])), 0
-        while lo < b.num_rows:
-            before = ends[lo - 1] if lo else 0
-            hi = min(b.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
-            held.append(b.slice(lo, hi - lo))
-            size += int(ends[hi - 1] - before)
-            lo = hi
-            if size >= BLOCK_BYTES:
-                yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                number, held, size = number + 1, [], 0
-    if held:
-        yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    yield from enumerate(cut(batches, BLOCK_BYTES), TaskContext.get().partitionId() << 32)
 
 
 def folded(docs: DataFrame) -> DataFrame:
@@ -181,38 +164,66 @@ def counted(docs: DataFrame, sums: DataFrame) -> DataFrame:
     return staged(left.cogroup(right).applyInArrow(meet, "doc_id array<long>, train array<boolean>, sizes binary, ones binary, twos binary, threes binary"), "lm-counted")
 
 
+def powers(n: int) -> int:
+    """Buckets of histories of each kind: one for the count 0, one for each power of two up to n."""
+    return int(n).bit_length() + 1
+
+
 def estimates(ones: np.ndarray, twos: np.ndarray, threes: np.ndarray, first: np.ndarray, end: int, n: int, out: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each token, and its trigram, bigram and unigram estimate (three columns). end: how often the end is counted; out: 1 takes the token itself from the counts."""
     ones, twos, threes = (x.astype(np.int64) for x in (ones, twos, threes))
     h1 = np.where(first, end, np.r_[0, ones[:-1]][: len(ones)]) - out
     h2 = np.where(first, end, np.r_[0, twos[:-1]][: len(ones)]) - out
-    power = lambda h: np.minimum(np.where(h > 0, np.frexp(np.maximum(h, 0).astype(float))[1], 0), POWERS - 1)
-    bucket = np.where(h2 > 0, POWERS + power(h2), power(h1))
+    power = lambda h: np.where(h > 0, np.frexp(np.maximum(h, 0).astype(float))[1], 0)
+    bucket = np.where(h2 > 0, powers(n) + power(h2), power(h1))
     of = lambda c, h: np.where(h > 0, (c - out) / np.maximum(h, 1), 0.0)
     return bucket, np.stack([of(threes, h2), of(twos, h1), of(ones, np.int64(n - out))], 1)
 
 
-def bins(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.clip(np.round(-np.log2(np.maximum(p, 1e-300)) * BINS), 0, LOWEST - 1), LOWEST).astype(np.int64)
+def begun(n: int) -> np.ndarray:
+    """For each bucket the weights that it begins with, and keeps if nothing falls into it: none on estimates that are 0."""
+    out = np.tile([0.4, 0.3, 0.2, 0.1], (2 * powers(n), 1))
+    for bucket, w in enumerate(out):
+        w[: 0 if bucket >= powers(n) else 1 if bucket else 2 if n else 3] = 0
+    return out / out.sum(1, keepdims=True)
+
+
+def shares(bucket: np.ndarray, p: np.ndarray, v: int, w: np.ndarray) -> np.ndarray:
+    """For each bucket the expected number of its tokens that each of the four estimates made, and the log-likelihood of the tokens."""
+    part = w[bucket]
+    part[:, :3] *= p
+    part[:, 3] /= v + 1
+    total = part.sum(1)
+    part /= total[:, None]
+    return np.stack([*(np.bincount(bucket, part[:, k], len(w)) for k in range(4)), np.bincount(bucket, np.log(total), len(w))], 1)
 
 
-def begun(bucket: int, n: int) -> np.ndarray:
-    """The weights that a bucket begins with, and keeps if nothing falls into it: none on estimates that are 0."""
-    w = np.array([0.4, 0.3, 0.2, 0.1])
-    w[: 0 if bucket >= POWERS else 1 if bucket else 2 if n else 3] = 0
-    return w / w.sum()
+def climbed(step, w: np.ndarray) -> np.ndarray:
+    """Weights of all buckets by expectation-maximisation; step gives the shares under some weights.
 
+    Two rounds tell where a third sets out from: along the way that they went, as far as its slowing down says; a bucket for which that is
+    no mixture, or likelier not to have been than the round before, goes on from the second round. The end is that of the plain rounds.
+    """
+
+    def round_(w):
+        s = step(w)
+        seen = s[:, :4] + [0, 0, 0, 1e-3]  # the uniform part stays above zero
+        new = np.where(s[:, :4].sum(1, keepdims=True) > 0, seen / seen.sum(1, keepdims=True), w)
+        return new, s[:, 4]
 
-def maximised(bucket: int, cells: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
-    """The weights of a bucket by expectation-maximisation; cells number the bins of the three estimates, count tells how often each is met."""
-    value = lambda q: np.where(q < LOWEST, 2.0 ** (-q / BINS), 0.0)
-    side = LOWEST + 1
-    p = np.stack([value(cells // side**2), value(cells // side % side), value(cells % side), np.full(len(cells), 1 / (v + 1))], 1)
-    w = begun(bucket, n)
     for _ in range(ROUNDS):
-        share = w * p
-        share *= (count / share.sum(1))[:, None]
-        w = (share.sum(0) + [0, 0, 0, 1e-3]) / (share.sum() + 1e-3)  # the uniform part stays above zero
+        a, _ = round_(w)
+        b, before = round_(a)
+        r, bend = a - w, b - 2 * a + w
+        far = np.maximum(1, np.sqrt((r**2).sum(1) / np.maximum((bend**2).sum(1), 1e-300)))[:, None]
+        ahead = w + 2 * far * r + far**2 * bend
+        good = ((ahead > 0) | (w == 0)).all(1, keepdims=True) & np.isfinite(ahead).all(1, keepdims=True)
+        ahead = np.where(good, np.maximum(ahead, 0), b)
+        new, after = round_(ahead / ahead.sum(1, keepdims=True))
+        new = np.where((after >= before)[:, None], new, b)
+        done, w = np.abs(new - w).max(initial=0) < CLOSE, new
+        if done:
+            break
     return w
 
 
@@ -222,46 +233,40 @@ def _unpacked(b, i: int) -> tuple:
 
 
 def weights(tokens: DataFrame, n: int, v: int) -> np.ndarray:
-    """BUCKETS x 4: the shares of the trigram, bigram, unigram and uniform estimates."""
-    side = LOWEST + 1
-
-    def held_out(batches):
-        import pyarrow as pa
-
-        seen: dict[int, int] = {}
-        for b in returned(batches):
-            for i in range(b.num_rows):
-                _, train, sizes, ones, twos, threes = _unpacked(b, i)
-                first = starts(sizes)
-                bucket, p = estimates(ones, twos, threes, first, int(ones[-1]), n, 1)
-                q = bins(p)
-                keys, c = np.unique((((bucket * side + q[:, 0]) * side + q[:, 1]) * side + q[:, 2])[np.repeat(train, sizes.astype(np.int64))], return_counts=True)
-                for k, x in zip(keys.tolist(), c.tolist(), strict=True):
-                    seen[k] = seen.get(k, 0) + x
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
-
-    def fitted(pdf):
-        import pandas as pd
+    """A row for each bucket: the shares of the trigram, bigram, unigram and uniform estimates. Each round is a pass over the training tokens, which gives a few numbers a bucket."""
+    rows = 2 * powers(n)
+
+    def step(w):
+        def held_out(batches):
+            import pyarrow as pa
+
+            seen = np.zeros((rows, 5))
+            for b in returned(batches, 8):
+                for i in range(b.num_rows):
+                    _, train, sizes, ones, twos, threes = _unpacked(b, i)
+                    learned = np.repeat(train, sizes.astype(np.int64))
+                    if learned.any():
+                        bucket, p = estimates(ones, twos, threes, starts(sizes), int(ones[-1]), n, 1)
+                        seen += shares(bucket[learned], p[learned], v, w)
+            at = np.flatnonzero(seen[:, :4].any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(seen[at, k]) for k in range(5))], ["bucket", *"abcde"])
+
+        found = tokens.mapInArrow(held_out, "bucket long, a double, b double, c double, d double, e double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in "abcde"))
+        out = np.zeros((rows, 5))
+        for r in found.collect():  # a row a bucket
+            out[r["bucket"]] = [r[c] for c in "abcde"]
+        return out
 
-        pdf = pdf.sort_values("cell")
-        bucket = int(pdf["bucket"].iloc[0])
-        w = maximised(bucket, pdf["cell"].to_numpy() % side**3, pdf["n"].to_numpy(float), n, v)
-        return pd.DataFrame([(bucket, *w)], columns=["bucket", "w3", "w2", "w1", "w0"])
-
-    # A bucket has at most (LOWEST + 1) ** 3 cells, however large the corpus.
-    cells = tokens.mapInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = cells.withColumn("bucket", F.floor(F.col("cell") / float(side**3)).cast("int"))
-    out = np.stack([begun(b, n) for b in range(BUCKETS)])
-    for r in cells.groupBy("bucket").applyInPandas(fitted, "bucket int, w3 double, w2 double, w1 double, w0 double").collect():  # BUCKETS rows at most
-        out[r["bucket"]] = [r["w3"], r["w2"], r["w1"], r["w0"]]
-    return out
+    return climbed(step, begun(n))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 1
-    sums = counts(docs, max(1, -(-size // PART_BYTES)))
+    with fixed_splits(docs.sparkSession):
+        sums = counts(docs, max(1, -(-size // PART_BYTES)))
+        tokens = counted(docs, sums)
 
     def of_part(batches):
         import pandas as pd
@@ -270,7 +275,6 @@ def score(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame([unpack(x).astype(np.int64) for x in b["sums"]], columns=["n", "v"])
 
     n, v = (int(x or 0) for x in sums.filter("block < 0").select("sums").mapInPandas(of_part, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    tokens = counted(docs, sums)
     discard(sums)
     mixed = weights(tokens, n, v)
 
