@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. A word scores a constant and the weights of the features of all elements
 around it: their tags (but for containers that say nothing), the words of their class and id, their role, and whether
-they are hidden. Tags cost. Weights are log odds between the main part and the rest, learned from pages that mark
+they are hidden. Tags cost. Plain tags are features of their own inside of what is known for other than main text, so that the lists of
+menus say nothing on those of an article; inside of what speaks for main text they cost next to nothing and none speaks against it. Weights are log odds between the main part and the rest, learned from pages that mark
 their main part themselves (<article>, <main>, role=main). One linear scan finds the contiguous run with the highest
 sum; blocks of the run, and named elements inside a line, whose own words add up to less than zero are left out; what
 stays is the text. Nothing is decided by a name alone: a name known to stand for other than main text (menus, headers,
@@ -34,7 +35,7 @@ LEAST_SHARE = 0.005
 #: What a word scores without features, and the range of its score; most that the weights of a path may add up to above zero.
 WORD, WORD_RANGE, MOST_FOR = 0.5, (-3.0, 1.0), 2.0
 #: Ranges of weights: of names, roles and elements known for other than main text; of other tags. Costs of a tag: learned ones, others, and those inside a line.
-WEIGHT, TAG_WEIGHT, TAG_RANGE, TAG, INLINE = 3.0, 1.0, (-8.0, -0.05), -1.0, -0.25
+WEIGHT, TAG_WEIGHT, TAG_RANGE, TAG, INLINE = 3.0, 1.0, (-1.0, -0.05), -1.0, -0.25
 #: Share of the words outside of main parts that a name known for other than main text begins with.
 PRIOR = 0.02
 #: An element that holds this share of a page's words says nothing on which of them are main text.
@@ -136,6 +137,7 @@ class Page:
         self.items: list[tuple] = []
         # For each element, the page being the first: parent, features, inside the main part, mute, own words, around the first mark, a block.
         self.parent, self.features, self.main, self.mute, self.words, self.around, self.block = [-1], [()], [False], [False], [0], [True], [True]
+        self.other = [False]  # in or known for other than main text
         stack, under, open_, marked = [0], [0], Counter(), False  # under: place in the stack of the innermost block
         block, names = 0, [""]
 
@@ -159,7 +161,7 @@ class Page:
                     while names[-1] != name:
                         close()
                     close()
-                self.items.append((None, "/" + name, stack[-1], block))
+                self.items.append((None, self.kind("/" + name, stack[-1]), stack[-1], block))
                 continue
             if name in BLOCKS:
                 while open_["svg"] > 0 or open_["math"] > 0:
@@ -171,10 +173,11 @@ class Page:
             own, mark = features(name, attrs)
             e = stack[-1]
             if name in VOID or attrs.rstrip().endswith("/"):
-                self.items.append((None, name, e, block))
+                self.items.append((None, self.kind(name, e), e, block))
                 continue
+            self.other.append(self.other[e] or any(map(known, own)))
             self.parent.append(e)
-            self.features.append(own)
+            self.features.append(tuple(self.kind(f, e) if generic(f) else f for f in own))
             self.main.append(self.main[e] or mark)
             self.mute.append(self.mute[e] or name in MUTE)
             self.words.append(0)
@@ -188,9 +191,13 @@ class Page:
                 marked = True
                 for x in stack:
                     self.around[x] = True
-            self.items.append((None, name, stack[-1], block))
+            self.items.append((None, self.kind(name, e), stack[-1], block))
         self.size = self.inside(self.words)
 
+    def kind(self, name: str, e: int) -> str:
+        """A plain tag by where it is: marked inside of what is known for other than main text."""
+        return "~" + name if self.other[e] else name
+
     def inside(self, own: list[int]) -> list[int]:
         """For each element the sum over it and all elements in it."""
         out = list(own)
@@ -217,6 +224,8 @@ class Page:
                 v = weight(f, w)
                 if v > 0:
                     x = min(MOST_FOR, x + v)
+                elif generic(f) and x > 0:
+                    continue  # a list or a table inside of main text is part of it
                 elif not (self.around[e] or self.size[e] >= NEARLY_ALL * total or f == "header" and self.main[p]):
                     y = max(-4 * WEIGHT, y + v)  # not around what is main text, nor the heading of a main part
             good.append(x)
@@ -227,15 +236,15 @@ class Page:
         return [0.0 if m else min(hi, max(lo, WORD + x + y)) for x, y, m in zip(good, bad, self.mute, strict=True)], good, hole
 
     def scores(self, w: dict[str, float]) -> tuple[list[float], list[float]]:
-        """What each item scores, and what a word in each element scores. Tags inside of what speaks for main text cost no more than unknown ones; what is in holes costs little: it is left out without ending the run."""
+        """What each item scores, and what a word in each element scores. Tags inside of what speaks for main text cost next to nothing, and so does what is in holes: it is left out without ending the run."""
         word, good, hole = self.word_scores(w)
         out = []
         for text, kind, e, _ in self.items:
             if text is not None:
                 out.append((max(word[e], TAG_RANGE[1]) if hole[e] else word[e]) * len(text.split()))
             else:
-                name, cost = kind.strip("/"), w.get("t" + kind, TAG)
-                out.append(TAG_RANGE[1] if hole[e] or name in MUTE else max(cost, TAG if name in BLOCKS else INLINE) if good[e] > 0 else cost)
+                name, cost = kind.strip("~/"), w.get("t" + kind, TAG)
+                out.append(TAG_RANGE[1] if hole[e] or name in MUTE or good[e] > 0 else max(cost, TAG if name in BLOCKS else INLINE))
         return out, word
 
 
@@ -248,6 +257,11 @@ def weight(feature: str, w: dict[str, float]) -> float:
     return TAG_WEIGHT if feature in MAIN or feature == "@main" else 0.0
 
 
+def generic(feature: str) -> bool:
+    """Whether a feature is a plain tag, which is used in any part of a page."""
+    return feature[0] not in ".@!" and not known(feature) and feature not in MAIN
+
+
 def known(feature: str) -> bool:
     """Whether a feature is known for other than main text."""
     return feature in NOISE or feature == "!hidden" or feature[0] == "@" and feature[1:] in ROLES or feature[0] == "." and noisy(feature)
