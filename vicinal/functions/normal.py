@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # The coefficients of the Lanczos series for g = 7, and of the rational approximations of normal quantiles (algorithm AS 241) around 0.5, in the tails, and far out in them.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -34,30 +34,33 @@ def log_gamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (y + 0.5) * F.log(t) - t + F.log(total)
 
 
-def with_log_tails(df: DataFrame, k: Column, mean: Column) -> DataFrame:
-    """df with _low and _up, the logarithms of the probabilities that a Poisson variable of a mean above 0 is at most k, and above k: each from what converges, the series of the incomplete Gamma function or its continued fraction. Steps are columns, so that none is worked out twice."""
-    a, x, front = F.col("_a"), F.col("_x"), F.col("_front")
-    d = df.withColumns({"_a": k.cast("double") + 1, "_x": mean.cast("double")})
-    d = d.withColumns({"_front": a * F.log(x) - x - log_gamma(a), "_steps": F.sequence(F.lit(1), (TERMS + PER_ROOT * F.sqrt(F.greatest(a, x))).cast("int"))})
+def let(x: Column, of) -> Column:
+    """of(x), x being worked out once however often it is used, also where the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(x), of), 1)
 
-    def term(z, n):
-        return F.struct((z["t"] * x / (a + n)).alias("t"), (z["s"] + z["t"] * x / (a + n)).alias("s"))
 
-    series = F.aggregate("_steps", F.struct((1 / a).alias("t"), (1 / a).alias("s")), term, lambda z: z["s"])
-    tiny, b = 1e-300, lambda n: x + 2 * n + 1 - a
+def log_tails(k: Column, mean: Column) -> Column:
+    """A struct of low and up, the logarithms of the probabilities that a Poisson variable of a mean above 0 is at most k, and above k: each from what converges, the series of the incomplete Gamma function or its continued fraction."""
+    return let(F.struct((k.cast("double") + 1).alias("a"), mean.cast("double").alias("x")), lambda v: _tails(v["a"], v["x"]))
+
+
+def _tails(a: Column, x: Column) -> Column:
+    steps, tiny, b = F.sequence(F.lit(1), (TERMS + PER_ROOT * F.sqrt(F.greatest(a, x))).cast("int")), 1e-300, lambda n: x + 2 * n + 1 - a
     guarded = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
 
+    def term(z, n):
+        return let(z["t"] * x / (a + n), lambda t: F.struct(t.alias("t"), (z["s"] + t).alias("s")))
+
     def step(z, n):  # the fraction by Lentz's way: its terms are n (a - n) over x + 2 n + 1 - a
         c, e = guarded(b(n) - n * (n - a) / z["c"]), guarded(b(n) - n * (n - a) * z["d"])
-        return F.struct(c.alias("c"), (1 / e).alias("d"), (z["h"] * c / e).alias("h"))
+        return let(F.struct(c.alias("c"), (1 / e).alias("d")), lambda y: F.struct(y["c"].alias("c"), y["d"].alias("d"), (z["h"] * y["c"] * y["d"]).alias("h")))
 
-    first = 1 / guarded(b(F.lit(0.0)))
-    fraction = F.aggregate("_steps", F.struct(F.lit(1 / tiny).alias("c"), first.alias("d"), first.alias("h")), step, lambda z: z["h"])
-    d = d.withColumns({"_sum": F.when(x < a + 1, series), "_part": F.when(x >= a + 1, fraction)})
-    d = d.withColumns({"_u": front + F.log("_sum"), "_l": front + F.log("_part")})
-    other = lambda c: F.when(F.col(c) < -40, F.lit(0.0)).otherwise(F.log(F.greatest(-F.expm1(c), F.lit(tiny))))
-    d = d.withColumns({"_low": F.coalesce("_l", other("_u")), "_up": F.coalesce("_u", other("_l"))})
-    return d.drop("_a", "_x", "_front", "_steps", "_sum", "_part", "_l", "_u")
+    series = F.aggregate(steps, F.struct((1 / a).alias("t"), (1 / a).alias("s")), term, lambda z: z["s"])
+    first = 1 / guarded(x + 1 - a)
+    fraction = F.aggregate(steps, F.struct(F.lit(1 / tiny).alias("c"), first.alias("d"), first.alias("h")), step, lambda z: z["h"])
+    other = lambda p: F.when(p < -40, F.lit(0.0)).otherwise(F.log(F.greatest(-F.expm1(p), F.lit(tiny))))
+    part = let(a * F.log(x) - x - log_gamma(a), lambda f: F.struct(F.when(x < a + 1, f + F.log(series)).alias("u"), F.when(x >= a + 1, f + F.log(fraction)).alias("l")))
+    return let(part, lambda t: F.struct(F.coalesce(t["l"], other(t["u"])).alias("low"), F.coalesce(t["u"], other(t["l"])).alias("up")))
 
 
 def ratio(coefficients: tuple, r: Column) -> Column:
@@ -73,22 +76,24 @@ def _poly(c: tuple, r: Column) -> Column:
 
 
 def quantile_of_log(p: Column) -> Column:
-    """The normal quantile (0 at most) of a probability of at most 0.5, by its logarithm, a column."""
-    q, r = F.exp(p) - 0.5, F.sqrt(-p)
-    out = F.when(r <= 5, -ratio(TAIL, r - 1.6)).otherwise(-ratio(FAR, r - 5))
+    """The normal quantile (0 at most) of a probability of at most 0.5, by its logarithm."""
+
+    def nearer(z, _, p):  # beyond what the approximation is made for: the quantile solves the asymptotic series of the tail
+        return let(1 / (z * z), lambda s: F.sqrt(F.greatest(-2 * p - F.log(2 * math.pi / s) + 2 * F.log(1 - s + 3 * s * s - 15 * s * s * s), F.lit(1.0))))
+
+    def of(p, q, r):
+        far = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.sqrt(-2 * p), lambda z, n: nearer(z, n, p))
+        middle, tail, out = let(0.180625 - q * q, lambda y: ratio(MIDDLE, y)), let(r - 1.6, lambda y: ratio(TAIL, y)), let(r - 5, lambda y: ratio(FAR, y))
+        return F.when(q >= -0.425, q * middle).when(r <= 5, -tail).when(r <= 27, -out).otherwise(-far)
+
+    return let(p, lambda p: let(F.struct((F.exp(p) - 0.5).alias("q"), F.sqrt(-p).alias("r")), lambda v: of(p, v["q"], v["r"])))
 
-    def nearer(z, _):  # beyond what the approximation is made for: the quantile solves the asymptotic series of the tail
-        s = 1 / (z * z)
-        return F.sqrt(F.greatest(-2 * p - F.log(2 * math.pi / s) + 2 * F.log(1 - s + 3 * s * s - 15 * s * s * s), F.lit(1.0)))
 
-    far = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.sqrt(-2 * p), nearer)
-    return F.when(q >= -0.425, q * ratio(MIDDLE, 0.180625 - q * q)).when(r <= 27, out).otherwise(-far)
+def poisson_to_normal(observed: Column, expected: Column, most: float = 100.0) -> Column:
+    """The normal quantile of the probability of at most `observed` under a Poisson law of mean `expected`, from -most to most; most where nothing is expected."""
 
+    def z(t):
+        q = quantile_of_log(F.least(t["low"], t["up"], F.lit(math.log(0.5))))
+        return let(q, lambda q: F.greatest(F.lit(-most), F.least(F.lit(most), F.when(t["low"] <= t["up"], q).otherwise(-q))))
 
-def with_poisson_to_normal(df: DataFrame, observed: str, expected: str, out: str = "z", most: float = 100.0) -> DataFrame:
-    """df with the normal quantile of the probability of at most `observed` under a Poisson law of mean `expected`, from -most to most; most where nothing is expected."""
-    d = with_log_tails(df, F.col(observed), F.greatest(F.col(expected).cast("double"), F.lit(1e-300)))
-    d = d.withColumns({"_p": F.least("_low", "_up", F.lit(math.log(0.5))), "_below": F.col("_low") <= F.col("_up")})
-    d = d.withColumn("_q", quantile_of_log(F.col("_p")))
-    z = F.greatest(F.lit(-most), F.least(F.lit(most), F.when(F.col("_below"), F.col("_q")).otherwise(-F.col("_q"))))
-    return d.withColumn(out, F.when(F.col(expected) <= 0, F.lit(most)).otherwise(z)).drop("_low", "_up", "_p", "_below", "_q")
+    return F.when(expected <= 0, F.lit(most)).otherwise(let(log_tails(observed, F.greatest(expected.cast("double"), F.lit(1e-300))), z))

@@ -609,8 +609,8 @@ NORMAL = f"CASE WHEN p >= 0.075 THEN (p - 0.5) * {_sql_ratio(N.MIDDLE, '(0.18062
 t AS (SELECT inpat, outpat, sum(CASE WHEN k <= observed THEN exp(k * ln(expected) - expected - lgamma(k + 1)) ELSE 0 END) AS lo, sum(CASE WHEN k > observed THEN exp(k * ln(expected) - expected - lgamma(k + 1)) ELSE 0 END) AS up FROM k GROUP BY ALL),
 q AS (SELECT inpat, outpat, lo, up, least(lo, up) AS p FROM t WHERE least(lo, up) > 1e-300), z AS (SELECT inpat, outpat, CASE WHEN lo <= up THEN 1 ELSE -1 END * {NORMAL} AS z FROM q) SELECT inpat, outpat, round(z, 5) + 0.0::double AS z FROM z WHERE abs(z) < 36""")
 def _(spark, d):
-    d = N.with_poisson_to_normal(_resids(spark, d).select("inpat", "outpat", "observed", "expected"), "observed", "expected")
-    return rounded(d.select("inpat", "outpat", "z").filter("abs(z) < 36"), "z", digits=5)
+    z = N.poisson_to_normal(F.col("observed"), F.col("expected"))
+    return rounded(_resids(spark, d).repartition(spread(spark)).select("inpat", "outpat", z.alias("z")).filter("abs(z) < 36"), "z", digits=5)
 
 
 @query("listed_residuals", f"WITH {EXPECTED} SELECT lower(substr(inpat, 1, 1)) || substr(inpat, 2, 2) || lower(substr(inpat, 4)) AS inpat, outpat, (round(z, 4) + 0.0::double) AS z FROM r WHERE abs(z) > 0.5")
