@@ -15,11 +15,12 @@ number of subclasses follows the class.
 Equal sets are one class from the start. Signatures that occur once are dropped; every class is compared with
 the most typical class of each of its signatures (a star, never all pairs); classes that are joined by then
 need no further test. Two classes that are still apart were both compared with the centre of the signature that
-they share, so to link they must either both lie well inside the centre or share a token outside it: only such
+they share, so to link they must either both lie well inside the centre or share tokens outside it, as many as are
+missing: tokens outside are met from the rarest on, so that a passage that many have leads to a pair only where it is long enough for a link. Only such
 pairs are tested after, and of what shares a token or signature only those of smaller components with the others.
 Every link is verified on the whole sets. Components come from graph.components.
 
-Tasks work on as many texts as hold TOKENS_AT_ONCE tokens, or one longer text. Token hashes have 64 bits, of which 48 are
+Tasks work on as many texts as hold TOKENS_AT_ONCE tokens, or one longer text. Token hashes have 64 bits, all of which are
 compared; classes are named by 64-bit sums of mixed hashes, so two different sets in one class are not to be expected
 below 10**9 texts. Cases: null texts, and texts without words, have empty sets and
 link with nothing; texts under five words are one shingle; equal rows are in one class; a null doc_id takes part, and the smallest
@@ -30,7 +31,7 @@ and text are read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .common import discard, give_back, returned, small_side, staged, text_bytes
 from .graph import components
@@ -41,8 +42,7 @@ WORDS = 5
 FREQUENT, REPEATED = 3, 2
 #: The part of the hash range whose tokens are counted: prefixes are taken from the low end of it.
 COUNTED = 0.4
-#: Low bits of hashes that are not sent: signatures are only candidates, and two tokens of a pair of texts that
-#: agree in 48 bits and differ are not to be expected.
+#: Low bits of hashes that counts and signatures, which only find candidates, do without; sets are compared by all 64 bits.
 DROP = np.uint64(16)
 TOP = np.uint64(int(COUNTED * 2**48))
 #: Most bits, as a power of two, of a bitmap (16 MB).
@@ -288,7 +288,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, repeated: Bits, k: int, n: int) -
                 node = _name(s)
                 at = (node & (2**64 - 1)) >> (64 - bits)
                 if m[at >> 6] >> np.uint64(at & 63) & np.uint64(1) and node not in sent:
-                    found[node] = s >> DROP
+                    found[node] = s
                     sent.add(node)
             if len(sent) > TOKENS_AT_ONCE // 8:
                 sent.clear()
@@ -296,8 +296,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, repeated: Bits, k: int, n: int) -
                 some = []
                 for s in found.values():
                     low = np.ones(len(s), bool)
-                    counted = int(np.searchsorted(s, TOP))
-                    low[:counted] = repeated.has(s[:counted])
+                    counted = int(np.searchsorted(s, TOP << DROP))
+                    low[:counted] = repeated.has(s[:counted] >> DROP)
                     some.append(np.packbits(low).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack(np.diff(s, prepend=np.uint64(0))) for s in found.values()], pa.binary()), pa.array(some, pa.binary())], ["node", "tokens", "shared"])
 
@@ -311,12 +311,8 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """Written (a, b, na, nb, c, extra): sizes, common tokens, and the first tokens of a outside b that may be in two texts.
-
-    A partner of a that is not found through tokens of b shares at least percent * na - c of a's tokens outside b,
-    so one of the first na - c - (that number) + 1 of them by hash.
-    """
+def compared(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
+    """Written (a, b, na, nb, c, extra): sizes, common tokens, and the tokens of a outside b that may be in two texts."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), "shared"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb", "shared")
 
@@ -329,10 +325,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataF
                 x, y = _tokens(x.as_py()), _tokens(y.as_py())
                 inside = _common(x, y)
                 c = int(inside.sum())
-                need = max(1, -(-percent * len(x) // 100) - c)
-                extra = np.flatnonzero(~inside)[: max(0, len(x) - c - need + 1)]
-                extra = extra[np.unpackbits(np.frombuffer(some.as_py(), np.uint8), count=len(x))[extra] == 1]
-                out.append((len(x), len(y), c, x[extra].tobytes()))
+                extra = x[~inside & (np.unpackbits(np.frombuffer(some.as_py(), np.uint8), count=len(x)) == 1)]
+                out.append((len(x), len(y), c, extra.tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["a", "b", "na", "nb", "c", "extra"])
 
@@ -356,25 +350,41 @@ def _exploded(batches):
         yield pa.RecordBatch.from_arrays([*(p.column(n).take(rows) for n in names), pa.array(tokens)], [*names, "token"])
 
 
-def across(rows: DataFrame, on: list[str], keep) -> DataFrame:
-    """(a, b): pairs of the rows (a, n, c, r) that share `on` and differ in r, if keep holds for columns a1, a2, n1, ...
+def across(rows: DataFrame, on: list[str], keep, more: list[str] = ()) -> DataFrame:
+    """(a, b): pairs of the rows (a, n, c, r, more) that share `on` and differ in r, if keep holds for columns a1, a2, n1, ...
 
     Of each `on` with several r, the rows of its most frequent r meet only the others: work follows the pairs that differ.
     """
     each = rows.groupBy(*on, "r").agg(F.count("*").alias("w"))
     several = each.groupBy(*on).agg(F.max(F.struct("w", "r"))["r"].alias("most"), F.count("*").alias("rs")).filter("rs > 1").select(*on, "most")
     rows = rows.join(several, on)
-    side = lambda x, i, *names: x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r", *names)))
+    side = lambda x, i, *names: x.select(*on, *(F.col(k).alias(f"{k}{i}") for k in ("a", "n", "c", "r", *more)), *names)
     one, two = side(rows.filter("r <> most"), 1, "most"), side(rows, 2)
-    once = (F.col("a1") < F.col("a2")) | (F.col("r2") == F.col("most1"))  # two rows of other r meet both ways
+    once = (F.col("a1") < F.col("a2")) | (F.col("r2") == F.col("most"))  # two rows of other r meet both ways
     return one.join(two, on).filter((F.col("r1") != F.col("r2")) & once & keep).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
 
 
+def outside_prefixes(d: DataFrame, percent: int) -> DataFrame:
+    """(a, z, n, c, r, token, rest) of the rows (a, b, n, c, r, extra) of d: tokens outside the centre by which a may meet a partner; rest: how many more it may share with one that it first meets there.
+
+    A partner that is found by no token of the centre shares at least percent * n - c of the n - c tokens outside of it. In the order
+    of the centre's classes those that one component has come first, then the others by how many classes have them, so one of the first
+    n - c - (that number) + 1 tokens is shared, and what many have is met last, when few tokens are left to share.
+    """
+    rows = d.filter(F.octet_length("extra") > 0).mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long").withColumnRenamed("b", "z")
+    rows = staged(rows, "join-outside")
+    held = rows.groupBy("z", "token").agg(F.count("*").alias("f"), F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("z", "token", "f")
+    of = W.partitionBy("a", "z")  # the tokens of a text
+    met = rows.join(held, ["z", "token"]).withColumns({"q": F.count("*").over(of), "k": F.row_number().over(of.orderBy("f", "token"))})
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("c"))
+    return met.filter(F.col("q") - F.col("k") + 1 >= need).select("a", "z", "n", "c", "r", "token", (F.col("q") - F.col("k")).alias("rest"))
+
+
 def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may link though their classes are not joined yet.
 
     Two classes of a signature have both been compared with its star's centre z. If they link, then either the
-    tokens that each shares with z are as many as a link needs, or they share a token outside z.
+    tokens that each shares with z are as many as a link needs, or they share tokens outside z, as many as are missing.
     """
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     d = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumn("r", F.coalesce("ra", "a")).withColumn("rz", F.coalesce("rb", "b"))
@@ -382,10 +392,9 @@ def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataF
     d = staged(d.join(mixed, "b", "left_semi").select("a", "b", F.col("na").alias("n"), "c", "r", "extra"), "join-mixed")
     n, low, union = F.col("n1") + F.col("n2"), F.least("c1", "c2"), 100 + percent
     sizes = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    extra = d.filter(F.octet_length("extra") > 0).mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long")
-    most = low + F.least(F.col("n1") - F.col("c1"), F.col("n2") - F.col("c2"))
+    most = low + F.least("rest1", "rest2") + 1
     # Pairs that lie well inside z are those of `inside`.
-    outside = across(extra.withColumnRenamed("b", "z"), ["z", "token"], sizes & (low * union < n * percent) & (most * union >= n * percent))
+    outside = across(outside_prefixes(d, percent), ["z", "token"], sizes & (low * union < n * percent) & (most * union >= n * percent), ["rest"])
     inner = post.join(star, "sig").join(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r"), ["node", "b"])
     inside = across(inner.select("sig", "a", "n", "c", "r"), ["sig"], sizes & (low * union >= n * percent))
     out = staged(outside.union(inside).distinct(), "join-rest")
@@ -414,13 +423,13 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = 80) -> DataFrame:
     pairs = staged(pairs.filter((F.col("held") > 2) | close).select("a", "b"), "join-pairs")
     nodes = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-nodes")
     sets = sets_of(docs, nodes, bits[1], k, nodes.count())
-    stars = compared(pairs, sets, percent, "join-stars")
+    stars = compared(pairs, sets, "join-stars")
     links = linked(stars, percent)
     roots = components(links)
     rest = still_apart(post, star, stars, roots, percent)
     done = [post, star, pairs, nodes, sets, stars, rest]
     if not rest.isEmpty():
-        tested = compared(rest, sets, percent, "join-tested")
+        tested = compared(rest, sets, "join-tested")
         new = linked(tested, percent)
         if not new.isEmpty():  # what is joined so far is a star for each component
             roots = components(new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
