@@ -216,7 +216,7 @@ def model_by_brute_force(rows):
             new[b, 4] += c * math.log(sum(each))
         return new
 
-    mix = lm.climbed(step, lm.begun(n))
+    mix = lm.climbed(step, lm.begun(n), n)
     out = []
     for _, ws in docs:
         total = 0.0
@@ -243,8 +243,9 @@ def test_language_model(spark, texts, monkeypatch, block):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_weights_climb_to_the_maximum():
+def test_weights_climb_to_the_maximum(monkeypatch):
     """The extrapolated rounds end where very many plain ones do, also for estimates far below 2 ** -24."""
+    monkeypatch.setattr(lm, "ROUNDS", 60)
     rng = np.random.default_rng(2)
     n, bucket = 1 << 30, rng.integers(0, 2 * lm.powers(1 << 30), 4000)
     p = 2.0 ** -rng.uniform(0, 34, (4000, 3)) * (rng.random((4000, 3)) < 0.6)
@@ -253,7 +254,7 @@ def test_weights_climb_to_the_maximum():
     for _ in range(3000):
         s = step(plain)[:, :4] + [0, 0, 0, 1e-3]
         plain = s / s.sum(1, keepdims=True)
-    ours = lm.climbed(step, lm.begun(n))
+    ours = lm.climbed(step, lm.begun(n), 400)
     assert step(ours)[:, 4].sum() > step(plain)[:, 4].sum() - 0.5 and step(plain)[:, 4].sum() - step(lm.begun(n))[:, 4].sum() > 50
     assert np.abs(ours.sum(1) - 1).max() < 1e-12 and (ours[:, 3] > 0).all()
 

@@ -3,7 +3,7 @@
 p(w | u v) = l3(b) c(u v w) / c(u v) + l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b buckets the
 history by the power of two of the count of u v or, if that is 0, of v. The weights of each bucket come from
 expectation-maximisation on held-out counts: every training token is held out in turn, so its own occurrence is taken
-from the counts that predict it. A round is a pass over all training tokens with their exact counts; there are 3 ROUNDS of them at most. A text is its words and an end; the end also stands before the first word, where the
+from the counts that predict it. A round is a pass over all training tokens with their exact counts; there are 3 ROUNDS of them at most, fewer if they gain little. A text is its words and an end; the end also stands before the first word, where the
 trigram estimate is the bigram's. A training text is scored with its own counts in, a held-out text has none.
 
 Counts are exact and cover all training texts. Rows are worked on in blocks of BLOCK_BYTES of text, or one longer
@@ -31,8 +31,8 @@ from .shingles import mix, pack, pieces, unpack, words
 
 #: Text of a block, and of the part of the hash range that one task adds up, both in bytes.
 BLOCK_BYTES, PART_BYTES = 2 << 20, 8 << 20
-#: Most rounds, each of three passes over the training tokens; the change of a weight at which they end.
-ROUNDS, CLOSE = 5, 1e-4
+#: Most rounds, each of three passes over the training tokens; what a round must gain in log-likelihood a token for another to follow.
+ROUNDS, GAIN = 3, 1e-5
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
@@ -171,13 +171,13 @@ def powers(n: int) -> int:
 
 def estimates(ones: np.ndarray, twos: np.ndarray, threes: np.ndarray, first: np.ndarray, end: int, n: int, out: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each token, and its trigram, bigram and unigram estimate (three columns). end: how often the end is counted; out: 1 takes the token itself from the counts."""
-    ones, twos, threes = (x.astype(np.int64) for x in (ones, twos, threes))
-    h1 = np.where(first, end, np.r_[0, ones[:-1]][: len(ones)]) - out
-    h2 = np.where(first, end, np.r_[0, twos[:-1]][: len(ones)]) - out
-    power = lambda h: np.where(h > 0, np.frexp(np.maximum(h, 0).astype(float))[1], 0)
-    bucket = np.where(h2 > 0, powers(n) + power(h2), power(h1))
-    of = lambda c, h: np.where(h > 0, (c - out) / np.maximum(h, 1), 0.0)
-    return bucket, np.stack([of(threes, h2), of(twos, h1), of(ones, np.int64(n - out))], 1)
+    ones, twos, threes = (x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in (ones, twos, threes))
+    before = lambda x: np.where(first, end, np.r_[0, x[:-1]][: len(x)]) - out
+    h1, h2 = before(ones), before(twos)
+    known = h2 > 0
+    bucket = np.frexp(np.maximum(np.where(known, h2, h1), 0).astype(float))[1] + powers(n) * known
+    of = lambda c, h: (c - out) / np.maximum(h, 1)  # noqa: E731  what a history of no other token counts is 0 too
+    return bucket, np.stack([of(threes, h2), of(twos, h1), of(ones, np.int64(n - out))]).T
 
 
 def begun(n: int) -> np.ndarray:
@@ -190,15 +190,17 @@ def begun(n: int) -> np.ndarray:
 
 def shares(bucket: np.ndarray, p: np.ndarray, v: int, w: np.ndarray) -> np.ndarray:
     """For each bucket the expected number of its tokens that each of the four estimates made, and the log-likelihood of the tokens."""
-    part = w[bucket]
-    part[:, :3] *= p
-    part[:, 3] /= v + 1
-    total = part.sum(1)
-    part /= total[:, None]
-    return np.stack([*(np.bincount(bucket, part[:, k], len(w)) for k in range(4)), np.bincount(bucket, np.log(total), len(w))], 1)
+    order, out = np.argsort(bucket.astype(np.uint8), kind="stable"), np.zeros((len(w), 5))
+    p, ends = np.take(p.T, order, axis=1), np.cumsum(np.bincount(bucket, minlength=len(w)))
+    for k in np.flatnonzero(np.diff(ends, prepend=0)):
+        q = p[:, ends[k - 1] if k else 0 : ends[k]]
+        total = w[k, :3] @ q + w[k, 3] / (v + 1)
+        rest = 1 / total
+        out[k] = *(w[k, :3] * (q @ rest)), w[k, 3] / (v + 1) * rest.sum(), np.log(total).sum()
+    return out
 
 
-def climbed(step, w: np.ndarray) -> np.ndarray:
+def climbed(step, w: np.ndarray, tokens: int) -> np.ndarray:
     """Weights of all buckets by expectation-maximisation; step gives the shares under some weights.
 
     Two rounds tell where a third sets out from: along the way that they went, as far as its slowing down says; a bucket for which that is
@@ -211,6 +213,7 @@ def climbed(step, w: np.ndarray) -> np.ndarray:
         new = np.where(s[:, :4].sum(1, keepdims=True) > 0, seen / seen.sum(1, keepdims=True), w)
         return new, s[:, 4]
 
+    last = -np.inf
     for _ in range(ROUNDS):
         a, _ = round_(w)
         b, before = round_(a)
@@ -220,10 +223,11 @@ def climbed(step, w: np.ndarray) -> np.ndarray:
         good = ((ahead > 0) | (w == 0)).all(1, keepdims=True) & np.isfinite(ahead).all(1, keepdims=True)
         ahead = np.where(good, np.maximum(ahead, 0), b)
         new, after = round_(ahead / ahead.sum(1, keepdims=True))
-        new = np.where((after >= before)[:, None], new, b)
-        done, w = np.abs(new - w).max(initial=0) < CLOSE, new
-        if done:
+        w = np.where((after >= before)[:, None], new, b)
+        reached = float(np.maximum(after, before).sum())
+        if reached - last <= GAIN * tokens:
             break
+        last = reached
     return w
 
 
@@ -257,7 +261,7 @@ def weights(tokens: DataFrame, n: int, v: int) -> np.ndarray:
             out[r["bucket"]] = [r[c] for c in "abcde"]
         return out
 
-    return climbed(step, begun(n))
+    return climbed(step, begun(n), n)
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -86,6 +86,7 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel()
+    out = planes[0].astype(np.uint64)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+    return out
