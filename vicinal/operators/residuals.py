@@ -97,6 +97,11 @@ def clusters(top: DataFrame, k: int, most: int = 300) -> DataFrame:
     return top.sparkSession.createDataFrame([(n, int(c)) for n, c in zip(names, found, strict=True)], "pattern string, cluster int")
 
 
+def ordered_clusters(resids: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, n, z of the residuals (pattern, z) by clusters (pattern, cluster): sizes and highest z; to be read in falling order of z."""
+    return resids.join(clusters, "pattern").groupBy("cluster").agg(F.count("*").alias("n"), F.max("z").alias("z"))
+
+
 def divergence(counts: DataFrame, leftwin: int, shortwin: int) -> DataFrame:
     changed = hamming(F.substring(F.col("long"), leftwin + 1, shortwin), "short")
     return counts.agg((F.sum(changed * F.col("count")) / (F.sum("count") * shortwin)).alias("divergence"))

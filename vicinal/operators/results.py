@@ -104,5 +104,11 @@ def thinned(df: DataFrame, step: str, every: int) -> DataFrame:
     return df.filter(F.col(step) % every == 0)
 
 
+def thinned_to(df: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
+    """Every k-th row in the order, from the first one on, k the least that leaves `most` rows."""
+    every = max(1, -(-df.count() // most))
+    return ranks.ranked(df, [F.col(c) for c in order], place="_place").filter((F.col("_place") - 1) % every == 0).drop("_place")
+
+
 def after_burn_in(df: DataFrame, step: str, first: int, last: int | None = None) -> DataFrame:
     return df.filter(F.col(step) >= first if last is None else F.col(step).between(first, last))

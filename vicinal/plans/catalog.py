@@ -248,6 +248,11 @@ def _(spark, d):
     return X.thinned(table(spark, d, "events").select("event_id", "value"), "event_id", 7)
 
 
+@query("trace_of_1000", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events) WHERE (k - 1) % greatest(1, (n + 999) // 1000) = 0")
+def _(spark, d):
+    return X.thinned_to(table(spark, d, "events").select("event_id", "value"), ["event_id"], 1000)
+
+
 @query("after_burn_in", "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 5000")
 def _(spark, d):
     return X.after_burn_in(table(spark, d, "events").select("event_id", "value"), "event_id", 100, 5000)
@@ -491,7 +496,7 @@ mut AS (SELECT p AS i, substr(p, 1, k - 1) || t || substr(p, k + length(f)) AS j
 
 
 def _seen(spark, d):
-    return pair_counts(spark, d).select(F.col("long").alias("pattern")).distinct()
+    return written_counts(spark, d).select(F.col("long").alias("pattern")).distinct()
 
 
 @query("rule_applications", f"WITH {GEN} SELECT * FROM mut")
@@ -812,6 +817,19 @@ def _(spark, d):
     return rounded(M.predicted_tree(_trio(spark, d), STAR, "sp1", ["sp2", "sp3"], dict.fromkeys(("sp1", "sp2", "sp3"), m), FREQS), "count", digits=4)
 
 
+@query("predicted_pair_counts", f"""WITH RECURSIVE {pattern_sql(3, "ACGT")}, {rules_sql(MUTPATS, RATES)}, {generator_sql(3)}, {series_sql("p")},
+q AS (SELECT t, i, s AS j, sum(x * exp(k * ln(r * t) - r * t - lgamma(k + 1))) AS p FROM v, top, (VALUES (0.3), (0.2)) times(t) GROUP BY ALL),
+b AS (SELECT i, substr(j, 2, 1) AS s, sum(p) AS p FROM q WHERE t = 0.2 GROUP BY ALL),
+root AS (SELECT p AS i, list_product([CASE WHEN c IN ('A', 'T') THEN 0.3 ELSE 0.2 END FOR c IN string_split(p, '')]) AS w FROM pats),
+joint AS (SELECT q.j AS long, b.s AS short, sum(w * q.p * b.p) AS x FROM root JOIN q USING (i) JOIN b USING (i) WHERE q.t = 0.3 GROUP BY ALL),
+{counts_sql(C.Shape(3, 1, 1))}, totals AS (SELECT long, sum(count) AS n FROM counts GROUP BY 1)
+SELECT long, short, round(n * x / sum(x) OVER (PARTITION BY long), 4) AS count FROM joint JOIN totals USING (long)""")
+def _(spark, d):
+    m = M.Model("ACGT", MUTPATS, RATES, C.Shape(3, 1, 1))
+    found = M.predicted_tree(pair_counts(spark, d, m.shape), STAR[:2], "sp1", ["sp2"], dict.fromkeys(("sp1", "sp2"), m), FREQS)
+    return rounded(found, "count", digits=4)
+
+
 @query("projected_tree_counts", f"""WITH {PAIR}, t AS (SELECT s1, s2, c.seq AS s3 FROM pair_docs p JOIN seq_docs c ON c.doc_id = p.id + 2),
 w AS (SELECT substr(s1, i, 4) AS long, substr(s2, i + 1, 2) AS a, substr(s3, i + 1, 2) AS b FROM (SELECT *, unnest(range(1, least(length(s1), length(s2), length(s3)) - 2)) AS i FROM t)),
 c AS (SELECT long, a, b, count(*) AS count FROM w WHERE NOT regexp_matches(long || a || b, '[^ACGT]') GROUP BY ALL), k AS (SELECT *, unnest(range(1, 3)) AS k FROM c)
@@ -871,6 +889,13 @@ def _(spark, d):
     return rounded(rounded(found, "rate", digits=9), "gain", digits=1)
 
 
+@query("ordered_clusters", f"WITH {EXPECTED} SELECT substr(inpat, 2, 2) AS cluster, count(*) AS n, round(max(z), 4) + 0.0::double AS z, row_number() OVER (ORDER BY round(max(z), 4) DESC, cluster)::int AS place FROM r GROUP BY 1")
+def _(spark, d):
+    r = _resids(spark, d).select(F.col("inpat").alias("pattern"), "z", F.substring("inpat", 2, 2).alias("cluster"))
+    c = rounded(R.ordered_clusters(r.select("pattern", "z"), r.select("pattern", "cluster").distinct()), "z", digits=4)
+    return c.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("z"), "cluster")))  # 16 clusters
+
+
 @query("residual_clusters")
 def _(spark, d):
     top = R.above_quantile(_resids(spark, d), "z", 0.9).select(F.col("inpat").alias("pattern"))
