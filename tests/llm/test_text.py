@@ -88,6 +88,12 @@ def test_quotation_counts_less():
     m = toxicity.Model([("idiot", False, True)], None)
     plain, quoted = m.features("you are an idiot today"), m.features('he wrote "idiot" in the report')
     assert plain[0] > quoted[0] > 0 and quoted[4] > plain[4]
+    between = m.features('"hello" you idiot, go "away"')
+    assert between[4] == 0 and between[0] == 1  # marks of two other quotations
+    for text in ('he wrote "you are an idiot today" here', "« idiot »", "“idiot and more”", '" idiot "', '"an idiot", she thought'):
+        assert m.features(text)[4] > 0, text
+    for text in ("idiot »", "« a » idiot « b »", 'an idiot" here'):
+        assert m.features(text)[4] == 0, text
 
 
 def shingles(text):
@@ -330,22 +336,32 @@ def test_toxicity_by_brute_force():
 
     def features(text):
         tokens = (text or "").lower().split()
-        sums = [0.0, 0.0, 0.0]
+        sums = [0.0, 0.0, 0.0, 0.0]
         for i, t in enumerate(tokens):
             if (h := hit(t)) is None:
                 continue
             near = range(max(0, i - toxicity.WINDOW), min(len(tokens), i + toxicity.WINDOW + 1))
-            opened = any(tokens[j][0] in toxicity.MARKS for j in near if j <= i)
-            closed = any(tokens[j].rstrip(".,;:!?")[-1:] in set(toxicity.MARKS) for j in near if j >= i)
+            ends = lambda j: tokens[j].rstrip(".,;:!?")[-1:] in set(toxicity.MARKS)
+            alone = lambda j: tokens[j].rstrip(".,;:!?") == "«"  # noqa: E731  opens only
+            opened, closed = tokens[i][0] in toxicity.MARKS, ends(i)
+            for j in reversed([j for j in near if j < i]):
+                if opened or (ends(j) and not alone(j)):
+                    break
+                opened = tokens[j][0] in toxicity.MARKS
+            for j in [j for j in near if j > i]:
+                if closed or tokens[j][0] in toxicity.MARKS:
+                    break
+                closed = ends(j)
             cues = sum(tokens[j].strip(".,;:!?" + toxicity.MARKS) in toxicity.REPORTING for j in near if j != i)
             abuse = (0.3 if opened and closed else 1.0) * 0.6 ** min(3, cues)
             sums[1 if terms[h[1]][1] else 0] += abuse * (toxicity.EDITED if h[0] else 1)
-            sums[2] += 1 - abuse
-        return [min(1, sums[0]), math.log1p(sums[0]), min(1, sums[1]), math.log1p(sums[1]), math.log1p(sums[2])]
+            sums[2] += opened and closed
+            sums[3] += 1 - 0.6 ** min(3, cues)
+        return [min(1, sums[0]), math.log1p(sums[0]), min(1, sums[1]), math.log1p(sums[1]), math.log1p(sums[2]), math.log1p(sums[3])]
 
     r = random.Random(8)
     vocabulary = ["you", "are", "a", "scumbag", "scumbsg,", "skumbag!", '"moron"', "moronic", "m0ron.", "rat", "rats", "idiots", "idots", "said", "he", "wrote:", "«", "word»", "the", "stone", "..."]
-    w = np.array([1.5, 0.7, 1.1, 0.2, -0.4, -1.0])
+    w = np.array([1.5, 0.7, 1.1, 0.2, -0.4, -0.1, -1.0])
     model = toxicity.Model(terms, w)
     for _ in range(300):
         text = " ".join(r.choices(vocabulary, k=r.randint(0, 25)))

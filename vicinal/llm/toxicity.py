@@ -4,8 +4,9 @@ The lexicon (whole terms and stems) is learned from labelled rows. Its trie and
 its terms form one nondeterministic automaton whose states are (trie node, edits); it is made deterministic
 as words need it. A word is a hit if it is a term, or starts with a stem, within one edit (terms of at least
 FUZZY_LETTERS letters; shorter ones must match exactly). Words around a hit tell quotation from abuse: quote
-marks on both sides and reporting words lower what the hit counts for. A logistic regression turns the sums
-of the hits into a score.
+marks around it, an opening and a closing one with none between, and reporting words lower what the hit counts for, by fixed factors
+to begin with; a logistic regression turns the sums of the hits, of marked ones and of reporting words into a score, and so learns what
+quotation and reporting say in the labelled rows.
 
 Learning reads at most TRAIN_ROWS labelled rows (a documented bound; picked by hash); scoring reads whole
 texts. The lexicon has every term that tells the label in these rows; none is cut by number. Cases: null and empty texts
@@ -36,7 +37,7 @@ MOST_EDITED = 0.001
 EDITED = 0.8
 STEM_LETTERS = (4, 5, 6, 7)
 FUZZY_LETTERS = 5
-WINDOW = 6
+WINDOW, FEATURES = 6, 6
 MOST_CACHED = 100_000
 MOST_STATES = 50_000
 # Words that report what others said, and quotation marks.
@@ -45,6 +46,22 @@ MARKS = "\"“”«»„‘’"
 PART = re.compile(r"[^\W_]+")
 
 
+def marks(token: str) -> str:
+    """The quotation marks of a token in order: ( opens, ) closes, and | is a straight mark by itself, which does either."""
+    y = token.rstrip(".,;:!?")
+    if len(y) == 1:
+        return "(" if y in "“«„‘" else ")" if y in "”»’" else "|" if y == '"' else ""
+    return "(" * (token[0] in MARKS) + ")" * (y[-1:] in set(MARKS))
+
+
+def quoted(tokens: list[str], i: int) -> bool:
+    """Whether token i stands between an opening and a closing mark, both within WINDOW tokens, with no other mark between them."""
+    own = marks(tokens[i])
+    before = "".join(map(marks, tokens[max(0, i - WINDOW) : i])) + own[:1].replace(")", "")
+    after = own[-1:].replace("(", "") + "".join(map(marks, tokens[i + 1 : i + WINDOW + 1]))
+    return before[-1:] in ("(", "|") and after[:1] in (")", "|")
+
+
 class Automaton:
     """Terms and stems within their number of edits, determinised lazily. A hit is (edits, term's number)."""
 
@@ -136,20 +153,21 @@ class Model:
         return self.cache[token]
 
     def features(self, text: str | None) -> list[float]:
-        """Terms and stems: whether any is there, and the weight of the hits as abuse; then their weight as quotation."""
+        """Terms and stems: whether any is there, and the weight of the hits as abuse; then the hits between marks, and the weight of the reporting words around hits."""
         tokens = (text or "").lower().split()
         hit = {t: k for t in set(tokens) if (k := self.kind(t)) is not None}
-        sums = [0.0] * 3
+        sums = [0.0] * 4
         if hit:
             for i, t in enumerate(tokens):
                 if (k := hit.get(t)) is not None:
-                    left, right = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
-                    marked = any(x[0] in MARKS for x in left) and any(y[-1] in MARKS for x in right if (y := x.rstrip(".,;:!?")))
-                    cues = sum(x.strip(".,;:!?" + MARKS) in REPORTING for x in left[:-1] + right[1:])
-                    abuse = (0.3 if marked else 1.0) * 0.6 ** min(cues, 3)
+                    around = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + WINDOW + 1]
+                    marked = quoted(tokens, i)
+                    cues = min(3, sum(x.strip(".,;:!?" + MARKS) in REPORTING for x in around))
+                    abuse = (0.3 if marked else 1.0) * 0.6**cues
                     sums[self.terms[k[1]][1]] += abuse * (EDITED if k[0] else 1)
-                    sums[2] += 1 - abuse
-        return [min(1.0, sums[0]), float(np.log1p(sums[0])), min(1.0, sums[1]), float(np.log1p(sums[1])), float(np.log1p(sums[2]))]
+                    sums[2] += marked
+                    sums[3] += 1 - 0.6**cues
+        return [min(1.0, sums[0]), float(np.log1p(sums[0])), min(1.0, sums[1]), float(np.log1p(sums[1])), float(np.log1p(sums[2])), float(np.log1p(sums[3]))]
 
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "cache": {}, "automaton": None}
@@ -223,10 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = staged(sample.select("text", "toxic"), "toxic-sample")
     sizes = dict(sample.groupBy("toxic").count().collect())
     if len(sizes) < 2:
-        return Model([], np.array([0.0] * 5 + [-99.0]))
+        return Model([], np.array([0.0] * FEATURES + [-99.0]))
     counts = sample.mapInPandas(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     terms = choose({r["term"]: r["pos"] for r in telling(counts, sizes[1], sizes[0]).collect()})  # of `rows` rows: each term is in LEAST_ROWS of them
-    wide = docs.sparkSession.sparkContext.broadcast(Model([(t, s, len(t) >= FUZZY_LETTERS) for t, s in terms], np.zeros(6)))
+    wide = docs.sparkSession.sparkContext.broadcast(Model([(t, s, len(t) >= FUZZY_LETTERS) for t, s in terms], np.zeros(FEATURES + 1)))
 
     def edited(batches):
         """Rows with and without the label in which a term is met by an edit."""
@@ -240,18 +258,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     met = {r["term"]: r for r in sample.mapInPandas(edited, "term int, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}
     clean = lambda i: i not in met or met[i]["neg"] <= max(MOST_EDITED * sizes[0], met[i]["pos"] / 4)
-    model = Model([(t, s, len(t) >= FUZZY_LETTERS and clean(i)) for i, (t, s) in enumerate(terms)], np.zeros(6))
+    model = Model([(t, s, len(t) >= FUZZY_LETTERS and clean(i)) for i, (t, s) in enumerate(terms)], np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def featured(batches):
         import pandas as pd
 
         for b in returned(batches):
-            x = np.array([shared.value.features(t) for t in b["text"]]).reshape(-1, 5)
-            yield pd.DataFrame(x, columns=list("abcde")).assign(y=b["toxic"].to_numpy())
+            x = np.array([shared.value.features(t) for t in b["text"]]).reshape(-1, FEATURES)
+            yield pd.DataFrame(x, columns=list("abcdef")).assign(y=b["toxic"].to_numpy())
 
-    got = sample.mapInPandas(featured, "a double, b double, c double, d double, e double, y int").toPandas()  # `rows` rows of six numbers at most
-    model.weights = fit(got[list("abcde")].to_numpy(), got["y"].to_numpy())
+    got = sample.mapInPandas(featured, "a double, b double, c double, d double, e double, f double, y int").toPandas()  # `rows` rows of seven numbers at most
+    model.weights = fit(got[list("abcdef")].to_numpy(), got["y"].to_numpy())
     return model
 
 
@@ -273,7 +291,7 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",)) -> DataFrame
         m = shared.value
         for b in _released(batches, m):
             texts = b.column("_tox_text").to_pylist()
-            x = np.array([m.features(t) for t in texts]).reshape(-1, 5) if m.terms else np.zeros((len(texts), 5))
+            x = np.array([m.features(t) for t in texts]).reshape(-1, FEATURES) if m.terms else np.zeros((len(texts), FEATURES))
             z = x @ m.weights[:-1] + m.weights[-1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
 
