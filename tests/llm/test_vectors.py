@@ -138,3 +138,21 @@ def test_equal_vectors_count_each(spark):
         least = min(rows[j][0] for j in seen)
         want.append((x[0], len(near[i]), least, x[0] == least))
     assert got == sorted(want)
+
+
+def test_traversal_is_ordered_and_complete():
+    """Cells come nearest first, and all whose bounds leave room for a link; no other row's home is left out."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 10))
+    v[200:] = v[:200] + rng.normal(size=(200, 10)) * 0.1
+    v /= np.sqrt((v**2).sum(1, keepdims=True))
+    index = neardup.Index({10: v[:300]}, 8)
+    a, b = index.bounds(v)
+    homes = index.homes(v)
+    linked = v @ v.T >= 0.93
+    for k, cells in enumerate(index.traversed(v, 0.93)):
+        total = a[k][:, None] + b[k][None]
+        sums = total.ravel()[cells]
+        assert (np.diff(sums) >= 0).all() and set(cells.tolist()) == set(np.flatnonzero(total.ravel() <= 2 - 2 * 0.93 + 1e-9).tolist())
+        assert set(homes[linked[k]].tolist()) <= set(cells.tolist())
+    assert list(index.traversed(np.ones((2, 4)), 0.9)) == [None, None]

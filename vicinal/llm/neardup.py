@@ -1,8 +1,9 @@
 """Embedding near-duplicates through an inverted multi-index.
 
 Two codebooks, one for each half of the unit vectors, span a grid of cells. Vectors at a cosine of t are at most
-sqrt(2 - 2t) apart, and a vector is at least as far from a cell as the half-spaces that bound it in both halves: a
-vector visits every cell that this bound leaves, so no link is missed, whatever the codebooks. Cosines
+sqrt(2 - 2t) apart, and a vector is at least as far from a cell as the half-spaces that bound it in both halves. A vector
+traverses the grid by both sequences of centres, in order of these bounds: pairs come in order of the sum, the nearest cell first, until
+the sum says that no further cell can hold a link. So the target recall is 1, whatever the codebooks. Cosines
 are computed in double precision and links are those at the threshold or above, so no false link is returned.
 
 The rows of a label lie in blocks in the order of their cells; a large cell (a group of copies) takes several. A vector
@@ -61,18 +62,30 @@ class Index:
         (_, da), (b, db) = self.halves(v)
         return da.argmin(1) * len(b) + db.argmin(1)
 
-    def visits(self, v: np.ndarray, cells: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether a row can link with one that lies in the cell, for rows x cells."""
-        if v.shape[1] not in self.books:
-            return np.ones((len(v), len(cells)), bool)
+    def bounds(self, v: np.ndarray) -> list[np.ndarray]:
+        """For each half, rows x centres: the square of the least distance of a row from the half-spaces that bound the centre's cell."""
         far = []
         for c, d in self.halves(v):
             apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
             apart = np.where(apart > 1e-3, 2 * apart, np.inf)  # centres that nearly coincide bound nothing
             least = np.stack([((d[:, i, None] - d) / apart[i]).max(1) for i in range(len(c))], 1)
             far.append(np.maximum(least - 1e-6, 0) ** 2)  # less what rounding may add
-        i, j = np.divmod(cells, far[1].shape[1])
-        return far[0][:, i] + far[1][:, j] <= 2 - 2 * threshold + 1e-9
+        return far
+
+    def traversed(self, v: np.ndarray, threshold: float):
+        """For each row the cells that it visits, the nearest first: both sequences of centres in order of their bounds, and their pairs in order of the sum, up to where no link can lie (a recall of 1). None: all cells, as there is one."""
+        if v.shape[1] not in self.books:
+            yield from [None] * len(v)
+            return
+        limit = 2 - 2 * threshold + 1e-9
+        orders, sums = zip(*((o := np.argsort(f, axis=1, kind="stable"), np.take_along_axis(f, o, 1)) for f in self.bounds(v)), strict=True)
+        for a, b, x, y in zip(*orders, *sums, strict=True):
+            ends = np.searchsorted(y, limit - x, "right")  # how far the second sequence goes beside each of the first
+            ends = ends[: int(np.argmin(ends > 0)) if not ends.all() else len(ends)]
+            first = np.repeat(np.arange(len(ends)), ends)
+            second = np.arange(len(first)) - np.repeat(np.cumsum(ends) - ends, ends)
+            order = np.argsort(x[first] + y[second], kind="stable")
+            yield (a[first] * len(b) + b[second])[order]
 
 
 def _stars(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +158,14 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
         if not len(rows):
             return pd.DataFrame({"uid": [], "label": [], "dim": [], "v": [], "m": [], "block": [], "visits": []})
         cell, first, last = (np.asarray(grid[c].iloc[0]) for c in ("cell", "first", "last"))
-        every = np.arange(last[-1] + 1)
-        at, to = np.searchsorted(last, every), np.searchsorted(first, every, "right")  # the cells of each block
-        visits = []
-        part = max(16, min(SLICE, (1 << 21) // len(cell)))
-        for k in range(0, len(rows), part):
-            met = shared.value.visits(_matrix(rows["v"].iloc[k : k + part]), cell, threshold).cumsum(1, dtype=np.int32)
-            met = np.pad(met, ((0, 0), (1, 0)))
-            visits += [np.flatnonzero(r) for r in met[:, to] > met[:, at]]
+        place, visits = np.full(int(cell.max()) + 1, -1), []
+        place[cell] = np.arange(len(cell))  # of the cells that hold rows
+        for k in range(0, len(rows), SLICE):
+            for cells in shared.value.traversed(_matrix(rows["v"].iloc[k : k + SLICE]), threshold):
+                at = np.arange(len(cell)) if cells is None else place[cells[cells < len(place)]]
+                at = at[at >= 0]
+                begun = np.bincount(first[at], minlength=last[-1] + 2) - np.bincount(last[at] + 1, minlength=last[-1] + 2)
+                visits.append(np.flatnonzero(np.cumsum(begun) > 0))
         return rows[["uid", "label", "dim", "v", "m", "block"]].assign(visits=visits)
 
     keys = ["label", "dim", "block"]
