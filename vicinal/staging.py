@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders made for local sessions, by application; they go when the process ends.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where none is named, a local session gets one; a cluster must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        folder = tempfile.mkdtemp(prefix="vicinal-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = _LOCAL[spark.sparkContext.applicationId] = f"file://{folder}"
     return path.rstrip("/")
 
 
