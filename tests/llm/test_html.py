@@ -105,3 +105,46 @@ def test_frame(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extracted(df, html.train(df)).collect()}
     assert got == {1: (WANT, len(WANT)), 2: ("", 0), 3: ("", 0), 4: (WANT, len(WANT)), None: (WANT, len(WANT))}
     assert html.extracted(df.limit(0), html.train(df.limit(0))).count() == 0
+
+
+NAV = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div class=ad>Buy this now or never</div>"
+FOOT = "<footer>&copy; imprint and terms</footer>"
+ARTICLES = [
+    ("<article><h1>Cake</h1><p>Take these things to make a cake today:</p><ul><li>flour</li><li>two eggs</li></ul><p>Then stir it well and bake it for an hour.</p></article>", "Cake\nTake these things to make a cake today:\nflour\ntwo eggs\nThen stir it well and bake it for an hour."),
+    ("<article><p>First paragraph.</p><table><tr><td>one</td><td>two cells</td></tr></table><p>Second paragraph.</p></article>", "First paragraph.\none\ntwo cells\nSecond paragraph."),
+    ("<article><p>Some words before the list.</p><ul><li>a</li><li>b</li><li>c</li><li>d</li></ul></article>", "Some words before the list.\na\nb\nc\nd"),
+    ("<article><dl><dt>Term</dt><dd>what it means</dd><dt>Other</dt><dd>more</dd></dl><p>Then the paragraph goes on.</p></article>", "Term\nwhat it means\nOther\nmore\nThen the paragraph goes on."),
+    ("<article><p>Code:</p><pre>x = 1</pre><blockquote><p>a quote</p></blockquote><figure><img src=x><figcaption>cap</figcaption></figure><p>end of text</p></article>", "Code:\nx = 1\na quote\ncap\nend of text"),
+    ("<article><h2>A</h2><p>first article has words</p></article><article><h2>B</h2><p>second article has words</p></article>", "A\nfirst article has words\nB\nsecond article has words"),
+    ("<div class=post><p>The first post has some words in it.</p></div><div class=post><p>The second post has other words in it.</p></div>", "The first post has some words in it.\nThe second post has other words in it."),
+    ("<article><p>See these links for more:</p><ol><li><a href=a>first link</a></li><li><a href=b>second link</a></li></ol></article>", "See these links for more:\nfirst link\nsecond link"),
+    ("<article><p>Some words are here.</p><aside><ul><li>See this advert</li></ul></aside><ul><li>kept item</li></ul><div class=comments><ul><li>First! great</li></ul></div></article>", "Some words are here.\nkept item"),
+]
+
+
+@pytest.mark.parametrize(("part", "want"), ARTICLES)
+def test_lists_tables_and_several_articles(part, want):
+    page = f"<html><body>{NAV}{part}{FOOT}</body></html>"
+    assert html.extract(page, learned(*[PAGE] * 3)) == want
+    assert html.extract(page, learned(*[f"<html><body>{NAV}<article><p>one two three four</p><br><p>five six</p></article>{FOOT}</body></html>"] * 20)) == want
+
+
+def test_word_recall_and_precision():
+    """Over pages put together at random from such parts, with menus of lists around and in them."""
+    r = random.Random(5)
+    w = learned(*[PAGE] * 3)
+    kept = right = wanted = 0
+    for _ in range(200):
+        words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+        parts, text = [], []
+        for _ in range(r.randint(1, 8)):
+            kind, items = r.choice(["p", "ul", "ol", "table", "dl", "h2", "pre", "menu"]), [words(r.randint(1, 6)) for _ in range(r.randint(1, 5))]
+            if kind == "menu":
+                parts.append(f"<nav><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></nav>")
+                continue
+            text += items
+            parts.append({"ul": lambda: f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>", "ol": lambda: f"<ol>{''.join(f'<li>{x}</li>' for x in items)}</ol>", "dl": lambda: f"<dl>{''.join(f'<dt>{x}</dt>' for x in items)}</dl>", "table": lambda: f"<table>{''.join(f'<tr><td>{x}</td></tr>' for x in items)}</table>"}.get(kind, lambda: "".join(f"<{kind}>{x}</{kind}>" for x in items))())
+        got = html.extract(f"<html><body>{NAV}<article>{''.join(parts)}</article>{FOOT}</body></html>", w).split()
+        want = " ".join(text).split()
+        kept, right, wanted = kept + len(got), right + len(set(got) & set(want)), wanted + len(want)
+    assert right / wanted > 0.99 and right / kept > 0.99

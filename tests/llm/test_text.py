@@ -394,3 +394,23 @@ def test_language_id_does_not_look_at_other_rows():
                         h = h << 8 | x
                     want += model.weights[(h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.LOG_DIMS)]
                 assert row == pytest.approx(want / math.sqrt(len(texts[i]) + 1))
+
+
+def test_crowd_around_a_centre(spark):
+    """Many texts near the threshold around one centre, many of which share passages that the centre lacks."""
+    r = random.Random(7)
+    vocab = [f"v{i}" for i in range(4000)]
+    base, one, two = r.choices(vocab, k=130), r.choices(vocab, k=16), r.choices(vocab, k=9)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(130)] = r.choice(vocab)
+        if i % 2:
+            at = r.randrange(131)
+            w[at:at] = one
+        rows.append((i, " ".join(w + two * (i % 3 == 0))))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    want = brute(rows)
+    assert sorted(map(tuple, got.astype(int).to_numpy().tolist())) == want
+    assert 5 < len({c for *_, c in want}) < 140
