@@ -80,3 +80,26 @@ def test_saved_tables_and_raw_sequences(spark, tmp_path):
     from vicinal.operators import config
 
     assert config.updated({"a": {"rates": 1}}, {"a": {"rates": 2}}) == {"a": {"rates": 2}}
+
+
+def test_dense_counts(spark, tmp_path):
+    (tmp_path / "c").write_text('# {"leftwin": 0}\nx y count\nAC A 2\nCC C 5\n')
+    got, shape = readers.dense_counts(spark, str(tmp_path / "c"))
+    assert (shape.longwin, shape.shortwin, shape.leftwin) == (2, 1, 0)
+    want = {(a + b, c): 0.0 for a in "AC" for b in "AC" for c in "AC"} | {("AC", "A"): 2.0, ("CC", "C"): 5.0}
+    assert {(r["x"], r["y"]): r["count"] for r in got.collect()} == want
+    assert readers.dense_counts(spark, str(tmp_path / "c"), bases="ACG", skip=1, leftwin=0)[0].count() == 27
+    with pytest.raises(ValueError, match="not among those wanted: CC"):
+        readers.dense_counts(spark, str(tmp_path / "c"), longs=spark.createDataFrame([("AC",)], "pattern string"))
+    with pytest.raises(ValueError, match="not among those wanted"):
+        readers.dense_counts(spark, str(tmp_path / "c"), bases="A")
+
+
+def test_saved_model(spark, tmp_path):
+    from vicinal.operators.model import Model
+    from vicinal.operators.tmers import Shape
+    from vicinal.sources import writers
+
+    m = Model("XO", ((("X", "O"), ("O", "X")), (("XO", "OX"),)), (0.5, 0.25), Shape(4, 2, 1), selpats=((("OX", 1.0), ("XO", 1.0)), (("X", 0.5),)), selcoef=(-0.6, 0.3), fixfn="ising", gamma_shape=2.0, boundary="wrap")
+    writers.model(spark, m, str(tmp_path / "m"))
+    assert readers.model(spark, str(tmp_path / "m")) == m

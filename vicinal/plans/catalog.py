@@ -9,11 +9,14 @@ from __future__ import annotations
 import dataclasses
 import functools
 import itertools
+import uuid
 
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..functions import fixation, normal as N, patterns as P, sequences as S
 from ..operators import generator as G, intervals as I, linalg as A, model as M, ranks as K, residuals as R, results as X, series as E, simulate as Z, tmers as C, trees as Y
+from ..sources import readers, writers
+from ..staging import shared_dir
 from .formats import FORMATS
 from .views import EVENT_SEQ, PAIR, SEQ, SHAPE, SPIN, SPIN_PAIR, counts_sql, event_kmers, pair_counts, pair_docs, seq_docs, seq_events, spin_lines, spin_pairs, spread, table, trio_docs, windows_sql, written_counts
 
@@ -736,6 +739,13 @@ def _(spark, d):
     return rounded(M.predicted(pair_counts(spark, d), model()), "count", digits=4)
 
 
+@query("predicted_by_saved_model", f"WITH RECURSIVE {PREDICTED} SELECT long, short, round(count, 4) AS count FROM predicted")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/vicinal/model-{uuid.uuid4().hex}"
+    writers.model(spark, model(), path)
+    return rounded(M.predicted(pair_counts(spark, d), readers.model(spark, path)), "count", digits=4)
+
+
 @query("model_residuals", f"""WITH RECURSIVE {PREDICTED}, r AS (SELECT long AS inpat, short AS outpat, coalesce(c.count, 0)::double AS observed, coalesce(p.count, 0) AS expected FROM predicted p FULL JOIN counts c USING (long, short))
 SELECT inpat, outpat, observed, round(expected, 4) AS expected, round(observed - expected, 4) + 0.0::double AS resid, CASE WHEN expected > 0 THEN round((observed - expected) / sqrt(4 * expected), 2) + 0.0::double END AS z FROM r""")
 def _(spark, d):

@@ -100,6 +100,29 @@ def _alignment(spark, d, parts: int) -> str:
     return path
 
 
+@query("dense_counts_file", f"""WITH {counts_sql()}, l(c) AS (VALUES ('A'), ('C'), ('G'), ('T')), longs AS (SELECT a.c || b.c || e.c || f.c AS long FROM l a, l b, l e, l f), shorts AS (SELECT a.c || b.c AS short FROM l a, l b)
+SELECT long, short, coalesce(count, 0)::double AS count FROM longs CROSS JOIN shorts LEFT JOIN counts USING (long, short)""")
+def _(spark, d):
+    path = _path(spark, "counts")
+    writers.counts(pair_counts(spark, d), path, C.Shape(4, 2, 1))
+    return readers.dense_counts(spark, path, skip=1, leftwin=1, bases="ACGT")[0]
+
+
+@query("result_documents", "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer")
+def _(spark, d):
+    segment = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")  # what is null is not in the document
+    rows = table(spark, d, "customer").select(F.to_json(F.struct("c_custkey", "c_nationkey", segment)).alias("value")).repartition(8)
+
+    def documents(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(x for b in batches for x in b.column(0).to_pylist()) + "]"])], ["value"])
+
+    path = _path(spark, "documents")
+    rows.mapInArrow(documents, "value string").write.text(path)
+    return readers.json_results(spark, path).select("c_custkey", "c_nationkey", "segment")
+
+
 @query("alignment_lines", f"WITH {PIECES} SELECT * FROM pieces")
 def _(spark, d):
     return readers.multiple_alignment(spark, _alignment(spark, d, 1))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.patterns import MOST_PATTERNS, patterns
+from ..operators.model import Model
 from ..operators.tmers import Shape, occurrences
 from . import scan
 
@@ -46,12 +49,13 @@ def counts_header(spark: SparkSession, path: str) -> dict | None:
     return json.loads(first[0][0][1:]) if first and first[0][0].startswith("#") else None
 
 
-def counts(spark: SparkSession, path: str, leftwin: int | None = None, sum_duplicates: bool = False) -> tuple[DataFrame, Shape]:
-    """A table of long patterns, short patterns and counts, and its shape (from the patterns; the header says leftwin only)."""
+def counts(spark: SparkSession, path: str, leftwin: int | None = None, sum_duplicates: bool = False, skip: int = 0) -> tuple[DataFrame, Shape]:
+    """A table of long patterns, short patterns and counts, and its shape (from the patterns; the header says leftwin only). skip: lines at the top of each file that are left out, blank ones not counted."""
     leftwin = leftwin if leftwin is not None else (counts_header(spark, path) or {}).get("leftwin")
     if leftwin is None:
         raise ValueError("leftwin is neither given nor in the header")
-    d = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    lines = scan.numbered(spark, path).filter(F.col("no") >= skip).select(F.col("line").alias("value")) if skip else spark.read.text(path)
+    d = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("f"))
     names = [x.strip('"') for x in d.first()["f"]]
     d = d.filter(F.col("f") != F.array(*map(F.lit, names))).select(*(F.regexp_replace(F.col("f")[i], '"', "").alias(n) for i, n in enumerate(names[:-1])), F.col("f")[len(names) - 1].cast("double").alias("count"))
     repeated = d.groupBy(*names[:-1]).agg(F.sum("count").alias("count"), F.count("*").alias("n"))
@@ -61,6 +65,36 @@ def counts(spark: SparkSession, path: str, leftwin: int | None = None, sum_dupli
     return (repeated.drop("n") if sum_duplicates else d), Shape(row["a"], row["b"], leftwin)
 
 
+def dense_counts(spark: SparkSession, path: str, leftwin: int | None = None, bases: str | None = None, longs: DataFrame | None = None, shorts: DataFrame | None = None, skip: int = 0, sum_duplicates: bool = False) -> tuple[DataFrame, Shape]:
+    """Counts with a row for every long pattern and every combination of short ones (0 where the file has none), and the shape.
+
+    bases: by default the letters of the long patterns. longs, shorts (pattern): by default all patterns of these letters. A
+    pattern of the file that is not among them is an error, and so are more cells than an enumeration may have.
+    """
+    d, shape = counts(spark, path, leftwin, sum_duplicates, skip)
+    names = d.columns[:-1]
+    if bases is None:
+        letters = d.select(F.explode(F.split(names[0], "")).alias("c")).filter("c <> ''").distinct()
+        bases = "".join(sorted(r["c"] for r in letters.collect()))  # an alphabet
+    wanted = [longs if longs is not None else patterns(spark, shape.longwin, bases), *[shorts if shorts is not None else patterns(spark, shape.shortwin, bases)] * (len(names) - 1)]
+    wanted = [w.select(F.col("pattern").alias(n)) for w, n in zip(wanted, names, strict=True)]
+    if math.prod(w.count() for w in wanted) > MOST_PATTERNS:
+        raise ValueError("too many cells: use the patterns that occur instead")
+    for name, w in zip(names, wanted, strict=True):
+        odd = unknown_patterns(d, w.withColumnRenamed(name, "pattern"), name).first()
+        if odd:
+            raise ValueError(f"a pattern that is not among those wanted: {odd[0]}")
+    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), wanted)  # MOST_PATTERNS rows at most
+    return grid.join(d, names, "left").select(*names, F.coalesce("count", F.lit(0.0)).alias("count")), shape
+
+
+def model(spark: SparkSession, path: str) -> Model:
+    """A model that writers.model has written."""
+    fields = json.loads("".join(r["value"] for r in spark.read.text(path).collect()))  # one small document
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+    return Model(**{k: Shape(**v) if k == "shape" else tuples(v) for k, v in fields.items()})
+
+
 def unknown_patterns(counts: DataFrame, patterns: DataFrame, column: str) -> DataFrame:
     return counts.join(patterns.select(F.col("pattern").alias(column)), column, "left_anti").select(column).distinct()
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.model import Model
 from ..operators.tmers import Shape
 
 
@@ -48,6 +50,11 @@ def by_pattern(df: DataFrame, path: str) -> None:
     df.write.partitionBy("pattern").option("compression", "gzip").csv(path)
 
 
+def model(spark: SparkSession, m: Model, path: str) -> None:
+    """A model with its rates as a small JSON document."""
+    spark.createDataFrame([(json.dumps(dataclasses.asdict(m)),)], "value string").coalesce(1).write.text(path)
+
+
 def config(values: dict, path: str) -> None:
     with open(path, "w") as f:
         json.dump(values, f, indent=1)
