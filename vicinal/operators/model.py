@@ -259,23 +259,28 @@ def sample(counts: DataFrame, model: Model, steps: int, chains: int, prior_mean:
     return runs.groupBy("chain").applyInPandas(chain, "chain long, step long, name string, value double, accepted boolean")
 
 
-def surface(counts: DataFrame, model: Model, a: int, b: int, grid: int = 5, spread: float = 0.5) -> DataFrame:
-    """x, y, loglik on a grid of two rates around the model's, points dealt out to tasks."""
+def surfaces(counts: DataFrame, model: Model, pairs: list[tuple[int, int]] | None = None, grid: int = 5, spread: float = 0.5) -> DataFrame:
+    """a, b, x, y, loglik on a grid around the model's rates for each pair (a, b) of them (by default all pairs), points dealt out to tasks."""
     value, x0 = likelihood(counts, model), np.array(model.rates)
-    spark = counts.sparkSession
-    step = lambda c: (1 - spread) + F.col(c) * (2 * spread / (grid - 1))
-    points = spark.range(grid * grid).select((F.col("id") % grid).alias("i"), F.floor(F.col("id") / grid).alias("j")).select((step("i") * float(x0[a])).alias("x"), (step("j") * float(x0[b])).alias("y"))
+    spark, pairs = counts.sparkSession, pairs or list(itertools.combinations(range(len(model.rates)), 2))
+    points = [(a, b, float(x0[a] * x), float(x0[b] * y)) for a, b in pairs for x in np.linspace(1 - spread, 1 + spread, grid) for y in np.linspace(1 - spread, 1 + spread, grid)]
 
     def run(batches):
         for p in batches:
             out = []
-            for x, y in zip(p["x"], p["y"], strict=True):
+            for a, b, x, y in zip(p["a"], p["b"], p["x"], p["y"], strict=True):
                 r = x0.copy()
                 r[a], r[b] = x, y
                 out.append(value(r))
             yield p.assign(loglik=out)
 
-    return points.repartition(min(grid * grid, spark.sparkContext.defaultParallelism)).mapInPandas(run, "x double, y double, loglik double")
+    d = spark.createDataFrame(points, "a int, b int, x double, y double")  # grid ** 2 points a pair
+    return d.repartition(min(len(points), spark.sparkContext.defaultParallelism)).mapInPandas(run, "a int, b int, x double, y double, loglik double")
+
+
+def surface(counts: DataFrame, model: Model, a: int, b: int, grid: int = 5, spread: float = 0.5) -> DataFrame:
+    """x, y, loglik on a grid of two rates around the model's."""
+    return surfaces(counts, model, [(a, b)], grid, spread).select("x", "y", "loglik")
 
 
 def candidates(counts: DataFrame, model: Model, rules: list, steps: int = 12) -> DataFrame:

@@ -877,6 +877,24 @@ def _(spark, d):
     return rounded(rounded(M.surface(pair_counts(spark, d, shape), model(shape), 0, 1), "x", "y", digits=9), "loglik", digits=2)
 
 
+RATE_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+PAIR_POINTS = f"""pairs(a, b) AS (VALUES {", ".join(map(str, RATE_PAIRS))}), base(r, rate) AS (VALUES {", ".join(f"({k}, {x}::double)" for k, x in enumerate(RATES))}),
+points AS (SELECT row_number() OVER (ORDER BY a, b, i, j) AS id, a, b, p.rate * (0.5 + 0.5 * i) AS x, q.rate * (0.5 + 0.5 * j) AS y FROM pairs JOIN base p ON p.r = a JOIN base q ON q.r = b, range(3) s(i), range(3) t(j))"""
+
+
+@query("likelihood_surfaces", f"""WITH RECURSIVE {pattern_sql(3, "ACGT")}, {PAIR_POINTS}, ways(f, t, r) AS (VALUES ('A', 'C', 0), ('C', 'T', 1), ('G', 'A', 2), ('T', 'G', 2), ('CG', 'TG', 3)),
+gw AS (SELECT p, f, t, r, unnest(range(1, 5 - length(f))) AS k FROM pats, ways), ge AS (SELECT p AS i, substr(p, 1, k - 1) || t || substr(p, k + length(f)) AS j, r FROM gw WHERE substr(p, k, length(f)) = f),
+g AS (SELECT id, i, j, sum(CASE ge.r WHEN a THEN x WHEN b THEN y ELSE rate END)::double AS x FROM ge JOIN base USING (r), points GROUP BY ALL), o AS (SELECT id, i, sum(x) AS o FROM g GROUP BY ALL), top AS (SELECT id, max(o) AS r FROM o GROUP BY ALL),
+pg AS (SELECT id, i, j, x / r AS x FROM g JOIN top USING (id) UNION ALL SELECT top.id, p, p, 1 - coalesce(o, 0) / r FROM pats CROSS JOIN top LEFT JOIN o ON o.i = p AND o.id = top.id),
+v(k, id, i, s, x) AS (SELECT 0, id, p, substr(p, 2, 1), 1.0::double FROM pats, points UNION ALL SELECT k + 1, v.id, pg.i, s, sum(pg.x * v.x) FROM v JOIN pg ON v.i = pg.j AND v.id = pg.id WHERE k < 40 GROUP BY ALL),
+tr AS (SELECT id, i AS long, s AS short, sum(x * exp(k * ln(r) - r - lgamma(k + 1))) AS p FROM v JOIN top USING (id) GROUP BY ALL), {counts_sql(C.Shape(3, 1, 1))},
+ll AS (SELECT id, round(sum(count * ln(p)), 2) AS loglik FROM tr JOIN counts USING (long, short) GROUP BY ALL)
+SELECT a::int AS a, b::int AS b, round(x::double, 9) AS x, round(y::double, 9) AS y, loglik FROM points JOIN ll USING (id)""")
+def _(spark, d):
+    shape = C.Shape(3, 1, 1)
+    return rounded(rounded(M.surfaces(pair_counts(spark, d, shape), model(shape), grid=3), "x", "y", digits=9), "loglik", digits=2)
+
+
 #: The rates tried for each rule that is added alone: 12 from 0.0001 to 0.5, each by the same factor greater.
 TRIED = "(SELECT 0.0001::double * pow(5000.0::double, e / 11.0::double) FROM range(12) z(e))"
 
