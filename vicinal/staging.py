@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
@@ -70,3 +71,9 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs whose frames are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
