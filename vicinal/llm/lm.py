@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..staging import fixed_splits
+from ..staging import fixed_splits, forget
 from .blocks import cut
 from .common import discard, give_back, remainder, returned, staged, text_bytes
 from .shingles import mix, pack, pieces, unpack, words
