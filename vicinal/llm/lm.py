@@ -270,7 +270,9 @@ def score(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 1
     with fixed_splits(docs.sparkSession):
         sums = counts(docs, max(1, -(-size // PART_BYTES)))
+        forget(docs.sparkSession)  # what blocks sent
         tokens = counted(docs, sums)
+    forget(docs.sparkSession)
 
     def of_part(batches):
         import pandas as pd
