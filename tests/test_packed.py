@@ -58,3 +58,19 @@ def test_counter_sends_what_it_holds(monkeypatch):
     for b in c.batches():
         got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
     assert got == want
+
+
+def test_rows_to_python_are_short(spark, monkeypatch):
+    df = spark.createDataFrame([("ACGT" * 40_000, "AC" * 80_000), ("ACG", "ACGT"), ("ACGTé" * 3000, "ACGTA" * 3000)], "a string, b string")
+    d = packed.segments(df, ["a", "b"], 4)
+    assert d.selectExpr("max(length(_c0))", "max(length(_c1))", "sum(_n)").first() == (4099, 4099, 160_000 - 3 + 15_000 - 3)  # 10,000 of these are a batch
+    monkeypatch.setattr(packed, "SEGMENT", 1 << 14)
+    monkeypatch.setattr(packed, "CUTS", (100, 7))
+    got = C.tmer_counts(df, C.Shape(4, 2, 1), "a", "b", shift=3)
+    assert sorted(map(tuple, got.collect())) == brute([tuple(r) for r in df.collect()], C.Shape(4, 2, 1), "ACGT", ["a", "b"], 3)
+
+
+def test_rows_worked_on_at_once():
+    sizes = np.array([5, 5, 1, 30, 2, 2, 9])
+    assert list(packed.runs(sizes, 10)) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(packed.runs(sizes[:0], 10)) == []

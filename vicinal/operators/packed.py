@@ -1,7 +1,7 @@
 """T-mers as whole numbers: patterns of a small alphabet packed into a few bits a symbol.
 
-A task turns the aligned sequences of its rows into symbol codes, rolls them into packed patterns by shift and mask over
-stretches of STRETCH positions, and counts the packed keys; Spark adds up the counts by key, a long, and only keys that
+Rows are cut to pieces of bounded length, so that a batch of rows is bounded too. A task takes rows of about STRETCH symbols
+at a time, turns them into symbol codes, rolls these into packed patterns by shift and mask, and counts the packed keys; Spark adds up the counts by key, a long, and only keys that
 occur are turned back into strings. A key holds, from its low end, the short patterns, the long one, the frame and the number of the way.
 """
 
@@ -12,8 +12,10 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Positions worked on at once; symbols of a row that go to one task; keys that a task holds before it sends them; bits of the keys that are counted in a table.
-STRETCH, SEGMENT, MOST_KEYS, TABLE_BITS = 1 << 19, 1 << 20, 1 << 20, 20
+#: Symbols of a column worked on at once; keys that a task holds before it sends them; bits of the keys that are counted in a table.
+STRETCH, MOST_KEYS, TABLE_BITS = 1 << 18, 1 << 20, 20
+#: Starts of windows in a row that goes to one task, and in the rows that these are cut to step by step: substring() reads a row from its start. Rows go to Python in batches of up to 10,000.
+SEGMENT, CUTS = 1 << 20, (1 << 16, 1 << 12)
 
 
 def bits(alphabet: str) -> int:
@@ -96,15 +98,33 @@ class Counter:
 
 
 def segments(df: DataFrame, columns: list[str], span: int, spread: int | None = None) -> DataFrame:
-    """The columns cut to bounded stretches that overlap by span - 1 symbols, with _first, the number of symbols before, and _n, the starts of windows in a stretch."""
+    """The columns cut to bounded stretches that overlap by span - 1 symbols, as _c0, ..., with _first, the number of symbols before, and _n, the starts of windows in a stretch."""
     n = F.least(*map(F.length, columns)) if len(columns) > 1 else F.length(columns[0])
-    starts = n - (span - 1)
-    d = df.dropna(subset=columns).filter(starts > 0).select(*columns, starts.alias("_starts"), F.explode(F.sequence(F.lit(0), F.floor((starts - 1) / SEGMENT).cast("int"))).alias("_k"))
-    at = F.col("_k") * SEGMENT
-    count = F.least(F.lit(SEGMENT), F.col("_starts") - at)
-    cut = [F.substring(F.col(c), at + 1, count + (span - 1)).alias(f"_c{i}") for i, c in enumerate(columns)]
-    d = d.select(*cut, at.cast("long").alias("_first"), count.alias("_n"))
-    return d.repartition(spread) if spread else d
+    names = [f"_c{i}" for i in range(len(columns))]
+    d = df.dropna(subset=columns).select(*(F.col(c).alias(i) for c, i in zip(columns, names, strict=True)), F.lit(0).cast("long").alias("_first"), (n - (span - 1)).alias("_n")).filter("_n > 0")
+
+    def cut(d, size):
+        def piece(k):
+            at = k * size
+            count = F.least(F.lit(size), F.col("_n") - at)
+            return F.struct(*(F.substring(F.col(c), at + 1, count + (span - 1)).alias(c) for c in names), (F.col("_first") + at).alias("_first"), count.alias("_n"))
+
+        return d.select(F.inline(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / size).cast("int")), piece)))
+
+    d = cut(d, SEGMENT)
+    d = d.repartition(spread) if spread else d
+    for size in CUTS:
+        d = cut(d, size)
+    return d
+
+
+def runs(sizes: np.ndarray, most: int):
+    """Ranges of rows that hold at most so many symbols, or one longer row."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, last
+        first = last
 
 
 def counted(df: DataFrame, ways: list[tuple[str, list[str]]], longwin: int, shortwin: int, leftwin: int, alphabet: str, shift: int = 0, spread: int | None = None) -> DataFrame:
@@ -118,31 +138,31 @@ def counted(df: DataFrame, ways: list[tuple[str, list[str]]], longwin: int, shor
     table = np.full(256, 255, np.uint8)
     table[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
 
+    def add(c, rows):
+        first, n = (rows.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("_first", "_n"))
+        codes = [letters(rows.column(f"_c{i}"), table) for i in range(len(columns))]
+        size = n + longwin - 1  # symbols of a row that windows meet
+        flat = np.r_[0, np.cumsum(size)]
+        begin = np.repeat(np.arange(len(n)), size)
+        place = np.arange(flat[-1]) - flat[begin]
+        m = len(place) - longwin + 1
+        lined = [x[start[begin] + place] for x, start in codes]
+        whole = (place < n[begin])[:m]  # windows that end in their row
+        frame = ((-(first[begin] + place + 1)) % frames)[:m]
+        for k, (long, shorts) in enumerate(sides):
+            key, good = windows(lined[long], longwin, m, b)
+            for s in shorts:
+                part, fine = windows(lined[s], shortwin, m, b, leftwin)
+                key, good = key << shortwin * b | part, good & fine
+            c.add((key + ((frame + frames * k) << width))[good & whole])
+
     def run(batches):
         c = Counter(total)
         for batch in batches:
-            first, n = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("_first", "_n"))
-            codes = [letters(batch.column(f"_c{i}"), table) for i in range(len(columns))]
-            size = n + longwin - 1  # symbols of a row that windows meet
-            flat = np.r_[0, np.cumsum(size)]
-            begin = np.repeat(np.arange(len(n)), size)
-            place = np.arange(flat[-1]) - flat[begin]
-            lined = [x[start[begin] + place] for x, start in codes]
-            whole = place < n[begin]  # windows that end in their row
-            frame = (-(first[begin] + place + 1)) % frames
-            for lo in range(0, len(place), STRETCH):
-                hi = min(len(place), lo + STRETCH)
-                m = min(hi, len(place) - longwin + 1) - lo
-                if m <= 0:
-                    break
-                for k, (long, shorts) in enumerate(sides):
-                    key, good = windows(lined[long][lo:], longwin, m, b)
-                    for s in shorts:
-                        part, fine = windows(lined[s][lo:], shortwin, m, b, leftwin)
-                        key, good = key << shortwin * b | part, good & fine
-                    c.add((key + ((frame[lo : lo + m] + frames * k) << width))[good & whole[lo : lo + m]])
-            if c.full():
-                yield from c.batches()
+            for lo, hi in runs(batch.column("_n").to_numpy(zero_copy_only=False) + (longwin - 1), STRETCH):
+                add(c, batch.slice(lo, hi - lo))
+                if c.full():
+                    yield from c.batches()
         yield from c.batches()
 
     d = segments(df, columns, longwin, spread)
