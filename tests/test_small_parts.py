@@ -103,3 +103,25 @@ def test_saved_model(spark, tmp_path):
     m = Model("XO", ((("X", "O"), ("O", "X")), (("XO", "OX"),)), (0.5, 0.25), Shape(4, 2, 1), selpats=((("OX", 1.0), ("XO", 1.0)), (("X", 0.5),)), selcoef=(-0.6, 0.3), fixfn="ising", gamma_shape=2.0, boundary="wrap")
     writers.model(spark, m, str(tmp_path / "m"))
     assert readers.model(spark, str(tmp_path / "m")) == m
+
+
+def test_a_staged_job_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vicinal.staging import discard, staged
+
+    files = lambda: set(glob.glob(f"{spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())}/../blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    out = staged(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key, None) == old
+    assert out.count() == 7
+    discard(out)

@@ -143,11 +143,12 @@ def token_bits(docs: DataFrame, k: int, tokens: int) -> tuple[Bits, Bits]:
         return pa.table([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "at", "words"])
 
     sent = docs.mapInArrow(run, "part long, tokens binary, n binary")
-    found = sent.groupBy("part").applyInArrow(add, "kind int, at binary, words binary").collect()  # 2**MOST_BITS bits of each kind and their places at most
+    found = staged(sent.groupBy("part").applyInArrow(add, "kind int, at binary, words binary"), "join-bits")
     out = [np.zeros(1 << (bits - 6), np.uint64) for _ in range(2)]
-    for r in found:
+    for r in found.collect():  # 2**MOST_BITS bits of each kind and their places at most
         at = np.frombuffer(r["at"], np.uint64).astype(np.int64)
         out[r["kind"]][at] |= np.frombuffer(r["words"], np.uint64)  # parts may share a word at their border
+    discard(found)
     return Bits(out[0], bits), Bits(out[1], bits)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import re
 import shutil
 import tempfile
@@ -56,10 +55,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1024):
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to a new Parquet folder in the shared directory and reads it back: a cut of the lineage that survives lost executors."""
+    """Writes df to a new Parquet folder in the shared directory and reads it back: a cut of the lineage that survives lost executors.
+
+    The shuffle files of the job go with its end; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{tag}-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
+    with bounded_batches(spark), settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -71,9 +73,3 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs whose frames are gone; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
