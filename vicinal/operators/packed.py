@@ -44,6 +44,19 @@ def letters(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[data[lead]], np.r_[0, np.cumsum(lead)][at]
 
 
+def characters(column) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the characters of an Arrow string column without nulls, and where each row starts."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at - at[0]
+    if not len(data) or data.max() < 128:
+        return data, at
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), np.r_[0, np.cumsum((data & 0xC0) != 0x80)][at]
+
+
 def windows(codes: np.ndarray, width: int, n: int, shift: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The n packed patterns of `width` symbols from `start` on, and whether each has letters of the alphabet only (codes below 255)."""
     out, good = np.zeros(n, np.int64), np.ones(n, bool)
@@ -97,11 +110,11 @@ class Counter:
             yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 16)], pa.int64()), pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["key", "n"])
 
 
-def segments(df: DataFrame, columns: list[str], span: int, spread: int | None = None) -> DataFrame:
-    """The columns cut to bounded stretches that overlap by span - 1 symbols, as _c0, ..., with _first, the number of symbols before, and _n, the starts of windows in a stretch."""
+def segments(df: DataFrame, columns: list[str], span: int, spread: int | None = None, keep: list[str] = ()) -> DataFrame:
+    """keep, and the columns cut to bounded stretches that overlap by span - 1 symbols, as _c0, ..., with _first, the number of symbols before, and _n, the starts of windows in a stretch."""
     n = F.least(*map(F.length, columns)) if len(columns) > 1 else F.length(columns[0])
     names = [f"_c{i}" for i in range(len(columns))]
-    d = df.dropna(subset=columns).select(*(F.col(c).alias(i) for c, i in zip(columns, names, strict=True)), F.lit(0).cast("long").alias("_first"), (n - (span - 1)).alias("_n")).filter("_n > 0")
+    d = df.dropna(subset=columns).select(*keep, *(F.col(c).alias(i) for c, i in zip(columns, names, strict=True)), F.lit(0).cast("long").alias("_first"), (n - (span - 1)).alias("_n")).filter("_n > 0")
 
     def cut(d, size):
         def piece(k):
@@ -109,7 +122,7 @@ def segments(df: DataFrame, columns: list[str], span: int, spread: int | None =
             count = F.least(F.lit(size), F.col("_n") - at)
             return F.struct(*(F.substring(F.col(c), at + 1, count + (span - 1)).alias(c) for c in names), (F.col("_first") + at).alias("_first"), count.alias("_n"))
 
-        return d.select(F.inline(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / size).cast("int")), piece)))
+        return d.select(*keep, F.inline(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / size).cast("int")), piece)))
 
     d = cut(d, SEGMENT)
     d = d.repartition(spread) if spread else d

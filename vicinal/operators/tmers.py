@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.sequences import outside
@@ -125,11 +126,34 @@ def with_zeros(counts: DataFrame, patterns: DataFrame, key: str = "pattern") ->
 
 
 def occurrences(df: DataFrame, seq: str, patterns: list[str], keep: list[str]) -> DataFrame:
-    """Overlapping occurrences of patterns: keep, pattern, pos."""
+    """Overlapping occurrences of patterns: keep, pattern, pos. Pieces of the sequences are compared with a pattern as arrays of characters."""
     k = max(map(len, patterns))
-    d = windows(df.withColumn("_s", F.rpad(F.col(seq), F.length(seq) + k - 1, " ")), {"w": ("_s", 0, k)}, k, keep)
-    hit = F.filter(F.array(*map(F.lit, patterns)), lambda p: F.startswith(F.col("w"), p))
-    return d.select(*keep, F.explode(hit).alias("pattern"), "pos")
+    d = packed.segments(df.withColumn("_s", F.rpad(F.col(seq), F.length(seq) + k - 1, " ")), ["_s"], k, keep=list(keep))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + ["pattern string", "pos int"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in packed.runs(batch.column("_n").to_numpy(zero_copy_only=False) + (k - 1), packed.STRETCH):
+                rows = batch.slice(lo, hi - lo)
+                first, n = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("_first", "_n"))
+                codes, at = packed.characters(rows.column("_c0"))
+                for p in patterns:
+                    m = len(codes) - len(p) + 1
+                    if m <= 0:
+                        continue
+                    same = np.ones(m, bool)
+                    for j, c in enumerate(p):
+                        same &= codes[j : j + m] == ord(c)
+                    hit = np.flatnonzero(same)
+                    row = np.searchsorted(at, hit, "right") - 1
+                    own = hit - at[row] < n[row]  # the symbols after these begin the next piece
+                    hit, row = hit[own], row[own]
+                    pos = first[row] + (hit - at[row]) + 1
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(row)) for c in keep), pa.array([p] * len(row), pa.string()), pa.array(pos, pa.int32())], [*keep, "pattern", "pos"])
+
+    return d.mapInArrow(run, ", ".join(fields))
 
 
 def sum_counts(tables: list[DataFrame]) -> DataFrame:

@@ -15,7 +15,7 @@ RANGE, ROW = 32 << 20, 1 << 16
 
 
 class Ranges(DataSource):
-    """Rows (file, path, start, own, tail) of byte ranges: the bytes of a range and the `overlap` symbols that follow them.
+    """Rows (file, path, range, lead, start, own, tail) of byte ranges: parts of the bytes of a range, lead symbols of which come before, and the `overlap` symbols that follow them.
 
     Options: path (a file, a folder or a pattern of names), overlap, range, row, breaks (whether line breaks are symbols), joined (whether files, in order of
     name, are one stream). Compressed files are read from their start, in rows, by one task each, and end by themselves.
@@ -26,7 +26,7 @@ class Ranges(DataSource):
         return "vicinal-ranges"
 
     def schema(self) -> str:
-        return "file int, path string, start long, own binary, tail binary"
+        return "file int, path string, range long, lead long, start long, own binary, tail binary"
 
     def reader(self, schema) -> DataSourceReader:
         return RangeReader(dict(self.options))
@@ -100,9 +100,10 @@ class RangeReader(DataSourceReader):
         import pyarrow as pa
 
         system, _ = found(self.path)
-        k, start, end = partition.value
+        (k, start, end), lead = partition.value, 0
         for at, own, tail in self.pieces(system, k, start, end):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([self.files[k][0]]), pa.array([at], pa.int64()), pa.array([own], pa.binary()), pa.array([tail], pa.binary())], ["file", "path", "start", "own", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([self.files[k][0]]), *(pa.array([x], pa.int64()) for x in (start, lead, at)), pa.array([own], pa.binary()), pa.array([tail], pa.binary())], ["file", "path", "range", "lead", "start", "own", "tail"])
+            lead += len(own)
 
 
 def packed(path: str) -> bool:
@@ -113,27 +114,24 @@ def stretches(spark: SparkSession, path: str, k: int = 1, breaks: bool = True, j
     """Written (path, before, n, seq): the symbols of raw files, a byte each, in bounded rows.
 
     A row has n symbols of its own, of which the first is symbol before + 1 of its stream, and up to k - 1 that follow, so
-    its windows of k symbols that begin in the first n are the file's. before comes from sums of n over the rows of a file.
+    its windows of k symbols that begin in the first n are the file's. before comes from sums of n over the ranges before,
+    a row each, which the driver has planned one by one.
     """
     spark.dataSource.register(Ranges)
     options = {"path": path, "overlap": k - 1, "range": range_, "row": row, "breaks": str(breaks).lower(), "joined": str(joined).lower()}
     d = staged(spark.read.format("vicinal-ranges").options(**options).load(), "ranges")
     text = lambda c: F.decode(F.col(c), "ISO-8859-1")
     own = F.length("own").cast("long")
-    counts = d.select("file", "start", own.alias("n"))
-    within = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select("file", "start", within.alias("within"))
-    files = counts.groupBy("file").agg(F.sum("n").alias("n"))
-    earlier = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) if joined else F.lit(0)
-    files = files.select("file", earlier.alias("earlier"))
-    d = d.join(before, ["file", "start"]).join(files, "file")
-    return d.select("path", (F.col("within") + F.col("earlier")).cast("long").alias("before"), own.alias("n"), F.concat(text("own"), text("tail")).alias("seq"))
+    stream = W.partitionBy(F.lit(0) if joined else F.col("file")).orderBy("file", "range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = d.groupBy("file", "range").agg(F.sum(own).alias("n")).select("file", "range", F.coalesce(F.sum("n").over(stream), F.lit(0)).alias("earlier"))
+    d = d.join(F.broadcast(ranges), ["file", "range"])
+    return d.select("path", (F.col("lead") + F.col("earlier")).cast("long").alias("before"), own.alias("n"), F.concat(text("own"), text("tail")).alias("seq"))
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """file, no, line: the lines of text files that are not blank, numbered from 0 in each file.
 
-    A split numbers its own lines; the sums of the splits before it tell where it begins. Lines are written with their split, so that both come from one
+    A split numbers its own lines; the sums of the splits before it, a row each, tell where it begins. Lines are written with their split, so that both come from one
     reading of the file.
     """
     line = F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line")
@@ -142,4 +140,4 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     parts = d.groupBy("file", "block").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("file", "block", (before - F.col("least")).alias("shift"))
-    return d.join(parts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("no"), "line")
+    return d.join(F.broadcast(parts), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("no"), "line")
