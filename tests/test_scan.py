@@ -76,3 +76,22 @@ def test_both_layouts(spark, tmp_path, small_splits):
     for name in ("seq.phy", "int.phy"):
         assert {r["taxon"]: r["seq"] for r in readers.multiple_alignment(spark, str(tmp_path / name)).collect()} == taxa
     assert readers.multiple_alignment(spark, str(tmp_path), ["tax3"]).count() == 2
+
+
+def test_large_files_are_not_shuffled(spark, tmp_path):
+    """Places in a file come from a row a range, so the symbols stay where they are read."""
+    from vicinal.staging import settings
+
+    (tmp_path / "g").write_text("ACGT" * 500)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = scan.stretches(spark, str(tmp_path / "g"), 3, row=64, range_=256)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_more_taxa_are_more_files(spark, monkeypatch):
+    from vicinal.plans import formats
+
+    monkeypatch.setattr(formats, "TAXA", 40)
+    path = formats._alignment(spark, "/root/testdata/sf0.001", 1)
+    lines = spark.read.text(path).selectExpr("_metadata.file_path AS f", "value").filter("trim(value) <> ''").groupBy("f").count()
+    assert lines.count() > 16 and lines.agg({"count": "max"}).first()[0] < 120

@@ -69,18 +69,19 @@ def _(spark, d):
     return got
 
 
-#: Whole texts in lines of 40 sites, the last one filled up.
-SITES = 40
+#: Whole texts in lines of 40 sites, the last one filled up; taxa of an alignment, about: the task that writes one has its lines at hand.
+SITES, TAXA = 40, 100_000
 PIECES = f"""{SEQ}, s AS (SELECT doc_id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM seq_docs),
 pieces AS (SELECT 't' || doc_id || '_' || k AS taxon, rpad(substr(seq, (k * {SITES} + 1)::int, {SITES}), {SITES}, '-') AS seq FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + {SITES - 1}) // {SITES})) AS k FROM s))"""
 
 
 def _alignment(spark, d, parts: int) -> str:
-    """Alignments of all texts' lines, each in `parts` blocks, under a head line in every file."""
+    """Alignments of all texts' lines, each in `parts` blocks, under a head line in every file: more texts are more files."""
     s = seq_docs(spark, d).select("doc_id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq")).filter("seq <> ''")
-    s = s.select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / SITES).cast("int"))).alias("k"))
-    line = F.rpad(F.substring("seq", F.col("k") * SITES + 1, F.lit(SITES)), SITES, "-")
-    s = s.select(F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("taxon"), line.alias("seq")).repartition(16, "taxon")
+    files = max(16, -(-(s.agg(F.sum(F.ceil(F.length("seq") / SITES))).first()[0] or 0) // TAXA))
+    s = s.select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{SITES}}}"), F.lit(0))).alias("k", "line"))
+    line = F.rpad("line", SITES, "-")
+    s = s.select(F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("taxon"), line.alias("seq")).repartition(files, "taxon")
     width = SITES // parts
 
     def lines(batches):
@@ -143,7 +144,7 @@ SELECT pattern, (before + k)::bigint AS pos FROM i, p WHERE substr(long, k, leng
 def _(spark, d):
     s = seq_docs(spark, d).select("doc_id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq")).filter("seq <> ''")
     path = _path(spark, "genome")
-    s.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("seq").write.text(path)
+    s.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("seq").write.text(path)
     return readers.raw_occurrences(spark, path, list(GENOME), breaks=False, joined=True, range_=1 << 20).select("pattern", "pos")
 
 

@@ -108,19 +108,21 @@ def multiple_alignment(spark: SparkSession, path: str, taxa: list[str] | None =
     lines = scan.numbered(spark, path)
     head = F.regexp_extract("line", r"^\s*(\d+)\s+(\d+)\s*$", 1), F.regexp_extract("line", r"^\s*(\d+)\s+(\d+)\s*$", 2)
     said = lines.filter(F.col("no") == 0).select("file", *(h.try_cast("long").alias(c) for h, c in zip(head, ("taxa", "sites"), strict=True)))
-    d = lines.join(said, "file").filter((F.col("no") > 0) | F.col("taxa").isNull())
+    after = said.join(F.broadcast(lines.groupBy("file").agg((F.count("*") - 1).alias("n"))), "file")
+    short, more = after.agg(F.bool_or(F.col("n") < F.col("taxa")), F.bool_or(F.col("n") > F.col("taxa"))).first()
+    if short:
+        raise ValueError("an alignment has fewer taxa than its head line says")
+    d = lines.join(F.broadcast(said), "file").filter((F.col("no") > 0) | F.col("taxa").isNull())
     at = F.col("no") - 1
     d = d.withColumns({"i": F.when(F.col("taxa").isNull(), F.col("no")).otherwise(at % F.greatest("taxa", F.lit(1))), "part": F.when(F.col("taxa").isNull(), F.lit(0)).otherwise(F.floor(at / F.greatest("taxa", F.lit(1))))})
     named = F.col("part") == 0
     d = d.withColumn("taxon", F.when(named, F.regexp_extract("line", r"^\s*(\S+)", 1)))
     d = d.withColumn("seq", F.regexp_replace(F.when(named, F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line")), r"\s", ""))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"])
-    d = d.groupBy("file", "i", "taxa", "sites").agg(F.max("taxon").alias("taxon"), F.concat_ws("", parts).alias("seq"))
+    if more:  # else every taxon is a line
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"])
+        d = d.groupBy("file", "i", "taxa", "sites").agg(F.max("taxon").alias("taxon"), F.concat_ws("", parts).alias("seq"))
     wrong = F.raise_error(F.concat(F.lit("not as many sites as the head line says: "), F.col("taxon")))
     d = d.withColumn("seq", F.when(F.col("sites").isNull() | (F.length("seq") == F.col("sites")), F.col("seq")).otherwise(wrong))
-    short = said.join(d.groupBy("file").agg(F.count("*").alias("n")), "file", "left").filter(F.coalesce("n", F.lit(0)) < F.col("taxa"))
-    if not short.isEmpty():
-        raise ValueError("an alignment has fewer taxa than its head line says")
     d = d.select("taxon", "seq")
     return d.filter(F.col("taxon").isin(taxa)) if taxa else d
 
