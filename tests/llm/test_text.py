@@ -185,6 +185,36 @@ def test_signatures_meet():
             assert len(np.intersect1d(ngram_join.signatures(a, frequent, repeated), ngram_join.signatures(b, frequent, repeated)))
 
 
+def test_signatures_of_the_next_class_are_few():
+    """Partners of the next size class are larger, so a set signs for it by fewer tokens; sets at the very bounds of a class and of the similarity still meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    nothing = lambda x: np.zeros(len(x), bool)
+    low = lambda n: np.unique(rng.integers(0, int(2**64 * 0.3), n, np.uint64))
+    for n in (100, 500, 2000):
+        tokens = low(n)
+        assert len(ngram_join.signatures(tokens, nothing)) <= n // 5 + n // 9 + 2  # before: 2 (n // 5 + 1)
+    for n in range(4, 150):
+        a = low(n)
+        for m in range(n, n * 5 // 4 + 1):  # larger partners, with as few common tokens as a link allows
+            same = -(-4 * (n + m) // 9)
+            if same <= n:
+                b = np.sort(np.r_[a[n - same :], low(m - same)])
+                assert len(np.intersect1d(ngram_join.signatures(a, nothing), ngram_join.signatures(b, nothing))), (n, m)
+
+
+def test_ngram_join_meets_outside_a_centre(spark):
+    """Two texts that link only with each other, by tokens that their star's centre has not; rows of one component at a centre lead to nothing."""
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long, n long, c long, r long, extra binary")
+    blob = lambda *x: b"".join(v.to_bytes(8, "little") for v in x)
+    d = frame([(1, 9, 45, 39, 1, blob(70, 71, 72)), (2, 9, 45, 39, 2, blob(71, 73)), (3, 8, 45, 39, 3, blob(71)), (4, 8, 45, 39, 3, blob(71)), (5, 9, 45, 30, 5, blob(71))])
+    got = {tuple(r) for r in ngram_join.outside_prefixes(d, 80).select("a", "z", "r", "token", "rest").collect()}
+    assert got == {(1, 9, 1, 71, 0), (2, 9, 2, 71, 0)}
+    kept = ngram_join._apart(d)
+    assert kept.columns == d.columns and {r["a"] for r in kept.collect()} == {1, 2, 5}
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW)) + [0]
 

@@ -10,7 +10,8 @@ unit by itself; frequent tokens are dealt into subclasses and m tokens of a subc
 signatures of that class are pairs of tokens. Prefixes are extended until they hold enough units. Two sets that
 link share a signature: one that misses a token loses one unit at most. Signatures are made for size classes, each a
 factor of 1.25 wide: a set signs for its own and the next, so sets of a signature are of similar size, and the
-number of subclasses follows the class.
+number of subclasses follows the class. For the next class all partners are larger: a set of n tokens can miss only
+(5 n - 4 m) // 9 of them, m the least size there, so its prefix for that class is shorter, or there is none.
 
 Equal sets are one class from the start. Signatures that occur once are dropped; every class is compared with
 the most typical class of each of its signatures (a star, never all pairs); classes that are joined by then
@@ -171,18 +172,20 @@ def signatures(tokens: np.ndarray, frequent, repeated=None) -> np.ndarray:
     n = len(tokens)
     if n < 4:
         return tokens[:0]
-    units = n // 5 + 1
     counted = int(np.searchsorted(tokens, TOP << DROP))
     often = np.ones(n, bool)
     often[:counted] = frequent(tokens[:counted] >> DROP)
-    rare = tokens[~often][:units]
-    rest, need = tokens[often], units - len(rare)
-    if repeated is not None:
-        rare = rare[repeated(rare >> DROP)]
+    first, rest = tokens[~often], tokens[often]
     kind = int(np.searchsorted(CLASSES, n, "right")) - 1
     out = []
-    for level in (kind, kind + 1):
+    for level, missing in ((kind, n // 5), (kind + 1, (5 * n - 4 * int(CLASSES[kind + 1])) // 9)):
+        if missing < 0:  # no set of the next class is similar enough
+            continue
         salt = mix(np.array([level], np.uint64))
+        rare = first[: missing + 1]
+        need = missing + 1 - len(rare)
+        if repeated is not None:
+            rare = rare[repeated(rare >> DROP)]
         out.append(mix(rare ^ salt))
         if need:  # a set that signs for the level has at least CLASSES[level - 1] tokens
             kinds = mix(rest) % np.uint64(max(1, int(CLASSES[max(0, level - 1)]) >> 3))
@@ -314,8 +317,11 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 def compared(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
     """Written (a, b, na, nb, c, extra): sizes, common tokens, and the tokens of a outside b that may be in two texts."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), "shared"), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb", "shared")
+    ones, others = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), "shared"), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    if pairs.count() <= MOST_GONE:  # then only sets of the pairs are shuffled
+        pairs = F.broadcast(pairs)
+        others = others.join(pairs, "b", "left_semi")
+    both = pairs.join(ones, "a").join(others, "b").select("a", "b", "ta", "tb", "shared")
 
     def run(batches):
         import pyarrow as pa
@@ -365,6 +371,12 @@ def across(rows: DataFrame, on: list[str], keep, more: list[str] = ()) -> DataFr
     return one.join(two, on).filter((F.col("r1") != F.col("r2")) & once & keep).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
 
 
+def _apart(d: DataFrame) -> DataFrame:
+    """The rows (b, r, ...) of centres b whose rows here are of several components r."""
+    several = d.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("b")
+    return d.join(several, "b", "left_semi").select(d.columns)  # a join puts its key first, and Arrow tasks take columns by place
+
+
 def outside_prefixes(d: DataFrame, percent: int) -> DataFrame:
     """(a, z, n, c, r, token, rest) of the rows (a, b, n, c, r, extra) of d: tokens outside the centre by which a may meet a partner; rest: how many more it may share with one that it first meets there.
 
@@ -372,12 +384,13 @@ def outside_prefixes(d: DataFrame, percent: int) -> DataFrame:
     of the centre's classes those that one component has come first, then the others by how many classes have them, so one of the first
     n - c - (that number) + 1 tokens is shared, and what many have is met last, when few tokens are left to share.
     """
-    rows = d.filter(F.octet_length("extra") > 0).mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long").withColumnRenamed("b", "z")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("c"))
+    d = _apart(d.filter(F.octet_length("extra") / 8 >= need))
+    rows = d.mapInArrow(_exploded, "a long, b long, n long, c long, r long, token long").withColumnRenamed("b", "z")
     rows = staged(rows, "join-outside")
     held = rows.groupBy("z", "token").agg(F.count("*").alias("f"), F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("z", "token", "f")
     of = W.partitionBy("a", "z")  # the tokens of a text
     met = rows.join(held, ["z", "token"]).withColumns({"q": F.count("*").over(of), "k": F.row_number().over(of.orderBy("f", "token"))})
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("c"))
     return met.filter(F.col("q") - F.col("k") + 1 >= need).select("a", "z", "n", "c", "r", "token", (F.col("q") - F.col("k")).alias("rest"))
 
 
@@ -396,10 +409,13 @@ def still_apart(post: DataFrame, star: DataFrame, stars: DataFrame, roots: DataF
     most = low + F.least("rest1", "rest2") + 1
     # Pairs that lie well inside z are those of `inside`.
     outside = across(outside_prefixes(d, percent), ["z", "token"], sizes & (low * union < n * percent) & (most * union >= n * percent), ["rest"])
-    inner = post.join(star, "sig").join(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r"), ["node", "b"])
+    well = staged(_apart(d.filter(F.col("c") * 100 >= F.col("n") * percent).select(F.col("a").alias("node"), "a", "b", "n", "c", "r")), "join-well")
+    # In a signature of two classes one is the centre, and nothing is left for the other to meet.
+    met = staged(star.filter("held > 2").join(well.select("b").distinct(), "b", "left_semi").select("sig", "b"), "join-met")
+    inner = post.join(F.broadcast(met) if met.count() <= MOST_GONE else met, "sig").join(well, ["node", "b"])
     inside = across(inner.select("sig", "a", "n", "c", "r"), ["sig"], sizes & (low * union >= n * percent))
     out = staged(outside.union(inside).distinct(), "join-rest")
-    discard(d)
+    discard(d, well, met)
     return out
 
 
